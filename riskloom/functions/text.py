@@ -63,4 +63,4 @@ def country_label(value: Column | str, labels: dict[str, str] | None = None) ->
     table = COUNTRY_LABELS if labels is None else labels
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     shown = F.initcap(F.trim(F.regexp_replace(_c(value).cast("string"), "[_-]+", " ")))
-    return F.coalesce(lookup.getItem(country_token(value)), shown)
+    return F.coalesce(F.try_element_at(lookup, country_token(value)), shown)

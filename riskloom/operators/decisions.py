@@ -89,8 +89,8 @@ QUEUE_REST = ("Review Score or Margin", 98)
 
 def lookup(value: Column | str, table: dict, rest) -> Column:
     """Literal look-up with a value for everything else."""
-    mapped = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]).getItem(_c(value))
-    return F.coalesce(mapped, F.lit(rest))
+    mapped = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(mapped, _c(value)), F.lit(rest))
 
 
 def action_queue_columns(segment: Column | str = N.SEGMENT) -> dict[str, Column]:

@@ -39,7 +39,7 @@ def b2(spark, sf):
 
 
 @query("b3_null_on_failure_casts", """
-SELECT p_partkey, TRY_CAST(a AS INT) AS a, TRY_CAST(b AS DOUBLE) AS b FROM (
+SELECT p_partkey, CAST(TRY_CAST(a AS INT) AS DOUBLE) AS a, TRY_CAST(b AS DOUBLE) AS b FROM (
   SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS a,
     CASE WHEN p_size > 40 THEN p_brand ELSE CAST(p_size AS VARCHAR) || '.25' END AS b FROM part)""")
 def b3(spark, sf):
@@ -47,7 +47,8 @@ def b3(spark, sf):
     raw = table(spark, sf, "part").select(
         "p_partkey", F.when(size > 25, F.col("p_name")).otherwise(as_text).alias("a"),
         F.when(size > 40, F.col("p_brand")).otherwise(F.concat(as_text, F.lit(".25"))).alias("b"))
-    return cleaning.cast_columns(raw, ["a"], ["b"])
+    out = cleaning.cast_columns(raw, ["a"], ["b"])
+    return out.withColumn("a", F.col("a").cast("double"))
 
 
 @query("b4_parse_timestamps", """
@@ -80,7 +81,7 @@ def _raw_lines(spark, sf):
 
 
 _CLEAN_SQL = """clean AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_key, l_linenumber AS line,
-  CASE WHEN l_tax <= 0.065 THEN CAST(l_quantity AS INT) END AS quantity,
+  CASE WHEN l_tax <= 0.065 THEN l_quantity END AS quantity,
   CASE WHEN l_discount <= 0.095 THEN l_extendedprice END AS price,
   CASE WHEN l_discount >= 0.005 THEN l_shipdate END AS shipped,
   CASE WHEN l_returnflag <> 'R' THEN l_returnflag || ' x' END AS flag, 'lines.csv' AS _source_file FROM lineitem)"""
@@ -89,7 +90,7 @@ _CLEAN_SQL = """clean AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_key, l_lin
 @query("b5_clean_silver", f"WITH {_CLEAN_SQL} SELECT * FROM clean")
 def b5(spark, sf):
     out = cleaning.clean_silver(_raw_lines(spark, sf), _RAW_SPEC).drop(N.SILVER_TS)
-    return out.withColumn("shipped", F.col("shipped").cast("timestamp_ntz"))
+    return out.withColumns({"shipped": F.col("shipped").cast("timestamp_ntz"), "quantity": F.col("quantity").cast("double")})
 
 
 @query("f8_quality_report", f"""WITH {_CLEAN_SQL},
