@@ -91,6 +91,7 @@ def place_token(expr: str) -> str:
 
 
 def scored(body: str) -> str:
+    """Segments, then ``body``: a SELECT, or ``, more AS (...) SELECT``."""
     return f"WITH {SCORED} {body}"
 
 

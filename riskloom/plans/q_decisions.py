@@ -20,10 +20,12 @@ def b18(spark, sf):
 
 
 @query("k3_k4_assign_segments", O.scored("""SELECT Order_Id, Order_Item_Id, order_date_DateOrders, 'ao3_risk_margin_matrix' AS ao3_policy_name,
-  CAST(0.35 AS DOUBLE) AS ao3_risk_cutoff, CAST(0 AS DOUBLE) AS ao3_margin_cutoff, risky AS ao3_high_risk_flag, rich AS ao3_high_margin_flag,
+  CAST(0.35 AS DOUBLE) AS ao3_risk_cutoff, CAST(0 AS DOUBLE) AS ao3_margin_cutoff, CAST(risky AS VARCHAR) AS ao3_high_risk_flag, CAST(rich AS VARCHAR) AS ao3_high_margin_flag,
   segment AS ao3_priority_segment FROM seg"""))
 def k3(spark, sf):
-    return segments(spark, sf).select(*N.KEYS, *decisions.segment_columns())
+    out = segments(spark, sf).select(*N.KEYS, *decisions.segment_columns())
+    # Three-valued flags are compared as text.
+    return out.withColumns({c: F.col(c).cast("string") for c in ("ao3_high_risk_flag", N.HIGH_MARGIN)})
 
 
 @query("f4_segment_summary", f"""WITH {O.SCORED},
