@@ -68,6 +68,7 @@ PROFIT = "Order_Profit_Per_Order"
 ROW_NUMBER = "chronological_row_number"
 SPLIT = "split_partition"
 DEVELOPMENT, TEST, TRAIN, VALIDATION = "development", "test", "train", "validation"
+INNER_TRAIN, INNER_VALIDATION = "development_inner_train", "development_inner_validation"
 DEVELOPMENT_RATIO = 0.80
 INNER_VALIDATION_RATIO = 0.20
 

@@ -282,7 +282,7 @@ def check_predictions(
     target: str,
     prediction: str,
     keys: Sequence[str] = ("model_name", *N.KEYS),
-    slices: Sequence[str] = ("inner_validation", "validation"),
+    slices: Sequence[str] = (N.INNER_VALIDATION,),
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """Prediction-table rules for either objective: ``rule, violations``."""

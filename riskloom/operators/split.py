@@ -49,7 +49,7 @@ def inner_split(df: DataFrame, ratio: float = N.INNER_VALIDATION_RATIO) -> DataF
     """
     development = slice_partition(df, N.DEVELOPMENT)
     boundary = development.agg(F.floor(F.count(F.lit(1)) * (1.0 - ratio))).scalar()
-    label = F.when(F.col(N.ROW_NUMBER) <= boundary, "inner_train").otherwise("inner_validation")
+    label = F.when(F.col(N.ROW_NUMBER) <= boundary, N.INNER_TRAIN).otherwise(N.INNER_VALIDATION)
     return development.withColumn("modeling_slice", label)
 
 

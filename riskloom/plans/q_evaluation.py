@@ -161,9 +161,10 @@ def p3(spark, sf):
                    ["rmse", "mae", "r2", "median_absolute_error"], 7)
 
 
-@query("i3_exact_quantiles_by_type", f"""WITH {O.BASE} SELECT Type, quantile_cont(CAST(Order_Item_Total AS DOUBLE), 0.1) AS p10, quantile_cont(CAST(Order_Item_Total AS DOUBLE), 0.5) AS p50,
-  quantile_cont(CAST(Order_Item_Total AS DOUBLE), 0.99) AS p99 FROM oi GROUP BY 1""")
+@query("i3_exact_quantiles_by_type", f"""WITH {O.BASE} SELECT Type, round(quantile_cont(CAST(Order_Item_Total AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(Order_Item_Total AS DOUBLE), 0.5), 6) AS p50,
+  round(quantile_cont(CAST(Order_Item_Total AS DOUBLE), 0.99), 6) AS p99 FROM oi GROUP BY 1""")
 def i0(spark, sf):
     from .orders import silver
 
-    return quantile_columns(silver(spark, sf), ["Type"], "Order_Item_Total", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    out = quantile_columns(silver(spark, sf), ["Type"], "Order_Item_Total", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return rounded(out, ["p10", "p50", "p99"], 6)

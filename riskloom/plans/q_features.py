@@ -185,7 +185,7 @@ def g2(spark, sf):
 
 
 @query("g3_inner_split", _NUMBERED + """ SELECT Order_Id, Order_Item_Id, rn AS chronological_row_number,
-  CASE WHEN rn <= floor((SELECT count(*) FROM b WHERE part = 'development') * CAST(0.8 AS DOUBLE)) THEN 'inner_train' ELSE 'inner_validation' END AS modeling_slice
+  CASE WHEN rn <= floor((SELECT count(*) FROM b WHERE part = 'development') * CAST(0.8 AS DOUBLE)) THEN 'development_inner_train' ELSE 'development_inner_validation' END AS modeling_slice
 FROM b WHERE part = 'development'""")
 def g3(spark, sf):
     out = split.inner_split(split.chronological_split(silver(spark, sf).select(*N.KEYS)))

@@ -39,4 +39,6 @@ def doubles(df: DataFrame) -> DataFrame:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import q_cleaning, q_decisions, q_evaluation, q_features, q_measures, q_profiles, q_serving  # noqa: F401
+    from . import (  # noqa: F401
+        q_cleaning, q_decisions, q_evaluation, q_features, q_measures, q_models, q_profiles, q_serving, q_tables,
+    )
