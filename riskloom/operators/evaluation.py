@@ -163,7 +163,7 @@ def _sample_std(value: Column) -> Column:
 
 def regression_metrics(predictions: DataFrame, target: str = N.PROFIT) -> DataFrame:
     """RMSE, MAE, R2, median absolute error, bias and sign errors per model."""
-    rows = with_errors(predictions, target)
+    rows = materialize(with_errors(predictions.select(MODEL, target, PREDICTION), target), "errors")
     a, p, r = F.col(target).cast("double"), F.col(PREDICTION).cast("double"), F.col("residual")
     n = F.count(F.lit(1))
     squares, spread = F.sum(r * r), F.var_pop(a) * n
@@ -186,7 +186,7 @@ RESIDUAL_PROBS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.9
 
 def residual_diagnostics(predictions: DataFrame, target: str = N.PROFIT) -> DataFrame:
     """Residual moments and the quantiles of residual and absolute error per model."""
-    rows = with_errors(predictions, target)
+    rows = materialize(with_errors(predictions.select(MODEL, target, PREDICTION), target), "errors")
     r = F.col("residual")
     moments = rows.groupBy(MODEL).agg(
         F.count(F.lit(1)).alias("validation_rows"), F.avg(r).alias("residual_mean"),
@@ -274,8 +274,10 @@ def with_error_band(rows: DataFrame) -> DataFrame:
 
 def error_slices(predictions: DataFrame, min_rows: int = 100, target: str = N.PROFIT) -> DataFrame:
     """Error metrics by actual-profit band, target quartile and error band, per model."""
-    cuts = profit_cutoffs(predictions, target)
-    rows = with_error_band(with_errors(predictions, target))
+    # Read five times below, for the cutoffs, the bands and the two kinds of metrics.
+    narrow = materialize(predictions.select(MODEL, target, PREDICTION), "predictions")
+    cuts = profit_cutoffs(narrow, target)
+    rows = materialize(with_error_band(with_errors(narrow, target)), "errors")
     kinds = {
         "actual_profit_band": actual_profit_band(cuts, target),
         "actual_profit_quantile": quartile_label(cuts, target),

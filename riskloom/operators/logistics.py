@@ -57,7 +57,7 @@ def logistics_kpi_summary(df: DataFrame) -> DataFrame:
     )
     p, seg = F.col(N.RISK), F.col(N.SEGMENT)
     # The sum of 1 - p over scored rows, written so that it stays exact.
-    on_time = F.count(p) - F.sum(p).cast("double")
+    on_time = F.count(p) - total(N.RISK)
     grouped = wide.groupBy(*SUMMARY_GRAIN).agg(
         F.countDistinct(N.ORDER).alias("order_count"),
         F.count(F.lit(1)).alias("order_item_count"),
@@ -70,9 +70,9 @@ def logistics_kpi_summary(df: DataFrame) -> DataFrame:
         mean("Days_for_shipment_scheduled").alias("avg_scheduled_shipping_days"),
         mean("Days_for_shipping_real").alias("avg_actual_shipping_days"),
         mean("delivery_delay_gap").alias("avg_delivery_delay_gap"),
-        mean(p).alias("expected_late_delivery_rate"),
+        mean(N.RISK).alias("expected_late_delivery_rate"),
         ratio(on_time, F.count(p)).alias("expected_otd_rate"),
-        total(p).alias("expected_late_order_equivalent_count"),
+        total(N.RISK).alias("expected_late_order_equivalent_count"),
         on_time.alias("expected_on_time_order_equivalent_count"),
         F.count_if(F.col(N.HIGH_RISK)).alias("high_risk_order_count"),
         F.count_if(seg == N.PROTECT).alias("service_protection_queue_count"),

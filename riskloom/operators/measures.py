@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..functions.aggregates import mean, ratio, total
+from ..functions.aggregates import digits_of, mean, ratio, total
 from ..functions.bands import profit_band
 from ..functions.calendar import week_start
 
@@ -37,11 +37,11 @@ def _count(extra: Callable[[], Column] | None = None) -> Measure:
 
 
 def _sum(column: str, extra: Callable[[], Column] | None = None) -> Measure:
-    return lambda w: total(F.when(w & extra() if extra else w, F.col(column)))
+    return lambda w: total(F.when(w & extra() if extra else w, F.col(column)), digits_of(column))
 
 
 def _mean(column: str, extra: Callable[[], Column] | None = None) -> Measure:
-    return lambda w: mean(F.when(w & extra() if extra else w, F.col(column)))
+    return lambda w: mean(F.when(w & extra() if extra else w, F.col(column)), digits_of(column))
 
 
 def _over(top: str, bottom: str) -> Measure:
@@ -136,7 +136,7 @@ def validation_kpis(metrics: DataFrame, model: str, columns: Sequence[str]) -> D
 def geographic_kpis(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Location counts, item sums and rates over the geographic summary."""
     items, risky = F.sum("order_item_count"), F.sum("high_risk_order_count")
-    profit, value = F.sum("total_predicted_profit"), F.sum("total_order_value")
+    profit, value = total("total_predicted_profit"), total("total_order_value")
     return summary.groupBy(*by).agg(
         F.count(F.lit(1)).alias("geo_locations"),
         F.countDistinct("map_location_country").alias("geo_countries"),
@@ -164,20 +164,21 @@ def run_rate_4w(df: DataFrame) -> DataFrame:
     The window runs over weekly totals, so its single partition holds one row per
     calendar week, whatever the size of the table.
     """
-    value = F.sum(F.when(_segment(N.PROTECT), F.col(N.ORDER_VALUE)))
-    weekly = df.groupBy(week_start().alias("order_week_start")).agg(value.alias("v"))
+    weekly = measure_set(df, ["protected_value"], [week_start().alias("order_week_start")])
+    return with_run_rate(weekly)
+
+
+def with_run_rate(weekly: DataFrame) -> DataFrame:
+    """Adds the run rate to weekly totals (one row per week)."""
     week_number = F.datediff("order_week_start", F.lit("1970-01-05").cast("date"))
     last_four = Window.orderBy(week_number).rangeBetween(-21, 0)
-    return weekly.select(
-        "order_week_start",
-        F.col("v").cast("double").alias("protected_value"),
-        ratio(F.sum("v").over(last_four), F.count("v").over(last_four)).alias("run_rate_4w"),
-    )
+    v = F.col("protected_value")
+    return weekly.withColumn("run_rate_4w", ratio(F.sum(v.cast("decimal(38,6)")).over(last_four), F.count(v).over(last_four)))
 
 
 def weekly_trend(df: DataFrame, weeks: int = 12) -> DataFrame:
     """The latest weeks with measures, run rate and chronological rank."""
-    weekly = weekly_measures(df).join(run_rate_4w(df).drop("protected_value"), "order_week_start")
+    weekly = with_run_rate(weekly_measures(df))
     latest = weekly.where("protect_items > 0").orderBy(F.desc("order_week_start")).limit(weeks)
     return dense_rank_weeks(latest)
 

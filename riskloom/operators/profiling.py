@@ -132,7 +132,7 @@ def _outside(x: Column, q1: Column, q3: Column) -> Column:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, fences and outliers per numeric column."""
-    long = _long(df, columns, "x", "double").where("x IS NOT NULL")
+    long = materialize(_long(df, columns, "x", "double").where("x IS NOT NULL"), "studied")
     q = quantile_columns(long, [VARIABLE], "x", {"q1": 0.25, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1"), "lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach})
@@ -229,7 +229,7 @@ def bivariate_rate_summary(
 
 def bivariate_rate_numeric(df: DataFrame, columns: Sequence[str], target: str = N.LATE, bins: int = 5) -> DataFrame:
     """Rate per quantile bin of each numeric column, supported bins only."""
-    valid = df.where(F.col(target).isin(0, 1))
+    valid = materialize(df.where(F.col(target).isin(0, 1)).select(target, *columns), "studied")
     rows = valid.agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col(target).cast("long")).alias("_late"))
     binned = quantile_bins(_long(valid, columns, "value", "double", keep=[target]), [VARIABLE], "value", bins)
     counted = binned.groupBy(VARIABLE, "bin_number", "bin_lower", "bin_upper").agg(
@@ -279,6 +279,7 @@ def bivariate_mean(
     df: DataFrame, columns: Sequence[str], target: str = N.PROFIT, max_levels: int = N.MAX_DIRECT_LEVELS
 ) -> DataFrame:
     """Mean and median of the target per level of each categorical column."""
+    df = materialize(df.select(target, *[c for c in columns if c != target]), "studied")
     long = df.select(F.col(target).cast("double").alias("y"), *columns).where("y IS NOT NULL")
     long = _long(long, columns, "v", "string", keep=["y"]).select(
         VARIABLE, F.coalesce(F.trim("v"), F.lit("(missing)")).alias("level"), "y")
@@ -289,8 +290,10 @@ def bivariate_mean(
 
 def bivariate_mean_numeric(df: DataFrame, columns: Sequence[str], target: str = N.PROFIT, bins: int = 5) -> DataFrame:
     """Mean and median of the target per quantile bin, with the pattern across supported bins."""
+    df = materialize(df.select(target, *[c for c in columns if c != target]), "studied")
     known = df.select(F.col(target).cast("double").alias("y"), *columns).where("y IS NOT NULL")
-    binned = quantile_bins(_long(known, columns, "value", "double", keep=["y"]), [VARIABLE], "value", bins)
+    binned = materialize(
+        quantile_bins(_long(known, columns, "value", "double", keep=["y"]), [VARIABLE], "value", bins), "binned")
     out = _profit_groups(binned, [VARIABLE, "bin_number", "bin_lower", "bin_upper"], df, target)
     return with_monotonic_pattern(out.where("sample_size_flag = 'support_ok'"))
 
@@ -313,7 +316,7 @@ def with_monotonic_pattern(bins: DataFrame) -> DataFrame:
 
 def target_distribution(df: DataFrame, target: str = N.PROFIT) -> DataFrame:
     """Moments, percentiles, adjusted skewness and IQR outliers of a continuous target."""
-    rows = df.select(F.lit("all").alias("part"), F.col(target).cast("double").alias("y"))
+    rows = materialize(df.select(F.lit("all").alias("part"), F.col(target).cast("double").alias("y")), "target")
     known = rows.where("y IS NOT NULL")
     probs = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     q = quantile_columns(known, ["part"], "y", probs)

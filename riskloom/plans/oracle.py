@@ -1,6 +1,7 @@
 """ANSI SQL over the source tables: the order-item view and what derives from it.
 
 Written independently of the Spark expressions, as the reference answer for them.
+Amounts are DECIMAL here, so that sums are exact.
 """
 
 from .orders import COUNTRY_NAMES
@@ -18,7 +19,7 @@ DISPLAY_LIST = "[" + ", ".join(f"'{n}'" for n in COUNTRY_DISPLAY) + "]"
 BASE = f"""
 base AS (
   SELECT l_orderkey AS Order_Id,
-    concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), strftime(l_shipdate, '%Y%m%d')) AS Order_Item_Id,
+    concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS Order_Item_Id,
     o_orderdate AS order_date_DateOrders, l_shipdate AS shipping_date_DateOrders,
     CAST(datediff('day', o_orderdate, l_shipdate) AS INT) AS actual,
     CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS planned,
@@ -55,7 +56,8 @@ raw_scores AS (
     CASE WHEN disc = 10 AND tax = 8 THEN CAST(0 AS DECIMAL(18,4)) ELSE Order_Item_Total END AS value
   FROM oi),
 scored AS (
-  SELECT *, CASE WHEN value > 0 THEN CAST(CAST(profit AS DOUBLE) / CAST(value AS DOUBLE) AS DECIMAL(18,8)) END AS margin,
+  SELECT *, CASE WHEN value > 0 THEN CAST(CAST(profit AS DOUBLE) / CAST(value AS DOUBLE) AS DECIMAL(38,12)) END AS margin,
+    CASE WHEN value > 0 THEN CAST(profit AS DOUBLE) / CAST(value AS DOUBLE) END AS margin_d,
     p >= 0.35 AS risky
   FROM raw_scores),
 seg AS (

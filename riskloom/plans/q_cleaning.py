@@ -69,7 +69,7 @@ _RAW_SPEC = cleaning.SilverSpec(
 def _raw_lines(spark, sf):
     """All-text lines with the faults bronze rows have."""
     c = F.col
-    price = (F.round(c("l_extendedprice") * 100).cast("long") / 100.0).cast("decimal(18,2)").cast("string")
+    price = (F.rint(c("l_extendedprice") * 100).cast("long") / 100.0).cast("decimal(18,2)").cast("string")
     return table(spark, sf, "lineitem").select(
         c("l_orderkey").cast("string").alias("order_key"),
         F.concat(F.lit(" "), c("l_linenumber").cast("string")).alias("line"),
@@ -239,14 +239,14 @@ def d3(spark, sf):
 SELECT * FROM (
 SELECT 'missing_column' AS problem, 'Order_Zipcode' AS subject, CAST(1 AS BIGINT) AS violations FROM (SELECT count(*) FROM oi)
 UNION ALL SELECT 'forbidden_column', 'Delivery_Status', 1 FROM (SELECT count(*) FROM oi)
-UNION ALL SELECT 'wrong_type', 'Order_Item_Total: expected double, found decimal(18,4)', 1 FROM (SELECT count(*) FROM oi)
+UNION ALL SELECT 'wrong_type', 'Order_Item_Total: expected int, found double', 1 FROM (SELECT count(*) FROM oi)
 UNION ALL SELECT 'null', 'Delivery_Status', count(*) FILTER (Delivery_Status IS NULL) FROM oi
 UNION ALL SELECT 'rule', 'slow', count(*) FILTER (actual > 2000) FROM oi
 UNION ALL SELECT 'duplicate_key', 'Order_Id', (SELECT count(*) FROM (SELECT Order_Id FROM oi GROUP BY 1 HAVING count(*) > 1)))
 WHERE violations > 0""")
 def d5(spark, sf):
     contract = contracts.Contract(
-        types={"Order_Item_Total": "double"}, required=["Order_Zipcode"], forbidden=["Delivery_Status"],
+        types={"Order_Item_Total": "int"}, required=["Order_Zipcode"], forbidden=["Delivery_Status"],
         non_null=[*N.KEYS, "Delivery_Status"], unique=[N.ORDER],
         rules={"slow": F.col("Days_for_shipping_real") > 2000, "never": F.col("Order_Item_Quantity") < 0})
     return contracts.check_contract(silver(spark, sf), contract)

@@ -14,7 +14,7 @@ _MEANS = """CAST(sum(p) AS DOUBLE) / count(p) AS avg_ao1_predicted_late_delivery
   CAST(sum(profit) AS DOUBLE) / count(profit) AS avg_ao2_predicted_order_profit, CAST(sum(margin) AS DOUBLE) / count(margin) AS avg_ao3_predicted_margin"""
 
 
-@query("b18_predicted_margin", O.scored("SELECT Order_Id, Order_Item_Id, CAST(margin AS DOUBLE) AS ao3_predicted_margin FROM scored"))
+@query("b18_predicted_margin", O.scored("SELECT Order_Id, Order_Item_Id, margin_d AS ao3_predicted_margin FROM scored"))
 def b18(spark, sf):
     return doubles(with_scores(silver(spark, sf)).select(N.ORDER, N.ITEM, N.MARGIN))
 

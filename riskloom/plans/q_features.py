@@ -145,7 +145,7 @@ def e6(spark, sf):
 
 @query("e6_merge_one_to_one", f"""WITH {O.SCORED} SELECT Order_Id, Order_Item_Id, order_date_DateOrders,
   CAST(p AS DOUBLE) AS ao1_predicted_late_delivery_probability, CAST(profit AS DOUBLE) AS ao2_predicted_order_profit,
-  CAST(margin AS DOUBLE) AS ao3_predicted_margin FROM scored WHERE qty > 10 AND qty < 40""")
+  margin_d AS ao3_predicted_margin FROM scored WHERE qty > 10 AND qty < 40""")
 def e6_merge(spark, sf):
     rows = with_scores(silver(spark, sf))
     late = rows.where("Order_Item_Quantity > 10").select(*N.KEYS, N.RISK)

@@ -150,7 +150,7 @@ def g8(spark, sf):
 
 
 _QUEUE = """Order_Id, Order_Item_Id, order_date_DateOrders, CAST(p AS DOUBLE) AS ao1_predicted_late_delivery_probability, CAST(profit AS DOUBLE) AS ao2_predicted_order_profit,
-  CAST(value AS DOUBLE) AS ao3_order_value, CAST(margin AS DOUBLE) AS ao3_predicted_margin, segment AS ao3_priority_segment"""
+  CAST(value AS DOUBLE) AS ao3_order_value, margin_d AS ao3_predicted_margin, segment AS ao3_priority_segment"""
 
 
 @query("h1_review_queue", O.scored(f"SELECT {_QUEUE} FROM seg WHERE risky AND profit < 0 ORDER BY value DESC, p DESC"))

@@ -151,7 +151,7 @@ SELECT Order_Id, Order_Item_Id, order_date_DateOrders, shipping_date_DateOrders,
   1 - CAST(p AS DOUBLE) AS ao1_expected_on_time_probability, CAST(coalesce(risky, FALSE) AS INT) AS ao1_high_risk_flag,
   CAST(coalesce(risky, FALSE) AND actual > planned AS INT) AS true_positive_flag, CAST(coalesce(risky, FALSE) AND actual <= planned AS INT) AS false_positive_flag,
   CAST(NOT coalesce(risky, FALSE) AND actual > planned AS INT) AS false_negative_flag, CAST(NOT coalesce(risky, FALSE) AND actual <= planned AS INT) AS true_negative_flag,
-  CAST(profit AS DOUBLE) AS ao2_predicted_order_profit, CAST(margin AS DOUBLE) AS ao3_predicted_margin,
+  CAST(profit AS DOUBLE) AS ao2_predicted_order_profit, margin_d AS ao3_predicted_margin,
   CAST(segment IN ('protect_high_value_at_risk', 'expedite_selectively') AS INT) AS intervention_required_flag FROM wide"""))
 def f12(spark, sf):
     return logistics.order_kpi_detail(_full(spark, sf))

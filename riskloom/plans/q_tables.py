@@ -31,7 +31,7 @@ def a1(spark, sf):
 
 
 @query("a5_table_round_trip", O.scored("""SELECT Order_Id, Order_Item_Id, order_date_DateOrders, segment AS ao3_priority_segment,
-  CAST(margin AS DOUBLE) AS ao3_predicted_margin FROM seg"""))
+  margin_d AS ao3_predicted_margin FROM seg"""))
 def a5(spark, sf):
     rows = segments(spark, sf).select(*N.KEYS, N.SEGMENT, N.MARGIN)
     return doubles(files.write_table(rows, _place(spark, "table")))
