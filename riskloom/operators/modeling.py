@@ -141,10 +141,16 @@ def fit_logistic(features: DataFrame, target: str = N.LATE, c: float = 1.0, max_
 
 
 def fit_ridge(features: DataFrame, target: str = N.PROFIT, alpha: float = 1.0):
-    """Ridge regression; the penalty is ``alpha`` over the row count in Spark's scaling."""
+    """Ridge regression minimizing squared error plus ``alpha`` times the squared coefficients.
+
+    Spark averages the squared error and divides the penalty by the label's deviation,
+    hence the scaling of ``alpha``.
+    """
     rows = features.withColumn(target, F.col(target).cast("double"))
+    n, deviation = rows.agg(F.count(target), F.stddev_pop(target)).first()
     return LinearRegression(
-        featuresCol=FEATURES, labelCol=target, regParam=alpha / rows.count(), elasticNetParam=0.0, standardization=False,
+        featuresCol=FEATURES, labelCol=target, regParam=alpha * (deviation or 1.0) / n, elasticNetParam=0.0,
+        standardization=False,
     ).fit(rows)
 
 
