@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import mixing, quality, sharding
+from .common import n_words, unit
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,58 @@ def op1(spark, sf):
     return quality.judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+OP2 = f"""
+WITH d AS (
+  SELECT doc_id, source, {_WORDS}::BIGINT AS size, coalesce(source, '') AS src, source IS NULL AS missing,
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k FROM documents
+), o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY missing, src ORDER BY k, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+), s AS (
+  SELECT missing, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY missing, src) - 1 AS place FROM d GROUP BY missing, src
+), w AS (
+  SELECT *, (place % 3)::INT AS class, [5e0, 2e0, 1e0][1 + place % 3] AS weight, 2e0 * source_size AS cap,
+         sum(source_size) OVER () AS everything FROM s
+), f AS (
+  SELECT *, (1.5e0 * everything - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / weight, missing, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT *, least(cap, coalesce(weight * max(CASE WHEN cap / weight > level THEN level END) OVER (), cap)) AS target FROM f
+), u AS (
+  SELECT doc_id, size, source_size, target, class, floor(target + 0.5)::BIGINT AS demand, start,
+         greatest(least(floor(target + 0.5)::BIGINT - start, size), 0) AS first_words,
+         greatest(least(floor(target + 0.5)::BIGINT - source_size - start, size), 0) AS second_words
+  FROM o JOIN t USING (missing, src)
+), q AS (SELECT *, CASE WHEN first_words > 0 THEN start::DOUBLE / demand END AS share FROM u)
+SELECT doc_id, size, source_size, target, (first_words + second_words)::BIGINT AS taken,
+       ((first_words > 0)::INT + (second_words > 0)::INT)::INT AS uses,
+       round(CASE WHEN share <= 0 THEN 0e0
+                  WHEN class = 0 THEN 2e0 * share / (1.5e0 + sqrt(2.25e0 + -2e0 * share))
+                  WHEN class = 1 THEN 2e0 * share / (1e0 + sqrt(1e0 + 0e0 * share))
+                  ELSE 2e0 * share / (0.5e0 + sqrt(0.25e0 + 2e0 * share)) END, 9) AS first_position
+FROM q
+"""
+
+
+@query("op2_curriculum_mix", OP2)
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    narrow = docs.select("doc_id", "source", "text")
+    planned = mixing.plan_mix(
+        narrow.select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
+                      n_words(F.col("text")).alias("n_words")),
+        "source", F.col("n_words"), [F.col("doc_id"), F.col("text_md5")],
+    )
+    first = F.round(F.try_element_at("uses", F.lit(1))["position"], 9)
+    out = planned.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("uses").alias("uses"), first.alias("first_position")
+    )
+    by_time = F.coalesce("first_position", 1 + unit(F.xxhash64("doc_id")))
+    return out.repartitionByRange(by_time).sortWithinPartitions("first_position")
+
+
 @query("op4_sharding")
 def op4(spark, sf):
     docs = table(spark, sf, "documents").select(
