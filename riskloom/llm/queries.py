@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, piecewise, quality, sharding
 from .common import n_words, unit
 
 QUERIES: dict = {}
@@ -93,3 +93,13 @@ def op4(spark, sf):
         F.lit("key").alias("law"),
     )
     return sharding.assign_shards(docs, "doc_id", [1.0] * 24, grown=[1.0] * 25)
+
+
+@query("op10_piecewise_fingerprints")
+def op10(spark, sf):
+    found = piecewise.neighbour_fingerprints(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        piecewise.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        piecewise.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
