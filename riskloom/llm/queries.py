@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, piecewise, quality, sharding
+from . import mixing, piecewise, quality, sharding, simhash
 from .common import n_words, unit
 
 QUERIES: dict = {}
@@ -95,6 +95,11 @@ def op4(spark, sf):
     return sharding.assign_shards(docs, "doc_id", [1.0] * 24, grown=[1.0] * 25)
 
 
+@query("op7_simhash_near_duplicates")
+def op7(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents")).drop("component")
+
+
 @query("op10_piecewise_fingerprints")
 def op10(spark, sf):
     found = piecewise.neighbour_fingerprints(table(spark, sf, "documents"))
