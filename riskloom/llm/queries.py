@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, piecewise, quality, sharding, simhash
+from . import chat, mixing, piecewise, quality, sharding, simhash
 from .common import n_words, unit
 
 QUERIES: dict = {}
@@ -100,6 +100,40 @@ def op7(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("component")
 
 
+_ESCAPED = r"""regexp_replace(replace(coalesce({0}, ''), '\', '\\'),
+  '(<)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g')"""
+
+OP9 = f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length({_ESCAPED.format("role")}) + 10 + length({_ESCAPED.format("text")}) + 10)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op9_chat_formatting", OP9)
+def op9(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", quoting), (-1, 1, "assistant", quoting)], rows.schema)
+    messages = chat.linear_threads(rows.unionByName(extra), "conv_id", "turn")
+    done = chat.format_conversations(messages)
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    done = done.withColumns({"turns": turns, "loss": loss})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op10_piecewise_fingerprints")
 def op10(spark, sf):
     found = piecewise.neighbour_fingerprints(table(spark, sf, "documents"))
