@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, piecewise, quality, sharding, simhash
-from .common import n_words, unit
+from . import chat, mixing, piecewise, quality, sharding, simhash, urls
+from .common import LOWER, UPPER, n_words, unit
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,37 @@ def op2(spark, sf):
     return out.repartitionByRange(by_time).sortWithinPartitions("first_position")
 
 
+URL_RULES = [
+    urls.UrlRule("allow", "com"), urls.UrlRule("block", "example.com", "/en/"), urls.UrlRule("allow", "www.example.com", "/en/"),
+    urls.UrlRule("block", "net", "/es/"), urls.UrlRule("block", "net", "/fr/"),
+]
+#: Hosts with one of these words between dots and hyphens make the block list.
+BLOCKED_WORDS = "(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+
+OP3 = f"""
+WITH r(action, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                      ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, row_number() OVER () AS n, translate(raw, '{UPPER}', '{LOWER}') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+m AS (SELECT p.n, arg_max(r.host || r.path, length(r.host || r.path) * 1000 + length(r.host)) AS rule,
+             arg_max(r.action, length(r.host || r.path) * 1000 + length(r.host)) AS action
+      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.n)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN regexp_matches(host, '{BLOCKED_WORDS}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m USING (n)
+"""
+
+
+@query("op3_url_filters", OP3)
+def op3(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    host, _ = urls.host_and_path(F.col("url"))
+    blocked = pages.select(host.alias("host")).distinct().where(F.col("host").rlike(BLOCKED_WORDS))
+    return urls.judge_urls(pages, "url", URL_RULES, blocked).drop("url")
+
+
 @query("op4_sharding")
 def op4(spark, sf):
     docs = table(spark, sf, "documents").select(
