@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, piecewise, quality, sharding, simhash, urls
+from . import chat, lm, mixing, piecewise, quality, sharding, simhash, urls
 from .common import LOWER, UPPER, n_words, unit
 
 QUERIES: dict = {}
@@ -131,6 +131,12 @@ def op7(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("component")
 
 
+@query("op8_lm_scoring")
+def op8(spark, sf):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm.score_documents(table(spark, sf, "documents"), held_out)
+
+
 _ESCAPED = r"""regexp_replace(replace(coalesce({0}, ''), '\', '\\'),
   '(<)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g')"""
 
