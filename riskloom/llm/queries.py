@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, piecewise, quality, sharding, simhash, urls
+from . import chat, lm, mixing, packing, piecewise, quality, sharding, simhash, tokenshards, urls
 from .common import LOWER, UPPER, n_words, unit
 
 QUERIES: dict = {}
@@ -126,6 +126,22 @@ def op4(spark, sf):
     return sharding.assign_shards(docs, "doc_id", [1.0] * 24, grown=[1.0] * 25)
 
 
+@query("op5_training_order")
+def op5(spark, sf):
+    out = tokenshards.new_folder(spark)
+    index, _ = tokenshards.write_training_order(f"{sf}/documents.parquet", out, spark)
+    stored = tokenshards.read_training_order(spark, out)
+    stored = stored.select("slot", F.crc32("tokens").cast("long").alias("tokens_crc32"))
+    return index.join(stored, "slot", "left").select(
+        "slot", "shard", F.col("id").alias("doc_id"), "seq", "n_tokens", "tokens_crc32"
+    )
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
 @query("op7_simhash_near_duplicates")
 def op7(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).drop("component")
