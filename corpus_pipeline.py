@@ -1,24 +1,45 @@
 """Corpus pipeline: the stages from raw documents to packed training bins.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its
-result is written as Parquet and read again as the next one's documents.
+result is written as Parquet and read again as the next one's documents.  All but the last
+return the columns of documents, so any of them can be left out or put elsewhere.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from riskloom.llm import quality
+from riskloom.llm import mixing, packing, quality, simhash
 from riskloom.session import shared_folder
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the base rule and the learned list keep."""
+    """Documents that the base rule and the list learned from the labels keep."""
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, rules)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group whose fingerprints are linked."""
+    return simhash.keep_one(docs)
+
+
+def mixing_sources(spark, docs, sf_dir):
+    """Documents in training order, as often as their source's budget of words takes them."""
+    return mixing.mix_documents(docs)
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """Pieces of documents with their places in bins: ``piece_text`` is what a bin holds at ``bin_offset``."""
+    return packing.pack_documents(docs, keep=("doc_id", "lang", "source"), with_text=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixing_sources),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: The learned list and the fingerprints are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
