@@ -29,14 +29,18 @@ def digits_of(column: str) -> int:
 def total(value: Column | str, digits: int | None = None) -> Column:
     """Exact sum, as a double, of values taken to ``digits`` decimals.
 
-    NULL and NaN do not take part.  A value too large for the fixed point raises an
-    overflow error rather than being dropped.
+    NULL and NaN do not take part.  Values too large for the fixed point, infinity among
+    them, are summed as doubles beside it.
     """
     d = digits or (digits_of(value) if isinstance(value, str) else MONEY_DIGITS)
-    units = F.rint(_known(value) * 10.0**d).cast("long").cast("decimal(19,0)")
+    known = _known(value)
+    fits = F.abs(known) < 9.0e18 / 10.0**d
+    units = F.rint(F.when(fits, known) * 10.0**d).cast("long").cast("decimal(19,0)")
     unit = F.lit(f"{10**-d:.{d}f}").cast(f"decimal({d},{d})")
     # 37 digits in all, so that the product keeps its full scale.
-    return (F.sum(units).cast(f"decimal({37 - d},0)") * unit).cast("double")
+    exact = (F.sum(units).cast(f"decimal({37 - d},0)") * unit).cast("double")
+    large = F.sum(F.when(~fits, known))
+    return F.when(large.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + large)
 
 
 def mean(value: Column | str, digits: int | None = None) -> Column:

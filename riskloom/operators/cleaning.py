@@ -37,9 +37,15 @@ def collapse_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: collapse_whitespace(c) for c in columns if c in df.columns})
 
 
+def integer_or_null(text: Column) -> Column:
+    """Text as an integer; decimals are cut off (``3.0`` and ``3.7`` give 3), anything else gives NULL."""
+    whole = F.regexp_extract(text, r"^\s*([+-]?\d+)\.\d*\s*$", 1)
+    return F.coalesce(text.try_cast("int"), whole.try_cast("int"))
+
+
 def cast_columns(df: DataFrame, integers: Sequence[str] = (), doubles: Sequence[str] = ()) -> DataFrame:
     """Null-on-failure casts."""
-    casts = {c: F.col(c).try_cast("int") for c in integers}
+    casts = {c: integer_or_null(F.col(c).cast("string")) for c in integers}
     return df.withColumns(casts | {c: F.col(c).try_cast("double") for c in doubles})
 
 
@@ -55,7 +61,7 @@ def _clean_text(df: DataFrame, spec: SilverSpec) -> dict[str, Column]:
 
 
 def _typed(clean: Mapping[str, Column], spec: SilverSpec) -> dict[str, Column]:
-    typed = {c: clean[c].try_cast("int") for c in spec.integers}
+    typed = {c: integer_or_null(clean[c]) for c in spec.integers}
     typed |= {c: clean[c].try_cast("double") for c in spec.doubles}
     return typed | {c: F.try_to_timestamp(clean[c], F.lit(spec.pattern)) for c in spec.timestamps}
 
@@ -74,11 +80,13 @@ def clean_silver(df: DataFrame, spec: SilverSpec | None = None) -> DataFrame:
     )
 
 
-def quality_report(bronze: DataFrame, spec: SilverSpec | None = None, expected_rows: int | None = None) -> DataFrame:
+def quality_report(
+    bronze: DataFrame, silver: DataFrame, spec: SilverSpec | None = None, expected_rows: int | None = None
+) -> DataFrame:
     """Row, gap, cast-failure and column metrics in one pass over bronze.
 
-    Cleaning is row-local, so every metric is an aggregate over the bronze row and
-    the silver table need not be read again.
+    Gaps and failures are aggregates over the bronze row, as cleaning is row-local.  The
+    rows and columns that were written are counted in the stored ``silver`` table.
     """
     spec = spec or SilverSpec()
     clean = _clean_text(bronze, spec)
@@ -86,12 +94,12 @@ def quality_report(bronze: DataFrame, spec: SilverSpec | None = None, expected_r
     final = clean | typed
     kinds = [("integer_cast", spec.integers, "cast to integer"), ("decimal_cast", spec.doubles, "cast to double"),
              ("timestamp_parse", spec.timestamps, "parsed as timestamps")]
-    out_columns = [*bronze.columns, N.SILVER_TS]
+    written = silver.count()
 
     metrics: list[tuple[str, Column, str]] = [
         ("bronze_row_count", F.count(F.lit(1)), "Rows read from bronze."),
-        ("silver_row_count", F.count(F.lit(1)), "Rows written to silver."),
-        ("dropped_row_count", F.lit(0), "Rows dropped by cleaning."),
+        ("silver_row_count", F.lit(written), "Rows written to silver."),
+        ("dropped_row_count", F.count(F.lit(1)) - written, "Rows dropped by cleaning."),
     ]
     if expected_rows is not None:
         metrics.append(("expected_bronze_rows", F.lit(expected_rows), "Row count expected from the source."))
@@ -101,7 +109,7 @@ def quality_report(bronze: DataFrame, spec: SilverSpec | None = None, expected_r
         for c in columns:
             failed = clean[c].isNotNull() & typed[c].isNull()
             metrics.append((f"invalid_{kind}_{c}", F.count_if(failed), f"Non-NULL source values that could not be {what}."))
-    metrics.append(("silver_column_count", F.lit(len(out_columns)), ",".join(out_columns)))
+    metrics.append(("silver_column_count", F.lit(len(silver.columns)), ",".join(silver.columns)))
 
     one_row = bronze.agg(*[e.cast("string").alias(f"m{i}") for i, (_, e, _) in enumerate(metrics)])
     rows = F.array(

@@ -53,8 +53,14 @@ def order_time_rules() -> dict[str, Column]:
 
 
 def shipping_product_rules() -> dict[str, Column]:
-    non_negative = """scheduled_shipping_days product_list_price item_unit_price item_discount_amount
-        item_gross_sales_estimate item_net_sales_amount""".split()
+    non_negative = [
+        "scheduled_shipping_days",
+        "product_list_price",
+        "item_unit_price",
+        "item_discount_amount",
+        "item_gross_sales_estimate",
+        "item_net_sales_amount",
+    ]
     return {
         **{f"non_negative_{c}": F.col(c) < 0 for c in non_negative},
         **domain_rules({"shipping_speed_tier": N.SPEED_TIERS}),
@@ -84,9 +90,17 @@ def segment_summary_rules() -> dict[str, Column]:
 
 def kpi_detail_rules() -> dict[str, Column]:
     """Rules of the order KPI detail, with its two additive invariants."""
-    flags = """valid_delivery_metric_flag actual_on_time_delivery_flag actual_late_delivery_flag
-        ao1_high_risk_flag true_positive_flag false_positive_flag false_negative_flag
-        true_negative_flag intervention_required_flag""".split()
+    flags = [
+        "valid_delivery_metric_flag",
+        "actual_on_time_delivery_flag",
+        "actual_late_delivery_flag",
+        "ao1_high_risk_flag",
+        "true_positive_flag",
+        "false_positive_flag",
+        "false_negative_flag",
+        "true_negative_flag",
+        "intervention_required_flag",
+    ]
     required = [N.ORDER, N.ITEM, "order_month_key", "shipping_mode_normalized", "risk_band",
                 "ao3_action_queue_label", N.RISK, N.HIGH_RISK, N.EXPECTED_PROFIT, N.MARGIN, N.ORDER_VALUE, N.SEGMENT]
     c = F.col

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import names as N
 from ..functions.aggregates import mean, ratio, ratio_or_zero
 from ..functions.bands import calibration_bin, calibration_label
-from ..session import broadcast_if_small, materialize
-from .ordering import exact_quantiles, quantile_columns, running_totals
+from ..session import materialize
+from .ordering import join_null_safe, exact_quantiles, quantile_columns, running_totals
 
 MODEL, PROBABILITY, PREDICTION = "model_name", "predicted_probability", "predicted_profit"
 CONFUSION = ("true_negative", "false_positive", "false_negative", "true_positive")
@@ -71,13 +71,13 @@ def score_counts(predictions: DataFrame, target: str = N.LATE) -> DataFrame:
 
 
 def _class_totals(scores: DataFrame) -> DataFrame:
-    return broadcast_if_small(scores.groupBy(MODEL).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+    return scores.groupBy(MODEL).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
 
 
 def _curve(predictions: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     scores = materialize(score_counts(predictions, target), "scores")
     totals = _class_totals(scores)
-    return scores.join(totals, MODEL), totals
+    return join_null_safe(scores, totals, [MODEL]), totals
 
 
 def roc_curve(predictions: DataFrame, target: str = N.LATE) -> DataFrame:
@@ -126,11 +126,10 @@ def log_loss(predictions: DataFrame, target: str = N.LATE, epsilon: float = 1e-1
 
 def classification_metrics(predictions: DataFrame, threshold: float = 0.5, target: str = N.LATE) -> DataFrame:
     """One comparison row per model: threshold metrics, ranking metrics and log loss."""
-    return (
-        threshold_grid(predictions, [threshold], target)
-        .join(ranking_metrics(predictions, target), MODEL)
-        .join(log_loss(predictions, target), MODEL)
-    )
+    # Read three times: stored, as the inputs may be joins of large tables.
+    rows = materialize(predictions.select(MODEL, target, PROBABILITY), "predictions")
+    at = threshold_grid(rows, [threshold], target)
+    return join_null_safe(join_null_safe(at, ranking_metrics(rows, target), [MODEL]), log_loss(rows, target), [MODEL])
 
 
 def calibration(predictions: DataFrame, target: str = N.LATE) -> DataFrame:
@@ -178,7 +177,7 @@ def regression_metrics(predictions: DataFrame, target: str = N.PROFIT) -> DataFr
         _wrong_sign(target).alias("wrong_profit_sign_share"),
     )
     median = quantile_columns(rows, [MODEL], "absolute_error", {"median_absolute_error": 0.5})
-    return out.join(median, MODEL)
+    return join_null_safe(out, median, [MODEL])
 
 
 RESIDUAL_PROBS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
@@ -205,7 +204,7 @@ def residual_diagnostics(predictions: DataFrame, target: str = N.PROFIT) -> Data
 
     quantiles = q.groupBy(MODEL).agg(
         *[pick(m, p).alias(f"{m}_{n}") for m in ("residual", "absolute_error") for n, p in RESIDUAL_PROBS.items()])
-    return moments.join(quantiles, MODEL).withColumn("residual_median", F.col("residual_p50"))
+    return join_null_safe(moments, quantiles, [MODEL]).withColumn("residual_median", F.col("residual_p50"))
 
 
 # FIXED VALUES: slice labels.
@@ -224,7 +223,7 @@ def profit_cutoffs(df: DataFrame, target: str = N.PROFIT) -> dict[str, float]:
     parts = F.when(t >= 0, F.array(F.lit("all"), F.lit("gain"))).otherwise(F.array(F.lit("all")))
     q = exact_quantiles(df.select(F.explode(parts).alias("part"), t.alias("t")), ["part"], "t",
                         [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])
-    found = {(r["part"], r["probability"]): r["quantile"] for r in q.limit(20).collect()}
+    found = {(r["part"], r["probability"]): r["quantile"] for r in q.collect()}
     wanted = {"q05": ("all", 0.05), "q95": ("all", 0.95), "gain50": ("gain", 0.5), "gain75": ("gain", 0.75),
               "e0": ("all", 0.0), "e1": ("all", 0.25), "e2": ("all", 0.5), "e3": ("all", 0.75), "e4": ("all", 1.0)}
     return {n: found.get(k, 0.0) for n, k in wanted.items()}
@@ -269,7 +268,7 @@ def error_band_column() -> Column:
 
 def with_error_band(rows: DataFrame) -> DataFrame:
     limits = quantile_columns(rows, [MODEL], "absolute_error", {"ae50": 0.5, "ae75": 0.75, "ae90": 0.9})
-    return rows.join(broadcast_if_small(limits), MODEL).withColumn("absolute_error_band", error_band_column())
+    return join_null_safe(rows, materialize(limits, "limits"), [MODEL]).withColumn("absolute_error_band", error_band_column())
 
 
 def error_slices(predictions: DataFrame, min_rows: int = 100, target: str = N.PROFIT) -> DataFrame:
@@ -283,10 +282,11 @@ def error_slices(predictions: DataFrame, min_rows: int = 100, target: str = N.PR
         "actual_profit_quantile": quartile_label(cuts, target),
         "absolute_error_band": F.col("absolute_error_band"),
     }
-    long = rows.select(
-        MODEL, target, PREDICTION, "residual", "absolute_error",
-        F.inline(F.array(*[F.struct(F.lit(k).alias("slice_type"), e.alias("slice_value")) for k, e in kinds.items()])),
-    )
+    triple = F.array(*[F.struct(F.lit(k).alias("slice_type"), e.alias("slice_value")) for k, e in kinds.items()])
+    long = rows.select(MODEL, target, PREDICTION, "residual", "absolute_error", F.inline(triple))
+    # For the medians equal errors of a band triple are counted before anything is tripled or sorted.
+    counted = rows.groupBy(MODEL, triple.alias("slices"), "absolute_error").agg(F.count(F.lit(1)).alias("repeats"))
+    counted = counted.select(MODEL, "absolute_error", "repeats", F.inline("slices"))
     keys = ["slice_type", "slice_value", MODEL]
     r = F.col("residual")
     n = F.count(F.lit(1))
@@ -295,7 +295,8 @@ def error_slices(predictions: DataFrame, min_rows: int = 100, target: str = N.PR
         F.avg(r).alias("mean_error"), _wrong_sign(target).alias("wrong_profit_sign_share"),
         (n < min_rows).alias("is_unstable_small_slice"),
     )
-    return out.join(quantile_columns(long, keys, "absolute_error", {"median_absolute_error": 0.5}), keys)
+    medians = quantile_columns(counted, keys, "absolute_error", {"median_absolute_error": 0.5}, "repeats")
+    return join_null_safe(out, medians, keys)
 
 
 def compare_models(metrics: DataFrame, baseline: str, primary: str) -> DataFrame:

@@ -124,7 +124,7 @@ def margin_tier(margin: Column | str, median: Column | float, upper: Column | fl
     return F.when(m < 0, loss).when(m < median, low).when(m < upper, core).otherwise(strategic)
 
 
-def tier_cutoffs(df: DataFrame, accuracy: int = 10_000) -> dict[str, float]:
+def tier_cutoffs(df: DataFrame, accuracy: int = 1_000_000) -> dict[str, float]:
     """The six quantile cutoffs, from one mergeable-sketch aggregation.
 
     Cutoffs are discrete quantiles within ``1 / accuracy`` of the exact rank; an
@@ -145,7 +145,7 @@ def tier_cutoffs(df: DataFrame, accuracy: int = 10_000) -> dict[str, float]:
     }
 
 
-def enrich_geography(df: DataFrame, cutoffs: dict[str, float] | None = None, accuracy: int = 10_000) -> DataFrame:
+def enrich_geography(df: DataFrame, cutoffs: dict[str, float] | None = None, accuracy: int = 1_000_000) -> DataFrame:
     """Labels, tiers, quality status, archetype and focus for each summary row.
 
     Pass a stored summary, or ``cutoffs`` computed from one: the quantiles and the

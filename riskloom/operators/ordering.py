@@ -19,9 +19,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import materialize
 
 _SLICE, _OFFSET = "_slice", "_offset"
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of grouped results in which NULL is a group like any other."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 _OFFSET_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
 
@@ -76,8 +85,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*keys).orderBy(_OFFSET).rowsBetween(Window.unboundedPreceding, 0)
     summed = laid.select("*", *[F.sum(v).over(inside).alias(f"_i_{v}") for v in values])
-    # Same keys as the window above, so the large side keeps its partitioning.
-    joined = summed.join(starts, keys)
+    joined = join_null_safe(summed, starts, keys)
     return joined.select(
         *df.columns, *[(F.col(f"_i_{v}") + F.col(f"_b_{v}")).alias(f"{v}_upto") for v in values]
     )
@@ -120,7 +128,7 @@ def exact_quantiles(
         *[F.col(g).alias(f"w{g}") for g in gs], F.col(_SLICE).alias("w_slice"),
         "_from", "_p", "_h", "_k",
     ).distinct()
-    wanted = broadcast_if_small(wanted)
+    wanted = materialize(wanted, "wanted")  # its real size decides how it is joined
 
     keys = [F.col(_SLICE) == F.col("w_slice")] + [F.col(g).eqNullSafe(F.col(f"w{g}")) for g in gs]
     inside = Window.partitionBy(*gs, _SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)

@@ -183,11 +183,11 @@ def bivariate_rate(
 ) -> DataFrame:
     """Rate per level of each categorical column, against the overall rate.
 
-    Columns with more than ``max_levels`` levels are not ranked level by level and
-    yield no rows here (``bivariate_rate_summary`` reports them as skipped).
+    All levels of all columns have a row; ``high_cardinality`` marks columns with more
+    than ``max_levels`` of them, which are better studied in groups.
     """
     counted, _ = _rates(df, columns, target)
-    return counted.where(F.col("level_count") <= max_levels).drop("level_count")
+    return counted.withColumn("high_cardinality", F.col("level_count") > max_levels)
 
 
 def _rates(df: DataFrame, columns: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +211,7 @@ def bivariate_rate_summary(
 ) -> DataFrame:
     """Strongest, highest and lowest supported level of each column."""
     counted, _ = _rates(df, columns, target)
-    ok = F.col("supported") & (F.col("level_count") <= max_levels)
+    ok = F.col("supported")
     level, rate, diff = F.col("level"), F.col("late_delivery_rate"), F.col("late_delivery_rate_difference")
 
     def best(key: Column) -> Column:
@@ -219,7 +219,7 @@ def bivariate_rate_summary(
 
     return counted.groupBy(VARIABLE).agg(
         F.max("level_count").alias("level_count"),
-        (F.max("level_count") > max_levels).alias("skipped_high_cardinality"),
+        (F.max("level_count") > max_levels).alias("high_cardinality"),
         F.count_if(ok).alias("supported_levels"), F.count_if(~F.col("supported")).alias("unsupported_levels"),
         best(F.abs(diff)).alias("strongest_level"), best(rate).alias("highest_level"), best(-rate).alias("lowest_level"),
         F.max_by(diff, F.when(ok, F.struct(F.abs(diff).alias("k"), F.col("row_count").alias("n"), level.alias("l")))
@@ -228,7 +228,7 @@ def bivariate_rate_summary(
 
 
 def bivariate_rate_numeric(df: DataFrame, columns: Sequence[str], target: str = N.LATE, bins: int = 5) -> DataFrame:
-    """Rate per quantile bin of each numeric column, supported bins only."""
+    """Rate per quantile bin of each numeric column, with whether it has enough rows."""
     valid = materialize(df.where(F.col(target).isin(0, 1)).select(target, *columns), "studied")
     rows = valid.agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col(target).cast("long")).alias("_late"))
     binned = quantile_bins(_long(valid, columns, "value", "double", keep=[target]), [VARIABLE], "value", bins)
@@ -237,8 +237,8 @@ def bivariate_rate_numeric(df: DataFrame, columns: Sequence[str], target: str =
     overall = rows.select(F.col("_late") / F.col("_rows")).scalar()
     support = rows.select(min_support(F.col("_rows"))).scalar()
     rate = F.col("late_count") / F.col("row_count")
-    return counted.where(F.col("row_count") >= support).select(
-        VARIABLE, "bin_number", "bin_lower", "bin_upper", "row_count",
+    return counted.select(
+        VARIABLE, "bin_number", "bin_lower", "bin_upper", "row_count", (F.col("row_count") >= support).alias("supported"),
         rate.alias("late_delivery_rate"), (rate - overall).alias("late_delivery_rate_difference"))
 
 
@@ -284,8 +284,8 @@ def bivariate_mean(
     long = _long(long, columns, "v", "string", keep=["y"]).select(
         VARIABLE, F.coalesce(F.trim("v"), F.lit("(missing)")).alias("level"), "y")
     sizes = long.select(VARIABLE, "level").distinct().groupBy(VARIABLE).agg(F.count(F.lit(1)).alias("_levels"))
-    narrow = sizes.where(F.col("_levels") <= max_levels).select(VARIABLE)
-    return _profit_groups(long.join(F.broadcast(narrow), VARIABLE), [VARIABLE, "level"], df, target)
+    out = _profit_groups(long, [VARIABLE, "level"], df, target).join(sizes, VARIABLE)
+    return out.withColumnRenamed("_levels", "level_count").withColumn("high_cardinality", F.col("level_count") > max_levels)
 
 
 def bivariate_mean_numeric(df: DataFrame, columns: Sequence[str], target: str = N.PROFIT, bins: int = 5) -> DataFrame:
@@ -295,18 +295,18 @@ def bivariate_mean_numeric(df: DataFrame, columns: Sequence[str], target: str =
     binned = materialize(
         quantile_bins(_long(known, columns, "value", "double", keep=["y"]), [VARIABLE], "value", bins), "binned")
     out = _profit_groups(binned, [VARIABLE, "bin_number", "bin_lower", "bin_upper"], df, target)
-    return with_monotonic_pattern(out.where("sample_size_flag = 'support_ok'"))
+    return with_monotonic_pattern(out)
 
 
 def with_monotonic_pattern(bins: DataFrame) -> DataFrame:
-    """Whether mean profit rises or falls over the (few) ordered bins of each column."""
-    along = Window.partitionBy(VARIABLE).orderBy("bin_number")
+    """Whether mean profit rises or falls over the (few) ordered and supported bins of each column."""
+    along = Window.partitionBy(VARIABLE).orderBy("bin_number").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(VARIABLE)
-    step = F.col("mean_profit") - F.lag("mean_profit").over(along)
-    stepped = bins.withColumn("_step", step)
+    mean = F.when(F.col("sample_size_flag") == "support_ok", F.col("mean_profit"))
+    stepped = bins.withColumn("_step", mean - F.last(mean, ignorenulls=True).over(along))
     up, down = F.min("_step").over(everything), F.max("_step").over(everything)
     label = (
-        F.when(F.count(F.lit(1)).over(everything) < 3, "too few bins for monotonicity comment")
+        F.when(F.count(mean).over(everything) < 3, "too few bins for monotonicity comment")
         .when((up >= 0) & (down > 0), "mean profit increases across supported bins")
         .when((down <= 0) & (up < 0), "mean profit decreases across supported bins")
         .otherwise("nonlinear or uneven bin pattern")

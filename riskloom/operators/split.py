@@ -31,7 +31,7 @@ def slice_partition(df: DataFrame, label: str) -> DataFrame:
 
 def partition_usage(df: DataFrame) -> dict[str, object]:
     """Which partition may be fitted on, from the labels present.  The test rows never are."""
-    labels = {r[0] for r in df.select(N.SPLIT).distinct().limit(10).collect()}
+    labels = {r[0] for r in df.select(N.SPLIT).distinct().collect()}
     if labels == {N.TRAIN, N.VALIDATION, N.TEST}:
         return {"structure": "train_validation_test", "fit_on": N.TRAIN,
                 "transform": [N.TRAIN, N.VALIDATION, N.TEST], "validation_available": True}

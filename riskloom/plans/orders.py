@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..session import SPREAD_CONF
 from ..operators.decisions import assign_segments, predicted_margin
 
 # Tables that grow with the data; the others are read as they are.
@@ -31,15 +32,12 @@ COUNTRY_NAMES = [
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One source table.
 
-    A fact table in fewer file splits than there are cores is spread by its leading
-    columns, so that a small single-file copy still uses all of them.  With more splits
-    than cores, as on a cluster, nothing is shuffled.
+    A local session may ask for its fact tables, each a single file that one task would
+    read, to be spread over its cores by their leading columns.  A cluster does not.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _FACTS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *df.columns[:4])
-    return df
+    spread = int(spark.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(spread, *df.columns[:4]) if spread and name in _FACTS else df
 
 
 def _units(column: str, scale: int) -> Column:

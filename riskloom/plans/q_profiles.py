@@ -78,12 +78,12 @@ t AS (SELECT count(*) AS n, CAST(sum(Late_delivery_risk) AS BIGINT) AS late_all,
 r AS (SELECT variable_name, level, row_count, late / row_count AS late_delivery_rate, late / row_count - late_all / n AS late_delivery_rate_difference, row_count >= support AS supported FROM g CROSS JOIN t)"""
 
 
-@query("n3_bivariate_rate", _RATES + " SELECT * FROM r")
+@query("n3_bivariate_rate", _RATES + " SELECT *, count(*) OVER w AS level_count, count(*) OVER w > 75 AS high_cardinality FROM r WINDOW w AS (PARTITION BY variable_name)")
 def n3(spark, sf):
     return P.bivariate_rate(silver(spark, sf), list(_CATS))
 
 
-@query("n3_bivariate_rate_summary", _RATES + """ SELECT variable_name, count(*) AS level_count, FALSE AS skipped_high_cardinality, count(*) FILTER (supported) AS supported_levels,
+@query("n3_bivariate_rate_summary", _RATES + """ SELECT variable_name, count(*) AS level_count, count(*) > 75 AS high_cardinality, count(*) FILTER (supported) AS supported_levels,
   count(*) FILTER (NOT supported) AS unsupported_levels, max_by(level, late_delivery_rate) FILTER (supported) AS highest_level, min_by(level, late_delivery_rate) FILTER (supported) AS lowest_level,
   max_by(level, abs(late_delivery_rate_difference)) FILTER (supported) AS strongest_level,
   max_by(late_delivery_rate_difference, abs(late_delivery_rate_difference)) FILTER (supported) AS strongest_difference FROM r GROUP BY 1""")
@@ -109,7 +109,7 @@ bb AS (SELECT *, edges[bin_number] AS bin_lower, edges[bin_number + 1] AS bin_up
 @query("n4_i7_bivariate_rate_numeric", f"""WITH {O.BASE}, {_binned("Late_delivery_risk AS y")},
 t AS (SELECT count(*) AS n, CAST(sum(Late_delivery_risk) AS BIGINT) AS late_all, greatest(100, ceil(count(*) * 0.005)) AS support FROM oi)
 SELECT variable_name, bin_number, round(bin_lower, 7) AS bin_lower, round(bin_upper, 7) AS bin_upper, count(*) AS row_count, CAST(sum(y) AS BIGINT) / count(*) AS late_delivery_rate,
-  CAST(sum(y) AS BIGINT) / count(*) - max(late_all) / max(n) AS late_delivery_rate_difference FROM bb CROSS JOIN t GROUP BY 1, 2, 3, 4 HAVING count(*) >= max(support)""")
+  CAST(sum(y) AS BIGINT) / count(*) - max(late_all) / max(n) AS late_delivery_rate_difference, count(*) >= max(support) AS supported FROM bb CROSS JOIN t GROUP BY 1, 2, 3, 4""")
 def n4(spark, sf):
     return rounded(P.bivariate_rate_numeric(silver(spark, sf), list(_NUMS)), ["bin_lower", "bin_upper"], 7)
 
@@ -127,17 +127,19 @@ _DCOLS = ["mean_profit", "median_profit", "profit_difference_from_overall_mean",
 
 
 @query("n5_bivariate_mean", f"""WITH {O.BASE}, l AS ({_levels(_CATS, "CAST(Order_Profit_Per_Order AS DOUBLE) AS y")}), {_OVER}
-SELECT variable_name, level, count(*) AS row_count, {_DIFFS}, CASE WHEN count(*) >= greatest(100, ceil(max(n) * 0.005)) THEN 'support_ok' ELSE 'below_min_support' END AS sample_size_flag
+SELECT variable_name, level, count(*) AS row_count, {_DIFFS}, CASE WHEN count(*) >= greatest(100, ceil(max(n) * 0.005)) THEN 'support_ok' ELSE 'below_min_support' END AS sample_size_flag,
+  count(*) OVER (PARTITION BY variable_name) AS level_count, count(*) OVER (PARTITION BY variable_name) > 75 AS high_cardinality
 FROM l CROSS JOIN o GROUP BY 1, 2""")
 def n5(spark, sf):
     return rounded(P.bivariate_mean(silver(spark, sf), list(_CATS)), _DCOLS, 7)
 
 
 @query("n6_bivariate_mean_numeric", f"""WITH {O.BASE}, {_binned("CAST(Order_Profit_Per_Order AS DOUBLE) AS y")}, {_OVER},
-g AS (SELECT variable_name, bin_number, round(bin_lower, 7) AS bin_lower, round(bin_upper, 7) AS bin_upper, count(*) AS row_count, avg(y) AS raw_mean, {_DIFFS}, 'support_ok' AS sample_size_flag
-  FROM bb CROSS JOIN o GROUP BY 1, 2, 3, 4 HAVING count(*) >= greatest(100, ceil(max(n) * 0.005))),
-s AS (SELECT *, raw_mean - lag(raw_mean) OVER (PARTITION BY variable_name ORDER BY bin_number) AS d FROM g)
-SELECT * EXCLUDE (raw_mean, d), CASE WHEN count(*) OVER w < 3 THEN 'too few bins for monotonicity comment' WHEN min(d) OVER w >= 0 AND max(d) OVER w > 0 THEN 'mean profit increases across supported bins'
+g AS (SELECT variable_name, bin_number, round(bin_lower, 7) AS bin_lower, round(bin_upper, 7) AS bin_upper, count(*) AS row_count, avg(y) AS raw_mean, {_DIFFS}, CASE WHEN count(*) >= greatest(100, ceil(max(n) * 0.005)) THEN 'support_ok' ELSE 'below_min_support' END AS sample_size_flag
+  FROM bb CROSS JOIN o GROUP BY 1, 2, 3, 4),
+k AS (SELECT variable_name, bin_number, raw_mean - lag(raw_mean) OVER (PARTITION BY variable_name ORDER BY bin_number) AS d, 1 AS ok FROM g WHERE sample_size_flag = 'support_ok'),
+s AS (SELECT * FROM g LEFT JOIN k USING (variable_name, bin_number))
+SELECT * EXCLUDE (raw_mean, d, ok), CASE WHEN count(ok) OVER w < 3 THEN 'too few bins for monotonicity comment' WHEN min(d) OVER w >= 0 AND max(d) OVER w > 0 THEN 'mean profit increases across supported bins'
   WHEN max(d) OVER w <= 0 AND min(d) OVER w < 0 THEN 'mean profit decreases across supported bins' ELSE 'nonlinear or uneven bin pattern' END AS monotonic_pattern
 FROM s WINDOW w AS (PARTITION BY variable_name)""")
 def n6(spark, sf):

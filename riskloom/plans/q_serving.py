@@ -94,7 +94,7 @@ FROM a"""))
 def k9(spark, sf):
     # The quantiles and the result both read the summary, so it is stored first.
     summary = materialize(geography.geographic_segment_summary(_placed(spark, sf)), "geo-segments")
-    out = geography.enrich_geography(summary, accuracy=1_000_000)
+    out = geography.enrich_geography(summary)
     new = [c for c in out.columns if c not in summary.columns]
     return out.select("map_location_label", "order_date_key", N.SEGMENT, F.col(N.HIGH_RISK).cast("string").alias(N.HIGH_RISK),
                       "ao2_expected_profit_band", "map_latitude", *new)

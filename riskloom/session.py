@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Tasks that single-file test tables are spread over; only local sessions set it.
+SPREAD_CONF = "spark.riskloom.spread"
 
 
 def local_session(cores: int | str = 8, app: str = "riskloom", **extra: str) -> SparkSession:
@@ -21,6 +23,7 @@ def local_session(cores: int | str = 8, app: str = "riskloom", **extra: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config(SPREAD_CONF, str(cores if str(cores).isdigit() else 8))
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
@@ -36,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise ValueError(f"set {CHECKPOINT_CONF} to storage shared by all executors")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, folder)
@@ -54,15 +57,3 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side really is small.
-
-    Meant for derived summary tables that read back from a materialized stage,
-    where the planner's static estimate is far too high.  Bigger sides fall
-    through to an ordinary shuffle join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

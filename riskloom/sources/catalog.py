@@ -8,18 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # FIXED VALUES: catalog columns and controlled vocabularies.
-CATALOG_COLUMNS = """
-source_column silver_column semantic_group availability_timing ao1_policy ao2_policy
-dashboard_policy modeling_use rationale derived_feature_guidance related_document
-""".split()
+CATALOG_COLUMNS = [
+    "source_column",
+    "silver_column",
+    "semantic_group",
+    "availability_timing",
+    "ao1_policy",
+    "ao2_policy",
+    "dashboard_policy",
+    "modeling_use",
+    "rationale",
+    "derived_feature_guidance",
+    "related_document",
+]
 CATALOG_VOCABULARY = {
-    "availability_timing": """order_creation before_dispatch after_shipment after_delivery
-        after_order_review target_or_outcome sensitive_identifier descriptive_only""".split(),
+    "availability_timing": [
+        "order_creation",
+        "before_dispatch",
+        "after_shipment",
+        "after_delivery",
+        "after_order_review",
+        "target_or_outcome",
+        "sensitive_identifier",
+        "descriptive_only",
+    ],
     "ao1_policy": ["allowed", "review", "forbidden", "target"],
     "ao2_policy": ["allowed", "review", "forbidden", "target"],
     "dashboard_policy": ["allowed", "review", "forbidden"],
-    "modeling_use": """direct_candidate derived_only training_only_aggregate join_key_only
-        review dashboard_only exclude""".split(),
+    "modeling_use": [
+        "direct_candidate",
+        "derived_only",
+        "training_only_aggregate",
+        "join_key_only",
+        "review",
+        "dashboard_only",
+        "exclude",
+    ],
 }
 
 

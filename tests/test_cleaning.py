@@ -41,9 +41,15 @@ def test_silver_is_null_on_failure(spark):
     assert got == [(12, 1.5, dt.datetime(2018, 1, 31, 22, 56), "a b"), (None,) * 4, (None,) * 4]
 
 
+def test_integers_from_decimal_text(spark):
+    for raw, want in {"3.0": 3, "12.7": 12, " -4.5 ": -4, "5.": 5, "1e3": None, ".": None, "x.1": None, "99999999999.5": None}.items():
+        assert one(spark, cleaning.integer_or_null(F.col("a")), a=raw) == want
+
+
 def test_quality_report_counts_failures_not_gaps(spark):
     raw = spark.createDataFrame(ROWS, "n STRING, x STRING, t STRING, s STRING")
-    got = {r["metric_name"]: r["metric_value"] for r in cleaning.quality_report(raw, SPEC, expected_rows=3).collect()}
+    got = {r["metric_name"]: r["metric_value"] for r in cleaning.quality_report(raw, cleaning.clean_silver(raw, SPEC).limit(2), SPEC, expected_rows=3).collect()}
+    assert got["silver_row_count"] == "2" and got["dropped_row_count"] == "1"
     assert got["bronze_row_count"] == "3" and got["expected_bronze_rows"] == "3"
     assert got["invalid_integer_cast_n"] == "1" and got["invalid_decimal_cast_x"] == "1"
     assert got["invalid_timestamp_parse_t"] == "1" and got["missing_s"] == "2"

@@ -75,5 +75,21 @@ def test_profile_classes(spark):
 
 def test_high_cardinality_columns_are_reported_as_skipped(spark):
     df = spark.createDataFrame([(str(i), i % 2) for i in range(300)], f"c STRING, {N.LATE} INT")
-    assert P.bivariate_rate(df, ["c"]).count() == 0
-    assert P.bivariate_rate_summary(df, ["c"]).first()["skipped_high_cardinality"]
+    assert P.bivariate_rate(df, ["c"]).where("high_cardinality").count() == df.select("c").distinct().count()
+    assert P.bivariate_rate_summary(df, ["c"]).first()["high_cardinality"]
+
+
+def test_large_and_infinite_values_are_summed(spark):
+    from riskloom.functions.aggregates import mean, total
+
+    df = spark.createDataFrame([(1e7, 1.0), (1e12, float("inf")), (0.25, float("nan")), (None, 2.0)], f"{N.MARGIN} DOUBLE, x DOUBLE")
+    got = df.agg(mean(N.MARGIN), total(N.MARGIN), total("x"), mean("x")).first()
+    assert got[0] == (1e12 + 1e7 + 0.25) / 3 and got[1] == 1e12 + 1e7 + 0.25 and got[2] == got[3] == float("inf")
+
+
+def test_a_null_model_is_a_model(spark):
+    rows = [(m, i % 2, i / 40, float(i % 7), i / 3) for m in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, f"model_name STRING, {N.LATE} INT, predicted_probability DOUBLE, {N.PROFIT} DOUBLE, predicted_profit DOUBLE")
+    for out in (E.ranking_metrics(df), E.classification_metrics(df), E.regression_metrics(df), E.residual_diagnostics(df)):
+        assert {r["model_name"] for r in out.collect()} == {"a", None}
+    assert {r["model_name"] for r in E.error_slices(df).collect()} == {"a", None}
