@@ -239,31 +239,40 @@ def prediction_rows(
 def candidate_results(
     train: DataFrame, validation: DataFrame, target: str, grid: Sequence[Candidate], seed: int = 42
 ) -> tuple[DataFrame, dict]:
-    """Validation metrics of every candidate, the chosen one marked, and the fitted models.
-
-    Classifiers are chosen by ROC AUC, then recall; regressors by RMSE, then MAE;
-    the earlier candidate wins a tie.
-    """
-    late = target == N.LATE
-    fit = fit_gbt_classifier if late else fit_gbt_regressor
+    """Validation metrics of every candidate, the chosen one marked, and the fitted models."""
+    fit = fit_gbt_classifier if target == N.LATE else fit_gbt_regressor
     models = {c.candidate_id: fit(train, c, target, seed) for c in grid}
     scored = None
     for name, model in models.items():
         rows = prediction_rows(model, validation, target, name)
         scored = rows if scored is None else scored.unionByName(rows)
+    return select_candidate(scored, target, [c.candidate_id for c in grid]), models
+
+
+def select_candidate(scored: DataFrame, target: str, candidates: Sequence[str]) -> DataFrame:
+    """Validation metrics of each candidate's predictions, the chosen one marked.
+
+    Classifiers are chosen by ROC AUC, then recall; regressors by RMSE, then MAE; the
+    earlier candidate wins a tie.
+    """
+    late = target == N.LATE
     metrics = (classification_metrics if late else regression_metrics)(scored)
-    order = F.array_position(F.array(*[F.lit(c.candidate_id) for c in grid]), F.col("model_name"))
+    order = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("model_name"))
     merit = [F.desc("roc_auc"), F.desc("recall")] if late else [F.asc("rmse"), F.asc("mae")]
     # One row per candidate.
     place = F.row_number().over(Window.orderBy(*merit, order))
     chosen = metrics.withColumn("selected", place == 1)
-    return chosen.withColumnRenamed("model_name", "candidate_id"), models
+    return chosen.withColumnRenamed("model_name", "candidate_id")
 
 
 def feature_importance(spark, model, names: Sequence[str]) -> DataFrame:
     """Importance, share and rank of every feature slot."""
     rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
-    table = spark.createDataFrame(rows, "feature_name STRING, importance_value DOUBLE")
+    return rank_importance(spark.createDataFrame(rows, "feature_name STRING, importance_value DOUBLE"))
+
+
+def rank_importance(table: DataFrame) -> DataFrame:
+    """Share and rank of given importances; equal ones by name.  One row per feature slot."""
     total = F.sum("importance_value").over(Window.partitionBy(F.lit(1)))
     rank = F.row_number().over(Window.orderBy(F.desc("importance_value"), "feature_name"))
     return table.select("feature_name", "importance_value", ratio_or_zero(F.col("importance_value"), total).alias("importance_share"),
@@ -304,5 +313,6 @@ def fit_and_score(
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] = N.KEYS) -> DataFrame:
-    """A repeatable sample of ``n`` rows: the same keys are drawn whatever the partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """A repeatable sample of ``n`` rows: the same keys are drawn whatever the partitioning or engine."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return df.orderBy(drawn, *keys).limit(n)

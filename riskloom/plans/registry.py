@@ -40,5 +40,5 @@ def doubles(df: DataFrame) -> DataFrame:
 def load() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        q_cleaning, q_decisions, q_evaluation, q_features, q_measures, q_models, q_profiles, q_serving, q_tables,
+        q_cleaning, q_decisions, q_evaluation, q_features, q_measures, q_model_checks, q_models, q_profiles, q_serving, q_tables,
     )
