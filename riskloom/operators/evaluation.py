@@ -317,3 +317,17 @@ def compare_models(metrics: DataFrame, baseline: str, primary: str) -> DataFrame
         F.when(c("primary_r2") > 0.25, "strong").when(c("primary_r2") < 0.05, "limited")
         .otherwise("modest").alias("performance_strength"),
     )
+
+
+def compare_classifiers(metrics: DataFrame, baseline: str, primary: str) -> DataFrame:
+    """ROC AUC and recall of two late-delivery models, and whether the primary one is better in both."""
+    def of(model: str, column: str) -> Column:
+        return F.max(F.when(F.col(MODEL) == model, F.col(column)))
+
+    row = metrics.agg(*[
+        of(m, c).alias(f"{side}_{c}") for side, m in (("baseline", baseline), ("primary", primary)) for c in ("roc_auc", "recall")])
+    c = F.col
+    better = (c("primary_roc_auc") > c("baseline_roc_auc")) & (c("primary_recall") > c("baseline_recall"))
+    return row.select(
+        F.lit(baseline).alias("baseline_model"), F.lit(primary).alias("primary_model"), *row.columns,
+        F.when(better, "validation_supported").otherwise("validation_not_supported").alias("hypothesis_decision"))

@@ -6,7 +6,7 @@ from .. import names as N
 from ..functions import bands, calendar, text
 from ..operators import cleaning, contracts
 from ..session import materialize
-from ..sources.catalog import catalog_problems, vocabulary_violations
+from ..sources.catalog import catalog_problems, dictionary_problems, screening_problems, vocabulary_violations
 from . import oracle as O
 from .orders import COUNTRY_NAMES, segments, silver, table
 from .registry import query
@@ -269,6 +269,53 @@ def d7(spark, sf):
         {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM"]})
 
 
+_DICT_SQL = """doc AS (SELECT p_name AS column_name, CASE WHEN p_size > 45 THEN 'int' ELSE 'string' END AS data_type, CASE WHEN p_size > 5 THEN 'bronze' ELSE 'silver' END AS source_layer,
+  p_type AS source_name, CASE WHEN p_size % 7 > 0 THEN 'use' ELSE ' ' END AS guidance, CASE WHEN p_size % 5 = 0 THEN 'needs_review' WHEN p_size % 3 = 0 THEN 'done' ELSE '' END AS review_status, p_partkey FROM part),
+have AS (SELECT p_name || CASE WHEN p_partkey % 50 = 0 THEN '!' ELSE '' END AS column_name FROM part)"""
+
+
+@query("d7_dictionary_problems", f"""WITH {_DICT_SQL}
+SELECT 'undocumented_column' AS problem, column_name AS subject FROM have WHERE column_name NOT IN (SELECT column_name FROM doc)
+UNION ALL SELECT 'unexpected_column', column_name FROM doc WHERE column_name NOT IN (SELECT column_name FROM have)
+UNION ALL SELECT 'type_mismatch', column_name FROM doc JOIN have USING (column_name) WHERE data_type <> 'string'
+UNION ALL SELECT 'no_guidance', column_name FROM doc WHERE trim(guidance) = '' AND review_status = ''
+UNION ALL SELECT 'not_screened', column_name FROM doc WHERE source_layer = 'bronze' AND review_status <> 'needs_review' AND source_name NOT IN (SELECT p_type FROM part WHERE p_size < 3)""")
+def d7_dictionary(spark, sf):
+    """A dictionary made of parts: wrong types, missing notes, unscreened fields and renamed columns are planted."""
+    size, part = F.col("p_size"), table(spark, sf, "part")
+    doc = part.select(
+        F.col("p_name").alias("column_name"), F.when(size > 45, "int").otherwise("string").alias("data_type"),
+        F.when(size > 5, "bronze").otherwise("silver").alias("source_layer"), F.col("p_type").alias("source_name"),
+        F.when(size % 7 > 0, "use").otherwise(" ").alias("guidance"),
+        F.when(size % 5 == 0, "needs_review").when(size % 3 == 0, "done").otherwise("").alias("review_status"))
+    have = part.select(F.concat("p_name", F.when(F.col("p_partkey") % 50 == 0, "!").otherwise("")).alias("column_name"), F.lit("string").alias("data_type"))
+    return dictionary_problems(doc, have, part.where(size < 3).select(F.col("p_type").alias("variable_name")))
+
+
+@query("d7_screening_problems", """WITH s AS (SELECT p_name AS variable_name, CASE WHEN p_partkey % 4 = 0 THEN 'engineered' ELSE 'raw' END AS origin, p_partkey,
+  CASE WHEN p_size % 3 = 0 THEN 'target' ELSE 'forbidden' END AS policy, CASE WHEN p_size % 2 = 0 THEN 'target_only' ELSE 'dashboard_only' END AS modeling FROM part),
+raw AS (SELECT * FROM s WHERE origin = 'raw'), t AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey <= 20), x AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey BETWEEN 21 AND 60)
+SELECT 'raw_field_not_screened' AS problem, p_name AS subject FROM part WHERE p_name NOT IN (SELECT variable_name FROM raw)
+UNION ALL SELECT 'feature_not_screened', p_name FROM part WHERE p_name NOT IN (SELECT variable_name FROM s WHERE origin = 'engineered')
+UNION ALL SELECT 'target_missing', name FROM t WHERE name NOT IN (SELECT variable_name FROM raw)
+UNION ALL SELECT 'target_not_marked', name FROM t JOIN raw ON name = variable_name WHERE NOT (policy = 'target' AND modeling = 'target_only')
+UNION ALL SELECT 'proxy_missing', name FROM x WHERE name NOT IN (SELECT variable_name FROM raw)
+UNION ALL SELECT 'proxy_allowed', name FROM x JOIN raw ON name = variable_name WHERE NOT (policy = 'forbidden' AND modeling = 'dashboard_only')""")
+def d7_screening(spark, sf):
+    """A screening made of parts: the first twenty are targets, the next forty forbidden proxies."""
+    size, key, part = F.col("p_size"), F.col("p_partkey"), table(spark, sf, "part")
+    policy, modeling = F.when(size % 3 == 0, "target").otherwise("forbidden"), F.when(size % 2 == 0, "target_only").otherwise("dashboard_only")
+    screening = part.select(
+        F.col("p_name").alias("variable_name"), F.when(key % 4 == 0, "engineered").otherwise("raw").alias("variable_origin"),
+        policy.alias("ao1_policy"), policy.alias("ao2_policy"), modeling.alias("modeling_policy"), F.lit("dashboard_only").alias("dashboard_policy"))
+    names = {r["p_partkey"]: r["p_name"] for r in part.where(key <= 60).select("p_partkey", "p_name").collect()}
+    targets = {n: "ao1_policy" for k, n in names.items() if k <= 20}
+    return screening_problems(
+        screening, part.select(F.col("p_name").alias("source_column")),
+        part.select(F.col("p_name").alias("variable_name"), F.lit("engineered").alias("variable_origin")),
+        targets, sorted({n for k, n in names.items() if k > 20}), raw_origin="raw")
+
+
 @query("a10_catalog_problems", f"""WITH {_DIRTY_SQL}, named AS (SELECT p_partkey, nullif(trim(name), '') AS name, trim(brand) AS brand FROM dirty)
 SELECT 'blank_cell' AS problem, 'name' AS subject, count(*) AS row_count FROM named WHERE name IS NULL HAVING count(*) > 0
 UNION ALL SELECT 'duplicate_name', name, count(*) FROM named GROUP BY name HAVING count(*) > 1

@@ -6,7 +6,7 @@ from .. import names as N
 from ..operators import contracts, evaluation as E
 from ..operators.ordering import quantile_columns
 from . import oracle as O
-from .orders import PROFIT_MODELS, late_predictions, profit_predictions
+from .orders import LATE_MODELS, PROFIT_MODELS, late_predictions, profit_predictions
 from .q_decisions import _CUTS, grid_sql
 from .registry import query, rounded
 
@@ -14,20 +14,44 @@ _GRID_COLUMNS = """model_name, threshold, row_count, positive_class_rate, predic
   true_negative, false_positive, false_negative, true_positive"""
 
 
-@query("m1_check_late_predictions", f"""WITH {O.LATE_PREDICTIONS} SELECT 'duplicate_key' AS rule, CAST(0 AS BIGINT) AS violations FROM (SELECT count(*) FROM preds)
-UNION ALL SELECT 'null_model_name', 0 UNION ALL SELECT 'null_Late_delivery_risk', 0 UNION ALL SELECT 'null_predicted_probability', 0
-UNION ALL SELECT 'non_binary_target', 0 UNION ALL SELECT 'probability_out_of_range', count(*) FILTER (p > 1) FROM preds""")
+_FAULTY_LATE = f"""WITH {O.LATE_PREDICTIONS}, clean AS (SELECT Order_Id, Order_Item_Id, order_date_DateOrders, CASE WHEN Order_Id % 10 > 0 THEN model_name END AS m,
+  CASE WHEN Order_Id % 11 = 0 THEN NULL WHEN Order_Id % 17 = 0 THEN 2 ELSE y END AS t, CASE WHEN Order_Id % 13 > 0 THEN p END AS p FROM preds),
+faulty AS (SELECT * FROM clean UNION ALL SELECT * FROM clean WHERE Order_Id % 7 = 0)"""
+
+
+@query("m1_check_late_predictions", _FAULTY_LATE + """ SELECT 'duplicate_key' AS rule, count(*) AS violations FROM (SELECT m, Order_Id, Order_Item_Id, order_date_DateOrders FROM faulty GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'null_model_name', count(*) FILTER (m IS NULL) FROM faulty UNION ALL SELECT 'null_Late_delivery_risk', count(*) FILTER (t IS NULL) FROM faulty
+UNION ALL SELECT 'null_predicted_probability', count(*) FILTER (p IS NULL) FROM faulty
+UNION ALL SELECT 'non_binary_target', count(*) FILTER (t NOT IN (0, 1)) FROM faulty UNION ALL SELECT 'probability_out_of_range', count(*) FILTER (p > 1) FROM faulty""")
 def m1_late(spark, sf):
-    return contracts.check_predictions(late_predictions(spark, sf), N.LATE, "predicted_probability")
+    """Predictions with repeated keys, missing names, targets and scores, and targets of 2."""
+    c, key = F.col, F.col(N.ORDER)
+    clean = late_predictions(spark, sf).withColumns({
+        "model_name": F.when(key % 10 > 0, c("model_name")), "predicted_probability": F.when(key % 13 > 0, c("predicted_probability")),
+        N.LATE: F.when(key % 11 == 0, F.lit(None)).when(key % 17 == 0, 2).otherwise(c(N.LATE))})
+    return contracts.check_predictions(clean.unionByName(clean.where(key % 7 == 0)), N.LATE, "predicted_probability")
+
 
+_FAULTY_PROFIT = f"""WITH {O.PROFIT_PREDICTIONS}, clean AS (SELECT Order_Id, Order_Item_Id, order_date_DateOrders, CASE WHEN Order_Id % 10 > 0 THEN model_name END AS m,
+  CASE WHEN Order_Id % 11 > 0 THEN a END AS t, CASE WHEN Order_Id % 13 > 0 THEN f END AS f, r + CASE WHEN ae > 100 THEN 1 ELSE 0 END AS r,
+  ae + CASE WHEN ae > 200 THEN 1 ELSE 0 END AS ae FROM errs),
+faulty AS (SELECT * FROM clean UNION ALL SELECT * FROM clean WHERE Order_Id % 7 = 0)"""
 
-@query("m1_check_profit_predictions", f"""WITH {O.PROFIT_PREDICTIONS} SELECT 'residual_mismatch' AS rule, count(*) FILTER (ae > 100) AS violations FROM errs
-UNION ALL SELECT 'absolute_error_mismatch', 0 UNION ALL SELECT 'null_model_name', 0 UNION ALL SELECT 'null_Order_Profit_Per_Order', 0
-UNION ALL SELECT 'null_predicted_profit', 0 UNION ALL SELECT 'duplicate_key', 0""")
+
+@query("m1_check_profit_predictions", _FAULTY_PROFIT + """ SELECT 'residual_mismatch' AS rule, count(*) FILTER (abs(r - (t - f)) > 1e-4) AS violations FROM faulty
+UNION ALL SELECT 'absolute_error_mismatch', count(*) FILTER (abs(ae - abs(t - f)) > 1e-4) FROM faulty UNION ALL SELECT 'null_model_name', count(*) FILTER (m IS NULL) FROM faulty
+UNION ALL SELECT 'null_Order_Profit_Per_Order', count(*) FILTER (t IS NULL) FROM faulty UNION ALL SELECT 'null_predicted_profit', count(*) FILTER (f IS NULL) FROM faulty
+UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT m, Order_Id, Order_Item_Id, order_date_DateOrders FROM faulty GROUP BY ALL HAVING count(*) > 1)""")
 def m1_profit(spark, sf):
+    """As above, with errors that do not add up where they are large."""
+    c, key = F.col, F.col(N.ORDER)
     rows = E.with_errors(profit_predictions(spark, sf))
-    faulty = rows.withColumn("residual", F.col("residual") + F.when(F.col("absolute_error") > 100, 1.0).otherwise(0.0))
-    return contracts.check_predictions(faulty, N.PROFIT, "predicted_profit")
+    clean = rows.withColumns({
+        "model_name": F.when(key % 10 > 0, c("model_name")), N.PROFIT: F.when(key % 11 > 0, c(N.PROFIT)),
+        "predicted_profit": F.when(key % 13 > 0, c("predicted_profit")),
+        "residual": c("residual") + F.when(c("absolute_error") > 100, 1.0).otherwise(0.0),
+        "absolute_error": c("absolute_error") + F.when(c("absolute_error") > 200, 1.0).otherwise(0.0)})
+    return contracts.check_predictions(clean.unionByName(clean.where(key % 7 == 0)), N.PROFIT, "predicted_profit")
 
 
 @query("m2_threshold_grid", grid_sql(_CUTS) + f" SELECT {_GRID_COLUMNS} FROM grid")
@@ -168,3 +192,13 @@ def i0(spark, sf):
 
     out = quantile_columns(silver(spark, sf), ["Type"], "Order_Item_Total", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
     return rounded(out, ["p10", "p50", "p99"], 6)
+
+
+@query("m11_classifier_hypothesis", _SCORES + """, a AS (SELECT model_name, CAST(sum(neg * (2 * tp - pos)) AS DOUBLE) / (CAST(2 AS DOUBLE) * max(np) * max(nn)) AS auc,
+  coalesce(CAST(sum(pos) FILTER (score >= 0.5) AS DOUBLE), 0) / max(np) AS recall FROM u GROUP BY 1),
+b AS (SELECT * FROM a WHERE model_name = 'ao1_logistic_regression_baseline'), x AS (SELECT * FROM a WHERE model_name = 'ao1_xgboost_classifier')
+SELECT b.model_name AS baseline_model, x.model_name AS primary_model, round(b.auc, 9) AS baseline_roc_auc, round(b.recall, 9) AS baseline_recall, round(x.auc, 9) AS primary_roc_auc,
+  round(x.recall, 9) AS primary_recall, CASE WHEN x.auc > b.auc AND x.recall > b.recall THEN 'validation_supported' ELSE 'validation_not_supported' END AS hypothesis_decision FROM b CROSS JOIN x""")
+def m11_classifiers(spark, sf):
+    out = E.compare_classifiers(E.classification_metrics(late_predictions(spark, sf)), LATE_MODELS[1], LATE_MODELS[0])
+    return rounded(out, ["baseline_roc_auc", "baseline_recall", "primary_roc_auc", "primary_recall"], 9)

@@ -199,6 +199,30 @@ def l13(spark, sf):
     return A.classify_drivers(rows, L.PROFIT_GROUPS.all).select("p_partkey", "feature_name", "policy_status", "review_decision")
 
 
+_ROLES = ["predictor", "feature_importance_driver", "shap_driver"]
+
+
+@query("l13_forbidden_feature_check", f"""WITH d AS (SELECT p_brand AS source_artifact, p_partkey, ['{"', '".join(_ROLES)}'][1 + p_partkey % 3] AS feature_role,
+  [{", ".join(f"'{k}'" for k in _DRIVERS)}][1 + p_partkey % {len(_DRIVERS)}] AS feature_name FROM part)
+SELECT source_artifact, feature_role, feature_name, count(*) AS named, regexp_matches(lower(feature_name), 'profit.per.order|realized_profit') AS is_blocked FROM d GROUP BY ALL""")
+def l13_artifacts(spark, sf):
+    key = F.col("p_partkey")
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (key % len(xs)).cast("int"))
+    artifacts = table(spark, sf, "part").select(F.col("p_brand").alias("source_artifact"), pick(_ROLES).alias("feature_role"), pick(list(_DRIVERS)).alias("feature_name"))
+    found = A.forbidden_feature_check(artifacts, L.PROFIT_GROUPS.all)
+    return found.groupBy("source_artifact", "feature_role", "feature_name", "is_blocked").agg(F.count(F.lit(1)).alias("named"))
+
+
+@query("l13_report_review", f"""WITH d AS (SELECT p_partkey, [{", ".join(f"'{k}'" for k in _DRIVERS)}][1 + p_partkey % {len(_DRIVERS)}] AS feature_name FROM part)
+SELECT p_partkey, feature_name, CASE WHEN contains(feature_name, 'country') THEN 'geography' WHEN contains(feature_name, 'price') THEN 'commercial_price'
+    WHEN contains(feature_name, 'hour') OR contains(feature_name, 'week') THEN 'order_timing' ELSE 'other' END AS driver_category,
+  CASE WHEN regexp_matches(lower(feature_name), 'profit.per.order|realized_profit') THEN 'forbidden' WHEN regexp_matches(feature_name, 'item_unit_price|country') THEN 'caution' ELSE 'allowed' END AS target_policy_status FROM d""")
+def l13_report(spark, sf):
+    names = F.array(*[F.lit(k) for k in _DRIVERS])
+    rows = table(spark, sf, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(_DRIVERS)).cast("int")).alias("feature_name"))
+    return rows.withColumns(A.report_columns(F.col("feature_name")))
+
+
 _ASSIGNED = O.scored(", k AS (SELECT *, CAST(planned - 1 AS INT) AS cluster FROM seg WHERE p IS NOT NULL AND margin IS NOT NULL)")
 
 

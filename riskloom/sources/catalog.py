@@ -105,3 +105,75 @@ def register_feature_catalog(df: DataFrame) -> DataFrame:
     if problems:
         raise ValueError(f"catalog is not sound: {[tuple(p) for p in problems]}")
     return df.withColumn("_registered_timestamp", F.current_timestamp())
+
+
+# FIXED VALUES: target fields with the policy column that marks them, and proxies that stay out of models.
+TARGET_FIELDS = {"Late_delivery_risk": "ao1_policy", "Order Profit Per Order": "ao2_policy"}
+FORBIDDEN_PROXIES = [
+    "Delivery Status",
+    "Days for shipping (real)",
+    "Benefit per order",
+    "Order Item Profit Ratio",
+    "shipping date (DateOrders)",
+    "Order Status",
+]
+
+
+def _problem(rows: DataFrame, problem: str, subject: str) -> DataFrame:
+    return rows.select(F.lit(problem).alias("problem"), F.col(subject).cast("string").alias("subject"))
+
+
+def dictionary_problems(dictionary: DataFrame, columns: DataFrame, screened: DataFrame, lineage: Sequence[str] = ()) -> DataFrame:
+    """``problem, subject`` where a schema dictionary disagrees with the schema and the screening.
+
+    ``dictionary``: column_name, data_type, source_layer, source_name, guidance, review_status;
+    ``columns``: the column_name and data_type that the table really has; ``screened``: the
+    screened raw fields as variable_name.  Columns of ``lineage`` need no guidance.
+    """
+    named = columns.select(F.col("column_name").alias("c"), F.col("data_type").alias("t"))
+    match = dictionary.join(named, F.col("column_name") == F.col("c"), "full_outer")
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    raw = dictionary.where((F.col("source_layer") == "bronze") & (text("review_status") != "needs_review"))
+    unscreened = raw.join(screened, F.col("source_name") == F.col("variable_name"), "left_anti")
+    silent = (text("guidance") == "") & (text("review_status") == "") & ~F.col("column_name").isin(*lineage)
+    return (
+        _problem(match.where("column_name IS NULL"), "undocumented_column", "c")
+        .unionByName(_problem(match.where("c IS NULL"), "unexpected_column", "column_name"))
+        .unionByName(_problem(match.where("NOT data_type <=> t AND c IS NOT NULL AND column_name IS NOT NULL"), "type_mismatch", "column_name"))
+        .unionByName(_problem(dictionary.where(silent), "no_guidance", "column_name"))
+        .unionByName(_problem(unscreened, "not_screened", "column_name"))
+    )
+
+
+def screening_problems(
+    screening: DataFrame, sources: DataFrame, engineered: DataFrame, targets: Mapping[str, str] = TARGET_FIELDS,
+    proxies: Sequence[str] = FORBIDDEN_PROXIES, raw_origin: str = "raw_dataco",
+) -> DataFrame:
+    """``problem, subject`` of a leakage screening: coverage, target rows and forbidden proxies.
+
+    ``screening``: variable_name, variable_origin and the policy columns; ``sources``: the
+    source_column names that must be screened as raw; ``engineered``: variable_name and
+    variable_origin of the features that must be.
+    """
+    raw = screening.where(F.col("variable_origin") == raw_origin)
+    keys = ["variable_name", "variable_origin"]
+    spark = screening.sparkSession
+    wanted = spark.createDataFrame([*targets.items()], "name STRING, policy_column STRING")
+    policy = F.lit(None).cast("string")
+    for column in sorted(set(targets.values())):
+        policy = F.when(F.col("policy_column") == column, F.col(column)).otherwise(policy)
+    target = wanted.join(raw, F.col("name") == F.col("variable_name"), "left").withColumn("_policy", policy)
+    target_ok = F.coalesce((F.col("_policy") == "target") & (F.col("modeling_policy") == "target_only"), F.lit(False))
+    proxy = spark.createDataFrame([(p,) for p in proxies], "name STRING").join(raw, F.col("name") == F.col("variable_name"), "left")
+    proxy_ok = F.lit(True)
+    for column, value in (("ao1_policy", "forbidden"), ("ao2_policy", "forbidden"), ("dashboard_policy", "dashboard_only"), ("modeling_policy", "dashboard_only")):
+        proxy_ok = proxy_ok & F.coalesce(F.col(column) == value, F.lit(False))
+    missing = lambda df: df.where("variable_name IS NULL")
+    return (
+        _problem(sources.join(raw, F.col("source_column") == F.col("variable_name"), "left_anti"), "raw_field_not_screened", "source_column")
+        .unionByName(_problem(engineered.join(screening, keys, "left_anti"), "feature_not_screened", "variable_name"))
+        .unionByName(_problem(missing(target), "target_missing", "name"))
+        .unionByName(_problem(target.where(~target_ok & F.col("variable_name").isNotNull()), "target_not_marked", "name"))
+        .unionByName(_problem(missing(proxy), "proxy_missing", "name"))
+        .unionByName(_problem(proxy.where(~proxy_ok & F.col("variable_name").isNotNull()), "proxy_allowed", "name"))
+    )
