@@ -147,12 +147,12 @@ def dictionary_problems(dictionary: DataFrame, columns: DataFrame, screened: Dat
 
 def screening_problems(
     screening: DataFrame, sources: DataFrame, engineered: DataFrame, targets: Mapping[str, str] = TARGET_FIELDS,
-    proxies: Sequence[str] = FORBIDDEN_PROXIES, raw_origin: str = "raw_dataco",
+    proxies: Sequence[str] = FORBIDDEN_PROXIES, *, raw_origin: str,
 ) -> DataFrame:
     """``problem, subject`` of a leakage screening: coverage, target rows and forbidden proxies.
 
-    ``screening``: variable_name, variable_origin and the policy columns; ``sources``: the
-    source_column names that must be screened as raw; ``engineered``: variable_name and
+    ``screening``: variable_name, variable_origin (``raw_origin`` for source fields) and the
+    policy columns; ``sources``: the source_column names that must be screened as raw; ``engineered``: variable_name and
     variable_origin of the features that must be.
     """
     raw = screening.where(F.col("variable_origin") == raw_origin)
