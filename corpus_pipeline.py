@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from riskloom.llm import mixing, packing, quality, simhash
+from riskloom.llm.common import free_names
 from riskloom.session import shared_folder
 
 
@@ -30,8 +33,14 @@ def mixing_sources(spark, docs, sf_dir):
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    """Pieces of documents with their places in bins: ``piece_text`` is what a bin holds at ``bin_offset``."""
-    return packing.pack_documents(docs, keep=("doc_id", "lang", "source"), with_text=True)
+    """Pieces of documents with their places in bins: ``piece_text`` is what a bin holds at ``bin_offset``.
+
+    The slice of the training order that a row lies in is part of what it is dealt by, so
+    repeats of a document seldom meet in a bin.
+    """
+    (part,) = free_names(docs, "slice")
+    dealt = docs.withColumn(part, F.spark_partition_id())
+    return packing.pack_documents(dealt, keep=("doc_id", "lang", "source", part), with_text=True).drop(part)
 
 
 STAGES = [
