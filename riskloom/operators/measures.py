@@ -16,6 +16,7 @@ from .. import names as N
 from ..functions.aggregates import digits_of, mean, ratio, total
 from ..functions.bands import profit_band
 from ..functions.calendar import week_start
+from ..session import materialize
 
 Measure = Callable[[Column], Column]
 
@@ -257,9 +258,10 @@ def hotspots(summary: DataFrame, by: str = "volume", k: int = 10, min_items: int
     if by == "rate":
         per = per.where(F.col("order_items") >= min_items)
     key = "risk_rate" if by == "rate" else "risk_items"
-    # One row per country; ties at the edge stay in.
-    ranked = per.withColumn("hotspot_rank", F.rank().over(Window.orderBy(F.desc(key))))
-    return ranked.where(F.col("hotspot_rank") <= k)
+    # Names are free text, so only those that reach the k-th value are ranked; ties at the edge stay in.
+    per = materialize(per, "places")
+    edge = per.where(F.col(key).isNotNull()).orderBy(F.desc(key)).limit(k).agg(F.min(key)).scalar()
+    return per.where(F.col(key) >= edge).withColumn("hotspot_rank", F.rank().over(Window.orderBy(F.desc(key))))
 
 
 def top_n(df: DataFrame, category: str, n: int = 20) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Tasks that single-file test tables are spread over; only local sessions set it.
 SPREAD_CONF = "spark.riskloom.spread"
+#: Folder of the running job, inside the shared one.
+JOB_CONF = "spark.riskloom.job"
 
 
 def local_session(cores: int | str = 8, app: str = "riskloom", **extra: str) -> SparkSession:
@@ -46,6 +50,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the tables that a job stores, deleted when the job is over.
+
+    Everything stored inside the block goes there, so results must be written or
+    collected before the block ends.
+    """
+    outer = shared_folder(spark)
+    folder = f"{outer}/job-{uuid.uuid4().hex}"
+    spark.conf.set(JOB_CONF, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(JOB_CONF, "")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -54,6 +76,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     Parquet rather than an RDD checkpoint keeps column pruning and pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = spark.conf.get(JOB_CONF, "") or shared_folder(spark)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

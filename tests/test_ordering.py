@@ -69,3 +69,26 @@ def test_sums_do_not_depend_on_partitioning(spark):
     assert len(seen) == 1
     exact = sum(round(x * 10**4) for (x,) in rows) / 10**4
     assert seen.pop()[0] == exact
+
+
+def test_tables_of_a_job_go_with_it(spark):
+    import os
+
+    from riskloom.session import job_folder, materialize
+
+    with job_folder(spark) as folder:
+        assert materialize(spark.range(5), "x").count() == 5 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert materialize(spark.range(3)).count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from riskloom.session import shared_folder
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError):
+        shared_folder(unset)
