@@ -129,7 +129,7 @@ def op4(spark, sf):
 @query("op5_training_order")
 def op5(spark, sf):
     out = tokenshards.new_folder(spark)
-    index, _ = tokenshards.write_training_order(f"{sf}/documents.parquet", out, spark)
+    index = tokenshards.write_training_order(f"{sf}/documents.parquet", out, spark)
     stored = tokenshards.read_training_order(spark, out)
     stored = stored.select("slot", F.crc32("tokens").cast("long").alias("tokens_crc32"))
     return index.join(stored, "slot", "left").select(

@@ -1,22 +1,25 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride binary shards.
 
-Sequences are numbered 0..N-1.  A keyed Feistel network with cycle-walking permutes the
-numbers, so the slot of a sequence in the training order takes a few integer operations, and
-no shuffle list is kept.  Sequences are dealt to shards by ranges of slots and written as
-16-bit tokens at a fixed stride: slot s is at byte (s mod per_shard) * stride * 2 of shard
-s div per_shard, so a run can resume anywhere and read on sequentially.
+Sequences are numbered.  A keyed Feistel network with cycle-walking permutes the numbers, so
+the place of a sequence in the training order takes a few integer operations, and no shuffle
+list is kept.  Sequences are dealt to shards by ranges of that place and written as 16-bit
+tokens at a fixed stride: slot s is at byte (s - first slot of its shard) * stride * 2, so a
+run can resume anywhere and read on sequentially.
 """
 
 from __future__ import annotations
 
 import base64
+import sys
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
@@ -28,38 +31,26 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 
 class Encoder:
-    """Byte-level BPE to little-endian 16-bit tokens, remembering the tokens of recent words."""
+    """Byte-level BPE of a whole text to little-endian 16-bit tokens."""
 
-    def __init__(self, vocabulary: str, remember: int = 200_000):
+    def __init__(self, vocabulary: str):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen, self.remember = {}, remember
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        """Tokens of a whole text.
-
-        A single space before another character always starts a new piece, so the text can be
-        encoded word by word; with double spaces it is encoded as a whole.
-        """
-        if "  " in text or text[-1:] == " ":
-            return self.plain(text)
-        first, *words = text.split(" ")
-        seen, out = self.seen, [self.plain(first)]
-        for w in words:
-            t = seen.get(w)
-            if t is None:
-                t = self.plain(" " + w)
-                if len(seen) >= self.remember:
-                    seen.clear()
-                seen[w] = t
-            out.append(t)
-        return b"".join(out)
+        out = array("H", self.bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Encoder:
+    """One for each Python worker, kept from task to task."""
+    return Encoder(vocabulary)
 
 
 def permuted(index: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -100,63 +91,72 @@ def _fs(uri: str):
 def write_training_order(
     path: str, out: str, spark, id_col: str = "doc_id", text: str = "text", *, key: int = 20240229, stride: int = 512,
     shard_bytes: int = 16 << 20, vocabulary: str = VOCABULARY,
-) -> tuple[DataFrame, int]:
-    """Write the documents of a Parquet table as shards ``out/shard-<number>.bin``; index of all sequences, and N.
+) -> DataFrame:
+    """Write the documents of a Parquet table as shards ``out/shard-<number>.bin``; index of all sequences.
 
     Each document is tokenised, ended with END and cut to sequences of ``stride`` tokens, the
     last filled up with END.  A null or empty text is one sequence of ENDs.  The index has
-    ``slot, shard, id, seq, n_tokens`` (END of the document included).
-
-    Tokens are made twice rather than stored: first to count the sequences of every
-    stretch of rows that one task reads, which numbers them, then to deal them out.  Both
-    passes read the same splits; if they should not, the second one stops, as its
-    stretches are looked up by file and row.  That table has a row for each split and is
-    all that is broadcast.  Shards are written under another name and moved, and always
-    have the same bytes, so a task that runs again does no harm.
+    ``slot, shard, place, id, seq, n_tokens`` (END of the document included); ``place`` counts
+    from 0 in each shard, ``slot`` in the whole order.
+
+    Byte-level tokens are never more than bytes, so a document reserves the numbers that
+    its bytes could need.  That takes no tokenising, and the permutation runs over all
+    reserved numbers; those in use, in the order of their images, have the slots.  Every
+    shard covers an equal range of images and so holds about as many sequences as any
+    other, ``shard_bytes`` at most.
+
+    Both passes read the same splits; if they should not, the second one stops, as its
+    stretches of rows are looked up by file and row.  That table has a row for each split
+    and is all that is broadcast.  Shards are written under another name and moved, and
+    always have the same bytes, so a task that runs again does no harm.
     """
+    # The columns of both passes are read alike, so that the same rows make a stretch.
     docs = spark.read.parquet(path).select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"),
     )
-    end = np.array([END], "<u2").tobytes()
+    reserve = F.ceil((F.octet_length("text") + 1) / stride).cast("long")
 
     def count(batches):
-        encode, runs = Encoder(vocabulary), []
+        runs = []
         for new, file, place, batch, i in _runs(batches):
             if new:
                 runs.append([file, place, 0])
-            runs[-1][2] += -(-(len(encode(batch.column("text")[i].as_py())) // 2 + 1) // stride)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*runs) if runs else ([], [], []), (pa.string(), pa.int64(), pa.int64()))], ["file", "place", "n"])
+            runs[-1][2] += batch.column("n")[i].as_py()
+        columns = zip(*runs) if runs else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["file", "place", "n"])
 
-    runs = materialize(docs.mapInArrow(count, "file STRING, place LONG, n LONG"), "runs").orderBy("file", "place").collect()
+    stretches = docs.select("file", "place", reserve.alias("n")).mapInArrow(count, "file STRING, place LONG, n LONG")
     total, begins = 0, {}
-    for r in runs:
+    for r in materialize(stretches, "stretches").orderBy("file", "place").collect():
         begins[r["file"], r["place"]] = total
         total += r["n"]
     begins = spark.sparkContext.broadcast(begins)
     per_shard = max(1, shard_bytes // (2 * stride))
+    end = np.array([END], "<u2").tobytes()
 
     def sequences(batches):
-        encode, number, held = Encoder(vocabulary), None, []
+        encode, number, held = encoder(vocabulary), None, []
 
         def flush():
             n, ids, seqs, sizes, blobs = zip(*held)
-            slot = permuted(np.array(n), total, key)
+            image = permuted(np.array(n), total, key)
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(ids, pa.int64()),
+                [pa.array(image), pa.array((image // per_shard).astype(np.int32)), pa.array(ids, pa.int64()),
                  pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())],
-                ["slot", "shard", "id", "seq", "n_tokens", "tokens"],
+                ["image", "shard", "id", "seq", "n_tokens", "tokens"],
             )
 
         for new, file, place, batch, i in _runs(batches):
             if new:
                 number = begins.value[file, place]
-            t = encode(batch.column("text")[i].as_py()) + end
+            value = batch.column("text")[i].as_py()
+            t = encode(value) + end
             for seq, a in enumerate(range(0, len(t), 2 * stride)):
                 part = t[a:a + 2 * stride]
-                held.append((number, batch.column("id")[i].as_py(), seq, len(part) // 2, part))
-                number += 1
+                held.append((number + seq, batch.column("id")[i].as_py(), seq, len(part) // 2, part))
+            number += -(-(len(value.encode()) + 1) // stride)
             if len(held) >= 2000:
                 yield flush()
         if held:
@@ -165,7 +165,7 @@ def write_training_order(
     def write(batches):
         fs, folder = _fs(out)
         fs.create_dir(folder)
-        shard, stream, name = None, None, None
+        shard, stream, name, place = None, None, None, 0
 
         def close():
             if stream:
@@ -173,39 +173,57 @@ def write_training_order(
                 fs.move(name, f"{folder}/shard-{shard:08d}.bin")
 
         for batch in batches:
+            places = []
             for s, part in zip(batch.column("shard").to_pylist(), batch.column("tokens")):
                 if s != shard:
                     close()
-                    shard, name = s, f"{folder}/.writing-{uuid.uuid4().hex}"
+                    shard, name, place = s, f"{folder}/.writing-{uuid.uuid4().hex}", 0
                     stream = fs.open_output_stream(name)
                 raw = part.as_py()
                 stream.write(raw + end * (stride - len(raw) // 2))
-            yield batch.select(["slot", "shard", "id", "seq", "n_tokens"])
+                places.append(place)
+                place += 1
+            rest = batch.select(["shard", "id", "seq", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(places, pa.int64())], [*rest.schema.names, "place"])
         close()
 
-    rows = docs.mapInArrow(sequences, "slot LONG, shard INT, id LONG, seq INT, n_tokens INT, tokens BINARY")
-    shards = -(-total // per_shard)
-    ranged = rows.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
-    return materialize(ranged.mapInArrow(write, "slot LONG, shard INT, id LONG, seq INT, n_tokens INT"), "token-index"), total
+    rows = docs.mapInArrow(sequences, "image LONG, shard INT, id LONG, seq INT, n_tokens INT, tokens BINARY")
+    ranged = rows.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("image")
+    index = materialize(ranged.mapInArrow(write, "shard INT, id LONG, seq INT, n_tokens INT, place LONG"), "token-index")
+    starts = first_slots(index.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
+    return index.join(starts, "shard").select((F.col("first_slot") + F.col("place")).alias("slot"), "shard", "place", "id", "seq", "n_tokens")
 
 
-def read_training_order(spark, out: str, stride: int = 512, shard_bytes: int = 16 << 20, first_slot: int = 0) -> DataFrame:
-    """``slot``, ``tokens`` (binary, fixed stride) of all sequences from ``first_slot`` on, shards before it left out."""
-    per_shard = max(1, shard_bytes // (2 * stride))
+def first_slots(sizes: DataFrame) -> DataFrame:
+    """``shard``, ``first_slot`` from ``shard``, ``n``; the window sees one row per shard."""
+    along = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("shard", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("first_slot"))
+
+
+def read_training_order(spark, out: str, stride: int = 512, first_slot: int = 0) -> DataFrame:
+    """``slot``, ``tokens`` (binary, fixed stride) of all sequences from ``first_slot`` on.
+
+    Where shards begin follows from the lengths of the files, which are listed first; shards
+    before ``first_slot`` are not read.
+    """
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(out)
+    number = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("int")
+    listed = shards.select(number.alias("shard"), F.floor(F.col("length") / (2 * stride)).alias("n"))
+    # One pair of numbers for each shard, which is megabytes of tokens.
+    starts = {r["shard"]: r["first_slot"] for r in first_slots(listed).collect()}
+    first_shard = max((s for s, at in starts.items() if at <= first_slot), default=0)
+    starts = spark.sparkContext.broadcast(starts)
 
     def cut(batches):
         for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-                number = int(name.rpartition("-")[2].partition(".")[0])
+            for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("content")):
                 raw, step = raw.as_buffer(), 2 * stride
                 n = raw.size // step
-                slots = number * per_shard + np.arange(n)
+                slots = starts.value[shard] + np.arange(n)
                 parts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(step), n, [None, raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(slots), parts], ["slot", "tokens"]).filter(pa.array(slots >= first_slot))
 
-    shards = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(out).select("path", "content")
-    number = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")
-    return shards.where(number >= first_slot // per_shard).mapInArrow(cut, "slot LONG, tokens BINARY")
+    return shards.where(number >= first_shard).select(number.alias("shard"), "content").mapInArrow(cut, "slot LONG, tokens BINARY")
 
 
 def new_folder(spark) -> str:

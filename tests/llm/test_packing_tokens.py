@@ -70,36 +70,37 @@ def test_permutation_is_one(spark):
     assert (a != b).mean() > 0.9 and abs(np.corrcoef(np.arange(1000), a)[0, 1]) < 0.15
 
 
-def test_word_by_word_tokens_equal_whole_ones(spark, sf, odd_docs):
-    encode = tokenshards.Encoder(tokenshards.VOCABULARY, remember=50)
-    texts = [r["text"] or "" for df in (spark.read.parquet(f"{sf}/documents.parquet"), odd_docs) for r in df.select("text").collect()]
-    for t in [*texts, "a  b", " a b ", "a \n b\n\nc \t d", "it's 12 34!? '", "\u00a0 \u00a0x \u2003 y"]:
-        assert encode(t) == encode.plain(t)
+def test_tokens_decode_to_the_text(odd_docs):
+    encode = tokenshards.Encoder(tokenshards.VOCABULARY)
+    for t in [r["text"] or "" for r in odd_docs.collect()] + ["a  b", "a \n b\n\nc \t d", "it's 12 34!? '", "\u00a0 \u00a0x \u2003 y"]:
+        tokens = np.frombuffer(encode(t), "<u2").tolist()
+        assert encode.bpe.decode(tokens) == t and len(tokens) <= len(t.encode()) and tokenshards.END not in tokens
 
 
 def test_shards_hold_every_sequence_once(spark, odd_docs, tmp_path):
     path, out = f"{tmp_path}/docs", f"{tmp_path}/shards"
     odd_docs.repartition(3).write.parquet(path)
-    index, total = tokenshards.write_training_order(path, out, spark, stride=16, shard_bytes=16 * 2 * 100)
-    rows = index.toPandas()
-    stored = tokenshards.read_training_order(spark, out, 16, 16 * 2 * 100).toPandas().set_index("slot")["tokens"]
-    assert sorted(rows["slot"]) == list(range(total)) == sorted(stored.index) and (rows["shard"] == rows["slot"] // 100).all()
+    rows = tokenshards.write_training_order(path, out, spark, stride=16, shard_bytes=16 * 2 * 100).toPandas()
+    stored = tokenshards.read_training_order(spark, out, 16).toPandas().set_index("slot")["tokens"]
+    total = len(rows)
+    assert sorted(rows["slot"]) == list(range(total)) == sorted(stored.index)
+    sizes = rows.groupby("shard").size()
+    assert len(sizes) > 3 and sizes.max() <= 100 and (rows.sort_values("slot")["shard"].diff().dropna() >= 0).all()
     encode, want = tokenshards.Encoder(tokenshards.VOCABULARY), []
     end = np.array([tokenshards.END], "<u2").tobytes()
     for r in odd_docs.collect():
-        raw = encode.plain(r["text"] or "") + end
+        raw = encode(r["text"] or "") + end
         for seq, a in enumerate(range(0, len(raw), 32)):
             want.append((-1 if r["doc_id"] is None else r["doc_id"], seq, raw[a:a + 32] + end * (16 - len(raw[a:a + 32]) // 2)))
     got = [(-1 if np.isnan(r["id"]) else int(r["id"]), int(r["seq"]), bytes(stored[r["slot"]])) for _, r in rows.iterrows()]
     assert sorted(got) == sorted(want)
-    resumed = tokenshards.read_training_order(spark, out, 16, 16 * 2 * 100, first_slot=total // 2).toPandas()
+    resumed = tokenshards.read_training_order(spark, out, 16, first_slot=total // 2).toPandas()
     assert sorted(resumed["slot"]) == list(range(total // 2, total))
 
 
 def test_empty_table_has_no_shards(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/docs")
-    index, total = tokenshards.write_training_order(f"{tmp_path}/docs", f"{tmp_path}/out", spark)
-    assert total == 0 and index.count() == 0
+    assert tokenshards.write_training_order(f"{tmp_path}/docs", f"{tmp_path}/out", spark).count() == 0
 
 
 def test_query_tokens_are_whole(spark, sf):
@@ -109,7 +110,7 @@ def test_query_tokens_are_whole(spark, sf):
     encode, end = tokenshards.Encoder(tokenshards.VOCABULARY), np.array([tokenshards.END], "<u2").tobytes()
     want = []
     for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
-        raw = encode.plain(r["text"] or "") + end
+        raw = encode(r["text"] or "") + end
         for a in range(0, len(raw), 1024):
             want.append(zlib.crc32(raw[a:a + 1024] + end * (512 - len(raw[a:a + 1024]) // 2)))
     assert got["tokens_crc32"].tolist() == want and sorted(got["slot"]) == list(range(len(want)))
