@@ -87,14 +87,16 @@ def geographic_segment_summary(df: DataFrame) -> DataFrame:
     placed = df.select(
         *[e.alias(n) for n, e in location_columns(country_token_label()).items()],
         F.col(N.ORDER_TS).cast("date").alias(N.ORDER_TS),
-        *[e.alias(n) for n, e in period_columns().items()],
         F.col(N.HIGH_RISK).cast("boolean").alias(N.HIGH_RISK),
         profit_band().alias("ao2_expected_profit_band"),
         N.ORDER, N.RISK, N.EXPECTED_PROFIT, N.ORDER_VALUE, N.MARGIN, N.HIGH_MARGIN, N.SEGMENT,
     )
-    grain = [*LOCATION, N.ORDER_TS, "order_date_key", "order_week_key", "order_month_key",
-             N.SEGMENT, N.HIGH_RISK, "ao2_expected_profit_band"]
-    return _with_rates(placed.groupBy(*grain).agg(*_score_aggregates()))
+    keys = [*LOCATION, N.ORDER_TS, N.SEGMENT, N.HIGH_RISK, "ao2_expected_profit_band"]
+    grouped = placed.groupBy(*keys).agg(*_score_aggregates())
+    # The periods follow from the day, so they need not be grouped by.
+    periods, at = period_columns(), len(LOCATION) + 1
+    dated = grouped.withColumns(periods).select(*keys[:at], *periods, *keys[at:], *[c for c in grouped.columns if c not in keys])
+    return _with_rates(dated)
 
 
 # --- decision enrichment ---------------------------------------------------

@@ -29,18 +29,20 @@ SUMMARY_GRAIN = [
 ]
 
 
-def _dimensions() -> dict[str, Column]:
-    ts = F.col(N.ORDER_TS)
-    band = risk_band()
+def _keys() -> dict[str, Column]:
+    """The least columns that make up the grain; ``_derived`` gives the others."""
     return {
-        "order_month_key": month_key(ts),
-        "order_year": F.year(ts),
-        "order_month": F.month(ts),
+        "_month": F.trunc(F.col(N.ORDER_TS), "month"),
         **{name: label_or(source, rest) for name, (source, rest) in _LABELS.items()},
         N.SEGMENT: F.col(N.SEGMENT),
-        **action_queue_columns(),
-        "risk_band": band,
-        "risk_band_sort_order": risk_band_order(band),
+        "risk_band": risk_band(),
+    }
+
+
+def _derived(ts: Column, band: Column) -> dict[str, Column]:
+    return {
+        "order_month_key": month_key(ts), "order_year": F.year(ts), "order_month": F.month(ts),
+        **action_queue_columns(), "risk_band_sort_order": risk_band_order(band),
     }
 
 
@@ -51,14 +53,15 @@ def logistics_kpi_summary(df: DataFrame) -> DataFrame:
     and scheduled days on one row.
     """
     wide = df.select(
-        *[e.alias(n) for n, e in (_dimensions() | delivery_columns()).items()],
+        *[e.alias(n) for n, e in (_keys() | delivery_columns()).items()],
+        action_queue_columns()["intervention_required_flag"].alias("intervention_required_flag"),
         N.ORDER, N.RISK, N.HIGH_RISK, N.EXPECTED_PROFIT, N.MARGIN, N.ORDER_VALUE,
         "order_item_quantity", "item_net_sales_amount", "Days_for_shipment_scheduled", "Days_for_shipping_real",
     )
     p, seg = F.col(N.RISK), F.col(N.SEGMENT)
     # The sum of 1 - p over scored rows, written so that it stays exact.
     on_time = F.count(p) - total(N.RISK)
-    grouped = wide.groupBy(*SUMMARY_GRAIN).agg(
+    grouped = wide.groupBy(*_keys()).agg(
         F.countDistinct(N.ORDER).alias("order_count"),
         F.count(F.lit(1)).alias("order_item_count"),
         total("order_item_quantity").alias("units_ordered"),
@@ -85,6 +88,9 @@ def logistics_kpi_summary(df: DataFrame) -> DataFrame:
         total(N.EXPECTED_PROFIT).alias("total_predicted_profit"),
     )
     c = F.col
+    measures = [name for name in grouped.columns if name not in _keys()]
+    derived = _derived(F.col("_month"), F.col("risk_band"))
+    grouped = grouped.withColumns({n: e for n, e in derived.items() if n in SUMMARY_GRAIN}).select(*SUMMARY_GRAIN, *measures)
     rated = grouped.withColumns(
         {
             "historical_otd_rate": ratio(c("historical_on_time_count"), c("valid_delivery_metric_count")),
@@ -99,7 +105,9 @@ def logistics_kpi_summary(df: DataFrame) -> DataFrame:
 def order_kpi_detail(df: DataFrame) -> DataFrame:
     """Order-item detail with outcome, prediction and queue flags; same input as the summary."""
     outcome = delivery_columns()
-    queue = _dimensions()
+    keys = _keys()
+    queue = keys | _derived(F.col(N.ORDER_TS), keys["risk_band"])
+    del queue["_month"]
     flagged = F.coalesce(F.col(N.HIGH_RISK).cast("int"), F.lit(0))
     p = F.col(N.RISK).cast("double")
     late, on_time = (outcome[f"actual_{k}_delivery_flag"] for k in ("late", "on_time"))
