@@ -38,7 +38,7 @@ def cols(names: Iterable[str]) -> list[Column]:
     return [col(n) for n in names]
 
 
-def bucket_count(rows: int, rows_per_bucket: int = 16384) -> int:
+def bucket_count(rows: int, rows_per_bucket: int = 2048) -> int:
     """Buckets for ``rows`` rows; grows with the input so that no bucket does."""
     return max(1, -(-rows // rows_per_bucket))
 
