@@ -223,18 +223,20 @@ def _score(words, filter_):
             single = (count + 1.0) / norm
             # Of each word as history: its count, and how much of it is followed by pairs in the filter.
             past = np.append(place_of[is_known], end if end >= 0 else 0)
-            c = np.maximum(table.counts(past, WORD_KIND), 1.0)
-            rest = np.clip(1.0 - table.counts(past, SEEN_KIND) / c, 0.02, 1.0)
-            c_of, rest_of = np.ones(len(key) + 1), np.ones(len(key) + 1)
-            c_of[:-1][is_known], rest_of[:-1][is_known] = c[:-1], rest[:-1]
+            seen = table.counts(past, SEEN_KIND)
+            rest = np.clip(1.0 - seen / np.maximum(table.counts(past, WORD_KIND), 1.0), 0.02, 1.0)
+            rest[seen == 0] = 1.0
+            seen_of, rest_of = np.ones(len(key) + 1), np.ones(len(key) + 1)
+            seen_of[:-1][is_known], rest_of[:-1][is_known] = np.maximum(seen, 1.0)[:-1], rest[:-1]
             if end >= 0:
-                c_of[-1], rest_of[-1] = c[-1], rest[-1]
+                seen_of[-1], rest_of[-1] = max(seen[-1], 1.0), rest[-1]
             ahead = _before(back, sizes, len(key))
             place, behind = place_of[back], np.append(place_of, end)[ahead]
             both = (place >= 0) & (behind >= 0)
             pair, spread = np.unique(behind[both] * size + place[both], return_inverse=True)
             share = np.zeros(len(t))
-            share[both] = np.minimum(table.counts(pair, PAIR_KIND)[spread] / c_of[ahead[both]], 1.0)
+            history = ahead[both]
+            share[both] = np.minimum(table.counts(pair, PAIR_KIND)[spread] / seen_of[history], 1.0) * (1.0 - rest_of[history])
             p1 = single[back]
             # Words that are joined later only have the history's factor here.
             gain = np.where(place >= 0, np.log10(share / p1 + rest_of[ahead]), np.log10(rest_of[ahead]))
@@ -261,9 +263,10 @@ def score_documents(
 
     The model learns from all documents that are not held out.  ``base_score`` sums
     log10((c + 1) / (N + V + 1)) over words and the end, with exact counts c.  ``score`` sums
-    log10 of p(w | h) = c(hw) / c(h) + (1 - seen(h) / c(h)) * (c(w) + 1) / (N + V + 1), where
-    c(hw), c(h) and seen(h), the sum of all c(hw) in the filter, come from probing it;
-    quantised counts make the sum over w differ from one by a few percent.
+    log10 of p(w | h) = (1 - b) * c(hw) / seen(h) + b * (c(w) + 1) / (N + V + 1) with
+    b = 1 - seen(h) / c(h), 0.02 at least; c(hw), c(h) and seen(h), the sum of all c(hw) in
+    the filter, come from probing it.  Quantised counts make the sum over w differ from one
+    by a few percent, but no p exceeds one.
 
     Null and empty texts have one token, the end.  Repeated rows count and are scored each.
     An empty table, or nothing to learn from, gives N = 0 and uniform scores.  The filter
