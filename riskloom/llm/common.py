@@ -38,6 +38,18 @@ def cols(names: Iterable[str]) -> list[Column]:
     return [col(n) for n in names]
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most ``rows`` rows.
+
+    Whole texts are kilobytes each, so the default of 10,000 rows makes Python workers
+    hold hundreds of megabytes, which they keep while later stages run.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def bucket_count(rows: int, rows_per_bucket: int = 2048) -> int:
     """Buckets for ``rows`` rows; grows with the input so that no bucket does."""
     return max(1, -(-rows // rows_per_bucket))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, bucket_of, cols
+from .common import bucket_count, bucket_of, cols, short_batches
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, text: str, keep: Sequence[str], longest: int, with_t
             more += [pa.array(texts, pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([*out.columns, *more], [*names, "piece", "start", "length", *(["piece_text"] if with_text else [])])
 
-    plain = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(cols(keep))], F.col(f"`{text}`").alias("_text"))
+    plain = short_batches(docs).select(*[c.alias(f"k{i}") for i, c in enumerate(cols(keep))], F.col(f"`{text}`").alias("_text"))
     names = plain.columns[:-1]
     ddl = [f"{n} {t}" for n, t in plain.dtypes[:-1]] + ["piece INT", "start LONG", "length LONG"] + (["piece_text STRING"] if with_text else [])
     return plain.mapInArrow(run, ", ".join(ddl))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import free_names
+from .common import free_names, short_batches
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 STATISTICS = (
@@ -79,7 +79,7 @@ FEATURES = {
 
 def with_statistics(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a struct of STATISTICS of each whole text."""
-    return docs.withColumn(name, _statistics(F.col(text)))
+    return short_batches(docs).withColumn(name, _statistics(F.col(text)))
 
 
 def base_failed(stats: Column) -> Column:

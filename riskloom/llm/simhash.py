@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col
+from .common import col, short_batches
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str, name: str, keep: list[Column], word
         for batch in texts:
             yield pd.Series(np.array([simhash(t, words) for t in batch], np.uint64).view(np.int64))
 
-    return docs.select(*keep, of(col(text)).alias(name))
+    return short_batches(docs).select(*keep, of(col(text)).alias(name))
 
 
 def segment_counts(fingerprint: Column, segments: range, width: int) -> list[Column]:
