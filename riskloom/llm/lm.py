@@ -6,13 +6,14 @@ the level back.  The filter is sent to every worker.
 
 What it holds is bounded: only n-grams with at least 1/``ngrams`` of all training tokens are in
 it, so there are at most ``ngrams`` of each order, whatever the corpus.  Their levels are
-relative to that floor, which bounds the number of entries in the same way.  Everything rarer
-is part of the mass that backs off to single words, whose exact counts are never dropped: words
-above the floor travel in a table beside the filter, the others are joined.
+relative to that floor, which bounds the number of entries in the same way.  Nothing rarer is
+dropped: words above the floor travel in a table beside the filter, and rarer words and pairs
+are joined.  The floor is a bound of levels, so that a count has one level on either way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,11 @@ from .common import col
 END = np.uint64(xxhash.xxh64_intdigest(b"\0end of text"))
 CHUNK_TOKENS = 400_000
 BLOCK_BITS = 1 << 19
-WORD_KIND, SEEN_KIND, PAIR_KIND = 1, 2, 3
+WORD_KIND, PAIR_KIND = 1, 3
+#: Share of single words in what follows a history.
+BACKOFF = 0.02
+#: Of a pair, by whether the first and the second word are above the floor.
+BOTH, FIRST, SECOND, NEITHER = range(4)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -88,6 +93,7 @@ class Words:
     counts: np.ndarray
     total: int
     distinct: int
+    least: float
     floor: int
 
     def places(self, t: np.ndarray) -> np.ndarray:
@@ -98,33 +104,48 @@ class Words:
         return np.where(self.keys[at] == t, at, -1)
 
 
-def frequent_words(counts: DataFrame, ngrams: int) -> Words:
-    """Totals, and the words with at least 1/``ngrams`` of all tokens: at most ``ngrams`` of them."""
+def frequent_words(counts: DataFrame, ngrams: int, base: float) -> Words:
+    """Totals, and the words with at least 1/``ngrams`` of all tokens: at most ``ngrams`` of them.
+
+    The floor goes up to the next power of ``base``, ``least``, where a level begins.
+    """
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("key").alias("distinct")).first()
-    floor = max(1, -(-row["total"] // ngrams))
+    least = base ** math.ceil(math.log(max(1, -(-row["total"] // ngrams))) / math.log(base) - 1e-9)
+    floor = math.ceil(least - 1e-9)
     found = counts.where(F.col("n") >= floor).select("key", "n").toArrow()
     keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return Words(keys[order], found.column("n").to_numpy().astype(np.int64)[order], row["total"], row["distinct"], floor)
+    return Words(keys[order], found.column("n").to_numpy().astype(np.int64)[order], row["total"], row["distinct"], least, floor)
 
 
 def count_pairs(docs: DataFrame, words, text: str = "text") -> DataFrame:
-    """``key``, ``n`` of neighbouring words, as places ``before * len(words) + word``.
+    """``kind``, ``key``, ``word``, ``n`` of all pairs of neighbouring words.
 
-    A pair above the floor is made of words above it, so others are not counted.
+    Words above the floor are told by their place, others by their hash; a pair of two
+    places has ``before * len(words) + word`` as its key and no word.
     """
 
     def run(batches):
         known = words.value
+        end = known.places(np.array([END]))[0]
         for _, t, sizes in _chunks(batches):
             key, back = np.unique(t, return_inverse=True)
             place = known.places(key)[back]
-            ahead = _before(place, sizes, known.places(np.array([END]))[0])
+            before, ahead = _before(t, sizes, END), _before(place, sizes, end)
             both = (place >= 0) & (ahead >= 0)
             code, n = np.unique(ahead[both] * len(known.keys) + place[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["key", "n"])
+            _, at, more = np.unique(_pair_key(before[~both], t[~both]), return_index=True, return_counts=True)
+            before, t, ahead, place = before[~both][at], t[~both][at], ahead[~both][at], place[~both][at]
+            kind = np.where(ahead >= 0, FIRST, np.where(place >= 0, SECOND, NEITHER))
+            first, second = np.where(ahead >= 0, ahead, before.view(np.int64)), np.where(place >= 0, place, t.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(np.full(len(code), BOTH), kind).astype(np.int32)), pa.array(np.append(code, first)),
+                 pa.array(np.append(np.zeros(len(code), np.int64), second)), pa.array(np.append(n, more).astype(np.int64))],
+                ["kind", "key", "word", "n"],
+            )
 
-    return docs.select(col(text).alias("text")).mapInArrow(run, "key LONG, n LONG").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = docs.select(col(text).alias("text")).mapInArrow(run, "kind INT, key LONG, word LONG, n LONG")
+    return counted.groupBy("kind", "key", "word").agg(F.sum("n").alias("n"))
 
 
 def _mixed(key: np.ndarray, kind: int, level=0) -> np.ndarray:
@@ -136,6 +157,16 @@ def _mixed(key: np.ndarray, kind: int, level=0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """63 well-mixed bits of two word hashes, as a negative long."""
+    return (_mixed(before, PAIR_KIND, word) | np.uint64(1 << 63)).view(np.int64)
+
+
+def quantised(n: Column, base: float) -> Column:
+    """Middle of the level of a count of at least one, as the filter gives it."""
+    return F.pow(F.lit(float(base)), F.floor(F.log(n) / float(np.log(base)) + 1e-9) + 0.5)
+
+
 def _bits(x: np.ndarray, i: int) -> np.ndarray:
     """The i-th bit of an entry inside its block."""
     return (((x & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((x >> np.uint64(32)) | np.uint64(1))) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
@@ -149,7 +180,7 @@ class LogFrequencyFilter:
     blocks: int
     hashes: int
     base: float
-    floor: int
+    floor: float
     highest: int
 
     def counts(self, key: np.ndarray, kind: int) -> np.ndarray:
@@ -172,7 +203,7 @@ class LogFrequencyFilter:
         return np.where(level > 0, self.floor * self.base ** (level - 0.5), 0.0)
 
 
-def build_filter(ngrams: DataFrame, floor: int, base: float, bits_per_entry: int, hashes: int) -> LogFrequencyFilter:
+def build_filter(ngrams: DataFrame, floor: float, base: float, bits_per_entry: int, hashes: int) -> LogFrequencyFilter:
     """Filter of ``kind``, ``key``, ``n`` rows, all at least ``floor``.
 
     Blocks are filled on the workers; only the finished bitmap comes to the driver.
@@ -209,7 +240,7 @@ def build_filter(ngrams: DataFrame, floor: int, base: float, bits_per_entry: int
 
 
 def _score(words, filter_):
-    """Sums of each text over its tokens, and the keys of tokens whose counts are not at hand."""
+    """Sums of each text over its tokens, and the keys of tokens and pairs whose counts are not at hand."""
 
     def run(batches):
         known, table = words.value, filter_.value
@@ -221,40 +252,77 @@ def _score(words, filter_):
             is_known = place_of >= 0
             count = np.where(is_known, known.counts[place_of] if size else 0, 0)
             single = (count + 1.0) / norm
-            # Of each word as history: its count, and how much of it is followed by pairs in the filter.
-            past = np.append(place_of[is_known], end if end >= 0 else 0)
-            seen = table.counts(past, SEEN_KIND)
-            rest = np.clip(1.0 - seen / np.maximum(table.counts(past, WORD_KIND), 1.0), 0.02, 1.0)
-            rest[seen == 0] = 1.0
-            seen_of, rest_of = np.ones(len(key) + 1), np.ones(len(key) + 1)
-            seen_of[:-1][is_known], rest_of[:-1][is_known] = np.maximum(seen, 1.0)[:-1], rest[:-1]
-            if end >= 0:
-                seen_of[-1], rest_of[-1] = max(seen[-1], 1.0), rest[-1]
+            past = np.append(place_of, end)
+            seen = np.ones(len(past))
+            seen[past >= 0] = np.maximum(table.counts(past[past >= 0], WORD_KIND), 1.0)
             ahead = _before(back, sizes, len(key))
-            place, behind = place_of[back], np.append(place_of, end)[ahead]
+            place, behind = place_of[back], past[ahead]
             both = (place >= 0) & (behind >= 0)
             pair, spread = np.unique(behind[both] * size + place[both], return_inverse=True)
-            share = np.zeros(len(t))
-            history = ahead[both]
-            share[both] = np.minimum(table.counts(pair, PAIR_KIND)[spread] / seen_of[history], 1.0) * (1.0 - rest_of[history])
+            found = np.zeros(len(t))
+            found[both] = table.counts(pair, PAIR_KIND)[spread]
             p1 = single[back]
-            # Words that are joined later only have the history's factor here.
-            gain = np.where(place >= 0, np.log10(share / p1 + rest_of[ahead]), np.log10(rest_of[ahead]))
+            # What rare words and pairs add to this is joined later.
+            share = np.minimum(found / seen[ahead], 1.0) * (1.0 - BACKOFF)
+            gain = np.where(behind >= 0, np.log10(share / p1 + BACKOFF), 0.0)
             near = place >= 0
             owner = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(owner, weights=x, minlength=len(sizes))
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[~near], minlength=len(sizes)))])
-            rare = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(t[~near].view(np.int64)))
+
+            def listed(chosen, keys):
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[chosen], minlength=len(sizes)))])
+                return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(keys)).cast(pa.list_(pa.int64()))
+
+            # With a floor of one, a pair that is not in the filter was never seen.
+            low = (found == 0) & (known.floor > 1)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("id"), rows.column("held_out"), pa.array(sizes.astype(np.int64)),
                  pa.array(total(near).astype(np.int64)), pa.array(total(np.where(near, np.log10(p1), 0.0))),
-                 pa.array(total(gain)), rare.cast(pa.list_(pa.int64()))],
-                ["id", "held_out", "n_tokens", "n_known", "base_score", "gain", "rare"],
+                 pa.array(total(gain)), listed(~near, t[~near].view(np.int64)),
+                 listed(low, _pair_key(_before(t, sizes, END)[low], t[low]))],
+                ["id", "held_out", "n_tokens", "n_known", "base_score", "gain", "rare", "pairs"],
             )
 
     return run
 
 
+def _rare_pairs(pairs: DataFrame, counts: DataFrame, words, filter_, base: float) -> DataFrame:
+    """``pair``, ``extra``: what a pair below the floor adds to the log of its backed-off probability.
+
+    Counts of words above the floor are at hand; others are joined, none of them hot.
+    """
+    norm = float(words.value.total + words.value.distinct + 1)
+
+    def run(batches):
+        known, table = words.value, filter_.value
+        for b in batches:
+            kind, key, word, n = (b.column(c).to_numpy() for c in ("kind", "key", "word", "n"))
+            first, second = (kind == BOTH) | (kind == FIRST), (kind == BOTH) | (kind == SECOND)
+            size = max(1, len(known.keys))
+            before, after = np.where(kind == BOTH, key // size, key), np.where(kind == BOTH, key % size, word)
+            h, w = before.view(np.uint64).copy(), after.view(np.uint64).copy()
+            h[first], w[second] = known.keys[before[first]], known.keys[after[second]]
+            past, count = np.zeros(len(n)), np.zeros(len(n), np.int64)
+            past[first], count[second] = table.counts(before[first], WORD_KIND), known.counts[after[second]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_pair_key(h, w)), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n), pa.array(past), pa.array(count)],
+                ["pair", "h", "w", "n", "past", "count"],
+            )
+
+    out = None
+    for kind in (BOTH, FIRST, SECOND, NEITHER):
+        rows = pairs.where((F.col("kind") == kind) & (F.col("n") < words.value.floor))
+        rows = rows.mapInArrow(run, "pair LONG, h LONG, w LONG, n LONG, past DOUBLE, count LONG")
+        if kind in (SECOND, NEITHER):
+            rows = rows.drop("past").join(counts.select(F.col("key").alias("h"), quantised(F.col("n"), base).alias("past")), "h")
+        if kind in (FIRST, NEITHER):
+            rows = rows.drop("count").join(counts.select(F.col("key").alias("w"), F.col("n").alias("count")), "w")
+        share = F.least(quantised(F.col("n"), base) / F.col("past"), F.lit(1.0)) * (1.0 - BACKOFF)
+        rows = rows.select("pair", F.log10(1 + share * norm / (BACKOFF * (F.col("count") + 1))).alias("extra"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def score_documents(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", *,
     ngrams: int = 1 << 22, base: float = 1.25, bits_per_entry: int = 12, hashes: int = 6,
@@ -263,33 +331,33 @@ def score_documents(
 
     The model learns from all documents that are not held out.  ``base_score`` sums
     log10((c + 1) / (N + V + 1)) over words and the end, with exact counts c.  ``score`` sums
-    log10 of p(w | h) = (1 - b) * c(hw) / seen(h) + b * (c(w) + 1) / (N + V + 1) with
-    b = 1 - seen(h) / c(h), 0.02 at least; c(hw), c(h) and seen(h), the sum of all c(hw) in
-    the filter, come from probing it.  Quantised counts make the sum over w differ from one
-    by a few percent, but no p exceeds one.
+    log10 of p(w | h) = 0.98 * c(hw) / c(h) + 0.02 * (c(w) + 1) / (N + V + 1), and of the last
+    part without its factor for a history h that was never seen; c(hw) and c(h) are quantised,
+    from probing the filter or, below its floor, from a join.  So a score does not hang on
+    ``ngrams``, but for false positives of the filter.  Quantised counts make the sum over w
+    differ from one by a few percent, but no p exceeds one.
 
     Null and empty texts have one token, the end.  Repeated rows count and are scored each.
     An empty table, or nothing to learn from, gives N = 0 and uniform scores.  The filter
     and the table of frequent words hold at most ``ngrams`` n-grams of each order (at the
-    default at most 90 MB together); rarer words are joined, none of them hot, as each has
-    less than 1/``ngrams`` of the training tokens.
+    default at most 90 MB together); rarer words and pairs are joined, none of them hot, as
+    each has about 1/``ngrams`` of the training tokens at most.
     """
     spark = docs.sparkSession
     plain = docs.select(col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), col(text).alias("text"))
     train = plain.where(~F.col("held_out"))
     counts = materialize(count_words(train), "word-counts")
-    words = frequent_words(counts, ngrams)
+    words = frequent_words(counts, ngrams, base)
     sent = spark.sparkContext.broadcast(words)
 
-    size = max(1, len(words.keys))
-    pairs = materialize(count_pairs(train, sent).where(F.col("n") >= words.floor), "pair-counts")
-    seen = pairs.groupBy(F.floor(F.col("key") / size).cast("long").alias("key")).agg(F.sum("n").alias("n"))
+    pairs = materialize(count_pairs(train, sent), "pair-counts")
+    frequent = pairs.where((F.col("kind") == BOTH) & (F.col("n") >= words.floor))
     singles = spark.createDataFrame(pa.table({"key": np.arange(len(words.keys)), "n": words.counts}))
     of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("key"), "n")
-    every = of(singles, WORD_KIND).unionByName(of(seen, SEEN_KIND)).unionByName(of(pairs, PAIR_KIND))
-    sent_filter = spark.sparkContext.broadcast(build_filter(every, words.floor, base, bits_per_entry, hashes))
+    every = of(singles, WORD_KIND).unionByName(of(frequent, PAIR_KIND))
+    sent_filter = spark.sparkContext.broadcast(build_filter(every, words.least, base, bits_per_entry, hashes))
 
-    ddl = f"id {plain.schema['id'].dataType.simpleString()}, held_out BOOLEAN, n_tokens LONG, n_known LONG, base_score DOUBLE, gain DOUBLE, rare ARRAY<LONG>"
+    ddl = f"id {plain.schema['id'].dataType.simpleString()}, held_out BOOLEAN, n_tokens LONG, n_known LONG, base_score DOUBLE, gain DOUBLE, rare ARRAY<LONG>, pairs ARRAY<LONG>"
     scored = materialize(
         plain.mapInArrow(_score(sent, sent_filter), ddl).withColumn("row", F.monotonically_increasing_id()), "scored"
     )
@@ -297,12 +365,17 @@ def score_documents(
     rare = scored.select("row", F.explode("rare").alias("key")).join(counts.where(F.col("n") < words.floor), "key", "left")
     norm = float(words.total + words.distinct + 1)
     rare = rare.groupBy("row").agg(
-        F.count("n").alias("n_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / norm)).alias("base_score")
+        F.count("n").alias("n_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / norm)).alias("base_score"),
+        (F.count("n") * math.log10(BACKOFF)).alias("gain"),  # each word is the history of one token, too
     )
-    both = scored.drop("rare").unionByName(rare, allowMissingColumns=True)
+    both = scored.drop("rare", "pairs").unionByName(rare, allowMissingColumns=True)
+    if words.floor > 1:
+        extra = _rare_pairs(pairs, counts, sent, sent_filter, base)
+        extra = scored.select("row", F.explode("pairs").alias("pair")).join(extra, "pair").groupBy("row").agg(F.sum("extra").alias("gain"))
+        both = both.unionByName(extra, allowMissingColumns=True)
     total = both.groupBy("row").agg(
         F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.max("gain").alias("gain"),
+        F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("gain").alias("gain"),
     )
     return total.select(
         col(id_col), "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"),

@@ -39,6 +39,33 @@ def test_base_scores_against_brute_force(spark, sf, ngrams):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-6)
 
 
+def brute_scores(rows, base=1.25):
+    """Scores of a bigram model that holds every pair, with quantised counts of pairs and histories."""
+    tokens = lambda t: [*words(low(t)), None]
+    train = [tokens(t) for d, t in rows if not is_held_out(d)]
+    c = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip([None, *t], t))
+    norm = sum(c.values()) + len(c) + 1
+    middle = lambda n: base ** (math.floor(math.log(n) / math.log(base) + 1e-9) + 0.5) if n else 0.0
+
+    def p(h, w):
+        single = (c[w] + 1) / norm
+        return 0.98 * middle(pairs[h, w]) / middle(c[h]) + 0.02 * single if c[h] else single
+
+    return {d: sum(math.log10(p(h, w)) for h, w in zip([None, *tokens(t)], tokens(t))) for d, t in rows}
+
+
+@pytest.mark.parametrize("ngrams", [1 << 22, 5000, 200])
+def test_scores_hold_every_pair_whatever_the_floor(spark, sf, ngrams):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_scores(rows)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    # Bits enough that false positives do not count.
+    got = lm.score_documents(docs, held, ngrams=ngrams, bits_per_entry=64, hashes=16).toPandas().set_index("doc_id")["score"]
+    assert len(got) == len(want) and all(math.isclose(got[d], x, rel_tol=1e-7, abs_tol=1e-5) for d, x in want.items())
+
+
 def test_pairs_help_on_held_out_texts(spark):
     rng = np.random.default_rng(0)
     follow = {i: rng.choice(200, 4) for i in range(200)}
