@@ -217,14 +217,24 @@ def check_contract(df: DataFrame, contract: Contract) -> DataFrame:
     return out.where("violations > 0")
 
 
-def enforce(df: DataFrame, contract: Contract) -> DataFrame:
-    """``df`` itself, or an error naming what is wrong with it."""
-    problems = [tuple(r) for r in check_contract(df, contract).limit(50).collect()]
-    if problems:
-        raise ValueError(f"contract violated: {problems}")
-    return df
+def problem_report(problems: DataFrame, count: str, examples: int = 20) -> str | None:
+    """Numbers of all rows of ``problems``, in total and by ``problem``, and some as examples; None without any.
+
+    ``count`` is the column that says how many rows of the checked table a problem has.
+    """
+    kinds = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.sum(count).alias("rows")).orderBy("problem").collect()
+    if not kinds:
+        return None
+    by_kind = ", ".join(f"{k['problem']}: {k['n']} ({count} {k['rows']})" for k in kinds)
+    some = [tuple(r) for r in problems.orderBy("problem", "subject").limit(examples).collect()]
+    return f"{sum(k['n'] for k in kinds)} problems; {by_kind}; examples: {some}"
 
 
+def enforce(df: DataFrame, contract: Contract) -> DataFrame:
+    """``df`` itself, or an error with the number of problems of each kind and examples of them."""
+    if report := problem_report(check_contract(df, contract), "violations"):
+        raise ValueError(f"contract violated: {report}")
+    return df
 
 
 def gold_contract(target: str, rows: int | None = None) -> Contract:

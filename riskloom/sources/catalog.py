@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.contracts import problem_report
+
 # FIXED VALUES: catalog columns and controlled vocabularies.
 CATALOG_COLUMNS = [
     "source_column",
@@ -101,9 +103,8 @@ def register_feature_catalog(df: DataFrame) -> DataFrame:
     """Validated catalog with its registration time."""
     if list(df.columns) != CATALOG_COLUMNS:
         raise ValueError(f"catalog columns must be exactly {CATALOG_COLUMNS}")
-    problems = catalog_problems(df).limit(20).collect()
-    if problems:
-        raise ValueError(f"catalog is not sound: {[tuple(p) for p in problems]}")
+    if report := problem_report(catalog_problems(df), "row_count"):
+        raise ValueError(f"catalog is not sound: {report}")
     return df.withColumn("_registered_timestamp", F.current_timestamp())
 
 

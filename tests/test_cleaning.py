@@ -125,3 +125,16 @@ def test_stream_runs_silver_cleaning_once_per_file(spark, tmp_path):
     assert append_new_files(spark, source, raw.schema, clean, target, progress).count() == 3
     raw.coalesce(1).write.mode("append").parquet(source)
     assert append_new_files(spark, source, raw.schema, clean, target, progress).count() == 6
+
+
+def test_errors_count_all_problems(spark):
+    columns = [f"c{i:03}" for i in range(70)]
+    df = spark.range(2).select("id", *[F.lit(None).cast("string").alias(c) for c in columns])
+    with pytest.raises(ValueError, match=r"contract violated: 70 problems; null: 70 \(violations 140\); examples: "):
+        contracts.enforce(df, contracts.Contract(non_null=columns))
+    rows = [tuple(f"{c} {i // 2}" if c in ("source_column", "silver_column") else "x" for c in catalog.CATALOG_COLUMNS) for i in range(60)]
+    bad = spark.createDataFrame(rows, catalog.CATALOG_COLUMNS)
+    total = catalog.catalog_problems(bad).count()
+    assert total > 20
+    with pytest.raises(ValueError, match=rf"catalog is not sound: {total} problems; .*examples: "):
+        catalog.register_feature_catalog(bad)
