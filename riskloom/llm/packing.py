@@ -9,11 +9,15 @@ the least permitted capacity that holds what it got.
 from __future__ import annotations
 
 import re
+import struct
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,16 +98,37 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, cost: Call
     return bins, offsets, final[bins]
 
 
-def pieces(docs: DataFrame, text: str, keep: Sequence[str], longest: int, with_text: bool) -> DataFrame:
+def _repeats_apart(hashes: list[int], part: int, seen: dict[int, int]) -> list[int]:
+    """Row hashes of partition ``part``, changed for the second and further rows of one hash.
+
+    Which hashes come out does not hang on the order of rows, so a retried task gives the
+    same ones.  First rows keep theirs in the first 1,024 partitions, and share a change in
+    each 1,024 more, so at most that many rows of one hash stay together.
+    """
+    out = []
+    for h in hashes:
+        k = seen[h]
+        seen[h] = k + 1
+        salt = (part, k) if k else (part >> 10, 0)
+        out.append(xxhash.xxh64_intdigest(struct.pack("<3q", h, *salt)) - (1 << 63) if any(salt) else h)
+    return out
+
+
+def pieces(docs: DataFrame, text: str, keep: Sequence[str], longest: int, with_text: bool, apart: bool = False) -> DataFrame:
     """Documents cut to pieces of at most ``longest`` tokens: words, and an end behind the last one.
 
     Columns: ``keep``, ``piece``, ``start`` (first token), ``length`` and, if asked for,
     ``piece_text``; the pieces of a text add up to the whole text.  A null or empty text
-    has one piece, its end.
+    has one piece, its end.  With ``apart`` the last of ``keep`` is a hash of the row, in
+    which repeated rows are told apart; a task holds the hashes of its rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = defaultdict(int)
         for batch in batches:
+            if apart:
+                changed = _repeats_apart(batch.column(names[-1]).to_pylist(), TaskContext.get().partitionId(), seen)
+                batch = batch.set_column(len(names) - 1, names[-1], pa.array(changed, pa.int64()))
             row, start, length, piece, texts = [], [], [], [], []
             for i, value in enumerate(batch.column("_text")):
                 t = value.as_py() or ""
@@ -139,7 +164,8 @@ def pack_documents(
     """One row for each piece of each document: ``keep``, piece, start, length, bin, capacity, bin_offset(, piece_text).
 
     Documents are dealt by a hash of their kept columns and text to buckets of bounded
-    size, which are packed on their own; the more documents, the more buckets.  Null and
+    size, which are packed on their own; the more documents, the more buckets.  Rows
+    repeated in a partition are dealt apart, by their number in it.  Null and
     empty texts are one end token.  Repeated rows are packed each; an empty table gives
     no bins.  The names of the result must not be among ``keep``.
     """
@@ -147,7 +173,7 @@ def pack_documents(
         raise ValueError(f"rename {sorted(clash)}")
     buckets = bucket_count(docs.count(), rows_per_bucket)
     h = F.xxhash64(*cols(keep), F.col(f"`{text}`"))
-    dealt = pieces(docs.withColumn("_h", h), text, [*keep, "_h"], max(capacities), with_text)
+    dealt = pieces(docs.withColumn("_h", h), text, [*keep, "_h"], max(capacities), with_text, apart=True)
     names = [f"k{i}" for i in range(len(keep))]
     last = f"k{len(keep)}"
     dealt = dealt.withColumn("bucket", bucket_of(F.col(last), buckets))

@@ -63,6 +63,18 @@ def test_pieces_of_odd_rows_add_up(odd_docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_repeated_rows_are_dealt_apart(spark):
+    rows = [(None, "")] * 2000 + [(7, None)] * 1000 + [(i, "a b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    got = packing.pack_documents(docs, rows_per_bucket=100).toPandas()
+    assert len(got) == len(rows) and got["doc_id"].isna().sum() == 2000 and (got["doc_id"] == 7).sum() == 1001
+    check_bins(got)
+    assert (got["bin"] // (1 << 32)).value_counts().max() < 200
+    assert packing._repeats_apart([5, 5, 6], 0, packing.defaultdict(int))[::2] == [5, 6]
+    one, other = (packing._repeats_apart(x, 3, packing.defaultdict(int)) for x in ([5, 5, 6, 5], [6, 5, 5, 5]))
+    assert sorted(one) == sorted(other) and len(set(one)) == 4
+
+
 def test_permutation_is_one(spark):
     for n in (0, 1, 2, 3, 5, 64, 1000, 4097):
         assert sorted(tokenshards.permuted(np.arange(n), n, 7).tolist()) == list(range(n))
