@@ -12,10 +12,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _spans(text: Column) -> Column:
+    """What stands between single white-space characters; empty between two of them."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " ", -1)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long; null counts as no words."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.array_remove(F.split(spaced, " ", -1), "")).cast("long")
+    return F.size(F.array_remove(_spans(text), "")).cast("long")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its ``n``-th word, 1 at least; the whole text if it has fewer."""
+    places = F.filter(F.transform(_spans(text), lambda s, i: F.when(s != "", i + 1)), lambda i: i.isNotNull())
+    last = F.try_element_at(places, n.cast("int"))
+    upto = F.length(F.array_join(F.slice(_spans(text), F.lit(1), last), " "))
+    return F.when(last.isNull(), text).otherwise(F.substring(text, F.lit(1), upto))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

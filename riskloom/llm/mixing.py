@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bucket_count, col, cols, free_names, n_words, prefix_sums
+from .common import bucket_count, col, cols, first_words, free_names, n_words, prefix_sums
 
 #: Knots (time, weight) per place in the cycle of weights: heavy sources fade, light ones come late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -118,24 +118,25 @@ def plan_mix(
     return placed.withColumn("taken", taken).select(*cols(kept), "size", "source_size", "target", "taken", "uses")
 
 
-def training_order(planned: DataFrame, whole_from: float = 0.5) -> DataFrame:
-    """The planned rows once for each use, range-sorted by ``position``.
+def training_order(planned: DataFrame) -> DataFrame:
+    """The planned rows once for each use, with its ``words`` and ``position``, range-sorted by ``position``.
 
-    A document that its source's budget ends in is used whole if at least ``whole_from`` of
-    its words lie before that end, and not at all otherwise.
+    These add up to ``taken``: of a document that its source's budget ends in, only the
+    first ``words`` words are used.
     """
-    use, position = free_names(planned, "_use", "position")
+    use, words, position = free_names(planned, "_use", "words", "position")
     used = planned.select(*cols(c for c in planned.columns if c != "uses"), F.explode("uses").alias(use))
-    used = used.where(F.col(f"{use}.words") >= F.lit(whole_from) * F.col("size"))
-    used = used.withColumn(position, F.col(f"{use}.position")).drop(use)
+    used = used.withColumns({words: F.col(f"{use}.words"), position: F.col(f"{use}.position")}).drop(use)
     # Rows of every source are spread over time, and a hash parts rows of one position.
     spread = [F.col(position), F.xxhash64("size", "source_size")]
     return used.repartitionByRange(*spread).sortWithinPartitions(*spread)
 
 
 def mix_documents(docs: DataFrame, source: str = "source", text: str = "text", key: Sequence[str] = ("doc_id", "text"), **options) -> DataFrame:
-    """The mixed corpus in training order: whole documents, repeated as planned, with the columns of ``docs``.
+    """The mixed corpus in training order: documents, repeated as planned, with the columns of ``docs``.
 
+    A document that its source's budget ends in is cut behind the last word that the plan
+    takes of it, so that a source's words add up to its target; its other columns stay.
     Texts are shuffled twice, by bucket of their source and by position, and never stored.
     """
     plain = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])  # no name can clash
@@ -143,4 +144,6 @@ def mix_documents(docs: DataFrame, source: str = "source", text: str = "text", k
     planned = plan_mix(
         plain, name[source], n_words(col(name[text])), cols(name[k] for k in key), store=False, **options
     )
-    return training_order(planned).select(*[F.col(v).alias(c) for c, v in name.items()])
+    out = dict(name) | {text: "_cut"}
+    cut = F.when(F.col("words") < F.col("size"), first_words(F.col(name[text]), F.col("words"))).otherwise(F.col(name[text]))
+    return training_order(planned).withColumn("_cut", cut).select(*[F.col(v).alias(c) for c, v in out.items()])

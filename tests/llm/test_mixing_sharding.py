@@ -65,6 +65,23 @@ def test_training_order_is_sorted_and_keeps_columns(spark, odd_docs, no_docs):
     assert plan.where("size = 0 and taken > 0").count() == 0
 
 
+def test_mixed_words_are_the_planned_ones(spark):
+    space = "\u00a0 \t\n \r\x0b"
+    long = space.join(f"\u00c0{i}" for i in range(1000)) + " "
+    rows = [(1, "a", "x " * 100), (2, "b", long), (3, "c", long), *[(i, "d", f" y{i}  z ") for i in range(10, 60)]]
+    docs = spark.createDataFrame(rows, "doc_id LONG, source STRING, text STRING")
+    plan = mixing.plan_mix(docs, "source", n_words(F.col("text")), [F.col("doc_id"), F.col("text")]).toPandas()
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    mixed = mixed.toPandas()
+    taken = plan.groupby("doc_id")["taken"].sum()
+    used = mixed.groupby("doc_id")["text"].agg(lambda t: sum(len(words(x)) for x in t))
+    assert used.to_dict() == taken[taken > 0].to_dict()
+    size = plan.set_index("doc_id")["size"]
+    assert (taken % size).loc[[2, 3]].any()  # some budget ends inside a long text
+    assert all(dict((i, t) for i, _, t in rows)[r["doc_id"]].startswith(r["text"]) for _, r in mixed.iterrows())
+
+
 def test_sharding_query_against_brute_force(spark, sf):
     got = queries.QUERIES["op4_sharding"](spark, sf).toPandas().set_index("doc_id")
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
