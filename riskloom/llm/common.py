@@ -17,6 +17,11 @@ def _spans(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " ", -1)
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text in order; none of a null one."""
+    return F.array_remove(_spans(text), "")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long; null counts as no words."""
     return F.size(F.array_remove(_spans(text), "")).cast("long")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, packing, piecewise, quality, sharding, simhash, tokenshards, urls
-from .common import LOWER, UPPER, n_words, unit
+from . import chat, countjoin, lm, middle, mixing, packing, periodic, piecewise, quality, sharding, simhash, tokenshards, urls
+from .common import LOWER, UPPER, n_words, unit, words_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +195,64 @@ def op10(spark, sf):
         piecewise.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         piecewise.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+OP11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines,
+         [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT FOR i IN range(4)] AS draw FROM d
+), c AS (
+  SELECT *, len(lines) AS n, least(draw[1] % (len(lines) + 1), draw[2] % (len(lines) + 1)) AS a,
+         greatest(draw[1] % (len(lines) + 1), draw[2] % (len(lines) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR draw[3] % 100 >= 100 THEN 'plain'
+              WHEN draw[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+         array_to_string(lines[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11)
+def op11(spark, sf):
+    done = middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
+    n, h = F.size("words"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = docs.withColumns({"n": n, "h": h, "g": F.floor(h / 10)})
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p = F.col("a"), F.col("p")
+    looped = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + F.pmod(i - a, p)).cast("int"))))
+    docs = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), looped).otherwise(F.col("words")).alias("words"))
+    found = docs.withColumn("found", periodic.periodic_runs(F.col("words"))).select("doc_id", "words", "found.*")
+    best = periodic.longest_run(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    said = F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2(F.array_join(periodic.without_repetitions(F.col("words"), F.col("kept")), " "), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_count_vector_join")
+def op13(spark, sf):
+    return countjoin.jaccard_classes(table(spark, sf, "documents"))
