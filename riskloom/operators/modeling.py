@@ -1,4 +1,4 @@
-"""Late-delivery and profit models on Spark ML.
+"""Late-delivery and profit models: linear ones on Spark ML, boosted trees in ``boosting``.
 
 Fits run on executors over the training slice; predictions stay DataFrames.  Only
 model metadata (coefficients, importances, candidate metrics) reaches the driver.
@@ -10,18 +10,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
 from ..functions.aggregates import ratio_or_zero
+from . import boosting
 from .decisions import high_risk_flag, predicted_margin
 from .evaluation import classification_metrics, regression_metrics
 from .gold import merge_one_to_one
@@ -177,14 +178,20 @@ class Candidate:
     rate: float
     row_share: float
     feature_share: float
-    min_rows: int = 1
+    min_child_weight: float = 1.0
+    reg_lambda: float = 1.0
+    reg_alpha: float = 0.0
+
+    def setting(self, seed: int = 42) -> boosting.Setting:
+        return boosting.Setting(self.rounds, self.depth, self.rate, self.row_share, self.feature_share, self.reg_lambda,
+                                self.reg_alpha, self.min_child_weight, seed)
 
 
 # FIXED VALUES: the two candidate grids.
 LATE_CANDIDATES = (
-    Candidate("balanced_reference", 200, 3, 0.05, 0.90, 0.90, 1),
-    Candidate("shallower_regularized", 250, 2, 0.04, 0.85, 0.85, 3),
-    Candidate("deeper_conservative", 150, 4, 0.06, 0.90, 0.90, 2),
+    Candidate("balanced_reference", 200, 3, 0.05, 0.90, 0.90, 1, 1.0, 0.0),
+    Candidate("shallower_regularized", 250, 2, 0.04, 0.85, 0.85, 3, 2.0, 0.1),
+    Candidate("deeper_conservative", 150, 4, 0.06, 0.90, 0.90, 2, 1.5, 0.0),
 )
 PROFIT_CANDIDATES = (
     Candidate("conservative_baseline", 200, 3, 0.05, 0.8, 0.8),
@@ -193,26 +200,25 @@ PROFIT_CANDIDATES = (
 )
 
 
-def _settings(c: Candidate, target: str, seed: int) -> dict:
-    return {
-        "featuresCol": FEATURES, "labelCol": target, "maxIter": c.rounds, "maxDepth": c.depth, "stepSize": c.rate,
-        "subsamplingRate": c.row_share, "featureSubsetStrategy": str(c.feature_share), "minInstancesPerNode": c.min_rows,
-        "seed": seed,
-    }
+def fit_boosted(features: DataFrame, target: str, grid: Sequence[Candidate], seed: int = 42) -> list[boosting.BoostedTrees]:
+    """The candidates' ensembles, grown side by side; a classifier weighs positives by the negative-to-positive ratio."""
+    late = target == N.LATE
+    weight = None
+    if late:
+        counts = features.agg(F.count_if(F.col(target) == 0).alias("n"), F.count_if(F.col(target) == 1).alias("p")).first()
+        weight = F.when(F.col(target) == 1, counts["n"] / counts["p"] if counts["p"] else 1.0).otherwise(1.0)
+    keys = [c for c in N.KEYS if c in features.columns]
+    return boosting.fit_many(
+        features, [c.setting(seed) for c in grid], boosting.LOGISTIC if late else boosting.SQUARED, target, FEATURES, weight,
+        F.xxhash64(*keys) if keys else None)
 
 
-def fit_gbt_classifier(features: DataFrame, candidate: Candidate, target: str = N.LATE, seed: int = 42):
-    """Boosted trees with positives weighted by the negative-to-positive ratio."""
-    counts = features.agg(F.count_if(F.col(target) == 0).alias("n"), F.count_if(F.col(target) == 1).alias("p")).first()
-    weight = counts["n"] / counts["p"] if counts["p"] else 1.0
-    rows = features.select(FEATURES, F.col(target).cast("double").alias(target),
-                           F.when(F.col(target) == 1, weight).otherwise(1.0).alias("class_weight"))
-    return GBTClassifier(weightCol="class_weight", **_settings(candidate, target, seed)).fit(rows)
+def fit_gbt_classifier(features: DataFrame, candidate: Candidate, target: str = N.LATE, seed: int = 42) -> boosting.BoostedTrees:
+    return fit_boosted(features, target, [candidate], seed)[0]
 
 
-def fit_gbt_regressor(features: DataFrame, candidate: Candidate, target: str = N.PROFIT, seed: int = 42):
-    rows = features.select(FEATURES, F.col(target).cast("double").alias(target))
-    return GBTRegressor(**_settings(candidate, target, seed)).fit(rows)
+def fit_gbt_regressor(features: DataFrame, candidate: Candidate, target: str = N.PROFIT, seed: int = 42) -> boosting.BoostedTrees:
+    return fit_boosted(features, target, [candidate], seed)[0]
 
 
 def positive_probability() -> Column:
@@ -240,8 +246,7 @@ def candidate_results(
     train: DataFrame, validation: DataFrame, target: str, grid: Sequence[Candidate], seed: int = 42
 ) -> tuple[DataFrame, dict]:
     """Validation metrics of every candidate, the chosen one marked, and the fitted models."""
-    fit = fit_gbt_classifier if target == N.LATE else fit_gbt_regressor
-    models = {c.candidate_id: fit(train, c, target, seed) for c in grid}
+    models = dict(zip([c.candidate_id for c in grid], fit_boosted(train, target, grid, seed)))
     scored = None
     for name, model in models.items():
         rows = prediction_rows(model, validation, target, name)
@@ -266,8 +271,8 @@ def select_candidate(scored: DataFrame, target: str, candidates: Sequence[str])
 
 
 def feature_importance(spark, model, names: Sequence[str]) -> DataFrame:
-    """Importance, share and rank of every feature slot."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+    """Gain importance (mean loss reduction per split, adding up to one), share and rank of every feature slot."""
+    rows = [(n, float(v)) for n, v in zip(names, model.gain_importance())]
     return rank_importance(spark.createDataFrame(rows, "feature_name STRING, importance_value DOUBLE"))
 
 

@@ -272,3 +272,101 @@ def l16(spark, sf):
 ORDER BY md5(concat_ws('|', '42', CAST(Order_Id AS VARCHAR), Order_Item_Id, CAST(order_date_DateOrders AS VARCHAR))), Order_Id, Order_Item_Id LIMIT 500"""))
 def l18(spark, sf):
     return L.sample_rows(segments(spark, sf).select(*N.KEYS, N.SEGMENT), 500)
+
+
+# --- boosted trees: the first tree of both objectives, two levels deep ------------------------------
+def _first_tree_sql(start: str, g: str, h: str, lam: float, alpha: float, least: float) -> str:
+    """Every split and leaf of the first tree, by trying each cut of each predictor."""
+    score = lambda x, y: f"(greatest(abs({x}) - {alpha}, 0) ** 2 / ({y} + {lam}))"
+    leaf = lambda x, y: f"(-sign({x}) * greatest(abs({x}) - {alpha}, 0) / ({y} + {lam}))"
+
+    def level(name: str, source: str) -> str:
+        """Best cut of each part of ``source`` (part, a, b, g, h)."""
+        return f"""{name}_v AS (SELECT part, slot, v, sum(g) AS g, sum(h) AS h FROM (
+    SELECT part, unnest([0, 1]) AS slot, unnest([a, b]) AS v, g, h FROM {source}) GROUP BY ALL),
+{name}_c AS (SELECT part, slot, v, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(g) OVER (PARTITION BY part, slot) AS tg, sum(h) OVER (PARTITION BY part, slot) AS th
+  FROM {name}_v WINDOW w AS (PARTITION BY part, slot ORDER BY v)),
+{name} AS (SELECT part, slot, v AS cut, {score("lg", "lh")} + {score("(tg - lg)", "(th - lh)")} - {score("tg", "th")} AS gain, lg, lh, tg - lg AS rg, th - lh AS rh
+  FROM {name}_c WHERE lh >= {least} AND th - lh >= {least} QUALIFY row_number() OVER (PARTITION BY part ORDER BY round(gain, 6) DESC, slot, v) = 1)"""
+
+    return f"""{start},
+r AS (SELECT 'root' AS part, a, b, {g} AS g, {h} AS h FROM q),
+{level("one", "r")},
+s AS (SELECT CASE WHEN CASE one.slot WHEN 0 THEN r.a ELSE r.b END <= one.cut THEN 'low' ELSE 'high' END AS part, r.a, r.b, r.g, r.h FROM r CROSS JOIN one),
+{level("two", "s")},
+splits AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+nodes AS (SELECT part AS node, CAST(slot AS INT) AS slot, CAST(cut AS DOUBLE) AS cut, gain, CAST(NULL AS DOUBLE) AS value, lh + rh AS cover FROM splits
+  UNION ALL SELECT part || '.low', NULL, NULL, NULL, 0.1 * {leaf("lg", "lh")}, lh FROM two
+  UNION ALL SELECT part || '.high', NULL, NULL, NULL, 0.1 * {leaf("rg", "rh")}, rh FROM two)"""
+
+
+_LATE_TREE = f"""WITH {O.BASE}, x AS (SELECT CAST(qty AS DOUBLE) AS a, CAST(tax AS DOUBLE) AS b, CAST(Late_delivery_risk AS DOUBLE) AS y FROM oi),
+k AS (SELECT sum(1 - y) / sum(y) AS pw FROM x), z AS (SELECT a, b, y, CASE WHEN y = 1 THEN pw ELSE 1.0 END AS w FROM x CROSS JOIN k),
+m AS (SELECT 1 / (1 + exp(-4 * (sum(w * y) / sum(w) - 0.5))) AS p FROM z), q AS (SELECT z.*, p FROM z CROSS JOIN m)"""
+_PROFIT_TREE = f"""WITH {O.BASE}, x AS (SELECT CAST(qty AS DOUBLE) AS a, CAST(tax AS DOUBLE) AS b, CAST(Order_Profit_Per_Order AS DOUBLE) AS y FROM oi),
+q AS (SELECT a, b, y, avg(y) OVER () AS p FROM x)"""
+_LATE_TREE = _first_tree_sql(_LATE_TREE, "(p - y) * w", "p * (1 - p) * w", 2.0, 0.1, 3.0)
+_PROFIT_TREE = _first_tree_sql(_PROFIT_TREE, "p - y", "1.0", 1.0, 0.0, 1.0)
+_NODES = " SELECT node, coalesce(slot, -1) AS slot, cut, round(gain, 1) AS gain, round(value, 7) AS value, round(cover, 4) AS cover FROM nodes"
+
+
+def _first_tree(spark, sf, target, *penalties):
+    candidate = L.Candidate("first", 1, 2, 0.1, 1.0, 1.0, *penalties)
+    return L.fit_boosted(_signals(spark, sf, target), target, [candidate])[0]
+
+
+def _node_table(spark, model):
+    """Nodes of the one tree by their path: model metadata, seven rows at most."""
+    tree, rows, stack = model.trees[0], [], [("root", 0)]
+    while stack:
+        path, n = stack.pop()
+        inner = tree.left[n] >= 0
+        rows.append((path, *((tree.slot[n], tree.cut[n], tree.gain[n], None) if inner else (-1, None, None, tree.value[n])), tree.cover[n]))
+        if inner:
+            begin = "" if path == "root" else path + "."
+            stack += [(begin + "low", tree.left[n]), (begin + "high", tree.right[n])]
+    table = spark.createDataFrame(rows, "node STRING, slot INT, cut DOUBLE, gain DOUBLE, value DOUBLE, cover DOUBLE")
+    return table.withColumns({"gain": F.round("gain", 1), "value": F.round("value", 7), "cover": F.round("cover", 4)})
+
+
+@query("l6_first_tree", _LATE_TREE + _NODES)
+def l6_tree(spark, sf):
+    """Splits, gains and penalized leaf values of the classifier's first tree."""
+    return _node_table(spark, _first_tree(spark, sf, N.LATE, 3.0, 2.0, 0.1))
+
+
+@query("l8_first_tree", _PROFIT_TREE + _NODES)
+def l8_tree(spark, sf):
+    return _node_table(spark, _first_tree(spark, sf, N.PROFIT))
+
+
+_GAIN = """, g AS (SELECT CASE slot WHEN 0 THEN 'a' ELSE 'b' END AS feature_name, avg(gain) AS gain FROM splits GROUP BY 1),
+f AS (SELECT feature_name, coalesce(gain, 0) AS gain FROM (SELECT unnest(['a', 'b']) AS feature_name) LEFT JOIN g USING (feature_name))
+SELECT feature_name, round(gain / sum(gain) OVER (), 7) AS importance_value, round(gain / sum(gain) OVER (), 7) AS importance_share,
+  row_number() OVER (ORDER BY gain DESC, feature_name) AS importance_rank FROM f"""
+
+
+@query("l9_gain_importance", _PROFIT_TREE + _GAIN)
+def l9_gain(spark, sf):
+    """Mean loss reduction of each predictor's splits in the first tree."""
+    out = L.feature_importance(spark, _first_tree(spark, sf, N.PROFIT), ["a", "b"])
+    return rounded(out, ["importance_value", "importance_share"], 7)
+
+
+_TREE_SHAPLEY = """, leaf AS (SELECT value, split_part(node, '.', 1) = 'low' AS low1, split_part(node, '.', 2) = 'low' AS low2, one.slot AS f1, one.cut AS c1, two.slot AS f2, two.cut AS c2,
+    (two.lh + two.rh) / (one.lh + one.rh) AS r1, cover / (two.lh + two.rh) AS r2 FROM nodes JOIN two ON two.part = split_part(node, '.', 1) CROSS JOIN one WHERE value IS NOT NULL),
+d AS (SELECT a, b, count(*) AS n FROM q GROUP BY 1, 2),
+w AS (SELECT *, CAST((CASE f1 WHEN 0 THEN a ELSE b END <= c1) = low1 AS INT) AS m1, CAST((CASE f2 WHEN 0 THEN a ELSE b END <= c2) = low2 AS INT) AS m2 FROM d CROSS JOIN leaf),
+v AS (SELECT a, b, max(n) AS n, sum(value * r1 * r2) AS v0, sum(value * m1 * m2) AS vab,
+    sum(value * CASE f1 WHEN 0 THEN m1 ELSE r1 END * CASE f2 WHEN 0 THEN m2 ELSE r2 END) AS va, sum(value * CASE f1 WHEN 1 THEN m1 ELSE r1 END * CASE f2 WHEN 1 THEN m2 ELSE r2 END) AS vb FROM w GROUP BY 1, 2),
+p AS (SELECT n, unnest(['a', 'b']) AS feature_name, unnest([(va - v0 + vab - vb) / 2, (vb - v0 + vab - va) / 2]) AS phi FROM v)
+SELECT feature_name, round(sum(n * abs(phi)) / sum(n), 7) AS mean_abs_contribution, round(sum(n * phi) / sum(n), 7) + 0 AS mean_signed_contribution, CAST(sum(n) AS BIGINT) AS sample_size FROM p GROUP BY 1"""
+
+
+@query("l12_first_tree_attribution", _PROFIT_TREE + _TREE_SHAPLEY)
+def l12_tree(spark, sf):
+    """Shapley values of the first tree, against all coalitions of its two predictors."""
+    model = _first_tree(spark, sf, N.PROFIT)
+    out = A.tree_attribution(model, _signals(spark, sf, N.PROFIT), ["a", "b"])
+    return out.select("feature_name", F.round("mean_abs_contribution", 7).alias("mean_abs_contribution"),
+                      (F.round("mean_signed_contribution", 7) + 0.0).alias("mean_signed_contribution"), "sample_size")

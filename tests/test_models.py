@@ -3,11 +3,11 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom import names as N
-from riskloom.operators import attribution as A, clustering as C, gold, modeling as L
+from riskloom.operators import attribution as A, boosting, clustering as C, gold, modeling as L
 
 GROUPS = L.FeatureGroups(numeric=["x1", "x2"], binary=["b1"], categorical=["c1"])
 
@@ -70,16 +70,14 @@ def test_logistic_and_candidates(spark, encoded):
     assert shares == pytest.approx(1.0)
 
 
-def brute_shapley(nodes, x, width):
+def brute_shapley(tree, x, width):
     """Path-dependent Shapley values of one tree by enumerating all coalitions."""
-    def value(node, known):
-        n = nodes[node]
-        if n["left"] < 0:
-            return n["value"]
-        low = x[n["slot"]] in n["cut"] if n["categories"] > 0 else x[n["slot"]] <= n["cut"][0]
-        if n["slot"] in known:
-            return value(n["left"] if low else n["right"], known)
-        return sum(nodes[c]["cover"] / n["cover"] * value(c, known) for c in (n["left"], n["right"]))
+    def value(n, known):
+        if tree.left[n] < 0:
+            return tree.value[n]
+        if tree.slot[n] in known:
+            return value(tree.left[n] if x[tree.slot[n]] <= tree.cut[n] else tree.right[n], known)
+        return sum(tree.cover[c] / tree.cover[n] * value(c, known) for c in (tree.left[n], tree.right[n]))
 
     phi = np.zeros(width)
     for i in range(width):
@@ -96,16 +94,116 @@ def test_tree_attribution_equals_enumeration(encoded):
     model = L.fit_gbt_regressor(features, L.Candidate("c", 3, 3, 0.3, 1.0, 1.0))
     sample = features.limit(25)
     got = {r["feature_name"]: r for r in A.tree_attribution(model, sample, names, max_rows=None).collect()}
-    trees = {}
-    for r in A.tree_nodes(model).collect():
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
     xs = [r[0] for r in sample.select(vector_to_array("features")).collect()]
-    phi = np.array([sum(model.treeWeights[t] * brute_shapley(n, x, len(names)) for t, n in trees.items()) for x in xs])
+    phi = np.array([sum(brute_shapley(t, x, len(names)) for t in model.trees) for x in xs])
     for i, name in enumerate(names):
         assert got[name]["mean_abs_contribution"] == pytest.approx(np.abs(phi[:, i]).mean(), abs=1e-9)
         assert got[name]["mean_signed_contribution"] == pytest.approx(phi[:, i].mean(), abs=1e-9)
 
 
+def chain(depth, rng):
+    """A tree that tests another feature at each of ``depth`` steps."""
+    tree = boosting.Tree()
+    node = tree.add(0.0, 1000.0)
+    for k in range(depth):
+        share = rng.uniform(0.2, 0.8)
+        tree.slot[node], tree.cut[node] = k, 0.0
+        tree.left[node] = tree.add(float(rng.normal()), tree.cover[node] * share)
+        tree.right[node] = tree.add(float(rng.normal()), tree.cover[node] * (1 - share))
+        node = tree.right[node]
+    return tree
+
+
+def test_attribution_of_deep_trees():
+    rng = np.random.default_rng(3)
+    small = chain(9, rng)
+    x = rng.normal(size=(12, 9))
+    assert np.allclose(A.tree_contributions([small], 9)(x), [brute_shapley(small, r, 9) for r in x], atol=1e-12)
+    deep = chain(24, rng)
+    x = rng.normal(size=(400, 24)) + 0.7
+    phi = A.tree_contributions([deep], 24)(x)
+    model = boosting.BoostedTrees(boosting.SQUARED, 0.0, 24, [deep])
+    expected, reach, node = 0.0, 1.0, 0
+    while deep.left[node] >= 0:  # the cover-weighted mean leaf
+        expected += deep.cover[deep.left[node]] / deep.cover[0] * deep.value[deep.left[node]]
+        node = deep.right[node]
+    expected += deep.cover[node] / deep.cover[0] * deep.value[node]
+    assert np.allclose(phi.sum(1), model.margins(x) - expected, atol=1e-9)
+
+
+def exact_greedy(x, y, w, s, objective, base):
+    """The same boosting by sorting: every cut of every feature, row by row sums."""
+    margin, trees = np.full(len(y), base), []
+    soft = lambda g: np.sign(g) * max(abs(g) - s.reg_alpha, 0.0)
+    score = lambda g, h: soft(g) ** 2 / (h + s.reg_lambda)
+    for _ in range(s.rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = ((p - y) * w, p * (1 - p) * w) if objective == boosting.LOGISTIC else ((margin - y) * w, w)
+        step, used = np.zeros(len(y)), []
+
+        def grow(rows, depth):
+            best = None
+            if depth < s.depth:
+                for slot in range(x.shape[1]):
+                    for cut in np.unique(x[rows, slot])[:-1]:
+                        low = x[rows, slot] <= cut
+                        a, b = rows[low], rows[~low]
+                        if min(h[a].sum(), h[b].sum()) >= s.min_child_weight:
+                            gain = score(g[a].sum(), h[a].sum()) + score(g[b].sum(), h[b].sum()) - score(g[rows].sum(), h[rows].sum())
+                            if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                                best = gain, slot, a, b
+            if best is None:
+                step[rows] = -s.rate * soft(g[rows].sum()) / (h[rows].sum() + s.reg_lambda)
+                return
+            used.append(best[:2])
+            grow(best[2], depth + 1)
+            grow(best[3], depth + 1)
+
+        grow(np.arange(len(y)), 0)
+        margin = margin + step
+        trees.append(used)
+    return margin, trees
+
+
+@pytest.mark.parametrize("objective", [boosting.LOGISTIC, boosting.SQUARED])
+def test_boosting_equals_exact_greedy(spark, monkeypatch, objective):
+    monkeypatch.setattr(boosting, "REFRESH", 3)  # several refreshes in few rounds
+    rng = np.random.default_rng(8)
+    n = 300
+    x = np.stack([rng.integers(0, 12, n), rng.integers(0, 2, n), rng.normal(size=n).round(1), np.zeros(n)], 1).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 0)).astype(float) * 0.9 + rng.normal(size=n) * 0.3
+    y = (y > 0.5).astype(float) if objective == boosting.LOGISTIC else y * 40
+    w = np.where(y > 0, 1.7, 1.0) if objective == boosting.LOGISTIC else np.ones(n)
+    rows = spark.createDataFrame(
+        [(i, r, float(a), float(b)) for i, (r, a, b) in enumerate(zip(x.tolist(), y, w))], "id LONG, x ARRAY<DOUBLE>, y DOUBLE, w DOUBLE"
+    ).withColumn("features", array_to_vector("x"))
+    settings = [boosting.Setting(7, 3, 0.3, reg_lambda=1.5, reg_alpha=0.4, min_child_weight=2.0), boosting.Setting(4, 1, 0.5, reg_lambda=0.0)]
+    models = boosting.fit_many(rows.repartition(3), settings, objective, "y", weight=F.col("w"))
+    for s, model in zip(settings, models):
+        margin, trees = exact_greedy(x, y, w, s, objective, model.base)
+        assert len(model.trees) == s.rounds and np.allclose(model.margins(x), margin, atol=1e-5)
+        gains = {}
+        for used in trees:
+            for gain, slot in used:
+                gains.setdefault(slot, []).append(gain)
+        mean = np.array([np.mean(gains.get(i, [0.0])) for i in range(4)])
+        assert np.allclose(model.gain_importance(), mean / mean.sum(), atol=1e-6)
+    again = boosting.fit_many(rows.repartition(7), settings, objective, "y", weight=F.col("w"))
+    assert [t.value for m in models for t in m.trees] == [t.value for m in again for t in m.trees]
+
+
+def test_boosting_draws_rows_and_columns(spark, encoded):
+    features, names, _ = encoded
+    drawn = L.Candidate("drawn", 8, 2, 0.3, 0.5, 0.5)
+    a, b = (L.fit_gbt_classifier(features.repartition(k), drawn) for k in (2, 5))
+    whole = L.fit_gbt_classifier(features, L.Candidate("whole", 8, 2, 0.3, 1.0, 1.0))
+    assert [t.value for t in a.trees] == [t.value for t in b.trees] != [t.value for t in whole.trees]
+    scored = a.transform(features)
+    assert scored.select(F.avg((F.col("prediction") == F.col(N.LATE)).cast("int"))).first()[0] > 0.7
+    with pytest.raises(ValueError):
+        boosting.fit_many(features.limit(0), [boosting.Setting(1, 1, 0.1)], boosting.LOGISTIC, N.LATE)
+
+
 def test_linear_attribution_sums_to_nothing(encoded):
     features, names, _ = encoded
     rows = A.linear_attribution(L.fit_ridge(features), features, names, max_rows=None).collect()
