@@ -7,7 +7,8 @@ whole boxes, then points, that cannot reach the overlap that the similarity asks
 
 Trees are local to tiles.  Two sets that link share one of the rarest n-grams of each (of a set of n,
 the n - ceil(0.9 n) + 1 rarest hold one), so there is a tile for each n-gram that several sets have
-among their rarest.  Within tiles only a spanning forest of the surviving pairs is put out.
+among their rarest, cut where sizes leave a gap that no link spans; tiles of the same sets are one.
+Within tiles only a spanning forest of the surviving pairs is put out.
 Its components hold every link; each component's sets meet once, in a tree of their own, and
 the pairs that survive there are verified on the n-grams themselves.
 """
@@ -29,6 +30,8 @@ from .simhash import shingle_hashes
 
 #: Buckets that n-grams are counted in to tell rare ones from frequent ones: a broadcast of half a megabyte.
 FREQUENCY_BITS = 16
+#: Bits of the filter that texts are chosen by before they are shuffled: a broadcast of eight megabytes.
+CHOICE_BITS = 26
 #: Groups of a count vector, a power of two that grows with the set.
 LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 32, 1024, 16
 LEAF = 64
@@ -48,6 +51,16 @@ def count_vector(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams >> shift).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in the fewest bytes for each count, and how many those are."""
+    width = next(w for w in (1, 2, 4) if counts.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
+
+
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1)
 
@@ -161,12 +174,35 @@ def _stacks(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> It
         yield pa.Table.from_batches(held)
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for chunk in column.chunks:
-        flat, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
-        out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    return out
+def _meeting(percent: int):
+    """Of rows sorted by n-gram and size, those next to one of a size that can link: ``gram, chain, place, row``.
+
+    A chain is a stretch of rows in which each may link with the next by size; its number is its first row.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before, with its chain, its place in it, and whether the row before that may link with it
+        for batch in batches:
+            gram, n, row = (batch.column(c).to_numpy() for c in ("gram", "n", "row"))
+            if not len(row):
+                continue
+            if last:
+                gram, n, row = (np.concatenate([[x], y]) for x, y in zip(last, (gram, n, row)))
+            follows = np.concatenate([[False], (gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:])])
+            first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(row))))
+            chain, place = row[first], np.arange(len(row)) - first
+            if last:  # what belongs to the chain of the row before
+                mine = first == 0
+                chain[mine], place[mine] = last[3], place[mine] + last[4]
+                follows[0] = last[5]
+            meets = follows[:-1] | follows[1:]
+            out = [pa.array(x[:-1][meets]) for x in (gram, chain, place.astype(np.int64), row)]
+            last = tuple(int(x[-1]) for x in (gram, n, row, chain, place)) + (bool(follows[-1]),)
+            yield pa.RecordBatch.from_arrays(out, ["gram", "chain", "place", "row"])
+        if last and last[5]:
+            yield pa.RecordBatch.from_arrays([pa.array([last[k]], pa.int64()) for k in (0, 3, 4, 2)], ["gram", "chain", "place", "row"])
+
+    return run
 
 
 def _small_tile_pairs(tile: np.ndarray, counts: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -185,10 +221,11 @@ def _small_tile_pairs(tile: np.ndarray, counts: list[np.ndarray], sizes: np.ndar
             few, many = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             fits = (100 * few >= percent * many) & ((own[i] == g) | (own[j] == g))
             i, j, both = i[fits], j[fits], (few + many)[fits]
-            for a in range(0, len(i), 1 << 16):
-                x, y = i[a:a + (1 << 16)], j[a:a + (1 << 16)]
+            step = (1 << 21) // g
+            for a in range(0, len(i), step):
+                x, y = i[a:a + step], j[a:a + step]
                 shared = np.minimum(points[x], points[y]).sum(1)
-                ok = (100 + percent) * shared >= percent * both[a:a + (1 << 16)]
+                ok = (100 + percent) * shared >= percent * both[a:a + step]
                 found.append(np.stack([at[x[ok]], at[y[ok]]], 1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
@@ -197,11 +234,11 @@ def _tiles(percent: int):
     """A spanning forest of the pairs that survive in each tile."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _stacks(batches, ["gram", "block"], 20_000):
-            gram, block, row, sizes = (table.column(c).to_numpy() for c in ("gram", "block", "row", "n"))
-            counts = _lists(table.column("counts"))
+        for table in _stacks(batches, ["gram", "chain", "block"], 10_000):
+            gram, chain, block, row, sizes = (table.column(c).to_numpy() for c in ("gram", "chain", "block", "row", "n"))
+            counts = [unpacked(raw.as_py()) for raw in table.column("counts")]
             sizes = sizes.astype(np.int64)
-            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (chain[1:] != chain[:-1]) | (block[1:] != block[:-1])])
             begins = np.flatnonzero(new)
             ends = np.append(begins[1:], len(row))
             tile = np.cumsum(new) - 1
@@ -285,12 +322,12 @@ def _verified(percent: int, words: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, parts: Column, own: Column) -> DataFrame:
+def _dealt(rows: DataFrame, keys: list[str], parts: Column, own: Column) -> DataFrame:
     """``rows`` with ``own``, ``block`` and ``across``: each goes to all pairs of blocks that its own one is in."""
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(
         (F.least(k, own) * parts + F.greatest(k, own)).alias("block"), (k != own).alias("across")))
     out = rows.withColumn("own", own).select("*", F.inline(pairs))
-    return out.repartition(key, "block").sortWithinPartitions(key, "block")
+    return out.repartition(*keys, "block").sortWithinPartitions(*keys, "block")
 
 
 def gram_frequencies(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -327,21 +364,48 @@ def _profiles(docs: DataFrame, frequencies, words: int, percent: int) -> DataFra
                 linkable = size * (100 - percent) >= percent
                 rarest = np.lexsort((grams, often[(grams & np.uint64(len(often) - 1)).astype(np.int64)]))
                 rare.append(grams[rarest[:size - least_partner(size, percent) + 1]].view(np.int64) if linkable else np.zeros(0, np.int64))
-                counts.append(count_vector(grams) if linkable else np.zeros(0, np.int32))
+                counts.append(packed(count_vector(grams)) if linkable else None)
             ends = lambda parts: pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
-                 pa.ListArray.from_arrays(ends(counts), pa.array(np.concatenate(counts))),
+                 pa.array(counts, pa.binary()),
                  pa.ListArray.from_arrays(ends(rare), pa.array(np.concatenate(rare)))],
                 ["id", "h", "n", "node", "counts", "rare"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h LONG, n LONG, node BINARY, counts ARRAY<INT>, rare ARRAY<LONG>")
+    return docs.mapInArrow(run, f"id {kind}, h LONG, n LONG, node BINARY, counts BINARY, rare ARRAY<LONG>")
+
+
+def _row_key() -> list[Column]:
+    """Id and text hash in a form that joins, nulls too."""
+    return [F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h"]
+
+
+def _chosen(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose text hash a bitmap of the members' ones has: all that are wanted, and few others.
+
+    The bitmap has the same size whatever the corpus.
+    """
+    spark, pages = docs.sparkSession, 1 << (CHOICE_BITS - 15)
+    at = F.shiftrightunsigned("h", 64 - CHOICE_BITS)
+    page = members.select((at / 32768).cast("int").alias("page"), (at % 32768).alias("bit"))
+    page = page.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    bits = np.zeros((pages, 4096), np.uint8)
+    for number, raw in zip(page.column("page").to_pylist(), page.column("bits")):
+        bits[number] = np.frombuffer(raw.as_buffer(), np.uint8)
+    sent = spark.sparkContext.broadcast(bits.ravel())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = (batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - CHOICE_BITS)).astype(np.int64)
+            yield batch.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = 3, percent: int = 90, block: int = 2048,
-    block_grams: int = 1 << 20,
+    block_grams: int = 1 << 18,
 ) -> DataFrame:
     """One row for each document: its id, ``n_shingles``, ``component_id`` and ``n_links``.
 
@@ -367,14 +431,17 @@ def jaccard_classes(
     sets = materialize(sets, "distinct-sets")
 
     # One row of each set that can link at all, and the tiles of n-grams that several sets have.
-    firsts = profiles.where(F.size("rare") > 0).join(sets.select("row"), "row", "left_semi")
-    grams = firsts.select("row", F.explode("rare").alias("gram")).repartition("gram")
-    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    met = materialize(grams.join(met, "gram"), "shared-grams")
-    points = met.join(firsts.select("row", "n", "counts"), "row")
+    firsts = profiles.where(F.col("counts").isNotNull()).join(sets.select("row"), "row", "left_semi")
+    grams = firsts.select("row", "n", F.explode("rare").alias("gram")).repartition("gram").sortWithinPartitions("gram", "n", "row")
+    met = materialize(grams.select("gram", "n", "row").mapInArrow(_meeting(percent), "gram LONG, chain LONG, place LONG, row LONG"), "shared-grams")
+    tiles = met.groupBy("gram", "chain").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    tiles = tiles.groupBy("m", "x", "y").agg(F.min(F.struct("gram", "chain")).alias("tile")).select("tile.*", "m")
+    points = materialize(met.join(tiles, ["gram", "chain"]), "tiles").join(firsts.select("row", "n", "counts"), "row")
     parts = F.ceil(F.col("m") / block).cast("int")
-    tiles = _dealt(points, "gram", parts, F.pmod(F.xxhash64("row"), parts).cast("int")).select("gram", "block", "row", "n", "counts")
-    candidates = tiles.mapInArrow(_tiles(percent), "a LONG, b LONG").distinct()
+    dealt = _dealt(points, ["gram", "chain"], parts, F.floor(F.col("place") * parts / F.col("m")).cast("int"))
+    dealt = dealt.select("gram", "chain", "block", "row", "n", "counts")
+    candidates = dealt.mapInArrow(_tiles(percent), "a LONG, b LONG").distinct()
     clusters = connected_components(candidates)
 
     # Each cluster's sets meet once, with the texts they come from.
@@ -383,15 +450,13 @@ def jaccard_classes(
     members = materialize(members, "clusters")
     weights = members.groupBy("root").agg(F.sum("n").alias("grams"))
     parts = F.ceil(F.col("grams") / block_grams).cast("int")
-    key = [F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h"]
-    texts = plain.select(*key, "text")
-    wanted = members.join(weights, "root").select(*key, "row", "root", "copies", parts.alias("parts"))
+    wanted = members.join(weights, "root").select(*_row_key(), "row", "root", "copies", parts.alias("parts"))
     # Rows of equal ids and texts are one set: any of their texts will do.
-    wanted = wanted.join(texts, ["none", "id", "h"]).dropDuplicates(["row"]).drop("none", "id", "h")
-    wanted = materialize(wanted, "cluster-texts")
-    dealt = _dealt(wanted, "root", F.col("parts"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    found = dealt.select("root", "block", "across", "own", "row", "copies", "text").mapInArrow(_verified(percent, words), "a LONG, b LONG, weight LONG")
-    found = materialize(found, "verified-links")
+    wanted = wanted.join(_chosen(plain, members).select(*_row_key(), "text"), ["none", "id", "h"])
+    wanted = materialize(wanted.dropDuplicates(["row"]).drop("none", "id", "h"), "cluster-texts")
+    dealt = _dealt(wanted, ["root"], F.col("parts"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    dealt = dealt.select("root", "block", "across", "own", "row", "copies", "text")
+    found = materialize(dealt.mapInArrow(_verified(percent, words), "a LONG, b LONG, weight LONG"), "verified-links")
 
     rooted = connected_components(found.select("a", "b"))
     weight = found.where(F.col("weight") > 0).groupBy(F.col("a").alias("row")).agg(F.sum("weight").alias("weight"))

@@ -234,8 +234,8 @@ def test_dense_clusters_lose_no_link_and_no_count(spark, options):
 
 def test_trees_keep_all_that_could_link():
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in rng.integers(9, 1400, 300)]
-    sets += [np.unique(np.concatenate([s[rng.random(len(s)) > 0.03], rng.integers(0, 1 << 63, len(s) // 40, dtype=np.uint64)])) for s in sets[:200]]
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in rng.integers(9, 900, 120)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) > 0.03], rng.integers(0, 1 << 63, len(s) // 40, dtype=np.uint64)])) for s in sets[:80]]
     sizes = np.array([len(s) for s in sets])
     forest = countjoin.Forest([countjoin.count_vector(s) for s in sets], sizes, 90)
     seen = 0
