@@ -1,13 +1,21 @@
-"""K-means on the two decision signals, as optional context to the segments."""
+"""K-means on the two decision signals, as optional context to the segments.
+
+All restarts of all cluster counts move together: one aggregation a step serves every setting.
+Silhouettes are in plain Euclidean distance, from sums of distances to summarised cells: a
+point's mean distance to the members of a cell lies between its distance r to their mean and
+sqrt(r^2 + s^2), s^2 their variance, which gives an estimate and a bound of its error.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,34 +42,338 @@ def signal_vectors(df: DataFrame, signals: Sequence[str] = (N.RISK, N.MARGIN)) -
     return materialize(pipeline.fit(rows).transform(rows).select(*df.columns, "signals"), "signals")
 
 
-def kmeans_candidates(
-    vectors: DataFrame, ks: Sequence[int] = CLUSTER_COUNTS, seed: int = 42, restarts: int = 10
-) -> tuple[DataFrame, dict]:
-    """Quality of each cluster count, the chosen one marked, and the best model per count.
+#: Cells along each of the first two signals, cut at their quantiles: the summary has at most the square of it for each cluster.
+CELLS = 128
+#: A cell counts as one when the width of its bounds is at most this share of the distance.
+NARROW = 0.01
+#: Halvings of the cells that points are worked on together in.
+TOGETHER = 2
+MOST_STEPS = 300
+
+
+@dataclass(frozen=True)
+class Clustering:
+    """Centres in the order of their coordinates, so that cluster numbers do not hang on the start."""
+
+    centers: np.ndarray
+    cost: float
+    sizes: np.ndarray
+
+    @property
+    def k(self) -> int:
+        return len(self.centers)
+
+    def transform(self, df: DataFrame, vectors: str = "signals") -> DataFrame:
+        """``df`` with the number of each row's nearest centre; the lower one of equally near ones."""
+        x = vector_to_array(F.col(vectors))
+        far = [sum(((F.get("_x", F.lit(d)) - float(v)) ** 2 for d, v in enumerate(c)), F.lit(0.0)) for c in self.centers]
+        best = F.array_min(F.array(*[F.struct(f.alias("far"), F.lit(i).alias("i")) for i, f in enumerate(far)]))["i"]
+        return df.withColumn("_x", x).withColumn(CLUSTER, best).drop("_x")
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _covariance(second: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """From second moments; nothing where only rounding is left of it, as where all points are one."""
+    out = second - mean[:, :, None] * mean[:, None, :]
+    out[np.trace(out, axis1=1, axis2=2) < 1e-12 * (1 + (mean**2).sum(1))] = 0.0
+    return out
+
+
+@dataclass(frozen=True)
+class Summary:
+    """Number, mean, covariance and box of the points of each cell and cluster; cells lie between quantile edges."""
+
+    edges: list[np.ndarray]
+    cell: np.ndarray
+    cluster: np.ndarray
+    n: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, points: DataFrame, cells: int = CELLS, edges: list[np.ndarray] | None = None) -> "Summary":
+        """From ``x`` (an array of doubles) and ``cluster``; one pass for the edges, unless given, and one for the cells."""
+        if edges is None:
+            probs = [i / cells for i in range(1, cells)]
+            cut = points.agg(*[F.percentile_approx(F.get("x", F.lit(d)), probs, 10_000).alias(f"e{d}") for d in range(2)]).first()
+            edges = [np.unique(np.array(cut[f"e{d}"] or [0.0], float)) for d in range(2)]
+
+        def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _points(batch)
+                key = cls._place(edges, x) * 65536 + batch.column("cluster").to_numpy(zero_copy_only=False)
+                keys, of = np.unique(key, return_inverse=True)
+                pairs = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                order = np.argsort(of, kind="stable")
+                starts = np.searchsorted(of[order], np.arange(len(keys)))
+                parts = [np.bincount(of, weights=v, minlength=len(keys)) for v in (np.ones(len(x)), *x.T, *pairs.T)]
+                values = np.hstack([np.stack(parts, 1), np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)])
+                ends = pa.array(np.arange(len(keys) + 1) * values.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], ["key", "v"])
+
+        width = len(points.select("x").first()[0])
+        partial = points.select("x", F.col("cluster").cast("long").alias("cluster")).mapInArrow(sums, "key LONG, v ARRAY<DOUBLE>")
+        m = 1 + width + width * width
+        how = [F.sum] * m + [F.min] * width + [F.max] * width
+        total = partial.groupBy("key").agg(*[f(F.get("v", F.lit(i))).alias(f"v{i}") for i, f in enumerate(how)]).orderBy("key").toArrow()
+        key = total.column("key").to_numpy()
+        v = np.stack([total.column(f"v{i}").to_numpy() for i in range(len(how))], 1)
+        mean = v[:, 1:1 + width] / v[:, :1]
+        return cls(edges, key // 65536, key % 65536, v[:, 0], mean, _covariance((v[:, 1 + width:m] / v[:, :1]).reshape(-1, width, width), mean),
+                   v[:, m:m + width], v[:, m + width:])
+
+    @staticmethod
+    def _place(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+        a, b = (np.searchsorted(e, x[:, d], "left") for d, e in enumerate(edges))
+        return a * 65536 + b
+
+    def levels(self) -> list["Summary"]:
+        """Ever coarser summaries, down to one cell for each cluster; each merges two by two cells of the one before."""
+        out = [self]
+        while len(np.unique(out[-1].cell)) > 1:
+            s = out[-1]
+            parent = (s.cell // 65536 // 2) * 65536 + s.cell % 65536 // 2
+            keys, of = np.unique(parent * 65536 + s.cluster, return_inverse=True)
+            n = np.bincount(of, weights=s.n)
+            add = lambda v: np.stack([np.bincount(of, weights=s.n * c) for c in v.reshape(len(v), -1).T], 1) / n[:, None]
+            mean = add(s.mean)
+            width = mean.shape[1]
+            second = add(s.spread + s.mean[:, :, None] * s.mean[:, None, :]).reshape(-1, width, width)
+            order = np.argsort(of, kind="stable")
+            starts = np.searchsorted(of[order], np.arange(len(keys)))
+            out.append(Summary(s.edges, keys // 65536, keys % 65536, n, mean, _covariance(second, mean),
+                               np.minimum.reduceat(s.low[order], starts), np.maximum.reduceat(s.high[order], starts)))
+        return out
+
+
+class _Distances:
+    """Mean distances to clusters, through the levels of a summary."""
+
+    def __init__(self, summary: Summary):
+        self.levels = summary.levels()[::-1]
+        self.clusters = np.unique(summary.cluster)
+        self.sizes = np.array([summary.n[summary.cluster == c].sum() for c in self.clusters])
+        # Rows of the next level that belong to each row of a level.
+        self.children = []
+        for coarse, fine in zip(self.levels, self.levels[1:]):
+            parent = ((fine.cell // 65536 // 2) * 65536 + fine.cell % 65536 // 2) * 65536 + fine.cluster
+            of = np.searchsorted(coarse.cell * 65536 + coarse.cluster, parent)
+            order = np.argsort(of, kind="stable")
+            self.children.append((order, np.searchsorted(of[order], np.arange(len(coarse.cell) + 1))))
+        self.variance = [np.trace(s.spread, axis1=1, axis2=2) for s in self.levels]
+        # Points of a cell of this level look at the same cells, whatever batch they come in.
+        self.together = min(TOGETHER, len(self.levels) - 1)
+        level = self.levels[-1 - self.together]
+        self.boxes, of = np.unique(level.cell, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(self.boxes)))
+        self.low, self.high = np.minimum.reduceat(level.low[order], starts), np.maximum.reduceat(level.high[order], starts)
+
+    def box_of(self, x: np.ndarray) -> np.ndarray:
+        cell = Summary._place(self.levels[-1].edges, x)
+        return np.searchsorted(self.boxes, (cell // 65536 >> self.together) * 65536 + (cell % 65536 >> self.together))
+
+    def sums(self, x: np.ndarray, box: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of distances from points of one box to the members of each cluster, and the widths of their bounds."""
+        total, width = (np.zeros((len(x), len(self.clusters))) for _ in range(2))
+        low, high = self.low[box], self.high[box]
+        rows = np.arange(len(self.levels[0].cell))
+        for depth, level in enumerate(self.levels):
+            mean, var = level.mean[rows], self.variance[depth][rows]
+            near = (np.maximum(np.maximum(low - mean, mean - high), 0.0) ** 2).sum(1)  # squared distance to the box of the points
+            done = (var <= 2 * NARROW * near) | (depth == len(self.levels) - 1)
+            at = rows[done]
+            apart = x[:, None, :] - level.mean[at]
+            r = np.sqrt((apart**2).sum(2))
+            safe = np.maximum(r, 1e-150)
+            v = self.variance[depth][at]
+            along = np.einsum("pmi,mij,pmj->pm", apart, level.spread[at], apart) / safe**2
+            most = np.sqrt(r * r + v)
+            # Across the line of sight the spread adds to the distance; never beyond the bounds.
+            guess = np.clip(r + np.maximum(v - along, 0.0) / (2 * np.maximum(safe, np.sqrt(v))), r, most)
+            guess = np.where(r * r > v, guess, (r + most) / 2)
+            place = np.searchsorted(self.clusters, level.cluster[at])
+            for c in range(len(self.clusters)):
+                mine = place == c
+                total[:, c] += (guess[:, mine] * level.n[at][mine]).sum(1)
+                width[:, c] += ((most - r)[:, mine] * level.n[at][mine]).sum(1)
+            if depth < len(self.levels) - 1:
+                order, starts = self.children[depth]
+                rows = np.concatenate([order[starts[i]:starts[i + 1]] for i in rows[~done].tolist()] or [np.zeros(0, np.int64)])
+        return total, width
+
+
+def silhouette(
+    df: DataFrame, vectors: str = "signals", cluster: str = CLUSTER, cells: int = CELLS, edges: list[np.ndarray] | None = None
+) -> tuple[float, float]:
+    """Mean Euclidean silhouette of an assignment and a bound of its error.
 
-    Silhouettes use squared Euclidean distance, the form Spark evaluates in one pass;
-    they run higher than with plain distance.
+    Distances are summed over cells of at most ``cells`` squared places for each cluster, a
+    broadcast of bounded size; a cell is opened while its bounds are wide for its distance.
+    Cells of one distinct point are exact, and so is the result when all are.  A cluster of
+    one point has silhouette 0, as has an assignment to a single cluster.
     """
-    evaluator = ClusteringEvaluator(featuresCol="signals", predictionCol=CLUSTER)
-    models, rows = {}, []
+    points = df.select(vector_to_array(F.col(vectors)).alias("x"), F.col(cluster).cast("long").alias("cluster"))
+    distances = _Distances(Summary.of(points, cells, edges))
+    if len(distances.clusters) < 2:
+        return 0.0, 0.0
+    sent = df.sparkSession.sparkContext.broadcast(distances)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, own = _points(batch), np.searchsorted(d.clusters, batch.column("cluster").to_numpy(zero_copy_only=False))
+            box = d.box_of(x)
+            order = np.argsort(box, kind="stable")
+            total, width = (np.zeros((len(x), len(d.clusters))) for _ in range(2))
+            for at in np.split(order, np.flatnonzero(np.diff(box[order])) + 1):
+                for a in range(0, len(at), 256):
+                    total[at[a:a + 256]], width[at[a:a + 256]] = d.sums(x[at[a:a + 256]], int(box[at[0]]))
+            rows = np.arange(len(x))
+            others = np.maximum(d.sizes[own] - 1, 1)
+            inside, wide_in = total[rows, own] / others, width[rows, own] / others
+            mean, wide = total / d.sizes, width / d.sizes
+            mean[rows, own] = np.inf
+            outside, wide_out = mean.min(1), np.where(np.isfinite(mean), wide, 0.0).max(1)
+            largest = np.maximum(inside, outside)
+            alone = (d.sizes[own] < 2) | (largest == 0)
+            value = np.where(alone, 0.0, (outside - inside) / np.where(largest > 0, largest, 1.0))
+            # (b - a) / max(a, b) moves by at most twice the relative change of a and b.
+            error = np.where(alone, 0.0, 2 * (wide_in + wide_out) / np.where(largest > 0, largest, 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (len(x), value.sum(), np.minimum(error, 2.0).sum())], ["n", "value", "error"])
+
+    # Points near to each other come in one batch.
+    near = points.repartitionByRange(F.get("x", F.lit(0)), F.get("x", F.lit(1)))
+    found = near.mapInArrow(run, "n DOUBLE, value DOUBLE, error DOUBLE").agg(F.sum("n"), F.sum("value"), F.sum("error")).first()
+    return found[1] / found[0], found[2] / found[0]
+
+
+def _seeds(summary: Summary, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over the cells' means, weighed by what they hold."""
+    chosen = [summary.mean[rng.choice(len(summary.n), p=summary.n / summary.n.sum())]]
+    while len(chosen) < k:
+        far = np.min([((summary.mean - c) ** 2).sum(1) for c in chosen], axis=0) * summary.n
+        chosen.append(summary.mean[rng.choice(len(far), p=far / far.sum())] if far.sum() else chosen[0])
+    return np.array(chosen)
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    far = ((x[:, None, :] - centers) ** 2).sum(2)
+    at = far.argmin(1)
+    return at, far[np.arange(len(x)), at]
+
+
+def _moved(summary: Summary, centers: np.ndarray) -> np.ndarray:
+    at, _ = _nearest(summary.mean, centers)
+    n = np.bincount(at, weights=summary.n, minlength=len(centers))
+    mean = np.stack([np.bincount(at, weights=summary.n * c, minlength=len(centers)) for c in summary.mean.T], 1) / np.maximum(n, 1e-300)[:, None]
+    return np.where(n[:, None] > 0, mean, centers)
+
+
+def fit_kmeans(
+    vectors: DataFrame, ks: Sequence[int] = CLUSTER_COUNTS, seed: int = 42, restarts: int = 10, tolerance: float = 1e-4, column: str = "signals"
+) -> dict[int, Clustering]:
+    """The least-cost clustering of each count, over all restarts.
+
+    Restarts begin with k-means++ on a summary of all rows, settle there, and then go on over
+    the rows themselves until no centre of theirs moves by more than ``tolerance`` times the mean variance (squared).
+    Every step is one aggregation for all that still move; what reaches the driver is a few
+    numbers for each of their clusters.  Equal costs are told apart by the order of restarts.
+    """
+    points = materialize(vectors.select(vector_to_array(F.col(column)).alias("x")), "points")
+    summary = Summary.of(points.withColumn("cluster", F.lit(0)))
+    if summary.mean.shape[0] == 0:
+        raise ValueError("no rows to cluster")
+    whole = summary.levels()[-1]
+    limit = tolerance * float(np.trace(whole.spread[0])) / summary.mean.shape[1]
+    settings = [(k, i) for k in ks for i in range(restarts)]
+    centers = {}
+    for k, i in settings:
+        c = _seeds(summary, k, np.random.default_rng([seed, k, i]))
+        for _ in range(MOST_STEPS):
+            before, c = c, _moved(summary, c)
+            if ((c - before) ** 2).sum() <= limit:
+                break
+        centers[k, i] = c
+    moving, done = list(settings), {}
+    for step in range(MOST_STEPS):
+        sent = [(s, centers[s]) for s in moving]
+
+        def sums(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, number, parts = _points(batch), [], []
+                for j, (_, c) in enumerate(sent):
+                    at, far = _nearest(x, c)
+                    parts.append(np.stack([np.bincount(at, weights=v, minlength=len(c)) for v in (np.ones(len(x)), far, *x.T)], 1))
+                    number += [j * 65536 + i for i in range(len(c))]
+                v = np.concatenate(parts)
+                ends = pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["key", "v"])
+
+        width = 2 + summary.mean.shape[1]
+        total = points.mapInArrow(sums, "key LONG, v ARRAY<DOUBLE>").groupBy("key").agg(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).collect()
+        table = {r[0]: np.array(r[1:]) for r in total}
+        still = []
+        for j, (s, c) in enumerate(sent):
+            v = np.stack([table[j * 65536 + i] for i in range(len(c))])
+            moved = np.where(v[:, :1] > 0, v[:, 2:] / np.maximum(v[:, :1], 1.0), c)
+            if ((moved - c) ** 2).sum() <= limit or step == MOST_STEPS - 1:
+                done[s] = Clustering(c, float(v[:, 1].sum()), v[:, 0].astype(np.int64))
+            else:
+                centers[s] = moved
+                still.append(s)
+        moving = still
+        if not moving:
+            break
+    best = {}
     for k in ks:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="signals", predictionCol=CLUSTER).fit(vectors) for i in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        models[k] = best
-        sizes = sorted(best.summary.clusterSizes)
-        n = sum(sizes)
-        rows.append((k, float(best.summary.trainingCost), float(evaluator.evaluate(best.transform(vectors))), sizes[0],
-                     sizes[0] / n, sizes[-1] / n))
-    schema = "k INT, inertia DOUBLE, silhouette_score DOUBLE, min_cluster_size BIGINT, min_cluster_share DOUBLE, max_cluster_share DOUBLE"
-    table = vectors.sparkSession.createDataFrame(rows, schema).withColumn(
-        "meets_min_share_rule", F.col("min_cluster_share") >= MIN_SHARE)
+        found = min((done[k, i] for i in range(restarts)), key=lambda f: round(f.cost, 6))
+        order = np.lexsort(found.centers.T[::-1])
+        best[k] = Clustering(found.centers[order], found.cost, found.sizes[order])
+    return best
+
+
+def clustering_metrics(vectors: DataFrame, models: dict[int, Clustering]) -> DataFrame:
+    """Quality of given clusterings, the chosen one marked; ``silhouette_error`` bounds that of the silhouette."""
+    rows = []
+    edges = Summary.of(vectors.select(vector_to_array(F.col("signals")).alias("x"), F.lit(0).alias("cluster"))).edges
+    for k, model in models.items():
+        value, error = silhouette(model.transform(vectors), edges=edges)
+        sizes, n = sorted(int(x) for x in model.sizes), int(model.sizes.sum())
+        rows.append((k, model.cost, value, error, sizes[0], sizes[0] / n, sizes[-1] / n))
+    schema = "k INT, inertia DOUBLE, silhouette_score DOUBLE, silhouette_error DOUBLE, min_cluster_size BIGINT, min_cluster_share DOUBLE, max_cluster_share DOUBLE"
+    return select_clustering(vectors.sparkSession.createDataFrame(rows, schema))
+
+
+def select_clustering(metrics: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Metrics with ``meets_min_share_rule`` and ``selected``: the best silhouette of those that meet the rule, or of all."""
+    table = metrics.withColumn("meets_min_share_rule", F.col("min_cluster_share") >= MIN_SHARE)
     # One row per cluster count.
-    place = F.row_number().over(Window.orderBy(
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(
         F.desc("meets_min_share_rule"), F.desc("silhouette_score"), F.desc("min_cluster_share"), "k"))
-    return table.withColumn("selected", place == 1), models
+    return table.withColumn("selected", place == 1)
 
 
-def assign_clusters(model, vectors: DataFrame) -> DataFrame:
+def kmeans_candidates(
+    vectors: DataFrame, ks: Sequence[int] = CLUSTER_COUNTS, seed: int = 42, restarts: int = 10
+) -> tuple[DataFrame, dict[int, Clustering]]:
+    """Quality of each cluster count, the chosen one marked, and the best model per count."""
+    models = fit_kmeans(vectors, ks, seed, restarts)
+    return clustering_metrics(vectors, models), models
+
+
+def assign_clusters(model: Clustering, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).drop("signals")
 
 
@@ -113,16 +425,20 @@ def cluster_comparison(df: DataFrame) -> DataFrame:
         (share < UNCLEAR_SHARE).alias("hard_to_explain"))
 
 
-def adoption_decision(metrics: DataFrame, comparison: DataFrame) -> DataFrame:
-    """Whether the chosen clustering is worth keeping as context; both inputs are tiny."""
-    chosen = metrics.where("selected").first()
-    k, silhouette, smallest = chosen["k"], chosen["silhouette_score"], chosen["min_cluster_share"]
-    verdict: Column = (
-        F.when(F.lit(smallest < MIN_SHARE), "do_not_adopt")
+def adoption(smallest: Column, silhouette_score: Column) -> Column:
+    """Whether a clustering is worth keeping as context, beside the columns of its comparison."""
+    return (
+        F.when(smallest < MIN_SHARE, "do_not_adopt")
         .when(F.col("mostly_duplicates_segments"), "do_not_adopt")
         .when(F.col("hard_to_explain"), "document_but_do_not_use")
         .when(F.col("segments_split") == 0, "document_but_do_not_use")
-        .when(F.lit(silhouette < MIN_SILHOUETTE), "document_but_do_not_use")
+        .when(silhouette_score < MIN_SILHOUETTE, "document_but_do_not_use")
         .otherwise("adopt_as_optional_context")
     )
-    return comparison.select(F.lit(k).alias("k"), F.lit(silhouette).alias("silhouette_score"), "*", verdict.alias("recommendation"))
+
+
+def adoption_decision(metrics: DataFrame, comparison: DataFrame) -> DataFrame:
+    """Whether the chosen clustering is worth keeping as context; both inputs are a row."""
+    chosen = metrics.where("selected").select("k", "silhouette_score", "min_cluster_share")
+    return comparison.join(chosen).select(
+        "k", "silhouette_score", *comparison.columns, adoption(F.col("min_cluster_share"), F.col("silhouette_score")).alias("recommendation"))

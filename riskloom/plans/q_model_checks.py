@@ -6,7 +6,7 @@ product's own query takes a fitted model.  Fits are checked by what their soluti
 satisfy: a closed form or first-order conditions.
 """
 
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -231,17 +231,69 @@ def _assigned(spark, sf):
     return rows.select(*N.KEYS, N.RISK, N.EXPECTED_PROFIT, N.MARGIN, N.SEGMENT, (F.col("Days_for_shipment_scheduled") - 1).cast("int").alias(C.CLUSTER))
 
 
-@query("l14_silhouette", _ASSIGNED + """, x AS (SELECT cluster, CAST(p AS DOUBLE) AS a, margin_d AS b FROM k),
-g AS (SELECT cluster, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a + b * b) AS ss FROM x GROUP BY 1),
-d AS (SELECT x.cluster AS own, g.cluster AS other, x.a, x.b, g.n, (x.a * x.a + x.b * x.b) + (g.ss - 2 * (x.a * g.sa + x.b * g.sb)) / g.n AS far FROM x CROSS JOIN g),
-r AS (SELECT own, a, b, max(far * n / nullif(n - 1, 0)) FILTER (own = other) AS inside, min(far) FILTER (own <> other) AS outside, count(*) AS c FROM d GROUP BY own, a, b)
-SELECT round(sum((c / (SELECT count(*) FROM g)) * (outside - inside) / greatest(inside, outside)) / sum(c / (SELECT count(*) FROM g)), 6) AS silhouette FROM r""")
+_ROUNDED = _ASSIGNED + """, x AS (SELECT cluster, CAST(p AS DOUBLE) AS a, round(margin_d, 2) AS b FROM k)"""
+
+
+def _signal_rows(spark, sf):
+    """Risk and margin to two decimals as the signals."""
+    rows = _assigned(spark, sf).select(C.CLUSTER, F.col(N.RISK).cast("double").alias("a"), F.round(F.col(N.MARGIN).cast("double"), 2).alias("b"))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="signals").transform(rows)
+
+
+@query("l14_silhouette", _ROUNDED + """, g AS (SELECT cluster, a, b, count(*) AS n FROM x GROUP BY 1, 2, 3), c AS (SELECT cluster, sum(n) AS size FROM g GROUP BY 1),
+d AS (SELECT t.cluster AS own, t.a, t.b, s.cluster AS other, sum(s.n * sqrt((t.a - s.a) ** 2 + (t.b - s.b) ** 2)) AS far FROM g t CROSS JOIN g s GROUP BY ALL),
+m AS (SELECT own, a, b, max(far / (size - 1)) FILTER (own = other) AS inside, min(far / size) FILTER (own <> other) AS outside FROM d JOIN c ON other = c.cluster GROUP BY 1, 2, 3)
+SELECT round(sum(n * (outside - inside) / greatest(inside, outside)) / sum(n), 4) AS silhouette, TRUE AS error_is_bounded FROM m JOIN g ON g.cluster = own AND g.a = m.a AND g.b = m.b""")
 def l14(spark, sf):
-    """Silhouette of a given assignment, in squared Euclidean distance."""
-    rows = VectorAssembler(inputCols=[N.RISK, N.MARGIN], outputCol="signals").transform(
-        _assigned(spark, sf).withColumns({c: F.col(c).cast("double") for c in (N.RISK, N.MARGIN)}))
-    value = ClusteringEvaluator(featuresCol="signals", predictionCol=C.CLUSTER).evaluate(rows)
-    return spark.range(1).select(F.round(F.lit(float(value)), 6).alias("silhouette"))
+    """Euclidean silhouette of a given assignment, against all pairs of distinct points."""
+    value, error = C.silhouette(_signal_rows(spark, sf))
+    return spark.range(1).select(F.round(F.lit(value), 4).alias("silhouette"), F.lit(error < 0.05).alias("error_is_bounded"))
+
+
+_CENTRES = {3: [(0.2, 0.1), (0.4, 0.4), (0.5, 0.2)], 4: [(0.1, 0.2), (0.3, 0.3), (0.4, 0.1), (0.6, 0.5)]}
+
+
+@query("l14_fixed_centres", _ROUNDED + f""", m AS (SELECT * FROM (VALUES {", ".join(f"({k}, {i}, {a}, {b})" for k, cs in _CENTRES.items() for i, (a, b) in enumerate(cs))}) AS v(k, i, ca, cb)),
+n AS (SELECT k, x.a, x.b, min(struct_pack(far := (x.a - ca) ** 2 + (x.b - cb) ** 2, i := i)) AS best, count(*) AS c FROM (SELECT row_number() OVER () AS r, a, b FROM x) x CROSS JOIN m GROUP BY k, r, x.a, x.b),
+s AS (SELECT k, best.i AS i, count(*) AS size, sum(best.far) AS inertia FROM n GROUP BY 1, 2)
+SELECT k, round(sum(inertia), 6) AS inertia, min(size) AS min_cluster_size, round(CAST(min(size) AS DOUBLE) / sum(size), 9) AS min_cluster_share,
+  round(CAST(max(size) AS DOUBLE) / sum(size), 9) AS max_cluster_share, CAST(min(size) AS DOUBLE) / sum(size) >= 0.01 AS meets_min_share_rule FROM s GROUP BY 1""")
+def l14_centres(spark, sf):
+    """Inertia and shares of assignments to given centres."""
+    rows, out = _signal_rows(spark, sf).select("signals"), None
+    for k, centres in _CENTRES.items():
+        seen = C.Clustering(np.array(centres), 0.0, np.zeros(k)).transform(rows).withColumn("x", vector_to_array("signals"))
+        at = F.get(F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres]), F.col(C.CLUSTER))
+        far = F.pow(F.get("x", F.lit(0)) - F.get(at, F.lit(0)), 2) + F.pow(F.get("x", F.lit(1)) - F.get(at, F.lit(1)), 2)
+        sizes = seen.groupBy(C.CLUSTER).agg(F.count(F.lit(1)).alias("size"), F.sum(far).alias("inertia"))
+        part = sizes.agg(F.lit(k).alias("k"), F.round(F.sum("inertia"), 6).alias("inertia"), F.min("size").alias("min_cluster_size"),
+                         (F.min("size") / F.sum("size")).alias("min_cluster_share"), (F.max("size") / F.sum("size")).alias("max_cluster_share"))
+        out = part if out is None else out.unionByName(part)
+    out = C.select_clustering(out.withColumn("silhouette_score", F.lit(0.0))).drop("silhouette_score", "selected")
+    return rounded(out, ["min_cluster_share", "max_cluster_share"], 9)
+
+
+_GROUPED_METRICS = f"""WITH {O.BASE}, m AS (SELECT Type, planned AS k, round(avg(qty) / 50, 6) AS silhouette_score, round(CAST(count(*) AS DOUBLE) / 100000, 9) AS min_cluster_share FROM oi GROUP BY 1, 2)"""
+
+
+@query("l14_selected_count", _GROUPED_METRICS + """ SELECT Type, CAST(k AS INT) AS k, silhouette_score, min_cluster_share, min_cluster_share >= 0.01 AS meets_min_share_rule,
+  row_number() OVER (PARTITION BY Type ORDER BY min_cluster_share >= 0.01 DESC, silhouette_score DESC, min_cluster_share DESC, k) = 1 AS selected FROM m""")
+def l14_selected(spark, sf):
+    """Which cluster count wins, for metrics of order types that stand in for clusterings."""
+    given = silver(spark, sf).groupBy("Type", F.col("Days_for_shipment_scheduled").cast("int").alias("k")).agg(
+        F.round(F.avg("Order_Item_Quantity") / 50, 6).alias("silhouette_score"), F.round(F.count(F.lit(1)) / 100000, 9).alias("min_cluster_share"))
+    return C.select_clustering(given, within=["Type"])
+
+
+@query("l17_adoption", """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) / 1000 AS smallest, CAST(p_partkey % 11 AS DOUBLE) / 20 AS silhouette, p_partkey % 5 = 0 AS duplicates, p_partkey % 7 = 0 AS unclear, p_partkey % 3 AS split FROM part)
+SELECT p_partkey, CASE WHEN smallest < 0.01 OR duplicates THEN 'do_not_adopt' WHEN unclear OR split = 0 OR silhouette < 0.25 THEN 'document_but_do_not_use' ELSE 'adopt_as_optional_context' END AS recommendation FROM p""")
+def l17(spark, sf):
+    """The adoption rules over figures of all parts."""
+    key = F.col("p_partkey")
+    given = table(spark, sf, "part").select(
+        key, (F.col("p_size").cast("double") / 1000).alias("smallest"), ((key % 11).cast("double") / 20).alias("silhouette"),
+        (key % 5 == 0).alias("mostly_duplicates_segments"), (key % 7 == 0).alias("hard_to_explain"), (key % 3).alias("segments_split"))
+    return given.select("p_partkey", C.adoption(F.col("smallest"), F.col("silhouette")).alias("recommendation"))
 
 
 @query("l15_profiles_of_assignment", _ASSIGNED + """, s AS (SELECT cluster, segment, count(*) AS n FROM k GROUP BY 1, 2),

@@ -247,6 +247,48 @@ def test_cluster_profiles_and_adoption(spark):
     assert C.adoption_decision(metrics, comparison).first()["k"] == 3
 
 
+def brute_silhouette(x, label):
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    n = np.bincount(label)
+    mean = np.stack([d[:, label == c].sum(1) for c in range(len(n))], 1)
+    inside = mean[np.arange(len(x)), label] / np.maximum(n[label] - 1, 1)
+    mean = mean / n
+    mean[np.arange(len(x)), label] = np.inf
+    outside = mean.min(1)
+    return np.where(n[label] > 1, (outside - inside) / np.maximum(inside, outside), 0.0).mean()
+
+
+def test_silhouette_of_points_outliers_and_copies(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(900, 2)) * [1, 0.2], rng.normal(size=(500, 2)) * 0.1 + 2, [[900.0, -3], [900.0, -3], [5, 5]], np.repeat([[1.0, 1.0]], 200, 0)])
+    label = np.where(x[:, 0] > 800, 2, (x[:, 0] > 1.2).astype(int))
+    table = lambda x, label: spark.createDataFrame(list(zip(x.tolist(), label.tolist())), f"x ARRAY<DOUBLE>, {C.CLUSTER} INT").withColumn("signals", array_to_vector("x"))
+    exact = brute_silhouette(x, label)
+    for cells, close in ((128, 2e-4), (8, 5e-3)):
+        value, error = C.silhouette(table(x, label), cells=cells)
+        assert abs(value - exact) <= min(error, close)
+        assert C.silhouette(table(x, label).repartition(7), cells=cells) == pytest.approx((value, error), abs=1e-12)
+    few = rng.integers(0, 4, (300, 2)).astype(float)
+    own = (few[:, 0] > 1).astype(int)
+    assert C.silhouette(table(few, own)) == (pytest.approx(brute_silhouette(few, own), abs=1e-9), 0.0)
+    assert C.silhouette(table(few, own * 0)) == (0.0, 0.0)
+
+
+def test_all_restarts_find_the_best_clustering(spark):
+    rng = np.random.default_rng(9)
+    spots = np.array([[0, 0], [4, 0], [0, 5], [6, 6]])
+    x = np.concatenate([rng.normal(size=(200, 2)) * 0.3 + c for c in spots])
+    vectors = spark.createDataFrame([(r,) for r in x.tolist()], "x ARRAY<DOUBLE>").select(array_to_vector("x").alias("signals"))
+    metrics, models = C.kmeans_candidates(vectors, ks=(3, 4), restarts=4)
+    assert np.allclose(models[4].centers, spots[np.lexsort(spots.T[::-1])], atol=0.1) and models[4].sizes.tolist() == [200] * 4
+    near = ((x[:, None] - models[4].centers) ** 2).sum(2).min(1).sum()
+    assert models[4].cost == pytest.approx(near) and models[3].cost > near
+    assert metrics.where("selected").first()["k"] == 4 and metrics.where("silhouette_error > 0.05").count() == 0
+    assert models[4].transform(vectors).select(C.CLUSTER).distinct().count() == 4
+    one = C.fit_kmeans(vectors.limit(1), ks=(2,), restarts=2)[2]
+    assert one.cost == 0.0 and sorted(one.sizes.tolist()) == [0, 1]
+
+
 def test_sample_is_the_same_whatever_the_partitioning(spark):
     df = spark.range(1000).select(F.col("id").alias(N.ORDER), F.col("id").alias(N.ITEM), F.col("id").alias(N.ORDER_TS))
     draws = [sorted(r[0] for r in L.sample_rows(df.repartition(k), 20).collect()) for k in (1, 5)]
