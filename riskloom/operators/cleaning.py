@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,45 +81,67 @@ def clean_silver(df: DataFrame, spec: SilverSpec | None = None) -> DataFrame:
     )
 
 
-def quality_report(
-    bronze: DataFrame, silver: DataFrame, spec: SilverSpec | None = None, expected_rows: int | None = None
-) -> DataFrame:
-    """Row, gap, cast-failure and column metrics in one pass over bronze.
-
-    Gaps and failures are aggregates over the bronze row, as cleaning is row-local.  The
-    rows and columns that were written are counted in the stored ``silver`` table.
-    """
-    spec = spec or SilverSpec()
+def _metrics(spec: SilverSpec, bronze: DataFrame) -> list[tuple[str, Column, str]]:
+    """Name, aggregate over bronze rows and explanation of every metric that needs no silver table."""
     clean = _clean_text(bronze, spec)
     typed = _typed(clean, spec)
     final = clean | typed
     kinds = [("integer_cast", spec.integers, "cast to integer"), ("decimal_cast", spec.doubles, "cast to double"),
              ("timestamp_parse", spec.timestamps, "parsed as timestamps")]
-    written = silver.count()
-
-    metrics: list[tuple[str, Column, str]] = [
-        ("bronze_row_count", F.count(F.lit(1)), "Rows read from bronze."),
-        ("silver_row_count", F.lit(written), "Rows written to silver."),
-        ("dropped_row_count", F.count(F.lit(1)) - written, "Rows dropped by cleaning."),
-    ]
-    if expected_rows is not None:
-        metrics.append(("expected_bronze_rows", F.lit(expected_rows), "Row count expected from the source."))
+    metrics = [("bronze_row_count", F.count(F.lit(1)), "Rows read from bronze.")]
     for c in spec.watched_gaps:
         metrics.append((f"missing_{c}", F.count_if(final[c].isNull()), "NULL values after cleaning."))
     for kind, columns, what in kinds:
         for c in columns:
             failed = clean[c].isNotNull() & typed[c].isNull()
             metrics.append((f"invalid_{kind}_{c}", F.count_if(failed), f"Non-NULL source values that could not be {what}."))
-    metrics.append(("silver_column_count", F.lit(len(silver.columns)), ",".join(silver.columns)))
-
-    one_row = bronze.agg(*[e.cast("string").alias(f"m{i}") for i, (_, e, _) in enumerate(metrics)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("metric_name"), F.col(f"m{i}").alias("metric_value"),
-                F.lit(details).alias("metric_details"),
-            )
-            for i, (name, _, details) in enumerate(metrics)
-        ]
-    )
-    return one_row.select(F.inline(rows)).withColumn("_report_timestamp", F.current_timestamp())
+    return metrics
+
+
+def _report(found: dict[str, int], metrics: list[tuple[str, Column, str]], written: int, silver: DataFrame, expected_rows: int | None) -> DataFrame:
+    """The report's rows, one for each metric, from their values."""
+    (first, _, about), *rest = metrics
+    rows = [(first, found[first], about), ("silver_row_count", written, "Rows written to silver."),
+            ("dropped_row_count", found[first] - written, "Rows dropped by cleaning.")]
+    if expected_rows is not None:
+        rows.append(("expected_bronze_rows", expected_rows, "Row count expected from the source."))
+    rows += [(name, found[name], details) for name, _, details in rest]
+    rows.append(("silver_column_count", len(silver.columns), ",".join(silver.columns)))
+    table = silver.sparkSession.createDataFrame([(n, str(v), d) for n, v, d in rows], "metric_name STRING, metric_value STRING, metric_details STRING")
+    return table.withColumn("_report_timestamp", F.current_timestamp())
+
+
+def quality_report(
+    bronze: DataFrame, silver: DataFrame, spec: SilverSpec | None = None, expected_rows: int | None = None
+) -> DataFrame:
+    """Row, gap, cast-failure and column metrics in one pass over bronze, for a silver table that is already stored.
+
+    Gaps and failures are aggregates over the bronze row, as cleaning is row-local.  The
+    rows and columns that were written are counted in the stored ``silver`` table.
+    """
+    metrics = _metrics(spec or SilverSpec(), bronze)
+    found = bronze.agg(*[e.alias(name) for name, e, _ in metrics]).first().asDict()
+    return _report(found, metrics, silver.count(), silver, expected_rows)
+
+
+def write_silver(
+    bronze: DataFrame, store: Callable[[DataFrame], DataFrame], spec: SilverSpec | None = None, keep: Column | None = None,
+    expected_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Clean, store and measure in one pass: the stored silver table and its quality report.
+
+    ``store`` writes a table and returns it as stored; ``keep`` leaves silver rows out.  All metrics are observed
+    while the rows go by, so neither bronze nor silver is read again.  Scan, cleaning and write are one
+    stage, whose rows are observed once, also if a task of it runs again.
+    """
+    spec = spec or SilverSpec()
+    metrics = _metrics(spec, bronze)
+    read, written = Observation(), Observation()
+    silver = clean_silver(bronze.observe(read, *[e.alias(name) for name, e, _ in metrics]), spec)
+    silver = silver if keep is None else silver.where(keep)
+    stored = store(silver.observe(written, F.count(F.lit(1)).alias("n")))
+    try:
+        found, n = read.get, written.get["n"]
+    except Py4JJavaError:  # where the optimizer knows that no row is left, it takes the observations away too
+        return stored, quality_report(bronze, stored, spec, expected_rows)
+    return stored, _report(found, metrics, n, stored, expected_rows)

@@ -77,3 +77,16 @@ def a8(spark, sf):
 def a9(spark, sf):
     rows = segments(spark, sf).select(*_SERVED)
     return doubles(publish.served_projection(rows, [N.ORDER, N.ITEM, N.SEGMENT, N.RISK]))
+
+
+@query("a7_snapshot_reads", """SELECT s_suppkey, 2 * s_acctbal AS balance, 'new' AS version FROM supplier UNION ALL SELECT s_suppkey, s_acctbal, 'old' FROM supplier""")
+def a7_snapshot(spark, sf):
+    """A table published from its own last version, read in both versions."""
+    root = _place(spark, "snapshots")
+    given = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"))
+    old = publish.publish_snapshot(spark, root, [publish.ServingTable("suppliers", given)])
+    doubled = old.read(spark, "suppliers").withColumn("balance", 2 * F.col("balance"))
+    publish.publish_snapshot(spark, root, [publish.ServingTable("suppliers", doubled)])
+    new = publish.open_snapshot(spark, root)
+    return new.read(spark, "suppliers").withColumn("version", F.lit("new")).unionByName(
+        old.read(spark, "suppliers").withColumn("version", F.lit("old")))

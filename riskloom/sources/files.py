@@ -7,6 +7,7 @@ The storage format is a parameter (``parquet`` here; any installed table format
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,10 +82,46 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+#: Formats that are plain folders of files; others bring transactions of their own.
+FILE_FORMATS = ("parquet", "orc", "avro", "csv", "json", "text")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's own file system of a path, and the path in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> DataFrame:
-    """Replace the table (data and schema) and return it as stored."""
-    df.write.format(fmt).mode(mode).option("overwriteSchema", "true").save(path)
-    return df.sparkSession.read.format(fmt).load(path)
+    """Replace the table (data and schema) and return it as stored.
+
+    A folder of files is written beside the old one and then takes its place by renaming, so a
+    write that fails leaves the old table, and a table may be replaced by something that reads it.
+    """
+    spark = df.sparkSession
+    if mode != "overwrite" or fmt not in FILE_FORMATS:
+        df.write.format(fmt).mode(mode).option("overwriteSchema", "true").save(path)
+        return spark.read.format(fmt).load(path)
+    path, mark = path.rstrip("/"), uuid.uuid4().hex
+    staged, retired = f"{path}.{mark}-new", f"{path}.{mark}-old"
+    fs, target = file_system(spark, path)
+    _, new = file_system(spark, staged)
+    _, old = file_system(spark, retired)
+    try:
+        df.write.format(fmt).save(staged)
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    existed = fs.exists(target)
+    if existed and not fs.rename(target, old):
+        raise OSError(f"could not set {path} aside")
+    if not fs.rename(new, target):
+        if existed:
+            fs.rename(old, target)
+        raise OSError(f"could not put the new table at {path}")
+    if existed:
+        fs.delete(old, True)
+    return spark.read.format(fmt).load(path)
 
 
 def ingest_bronze(
