@@ -2,7 +2,8 @@
 
 ``row_number`` over an unpartitioned window sends the whole table to one task, and
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.
-Both are replaced here by one range-partitioned layout:
+Quantiles and single rows are selected by counting (``exact_quantiles``, ``row_at``).  Row numbers and
+running sums, which need the place of every row, use one range-partitioned layout:
 
 1. range-partition and sort by the full ordering key (unique or pre-aggregated, so
    no hot value can pile up in one slice);
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _SLICE, _OFFSET = "_slice", "_offset"
+#: Rows that a slice of a global order has at most, about.
+ROWS_PER_SLICE = 4_000_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,10 +38,16 @@ _OFFSET_BITS = 33  # layout of monotonically_increasing_id: partition above, row
 
 
 def ordered_layout(df: DataFrame, order: Sequence[Column | str], slices: int | None = None) -> DataFrame:
-    """``df`` laid out in global order, with ``_slice`` and ``_offset`` columns."""
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` laid out in global order, with ``_slice`` and ``_offset`` columns.
+
+    Unless ``slices`` says how many, there are at least the session's shuffle partitions, and more where a slice
+    would have over ``ROWS_PER_SLICE`` rows; the number of rows comes from a store of the input, so it is computed once.
+    """
+    if slices is None:
+        df = materialize(df, "unordered")
+        slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_SLICE))
     placed = (
-        df.repartitionByRange(n, *order)
+        df.repartitionByRange(slices, *order)
         .sortWithinPartitions(*order)
         .withColumn("_position", F.monotonically_increasing_id())
     )
@@ -56,7 +65,7 @@ def chronological_row_number(
 ) -> DataFrame:
     """1-based row number of the whole table in the given order, without gaps."""
     laid = ordered_layout(df, order, slices)
-    # One row per slice: at most ``spark.sql.shuffle.partitions`` rows.
+    # One row per slice.
     starts = laid.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_n")).select(
         _SLICE,
         F.coalesce(
@@ -91,6 +100,44 @@ def running_totals(
     )
 
 
+#: Buckets per e-fold of a value, and parts that a bucket is cut into next.
+_PER_FOLD, _PARTS = 200, 4096
+
+
+def _bucket(v: Column) -> Column:
+    """Number of a value's bucket on a logarithmic scale of both signs; never falls as values rise.  NaN is last."""
+    scaled = F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * _PER_FOLD)
+    far = F.lit(1 << 40)
+    return F.when(F.isnan(v), 2 * far).when(v == float("inf"), far).when(v == float("-inf"), -far).otherwise(scaled).cast("long")
+
+
+def _part(v: Column, low: Column, high: Column) -> Column:
+    """Which part of its bucket's span a value lies in; never falls as values rise."""
+    wide = (high > low) & ~F.isnan(high) & (F.abs(high - low) < float("inf"))
+    return F.when(wide, F.floor((v - low) / (high - low) * _PARTS)).otherwise(0).cast("long")
+
+
+def _holders(spans: DataFrame, groups: Sequence[str], along: str, wanted: DataFrame | None, probabilities: Sequence[float]) -> DataFrame:
+    """The spans that hold wanted positions, with each position ``_k`` counted from the span's first row.
+
+    ``spans`` has a row count ``_m`` for each group and ``along``.  Without ``wanted`` the positions are
+    those of the probabilities in the whole group.
+    """
+    before = Window.partitionBy(*groups).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spans.withColumn("_from", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    if wanted is None:
+        placed = placed.withColumn("_total", F.sum("_m").over(Window.partitionBy(*groups)))
+        placed = placed.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        placed = placed.withColumn("_h", F.col("_p") * (F.col("_total") - 1))
+        # Each probability needs the values at one or two integer positions.
+        both = F.array_distinct(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long")))
+        placed = placed.withColumn("_k", F.explode(both)).drop("_total")
+    else:
+        placed = join_null_safe(placed, wanted, groups)
+    inside = (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_m"))
+    return placed.where(inside).withColumn("_k", F.col("_k") - F.col("_from")).drop("_from", "_m")
+
+
 def exact_quantiles(
     df: DataFrame,
     group: Sequence[str],
@@ -102,48 +149,86 @@ def exact_quantiles(
 
     NULL values are ignored; NULL group keys form a group.  ``weight`` names a
     repetition count when the input is already aggregated.
+
+    Values are selected, not sorted: rows are counted by bucket of their value, the buckets
+    that hold the wanted positions are cut finer and counted again, and only what lies in one of those parts is
+    put in order.  Counts are aggregated before every shuffle, so the rows themselves never move, but for the few in
+    the last parts; a hot value is one row there.
     """
     gs = [f"_g{i}" for i in range(len(group))]
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*[F.col(g).alias(a) for g, a in zip(group, gs)], F.col(value).cast("double").alias("_v"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-    )
-    laid = ordered_layout(counts, [*[F.col(g) for g in gs], F.col("_v")])
-
-    # One row per (group, slice) that occurs: groups + slices rows at most.
-    along = Window.partitionBy(*gs).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, 0)
-    spans = laid.groupBy(*gs, _SLICE).agg(F.sum("_n").alias("_m")).select(
-        *gs, _SLICE, "_m",
-        (F.sum("_m").over(along) - F.col("_m")).alias("_from"),
-        F.sum("_m").over(Window.partitionBy(*gs)).alias("_total"),
-    )
-    # Each probability needs the values at one or two integer positions.
-    wanted = spans.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_p"))
-    wanted = wanted.withColumn("_h", F.col("_p") * (F.col("_total") - 1))
-    wanted = wanted.select(
-        "*", F.explode(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long"))).alias("_k")
-    ).where((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_m")))
-    wanted = wanted.select(
-        *[F.col(g).alias(f"w{g}") for g in gs], F.col(_SLICE).alias("w_slice"),
-        "_from", "_p", "_h", "_k",
-    ).distinct()
-    wanted = materialize(wanted, "wanted")  # its real size decides how it is joined
-
-    keys = [F.col(_SLICE) == F.col("w_slice")] + [F.col(g).eqNullSafe(F.col(f"w{g}")) for g in gs]
-    inside = Window.partitionBy(*gs, _SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    # Only slices that hold a wanted position go through the window.
-    hit = laid.join(wanted, keys, "left_semi").withColumn("_upto", F.sum("_n").over(inside))
-    k = F.col("_k") - F.col("_from")
-    found = hit.join(wanted, keys).where((k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_n")))
+    stored = materialize(df.where(F.col(value).isNotNull()).select(
+        *[F.col(g).alias(a) for g, a in zip(group, gs)], F.col(value).cast("double").alias("_v"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n"), _bucket(F.col(value).cast("double")).alias("_b")), "values")
+    coarse = stored.groupBy(*gs, "_b").agg(F.sum("_n").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # A row for each group, probability and neighbour: their real size decides how they are joined.
+    first = materialize(_holders(coarse, gs, "_b", None, probabilities), "buckets")
+
+    at = [*gs, "_b"]
+    opened = join_null_safe(stored, first.select(*at, "_low", "_high").distinct(), at)
+    opened = opened.withColumn("_c", _part(F.col("_v"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    fine = opened.groupBy(*at, "_c").agg(F.sum("_n").alias("_m"))
+    second = materialize(_holders(fine, at, "_c", first.drop("_low", "_high"), probabilities), "parts")
+
+    at = [*at, "_c"]
+    values = join_null_safe(opened, second.select(*at).distinct(), at).groupBy(*at, "_v").agg(F.sum("_n").alias("_m"))
+    found = _holders(values, at, "_v", second, probabilities)
     low = F.min("_v")
     step = F.max("_v") - F.min("_v")
-    result = found.groupBy(*gs, "_p").agg((low + step * (F.max("_h") - F.floor(F.max("_h")))).alias("quantile"))
+    # Equal neighbours leave no step, even where it cannot be taken, as between infinities.
+    interpolated = F.when(F.min("_v") == F.max("_v"), low).otherwise(low + step * (F.max("_h") - F.floor(F.max("_h"))))
+    result = found.groupBy(*gs, "_p").agg(interpolated.alias("quantile"))
     return result.select(
         *[F.col(a).alias(g) for a, g in zip(gs, group)], F.col("_p").alias("probability"), "quantile"
     )
 
 
+def row_at(df: DataFrame, order: Sequence[str], position: int) -> dict | None:
+    """The ordering keys of the row at ``position`` (from 1) in ascending order, nulls first; None beyond the last.
+
+    Rows are counted by the first key, a number or a time, as for quantiles; only those that share its value there
+    are put in order by the other keys.
+    """
+    first = F.col(order[0])
+    kind = df.schema[order[0]].dataType.typeName()
+    if kind.startswith("timestamp"):
+        number = F.unix_micros(first) if kind == "timestamp" else F.unix_micros(first.cast("timestamp"))
+    elif kind == "date":
+        number = F.unix_date(first)
+    elif kind in ("byte", "short", "integer", "long", "float", "double"):
+        number = first
+    else:
+        raise ValueError(f"{order[0]} is neither a number nor a time")
+    counts = materialize(df.groupBy(number.alias("_key"), _bucket(number.cast("double")).alias("_b")).agg(F.count(F.lit(1)).alias("_n")), "keys")
+    nulls = counts.where(F.col("_key").isNull()).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if position <= nulls:
+        here, before = first.isNull(), 0
+    else:
+        known = counts.where(F.col("_key").isNotNull())
+        spans = known.groupBy("_b").agg(F.sum("_n").alias("_m")).withColumn("_k", F.lit(position - 1 - nulls).cast("long"))
+        held = _span_at(spans, "_b").first()
+        if held is None:
+            return None
+        values = known.where(F.col("_b") == held["_b"]).select("_key", F.col("_n").alias("_m")).withColumn("_k", F.lit(held["_k"]))
+        value = _span_at(values, "_key").first()
+        here, before = number == value["_key"], position - 1 - value["_k"]
+    rest = list(order[1:])
+    bracket = df.where(here).select(*order)
+    if not rest:
+        return bracket.first().asDict()
+    place = position - before
+    numbered = chronological_row_number(bracket, rest, "_place").where(F.col("_place") == place)
+    row = numbered.select(*order).first()
+    return row.asDict() if row else None
+
+
+def _span_at(spans: DataFrame, along: str) -> DataFrame:
+    """The one of all spans that holds ``_k``, with ``_k`` counted from its first row; a bucket, or the keys of one."""
+    before = Window.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spans.withColumn("_from", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    inside = (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_from") + F.col("_m"))
+    return placed.where(inside).withColumn("_k", F.col("_k") - F.col("_from"))
+
+
 def quantile_columns(
     df: DataFrame, group: Sequence[str], value: str, named: dict[str, float], weight: str | None = None
 ) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
 from ..functions.aggregates import mean
-from .ordering import chronological_row_number
+from .ordering import chronological_row_number, row_at
 
 
 def split_label(number: Column, boundary: Column) -> Column:
@@ -25,6 +25,20 @@ def chronological_split(
     return numbered.withColumn(N.SPLIT, split_label(F.col(N.ROW_NUMBER), boundary))
 
 
+def label_split(df: DataFrame, ratio: float = N.DEVELOPMENT_RATIO, order: Sequence[str] = N.CHRONOLOGY) -> DataFrame:
+    """The split label alone: the boundary row is selected, and rows are compared with it instead of being numbered.
+
+    The same labels as ``chronological_split`` gives, without a sort; order keys must be unique and not null.
+    """
+    boundary = df.agg(F.floor(F.count(F.lit(1)) * ratio)).first()[0]
+    last = row_at(df, order, boundary) if boundary else None
+    if last is None:
+        return df.withColumn(N.SPLIT, F.lit(N.TEST))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    limit = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order])
+    return df.withColumn(N.SPLIT, F.when(F.struct(*order) <= limit, N.DEVELOPMENT).otherwise(N.TEST))
+
+
 def slice_partition(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(N.SPLIT) == label)
 
@@ -54,7 +68,10 @@ def inner_split(df: DataFrame, ratio: float = N.INNER_VALIDATION_RATIO) -> DataF
 
 
 def partition_summary(df: DataFrame, target: str) -> DataFrame:
-    """Overall and per-partition summary from one grouping-sets pass."""
+    """Overall and per-partition summary from one grouping-sets pass.
+
+    Rows that carry only the label have their numbers told by the counts: development goes from 1 on without gaps.
+    """
     t = F.col(target)
     if target == N.LATE:
         measures = [
@@ -68,14 +85,20 @@ def partition_summary(df: DataFrame, target: str) -> DataFrame:
             mean(t).alias(f"target_avg_{target}"),
         ]
     ts, number = N.ORDER_TS, N.ROW_NUMBER
+    numbered = number in df.columns
+    numbers = [F.min(number).alias(f"min_{number}"), F.max(number).alias(f"max_{number}")] if numbered else []
     out = df.rollup(N.SPLIT).agg(
         F.grouping(N.SPLIT).alias("_overall"),
         F.count(F.lit(1)).alias("row_count"),
         F.min(ts).alias(f"min_{ts}"), F.max(ts).alias(f"max_{ts}"),
         *measures,
         F.count_if(t.isNull()).alias("target_missing_count"),
-        F.min(number).alias(f"min_{number}"), F.max(number).alias(f"max_{number}"),
+        *numbers,
     )
+    if not numbered:  # three rows at most from here on
+        development = F.max(F.when(F.col(N.SPLIT) == N.DEVELOPMENT, F.col("row_count"))).over(Window.partitionBy(F.lit(1)))
+        before = F.when(F.col(N.SPLIT) == N.TEST, F.coalesce(development, F.lit(0))).otherwise(0)
+        out = out.withColumns({f"min_{number}": before + 1, f"max_{number}": before + F.col("row_count")})
     overall = F.col("_overall") == 1
     rows = df.agg(F.count(F.lit(1))).scalar()
     out = out.select(

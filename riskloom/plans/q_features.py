@@ -184,6 +184,12 @@ def g2(spark, sf):
     return split.chronological_split(silver(spark, sf).select(*N.KEYS, N.LATE))
 
 
+@query("g2_selected_boundary", _NUMBERED + """ SELECT Order_Id, Order_Item_Id, part AS split_partition FROM b""")
+def g2_selected(spark, sf):
+    """The split label from the boundary row alone, without numbering the rows."""
+    return split.label_split(silver(spark, sf).select(*N.KEYS)).select(N.ORDER, N.ITEM, N.SPLIT)
+
+
 @query("g3_inner_split", _NUMBERED + """ SELECT Order_Id, Order_Item_Id, rn AS chronological_row_number,
   CASE WHEN rn <= floor((SELECT count(*) FROM b WHERE part = 'development') * CAST(0.8 AS DOUBLE)) THEN 'development_inner_train' ELSE 'development_inner_validation' END AS modeling_slice
 FROM b WHERE part = 'development'""")
@@ -216,14 +222,14 @@ _SUMMARY = """ SELECT CASE WHEN part IS NULL THEN 'overall' ELSE 'partition' END
 @query("f5_partition_summary_late", _NUMBERED + _SUMMARY.format(measures="""count(*) FILTER (Late_delivery_risk = 1) AS late_delivery_count,
   count(*) FILTER (Late_delivery_risk = 0) AS non_late_count, count(*) FILTER (Late_delivery_risk = 1) / count(*) AS late_delivery_rate"""))
 def f5_late(spark, sf):
-    return split.partition_summary(split.chronological_split(silver(spark, sf).select(*N.KEYS, N.LATE)), N.LATE)
+    return split.partition_summary(split.label_split(silver(spark, sf).select(*N.KEYS, N.LATE)), N.LATE)
 
 
 @query("f5_partition_summary_profit", _NUMBERED + _SUMMARY.format(measures="""
   CAST(min(Order_Profit_Per_Order) AS DOUBLE) AS target_min_Order_Profit_Per_Order, CAST(max(Order_Profit_Per_Order) AS DOUBLE) AS target_max_Order_Profit_Per_Order,
   CAST(sum(Order_Profit_Per_Order) AS DOUBLE) / count(*) AS target_avg_Order_Profit_Per_Order"""))
 def f5_profit(spark, sf):
-    return split.partition_summary(split.chronological_split(silver(spark, sf).select(*N.KEYS, N.PROFIT)), N.PROFIT)
+    return split.partition_summary(split.label_split(silver(spark, sf).select(*N.KEYS, N.PROFIT)), N.PROFIT)
 
 
 @query("d2_slice_partition", _NUMBERED + " SELECT Order_Id, Order_Item_Id, rn AS chronological_row_number FROM b WHERE part = 'test'")

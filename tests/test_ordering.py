@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.aggregates import mean, total
-from riskloom.operators import split
+from riskloom.operators import ordering, split
 from riskloom.operators.ordering import chronological_row_number, exact_quantiles, running_totals
 from riskloom import names as N
 
@@ -92,3 +92,46 @@ def test_a_cluster_needs_a_shared_folder(spark):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
     with pytest.raises(ValueError):
         shared_folder(unset)
+
+
+def test_selected_quantiles_of_hot_huge_and_odd_values(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "money": np.concatenate([rng.normal(100, 1e-4, 500), [100.0] * 700]), "signs": rng.normal(size=401) * 10.0 ** rng.integers(-9, 9, 401),
+        "one": np.array([3.5]), "same": np.full(50, -0.1), None: np.array([1.0, 2.0]), "ends": np.array([-np.inf, -1e300, 1e300, np.inf]),
+        "close": 1e15 + np.arange(100.0),
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("one", None), ("gone", None)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["probability"]): r["quantile"] for r in ordering.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert len(got) == len(groups) * len(probs)
+    for g, x in groups.items():
+        for p in probs:
+            if g != "ends":
+                assert got[g, p] == pytest.approx(np.quantile(x, p), rel=1e-12)
+    assert (got["ends", 0.0], got["ends", 1.0]) == (-np.inf, np.inf)
+    weighted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    again = {(r["g"], r["probability"]): r["quantile"] for r in ordering.exact_quantiles(weighted, ["g"], "v", probs, "n").collect()}
+    assert {k: v for k, v in again.items() if k[0] != "ends"} == {k: v for k, v in got.items() if k[0] != "ends"}
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "v DOUBLE")
+    assert [r["quantile"] for r in ordering.exact_quantiles(nan, [], "v", [0.0, 0.5]).orderBy("probability").collect()] == [1.0, 2.0]
+    assert ordering.exact_quantiles(df.where("v is null"), ["g"], "v", [0.5]).count() == 0
+
+
+def test_selected_row_and_labels(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(a), f"k{i:04d}", float(a) if a % 3 else None) for i, a in enumerate(rng.integers(0, 12, 300))]
+    df = spark.createDataFrame(rows, "a LONG, k STRING, x DOUBLE").withColumn("t", F.timestamp_seconds(F.col("a") * 86400)).repartition(4)
+    for keys in (["a", "k"], ["t", "k"], ["x", "k"]):
+        in_order = [r.asDict() for r in df.orderBy(*keys).select(*keys).collect()]
+        for position in (1, 2, 57, 150, 299, 300):
+            assert ordering.row_at(df, keys, position) == in_order[position - 1]
+        assert ordering.row_at(df, keys, 301) is None
+    numbered = split.chronological_split(df, 0.7, ["t", "k"])
+    labelled = split.label_split(df, 0.7, ["t", "k"])
+    assert labelled.join(numbered, ["k", "split_partition"]).count() == 300
+    assert split.label_split(df, 0.0, ["t", "k"]).where("split_partition = 'development'").count() == 0
+    assert split.label_split(df, 1.0, ["t", "k"]).where("split_partition = 'test'").count() == 0
+    with pytest.raises(ValueError):
+        ordering.row_at(df, ["k"], 1)
