@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,41 @@ def prefix_sums(
     )
     summed = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return summed.join(starts, keys).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of at least 0 in the fewest bytes for each, and how many those are."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or numbers.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Sorted rows cut into tables of whole groups, of about ``rows`` rows or one group."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(k)[i].as_py() for k in keys)
+
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            last = key(held[-1], held[-1].num_rows - 1)
+            values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
+            other = np.flatnonzero((values != np.array(last)).any(axis=1))
+            cut = int(other[0]) if len(other) else batch.num_rows
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [batch.slice(cut)], batch.num_rows - cut
+            continue
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)

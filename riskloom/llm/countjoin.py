@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, short_batches
+from .common import col, packed, short_batches, unpacked, whole_groups
 from .components import connected_components
 from .simhash import shingle_hashes
 
@@ -51,16 +51,6 @@ def count_vector(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams >> shift).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """A count vector in the fewest bytes for each count, and how many those are."""
-    width = next(w for w in (1, 2, 4) if counts.max(initial=0) < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
-
-
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1)
 
@@ -146,34 +136,6 @@ class Roots:
         return a != b
 
 
-def _stacks(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Sorted rows cut into tables of whole groups, of about ``rows`` rows or one group."""
-    held: list[pa.RecordBatch] = []
-
-    def key(batch: pa.RecordBatch, i: int) -> tuple:
-        return tuple(batch.column(k)[i].as_py() for k in keys)
-
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if size >= rows:
-            last = key(held[-1], held[-1].num_rows - 1)
-            values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], 1)
-            other = np.flatnonzero((values != np.array(last)).any(axis=1))
-            cut = int(other[0]) if len(other) else batch.num_rows
-            if cut:
-                held.append(batch.slice(0, cut))
-            if cut < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, size = [batch.slice(cut)], batch.num_rows - cut
-            continue
-        held.append(batch)
-        size += batch.num_rows
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _meeting(percent: int):
     """Of rows sorted by n-gram and size, those next to one of a size that can link: ``gram, chain, place, row``.
 
@@ -234,9 +196,9 @@ def _tiles(percent: int):
     """A spanning forest of the pairs that survive in each tile."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _stacks(batches, ["gram", "chain", "block"], 10_000):
+        for table in whole_groups(batches, ["gram", "chain", "block"], 10_000):
             gram, chain, block, row, sizes = (table.column(c).to_numpy() for c in ("gram", "chain", "block", "row", "n"))
-            counts = [unpacked(raw.as_py()) for raw in table.column("counts")]
+            counts = [unpacked(raw.as_py()).astype(np.int32) for raw in table.column("counts")]
             sizes = sizes.astype(np.int64)
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (chain[1:] != chain[:-1]) | (block[1:] != block[:-1])])
             begins = np.flatnonzero(new)
@@ -312,7 +274,7 @@ def _verified(percent: int, words: int):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.append(np.zeros(len(links), np.int64), weight))], ["a", "b", "weight"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _stacks(batches, ["root", "block"], 1):
+        for table in whole_groups(batches, ["root", "block"], 1):
             root, block = table.column("root").to_numpy(), table.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero((root[1:] != root[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(root)]
             for a, b in zip(cuts, cuts[1:]):

@@ -2,40 +2,39 @@
 
 A count is quantised to a level on a logarithmic scale, and an n-gram of level q is put into
 the filter q times, as (n-gram, 1) to (n-gram, q).  Probing levels until one is missing gives
-the level back.  The filter is sent to every worker.
-
-What it holds is bounded: only n-grams with at least 1/``ngrams`` of all training tokens are in
-it, so there are at most ``ngrams`` of each order, whatever the corpus.  Their levels are
-relative to that floor, which bounds the number of entries in the same way.  Nothing rarer is
-dropped: words above the floor travel in a table beside the filter, and rarer words and pairs
-are joined.  The floor is a bound of levels, so that a count has one level on either way.
+the level back.
+
+The filter holds every n-gram of the training texts, so it grows with them.  It is cut into pieces of
+bounded size by the n-grams' hash, and each worker gets the pieces and the probes that belong
+together: texts are worked on in chunks, and a chunk asks each piece once for each of its
+distinct n-grams.  The training counts ride with these requests, so one shuffle brings what a piece is
+built from and what is looked up in it.  Answers, a byte or so each, go back to the chunk.  No
+word or pair is treated unlike another, at any size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col
+from .common import col, packed, short_batches, unpacked, whole_groups
 
 #: The token that ends each text and stands before its first word.
 END = np.uint64(xxhash.xxh64_intdigest(b"\0end of text"))
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 200_000
 BLOCK_BITS = 1 << 19
 WORD_KIND, PAIR_KIND = 1, 3
 #: Share of single words in what follows a history.
 BACKOFF = 0.02
-#: Of a pair, by whether the first and the second word are above the floor.
-BOTH, FIRST, SECOND, NEITHER = range(4)
+#: Bytes of a pair's hash that travel with a request; its first three bytes tell the piece.
+PAIR_BYTES = 5
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -74,80 +73,6 @@ def _before(t: np.ndarray, sizes: np.ndarray, first) -> np.ndarray:
     return out
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``key``, ``n``: how often each token occurs in all texts; counted per chunk before anything is shuffled."""
-
-    def run(batches):
-        for _, t, _ in _chunks(batches):
-            key, n = np.unique(t, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return docs.select(col(text).alias("text")).mapInArrow(run, "key LONG, n LONG").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-@dataclass(frozen=True)
-class Words:
-    """Words above the floor, sorted by key, with exact counts; totals of all training tokens."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    total: int
-    distinct: int
-    least: float
-    floor: int
-
-    def places(self, t: np.ndarray) -> np.ndarray:
-        """Place of each key in the table, -1 for others."""
-        if not len(self.keys):
-            return np.full(len(t), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, t), len(self.keys) - 1)
-        return np.where(self.keys[at] == t, at, -1)
-
-
-def frequent_words(counts: DataFrame, ngrams: int, base: float) -> Words:
-    """Totals, and the words with at least 1/``ngrams`` of all tokens: at most ``ngrams`` of them.
-
-    The floor goes up to the next power of ``base``, ``least``, where a level begins.
-    """
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("key").alias("distinct")).first()
-    least = base ** math.ceil(math.log(max(1, -(-row["total"] // ngrams))) / math.log(base) - 1e-9)
-    floor = math.ceil(least - 1e-9)
-    found = counts.where(F.col("n") >= floor).select("key", "n").toArrow()
-    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return Words(keys[order], found.column("n").to_numpy().astype(np.int64)[order], row["total"], row["distinct"], least, floor)
-
-
-def count_pairs(docs: DataFrame, words, text: str = "text") -> DataFrame:
-    """``kind``, ``key``, ``word``, ``n`` of all pairs of neighbouring words.
-
-    Words above the floor are told by their place, others by their hash; a pair of two
-    places has ``before * len(words) + word`` as its key and no word.
-    """
-
-    def run(batches):
-        known = words.value
-        end = known.places(np.array([END]))[0]
-        for _, t, sizes in _chunks(batches):
-            key, back = np.unique(t, return_inverse=True)
-            place = known.places(key)[back]
-            before, ahead = _before(t, sizes, END), _before(place, sizes, end)
-            both = (place >= 0) & (ahead >= 0)
-            code, n = np.unique(ahead[both] * len(known.keys) + place[both], return_counts=True)
-            _, at, more = np.unique(_pair_key(before[~both], t[~both]), return_index=True, return_counts=True)
-            before, t, ahead, place = before[~both][at], t[~both][at], ahead[~both][at], place[~both][at]
-            kind = np.where(ahead >= 0, FIRST, np.where(place >= 0, SECOND, NEITHER))
-            first, second = np.where(ahead >= 0, ahead, before.view(np.int64)), np.where(place >= 0, place, t.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(np.full(len(code), BOTH), kind).astype(np.int32)), pa.array(np.append(code, first)),
-                 pa.array(np.append(np.zeros(len(code), np.int64), second)), pa.array(np.append(n, more).astype(np.int64))],
-                ["kind", "key", "word", "n"],
-            )
-
-    counted = docs.select(col(text).alias("text")).mapInArrow(run, "kind INT, key LONG, word LONG, n LONG")
-    return counted.groupBy("kind", "key", "word").agg(F.sum("n").alias("n"))
-
-
 def _mixed(key: np.ndarray, kind: int, level=0) -> np.ndarray:
     """64 well-mixed bits of (n-gram, level)."""
     with np.errstate(over="ignore"):
@@ -162,9 +87,8 @@ def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (_mixed(before, PAIR_KIND, word) | np.uint64(1 << 63)).view(np.int64)
 
 
-def quantised(n: Column, base: float) -> Column:
-    """Middle of the level of a count of at least one, as the filter gives it."""
-    return F.pow(F.lit(float(base)), F.floor(F.log(n) / float(np.log(base)) + 1e-9) + 0.5)
+def _pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mixed(before, PAIR_KIND, word)
 
 
 def _bits(x: np.ndarray, i: int) -> np.ndarray:
@@ -172,19 +96,44 @@ def _bits(x: np.ndarray, i: int) -> np.ndarray:
     return (((x & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((x >> np.uint64(32)) | np.uint64(1))) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
 
 
+def levels_of(n: np.ndarray, base: float) -> np.ndarray:
+    """Level of each count: 0 for none, 1 from one on, and one more each time it grows by ``base``."""
+    return np.where(n > 0, 1 + np.floor(np.log(np.maximum(n, 1)) / np.log(base) + 1e-9), 0).astype(np.int64)
+
+
+def middle(level: np.ndarray, base: float) -> np.ndarray:
+    """Count that a level stands for."""
+    return np.where(level > 0, base ** (level - 0.5), 0.0)
+
+
 @dataclass(frozen=True)
 class LogFrequencyFilter:
-    """Quantised counts; ``bitmap`` is a row of blocks, and an n-gram has all its bits in one of them."""
+    """A piece: ``bitmap`` is a row of blocks, and an n-gram has all its bits in one of them."""
 
     bitmap: np.ndarray
     blocks: int
     hashes: int
-    base: float
-    floor: float
     highest: int
 
-    def counts(self, key: np.ndarray, kind: int) -> np.ndarray:
-        """Estimated count of each n-gram, 0 for those below the floor.
+    @classmethod
+    def of(cls, kinds: Iterable[tuple[int, np.ndarray, np.ndarray]], bits_per_entry: int, hashes: int) -> "LogFrequencyFilter":
+        """From the keys of each kind and their levels; keys of level 0 are left out."""
+        kinds = [(kind, key[level > 0], level[level > 0]) for kind, key, level in kinds]
+        entries = sum(int(level.sum()) for *_, level in kinds)
+        blocks = max(1, -(-entries * bits_per_entry // BLOCK_BITS))
+        bitmap = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
+        for kind, key, level in kinds:
+            block = (_mixed(key, kind) % np.uint64(blocks)).astype(np.int64) * BLOCK_BITS
+            for q in range(1, int(level.max(initial=0)) + 1):
+                mine = level >= q
+                x = _mixed(key[mine], kind, q)
+                for i in range(hashes):
+                    at = block[mine] + _bits(x, i)
+                    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return cls(bitmap, blocks, hashes, max((int(level.max(initial=0)) for *_, level in kinds), default=0))
+
+    def levels(self, key: np.ndarray, kind: int) -> np.ndarray:
+        """Level of each n-gram, 0 for those that are not there.
 
         Never below the true level; above it with the odds of a false positive.
         """
@@ -200,184 +149,190 @@ class LogFrequencyFilter:
             if not len(alive):
                 break
             level[alive] = q
-        return np.where(level > 0, self.floor * self.base ** (level - 0.5), 0.0)
-
-
-def build_filter(ngrams: DataFrame, floor: float, base: float, bits_per_entry: int, hashes: int) -> LogFrequencyFilter:
-    """Filter of ``kind``, ``key``, ``n`` rows, all at least ``floor``.
-
-    Blocks are filled on the workers; only the finished bitmap comes to the driver.
-    """
-    level = (1 + F.floor(F.log(F.col("n") / float(floor)) / float(np.log(base)) + 1e-9)).cast("int")
-    rows = materialize(ngrams.select("kind", "key", level.alias("level")), "ngrams")
-    size = rows.agg(F.coalesce(F.sum("level"), F.lit(0)).alias("entries"), F.coalesce(F.max("level"), F.lit(0)).alias("highest")).first()
-    blocks = max(1, -(-size["entries"] * bits_per_entry // BLOCK_BITS))
-
-    def place(batches):
-        for b in batches:
-            kind, key = b.column("kind").to_numpy(), b.column("key").to_numpy()
-            block = np.zeros(len(key), np.int64)
-            for k in np.unique(kind):
-                block[kind == k] = (_mixed(key[kind == k], int(k)) % np.uint64(blocks)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], [*b.schema.names, "block"])
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(BLOCK_BITS, bool)
-        for kind, part in rows.groupby("kind"):
-            key, level = part["key"].to_numpy(), part["level"].to_numpy()
-            for q in range(1, int(level.max()) + 1):
-                x = _mixed(key[level >= q], int(kind), q)
-                for i in range(hashes):
-                    bits[_bits(x, i)] = True
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "bitmap": [packed]})
-
-    filled = rows.mapInArrow(place, "kind INT, key LONG, level INT, block LONG").groupBy("block").applyInPandas(fill, "block LONG, bitmap BINARY")
-    bitmap = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
-    for row in filled.toLocalIterator():
-        bitmap[row["block"] * BLOCK_BITS // 8:(row["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(row["bitmap"], np.uint8)
-    return LogFrequencyFilter(bitmap, blocks, hashes, base, floor, int(size["highest"]))
+        return level
 
 
-def _score(words, filter_):
-    """Sums of each text over its tokens, and the keys of tokens and pairs whose counts are not at hand."""
+# --- chunks ----------------------------------------------------------------------------------
+def _bodies(kind: str):
+    """Chunks of texts: ids, held-out marks and lengths of their documents, distinct words, and each token's word."""
+    names = ["ids", "held", "sizes", "words", "tokens", "n", "n_train"]
 
     def run(batches):
-        known, table = words.value, filter_.value
-        norm = float(known.total + known.distinct + 1)
-        size, end = len(known.keys), known.places(np.array([END]))[0]
         for rows, t, sizes in _chunks(batches):
-            key, back = np.unique(t, return_inverse=True)
-            place_of = known.places(key)
-            is_known = place_of >= 0
-            count = np.where(is_known, known.counts[place_of] if size else 0, 0)
-            single = (count + 1.0) / norm
-            past = np.append(place_of, end)
-            seen = np.ones(len(past))
-            seen[past >= 0] = np.maximum(table.counts(past[past >= 0], WORD_KIND), 1.0)
-            ahead = _before(back, sizes, len(key))
-            place, behind = place_of[back], past[ahead]
-            both = (place >= 0) & (behind >= 0)
-            pair, spread = np.unique(behind[both] * size + place[both], return_inverse=True)
-            found = np.zeros(len(t))
-            found[both] = table.counts(pair, PAIR_KIND)[spread]
-            p1 = single[back]
-            # What rare words and pairs add to this is joined later.
-            share = np.minimum(found / seen[ahead], 1.0) * (1.0 - BACKOFF)
-            gain = np.where(behind >= 0, np.log10(share / p1 + BACKOFF), 0.0)
-            near = place >= 0
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            total = lambda x: np.bincount(owner, weights=x, minlength=len(sizes))
-
-            def listed(chosen, keys):
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[chosen], minlength=len(sizes)))])
-                return pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(keys)).cast(pa.list_(pa.int64()))
-
-            # With a floor of one, a pair that is not in the filter was never seen.
-            low = (found == 0) & (known.floor > 1)
+            words, at = np.unique(t, return_inverse=True)
+            one = pa.array([0, rows.num_rows], pa.int32())
+            held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), rows.column("held_out"), pa.array(sizes.astype(np.int64)),
-                 pa.array(total(near).astype(np.int64)), pa.array(total(np.where(near, np.log10(p1), 0.0))),
-                 pa.array(total(gain)), listed(~near, t[~near].view(np.int64)),
-                 listed(low, _pair_key(_before(t, sizes, END)[low], t[low]))],
-                ["id", "held_out", "n_tokens", "n_known", "base_score", "gain", "rare", "pairs"],
-            )
+                [pa.ListArray.from_arrays(one, rows.column("id")), pa.ListArray.from_arrays(one, rows.column("held_out")),
+                 pa.array([packed(sizes)]), pa.array([words.tobytes()]), pa.array([packed(at)]),
+                 pa.array([len(t)]), pa.array([int(sizes[~held].sum())])], names)
+
+    return run, f"ids ARRAY<{kind}>, held ARRAY<BOOLEAN>, sizes BINARY, words BINARY, tokens BINARY, n LONG, n_train LONG"
+
+
+@dataclass
+class _Chunk:
+    """A chunk's tokens as places among its distinct words and pairs, and who asks which piece for what."""
+
+    sizes: np.ndarray
+    held: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    pair_hash: np.ndarray
+    word_order: np.ndarray
+    word_piece: np.ndarray
+    pair_order: np.ndarray
+    pair_piece: np.ndarray
+
+    @classmethod
+    def of(cls, held: list, sizes: bytes, words: bytes, tokens_: bytes, pieces: int) -> "_Chunk":
+        sizes, words, at = unpacked(sizes).astype(np.int64), np.frombuffer(words, np.uint64), unpacked(tokens_).astype(np.int64)
+        end = int(np.searchsorted(words, END))
+        before = _before(at, sizes, end)
+        code, pair = np.unique(before * len(words) + at, return_inverse=True)
+        pair_hash = _pair_hash(words[code // len(words)], words[code % len(words)])
+        piece = lambda h: ((h >> np.uint64(40)).astype(np.int64) * pieces) >> 24
+        word_piece, pair_piece = piece(_mixed(words, WORD_KIND)), piece(pair_hash)
+        word_order, pair_order = np.argsort(word_piece, kind="stable"), np.argsort(pair_piece, kind="stable")
+        return cls(sizes, np.array(held, bool), words, at, before, pair, pair_hash,
+                   word_order, word_piece[word_order], pair_order, pair_piece[pair_order])
+
+    def requests(self, chunk: int) -> pa.RecordBatch:
+        """One row for each piece: the keys it is asked for, with their counts in the chunk's training texts."""
+        train = np.repeat(~self.held, self.sizes)
+        word_n = np.bincount(self.at[train], minlength=len(self.words))[self.word_order]
+        pair_n = np.bincount(self.pair[train], minlength=len(self.pair_hash))[self.pair_order]
+        words = self.words[self.word_order]
+        short = self.pair_hash[self.pair_order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]
+        pieces = np.unique(np.concatenate([self.word_piece, self.pair_piece]))
+        a, b = (np.searchsorted(x, pieces, "left") for x in (self.word_piece, self.pair_piece))
+        c, d = (np.searchsorted(x, pieces, "right") for x in (self.word_piece, self.pair_piece))
+        spans = list(zip(a.tolist(), c.tolist(), b.tolist(), d.tolist()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pieces), pa.array(np.full(len(pieces), chunk)), pa.array([words[i:j].tobytes() for i, j, _, _ in spans]),
+             pa.array([packed(word_n[i:j]) for i, j, _, _ in spans]), pa.array([np.ascontiguousarray(short[i:j]).tobytes() for _, _, i, j in spans]),
+             pa.array([packed(pair_n[i:j]) for _, _, i, j in spans])],
+            ["piece", "chunk", "words", "word_n", "pairs", "pair_n"])
+
+
+def _requests(pieces: int):
+    def run(batches):
+        for batch in batches:
+            for chunk, *body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held", "sizes", "words", "tokens"))):
+                yield _Chunk.of(*body, pieces).requests(chunk)
 
-    return run
+    return run, "piece LONG, chunk LONG, words BINARY, word_n BINARY, pairs BINARY, pair_n BINARY"
 
 
-def _rare_pairs(pairs: DataFrame, counts: DataFrame, words, filter_, base: float) -> DataFrame:
-    """``pair``, ``extra``: what a pair below the floor adds to the log of its backed-off probability.
+def _answers(base: float, bits_per_entry: int, hashes: int):
+    """Build each piece from its requests and look every request up in it.
 
-    Counts of words above the floor are at hand; others are joined, none of them hot.
+    Words get exact counts beside the level that probing finds; pairs get the level.
     """
-    norm = float(words.value.total + words.value.distinct + 1)
+
+    def answer(table: pa.Table) -> pa.RecordBatch:
+        def totals(keys: list[np.ndarray], counts: str):
+            values, of = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.concatenate([unpacked(x.as_py()).astype(np.int64) for x in table.column(counts)])
+            return values, of, np.bincount(of, weights=n, minlength=len(values)).astype(np.int64)
+
+        words = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")]
+        pairs = []
+        for x in table.column("pairs"):
+            raw = np.frombuffer(x.as_py(), np.uint8).reshape(-1, PAIR_BYTES)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :PAIR_BYTES] = raw
+            pairs.append(wide.reshape(-1).view("<u8").astype(np.uint64))
+        word, word_of, word_n = totals(words, "word_n")
+        pair, pair_of, pair_n = totals(pairs, "pair_n")
+        piece = LogFrequencyFilter.of(
+            [(WORD_KIND, word, levels_of(word_n, base)), (PAIR_KIND, pair, levels_of(pair_n, base))], bits_per_entry, hashes)
+        word_level, pair_level = piece.levels(word, WORD_KIND)[word_of], piece.levels(pair, PAIR_KIND)[pair_of]
+        exact = word_n[word_of]
+        i, j = (np.concatenate([[0], np.cumsum([len(x) for x in part])]).tolist() for part in (words, pairs))
+        known = np.zeros(table.num_rows, np.int64)
+        known[0] = (word_n > 0).sum()
+        return pa.RecordBatch.from_arrays(
+            [table.column("piece").combine_chunks(), table.column("chunk").combine_chunks(),
+             pa.array([packed(exact[a:b]) for a, b in zip(i, i[1:])]), pa.array([packed(word_level[a:b]) for a, b in zip(i, i[1:])]),
+             pa.array([packed(pair_level[a:b]) for a, b in zip(j, j[1:])]), pa.array(known)],
+            ["piece", "chunk", "word_n", "word_level", "pair_level", "known"])
 
     def run(batches):
-        known, table = words.value, filter_.value
-        for b in batches:
-            kind, key, word, n = (b.column(c).to_numpy() for c in ("kind", "key", "word", "n"))
-            first, second = (kind == BOTH) | (kind == FIRST), (kind == BOTH) | (kind == SECOND)
-            size = max(1, len(known.keys))
-            before, after = np.where(kind == BOTH, key // size, key), np.where(kind == BOTH, key % size, word)
-            h, w = before.view(np.uint64).copy(), after.view(np.uint64).copy()
-            h[first], w[second] = known.keys[before[first]], known.keys[after[second]]
-            past, count = np.zeros(len(n)), np.zeros(len(n), np.int64)
-            past[first], count[second] = table.counts(before[first], WORD_KIND), known.counts[after[second]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_pair_key(h, w)), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n), pa.array(past), pa.array(count)],
-                ["pair", "h", "w", "n", "past", "count"],
-            )
-
-    out = None
-    for kind in (BOTH, FIRST, SECOND, NEITHER):
-        rows = pairs.where((F.col("kind") == kind) & (F.col("n") < words.value.floor))
-        rows = rows.mapInArrow(run, "pair LONG, h LONG, w LONG, n LONG, past DOUBLE, count LONG")
-        if kind in (SECOND, NEITHER):
-            rows = rows.drop("past").join(counts.select(F.col("key").alias("h"), quantised(F.col("n"), base).alias("past")), "h")
-        if kind in (FIRST, NEITHER):
-            rows = rows.drop("count").join(counts.select(F.col("key").alias("w"), F.col("n").alias("count")), "w")
-        share = F.least(quantised(F.col("n"), base) / F.col("past"), F.lit(1.0)) * (1.0 - BACKOFF)
-        rows = rows.select("pair", F.log10(1 + share * norm / (BACKOFF * (F.col("count") + 1))).alias("extra"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        for table in whole_groups(batches, ["piece"], 1):
+            piece = table.column("piece").to_numpy()
+            cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield answer(table.slice(a, b - a))
+
+    return run, "piece LONG, chunk LONG, word_n BINARY, word_level BINARY, pair_level BINARY, known LONG"
+
+
+def _scores(pieces: int, total: int, distinct: int, base: float, kind: str):
+    """Sums of each document over its tokens, from the answers to its chunk."""
+    norm = float(total + distinct + 1)
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("ids", "held", "sizes", "words", "tokens", "answers"))
+            for place, (_, held, sizes, words, tokens_, answers) in enumerate(zip(*columns)):
+                chunk = _Chunk.of(held, sizes, words, tokens_, pieces)
+                answers.sort(key=lambda a: a["piece"])
+                joined = lambda c: np.concatenate([unpacked(a[c]).astype(np.int64) for a in answers])
+                count, word_level = np.empty((2, len(chunk.words)), np.int64)
+                count[chunk.word_order], word_level[chunk.word_order] = joined("word_n"), joined("word_level")
+                pair_level = np.empty(len(chunk.pair_hash), np.int64)
+                pair_level[chunk.pair_order] = joined("pair_level")
+                single = ((count + 1.0) / norm)[chunk.at]
+                past, found = middle(word_level, base)[chunk.before], middle(pair_level, base)[chunk.pair]
+                share = np.minimum(found / np.maximum(past, 1.0), 1.0) * (1.0 - BACKOFF)
+                p = np.where(past > 0, share + BACKOFF * single, single)
+                owner = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
+                sums = lambda x: pa.array(np.bincount(owner, weights=x, minlength=len(chunk.sizes)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("ids")[place].values, pa.array(chunk.held), pa.array(chunk.sizes),
+                     sums(count[chunk.at] > 0).cast(pa.int64()), sums(np.log10(single)), sums(np.log10(p))],
+                    ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run, f"id {kind}, held_out BOOLEAN, n_tokens LONG, n_known LONG, base_score DOUBLE, score DOUBLE"
 
 
 def score_documents(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", *,
-    ngrams: int = 1 << 22, base: float = 1.25, bits_per_entry: int = 12, hashes: int = 6,
+    base: float = 1.25, bits_per_entry: int = 12, hashes: int = 6, piece_tokens: int = 1 << 21,
 ) -> DataFrame:
     """One row for each document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     The model learns from all documents that are not held out.  ``base_score`` sums
     log10((c + 1) / (N + V + 1)) over words and the end, with exact counts c.  ``score`` sums
     log10 of p(w | h) = 0.98 * c(hw) / c(h) + 0.02 * (c(w) + 1) / (N + V + 1), and of the last
-    part without its factor for a history h that was never seen; c(hw) and c(h) are quantised,
-    from probing the filter or, below its floor, from a join.  So a score does not hang on
-    ``ngrams``, but for false positives of the filter.  Quantised counts make the sum over w
-    differ from one by a few percent, but no p exceeds one.
+    part without its factor for a history h that was never seen; c(hw) and c(h) are quantised and come from
+    probing the filter.  Quantised counts make the sum over w differ from one by a few percent, but no p exceeds one.
 
     Null and empty texts have one token, the end.  Repeated rows count and are scored each.
-    An empty table, or nothing to learn from, gives N = 0 and uniform scores.  The filter
-    and the table of frequent words hold at most ``ngrams`` n-grams of each order (at the
-    default at most 90 MB together); rarer words and pairs are joined, none of them hot, as
-    each has about 1/``ngrams`` of the training tokens at most.
+    An empty table, or nothing to learn from, gives N = 0 and uniform scores.  Other columns are not read, so no name
+    clashes.  A very long text is a chunk of its own, in memory that grows with it.  There is a filter piece
+    for each ``piece_tokens`` tokens of the corpus; it holds about that many distinct pairs at most, and a hot word is
+    asked for once by each chunk.  Chunks and answers are stored, so a lost executor costs the tasks it had.
     """
-    spark = docs.sparkSession
     plain = docs.select(col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), col(text).alias("text"))
-    train = plain.where(~F.col("held_out"))
-    counts = materialize(count_words(train), "word-counts")
-    words = frequent_words(counts, ngrams, base)
-    sent = spark.sparkContext.broadcast(words)
-
-    pairs = materialize(count_pairs(train, sent), "pair-counts")
-    frequent = pairs.where((F.col("kind") == BOTH) & (F.col("n") >= words.floor))
-    singles = spark.createDataFrame(pa.table({"key": np.arange(len(words.keys)), "n": words.counts}))
-    of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("key"), "n")
-    every = of(singles, WORD_KIND).unionByName(of(frequent, PAIR_KIND))
-    sent_filter = spark.sparkContext.broadcast(build_filter(every, words.least, base, bits_per_entry, hashes))
-
-    ddl = f"id {plain.schema['id'].dataType.simpleString()}, held_out BOOLEAN, n_tokens LONG, n_known LONG, base_score DOUBLE, gain DOUBLE, rare ARRAY<LONG>, pairs ARRAY<LONG>"
-    scored = materialize(
-        plain.mapInArrow(_score(sent, sent_filter), ddl).withColumn("row", F.monotonically_increasing_id()), "scored"
-    )
-    # Words below the floor: exact counts by a join, summed to their rows.
-    rare = scored.select("row", F.explode("rare").alias("key")).join(counts.where(F.col("n") < words.floor), "key", "left")
-    norm = float(words.total + words.distinct + 1)
-    rare = rare.groupBy("row").agg(
-        F.count("n").alias("n_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / norm)).alias("base_score"),
-        (F.count("n") * math.log10(BACKOFF)).alias("gain"),  # each word is the history of one token, too
-    )
-    both = scored.drop("rare", "pairs").unionByName(rare, allowMissingColumns=True)
-    if words.floor > 1:
-        extra = _rare_pairs(pairs, counts, sent, sent_filter, base)
-        extra = scored.select("row", F.explode("pairs").alias("pair")).join(extra, "pair").groupBy("row").agg(F.sum("extra").alias("gain"))
-        both = both.unionByName(extra, allowMissingColumns=True)
-    total = both.groupBy("row").agg(
-        F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("gain").alias("gain"),
-    )
-    return total.select(
-        col(id_col), "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"),
-        F.round("base_score", 9).alias("base_score"), F.round(F.col("base_score") + F.col("gain"), 9).alias("score"),
-    )
+    kind = plain.schema["id"].dataType.simpleString()
+    run, ddl = _bodies(kind)
+    bodies = materialize(short_batches(plain).mapInArrow(run, ddl).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    size, total = bodies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    pieces = max(1, -(-size // piece_tokens))
+
+    run, ddl = _requests(pieces)
+    asked = bodies.select("chunk", "held", "sizes", "words", "tokens").mapInArrow(run, ddl)
+    run, ddl = _answers(base, bits_per_entry, hashes)
+    answers = materialize(asked.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, ddl), "answers")
+    distinct = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+
+    back = answers.groupBy("chunk").agg(F.collect_list(F.struct("piece", "word_n", "word_level", "pair_level")).alias("answers"))
+    run, ddl = _scores(pieces, total, distinct, base, kind)
+    scored = bodies.join(back, "chunk").select("ids", "held", "sizes", "words", "tokens", "answers").mapInArrow(run, ddl)
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        F.round("base_score", 9).alias("base_score"), F.round("score", 9).alias("score"))
