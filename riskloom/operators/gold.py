@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..session import shared_folder
 from .features import all_feature_columns
 
 
@@ -65,6 +67,22 @@ def gold_from_tables(
     )
 
 
+def store_by_keys(df: DataFrame, label: str, keys: Sequence[str] = N.KEYS, buckets: int | None = None) -> DataFrame:
+    """``df`` as a stored table bucketed and sorted by ``keys``: joins and groupings by them need no shuffle of it.
+
+    All tables that are to meet need the same number of buckets, by default the session's shuffle partitions; for
+    large tables give one that keeps a bucket to some hundred megabytes.  The files lie in the shared folder, under a
+    catalog name of this session.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    # Dealt by the bucketing's own hash, so that each bucket is one file.
+    (df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", f"{shared_folder(spark)}/bucketed-{name}").saveAsTable(name))
+    return spark.table(name)
+
+
 def dedupe_keys(df: DataFrame, keys: Sequence[str] = N.KEYS) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
@@ -83,12 +101,18 @@ def attach_dimension(fact: DataFrame, dim: DataFrame, key: str, keep_empty: bool
 
 
 def key_diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = N.KEYS) -> DataFrame:
-    """Keys of one side missing from the other, with the side they are on."""
-    a, b = left.select(*keys), right.select(*keys)
-    return (
-        a.join(b, list(keys), "left_anti").withColumn("side", F.lit("missing"))
-        .unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("unexpected")))
-    )
+    """Keys of one side missing from the other, with the side they are on.
+
+    Each side is counted by key once and the counts are joined, so neither input is computed twice, and
+    tables bucketed by the keys are not shuffled.  A repeated key comes out as often as it is there; a key with a null in it is
+    like no other.
+    """
+    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
+    both = a.join(b, list(keys), "full").where(F.col("_l").isNull() | F.col("_r").isNull())
+    side = F.when(F.col("_r").isNull(), F.lit("missing")).otherwise("unexpected")
+    times = F.coalesce("_l", "_r").cast("int")
+    return both.select(*keys, F.explode(F.array_repeat(side, times)).alias("side"))
 
 
 def key_coverage(left: DataFrame, right: DataFrame, keys: Sequence[str] = N.KEYS) -> DataFrame:

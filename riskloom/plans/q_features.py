@@ -94,6 +94,18 @@ def e1_joined(spark, sf):
     return gold.gold_from_tables(rows, parts, N.LATE)
 
 
+@query("e1_gold_late_bucketed", _GOLD_LATE)
+def e1_bucketed(spark, sf):
+    """From stored feature tables that are bucketed by the keys they are joined on."""
+    from ..functions.calendar import order_time_features
+
+    rows = silver(spark, sf, *_ALL)
+    features_ = [order_time_features(rows), features.shipping_product_features(rows, None), features.customer_regional_features(rows, None)]
+    parts = [gold.store_by_keys(t, f"features{i}") for i, t in enumerate(features_)]
+    base = gold.store_by_keys(rows.select(*N.KEYS, N.LATE, "Type", "Delivery_Status", "Order_Status"), "items")
+    return gold.gold_from_tables(base, parts, N.LATE)
+
+
 @query("e2_gold_profit", _GOLD_PROFIT)
 def e2(spark, sf):
     return doubles(gold.gold_from_silver(silver(spark, sf, *_ALL), N.PROFIT))
