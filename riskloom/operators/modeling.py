@@ -62,6 +62,26 @@ def check_feature_groups(groups: FeatureGroups, approved: Sequence[str], forbidd
         raise ValueError(f"feature groups: {found}")
 
 
+def feature_group_problems(listed: DataFrame, approved: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Problem rows ``problem, feature_name, detail`` of stored feature groups.
+
+    ``listed`` has ``treatment, feature_name``, the others ``feature_name``.  Groups must be disjoint, cover the
+    approved predictors and hold nothing else, and nothing forbidden in any spelling of upper and lower case.
+    """
+    per_name = listed.groupBy("feature_name").agg(F.array_sort(F.collect_set("treatment")).alias("treatments"))
+    names, fine = per_name.select("feature_name"), approved.select("feature_name").distinct()
+    low = F.lower("feature_name")
+    banned = forbidden.select(low.alias("low")).distinct()
+    row = lambda df, problem, detail: df.select(F.lit(problem).alias("problem"), "feature_name", detail.alias("detail"))
+    nothing = F.lit("")
+    return (
+        row(per_name.where(F.size("treatments") > 1), "in several groups", F.concat_ws(", ", "treatments"))
+        .unionByName(row(fine.join(names, "feature_name", "left_anti"), "not grouped", nothing))
+        .unionByName(row(names.join(fine, "feature_name", "left_anti"), "not approved", nothing))
+        .unionByName(row(names.withColumn("low", low).join(banned, "low", "left_semi"), "forbidden", nothing))
+    )
+
+
 def prepare(df: DataFrame, groups: FeatureGroups) -> DataFrame:
     """Types the pipeline expects: doubles, and text with missing categories filled."""
     casts: dict[str, Column] = {c: F.col(c).cast("double") for c in (*groups.numeric, *groups.binary)}
@@ -156,11 +176,16 @@ def fit_ridge(features: DataFrame, target: str = N.PROFIT, alpha: float = 1.0):
 
 
 def coefficients(spark, model, names: Sequence[str]) -> DataFrame:
-    """Coefficient table, largest magnitude first.  One row per feature slot of the model."""
+    """Coefficient table of a fitted model, largest magnitude first.  One row per feature slot."""
     rows = [(n, float(v)) for n, v in zip(names, model.coefficients)]
+    return coefficient_table(spark.createDataFrame(rows, "feature_name STRING, coefficient DOUBLE"))
+
+
+def coefficient_table(table: DataFrame) -> DataFrame:
+    """Magnitude, odds ratio, direction and rank of given ``feature_name, coefficient`` rows, one per feature slot."""
     c = F.col("coefficient")
     rank = F.row_number().over(Window.orderBy(F.desc("absolute_coefficient"), "feature_name"))
-    return spark.createDataFrame(rows, "feature_name STRING, coefficient DOUBLE").select(
+    return table.select(
         "feature_name", c, F.abs(c).alias("absolute_coefficient"),
         F.exp(F.greatest(F.least(c, F.lit(700.0)), F.lit(-700.0))).alias("odds_ratio"),
         F.when(c > 0, "positive").when(c < 0, "negative").otherwise("neutral").alias("direction"),

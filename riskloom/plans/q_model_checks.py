@@ -83,6 +83,30 @@ def l7(spark, sf):
     return rounded(L.coefficients(spark, model, ["a", "b"]).select("feature_name", "coefficient"), ["coefficient"], 5)
 
 
+@query("l3_feature_group_problems", """WITH g AS (SELECT DISTINCT p_brand AS treatment, p_type || '_' || p_size % 9 AS feature_name FROM part),
+ok AS (SELECT DISTINCT p_type || '_' || p_size % 11 AS feature_name FROM part WHERE p_size > 5), bad AS (SELECT DISTINCT lower(p_type || '_' || p_size % 9) AS low FROM part WHERE p_retailprice > 1900),
+n AS (SELECT feature_name, string_agg(treatment, ', ' ORDER BY treatment) AS detail, count(*) AS c FROM g GROUP BY 1)
+SELECT 'in several groups' AS problem, feature_name, detail FROM n WHERE c > 1 UNION ALL SELECT 'not grouped', feature_name, '' FROM ok ANTI JOIN n USING (feature_name)
+UNION ALL SELECT 'not approved', feature_name, '' FROM n ANTI JOIN ok USING (feature_name) UNION ALL SELECT 'forbidden', feature_name, '' FROM n SEMI JOIN bad ON bad.low = lower(feature_name)""")
+def l3(spark, sf):
+    """Part types stand in for features, brands for treatments."""
+    name = lambda m: F.concat(F.col("p_type"), F.lit("_"), (F.col("p_size") % m).cast("string")).alias("feature_name")
+    part = table(spark, sf, "part")
+    listed = part.select(F.col("p_brand").alias("treatment"), name(9))
+    return L.feature_group_problems(listed, part.where("p_size > 5").select(name(11)), part.where("p_retailprice > 1900").select(F.upper(name(9)).alias("feature_name")))
+
+
+@query("l5_coefficient_table", """WITH c AS (SELECT 'f' || p_partkey AS feature_name, CAST(CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE (p_size - 25) * (p_partkey % 37) END AS DOUBLE) AS coefficient FROM part)
+SELECT feature_name, coefficient, abs(coefficient) AS absolute_coefficient, round(ln(exp(greatest(least(coefficient, 700), -700))), 6) AS log_odds,
+  CASE WHEN coefficient > 0 THEN 'positive' WHEN coefficient < 0 THEN 'negative' ELSE 'neutral' END AS direction, row_number() OVER (ORDER BY abs(coefficient) DESC, feature_name) AS coefficient_rank FROM c""")
+def l5(spark, sf):
+    """Odds ratios (by their logarithm, as they span 600 orders of magnitude), direction and rank of given coefficients."""
+    key = F.col("p_partkey")
+    value = F.when(key % 10 == 0, 0).otherwise((F.col("p_size") - 25) * (key % 37)).cast("double")
+    out = L.coefficient_table(table(spark, sf, "part").select(F.concat(F.lit("f"), key.cast("string")).alias("feature_name"), value.alias("coefficient")))
+    return out.withColumn("log_odds", F.round(F.ln("odds_ratio"), 6) + 0.0).drop("odds_ratio")
+
+
 @query("l4_first_order_conditions", """SELECT f AS feature_name, CAST(0 AS DOUBLE) AS gradient, count(*) AS row_count
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey CROSS JOIN (SELECT unnest(['a', 'b', 'intercept']) AS f) GROUP BY f""")
 def l4(spark, sf):
