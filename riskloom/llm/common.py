@@ -90,16 +90,18 @@ def prefix_sums(
 
     ``group`` and ``bucket`` columns must not be null.  Windows over rows only span a
     bucket, whose size the caller bounds; the window over a whole group sees one row per
-    bucket.  Rows that tie on ``order`` should be alike, as either may come first.
+    bucket.  Rows that tie on ``order`` should be alike, as either may come first.  Rows whose ``bucket`` is told by
+    what they hold share one if they are equal in all of it.
     """
     keys = [*group, bucket]
+    total, start, inside_ = free_names(df, "_total", "_start", "_inside")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*keys).agg(F.sum(value).alias("_total")).select(
-        *keys, F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_start")
+    starts = df.groupBy(*keys).agg(F.sum(value).alias(total)).select(
+        *keys, F.coalesce(F.sum(total).over(along), F.lit(0)).alias(start)
     )
-    summed = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(starts, keys).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+    summed = df.withColumn(inside_, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(starts, keys).withColumn(name, F.col(start) + F.col(inside_)).drop(start, inside_)
 
 
 def packed(numbers: np.ndarray) -> bytes:

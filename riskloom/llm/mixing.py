@@ -81,15 +81,17 @@ def plan_mix(
     without words gets target 0; empty input gives an empty plan.  The result names replace
     columns of the same names.  Documents are numbered in buckets of bounded size, so that
     a source with a third of all rows is spread; only windows over one row per source or
-    per bucket see a whole source.  ``store`` keeps the input as a table in the shared
+    per bucket see a whole source.  Rows that are equal in all of ``key`` share a bucket, however many they are.
+    ``store`` keeps the input as a table in the shared
     folder, for narrow inputs whose sizes are dear.
     """
     docs = docs.drop("source_size", "target", "taken", "uses", *(["size"] if "size" != source else []))
     kept = docs.columns
     hashed = F.md5(F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in key]).cast("binary"))
-    rows = docs.withColumns({
-        "size": size.cast("long"), "_key": hashed, "_null": col(source).isNull(), "_src": F.coalesce(col(source), F.lit("")),
-    })
+    # All columns in one, so that no helper's name can clash with theirs.
+    rows = docs.select(
+        F.struct(*cols(kept)).alias("_row"), size.cast("long").alias("size"), hashed.alias("_key"), col(source).isNull().alias("_null"),
+        F.coalesce(col(source), F.lit("")).alias("_src"))
     rows = materialize(rows, "mix") if store else rows
     buckets = bucket_count(rows.count() if store else docs.count())
     at = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
@@ -115,7 +117,7 @@ def plan_mix(
         uses.append(F.struct(time.alias("position"), words.alias("words")))
     placed = placed.withColumn("uses", F.filter(F.array(*uses), lambda u: u["words"] > 0))
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda a, u: a + u["words"])
-    return placed.withColumn("taken", taken).select(*cols(kept), "size", "source_size", "target", "taken", "uses")
+    return placed.withColumn("taken", taken).select("_row.*", "size", "source_size", "target", "taken", "uses")
 
 
 def training_order(planned: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, bucket_of, cols, short_batches
+from .common import bucket_count, bucket_of, cols, free_names, short_batches
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,7 +173,8 @@ def pack_documents(
         raise ValueError(f"rename {sorted(clash)}")
     buckets = bucket_count(docs.count(), rows_per_bucket)
     h = F.xxhash64(*cols(keep), F.col(f"`{text}`"))
-    dealt = pieces(docs.withColumn("_h", h), text, [*keep, "_h"], max(capacities), with_text, apart=True)
+    (mark,) = free_names(docs, "_h")
+    dealt = pieces(docs.withColumn(mark, h), text, [*keep, mark], max(capacities), with_text, apart=True)
     names = [f"k{i}" for i in range(len(keep))]
     last = f"k{len(keep)}"
     dealt = dealt.withColumn("bucket", bucket_of(F.col(last), buckets))

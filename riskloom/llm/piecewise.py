@@ -44,39 +44,53 @@ def _rolling(raw: bytes) -> np.ndarray:
 
 
 def _letters(raw: bytes, ends: np.ndarray) -> str:
+    """A letter for each piece; a text that is a single piece has five, so that such texts seldom look alike by chance."""
     view, begin, out = memoryview(raw), 0, []
     for end in ends.tolist():
         out.append(LETTERS[zlib.crc32(view[begin:end]) & 63])
         begin = end
+    if not out and raw:
+        check = zlib.crc32(raw)
+        return "".join(LETTERS[check >> 6 * i & 63] for i in range(5))
     if begin < len(raw):
         out.append(LETTERS[zlib.crc32(view[begin:]) & 63])
     return "".join(out)
 
 
+def _strength(h: np.ndarray) -> np.ndarray:
+    """Level up to which each window is a boundary.
+
+    The leading ones of its hash, and for windows that have come before in the text the factors of two in how often:
+    the second, fourth, ... of equal windows last one, two, ... levels longer.
+    """
+    bits = lambda x: np.frexp(x.astype(np.float64))[1].astype(np.int64)  # noqa: E731 - bit length
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    first = np.flatnonzero(new)
+    turn = np.empty(len(h), np.int64)
+    turn[order] = np.arange(len(h)) - first[np.cumsum(new) - 1] + 1
+    return 32 - bits(~h) + bits(turn & -turn) - 1
+
+
 def fingerprint(raw: bytes) -> str:
     """``level:letters:coarser letters`` of a whole text; the empty text gives ``2::``.
 
     A level-k boundary follows a window whose hash is among the highest 1/2^k; boundaries
     of a level are also those of all finer ones.  The level is the least from FINEST on
     with at most LONGEST boundaries, so no text loses any of its bytes, however long or monotonous it is.
+    In a passage that repeats itself all boundaries have equal hashes; half of them go from level to level there, too,
+    so it keeps its share of the letters.
     """
     h = _rolling(raw)
-    floor = lambda k: np.uint32((1 << 32) - (1 << (32 - k)) if k else 0)
-    # Start where a few hundred boundaries are expected: finer levels only add more.
-    level = max(FINEST, (len(h) // (4 * LONGEST)).bit_length() - 1)
-    at = np.flatnonzero(h >= floor(level))
-    while level > FINEST and len(at) <= LONGEST:  # rarer than expected: look at finer levels
-        level -= 1
-        at = np.flatnonzero(h >= floor(level))
-    strong = h[at]
-    while len(at) > LONGEST and level < 32:
-        level += 1
-        chosen = strong >= floor(level)
-        at, strong = at[chosen], strong[chosen]
-    if len(at) > LONGEST:  # even the highest hash is too frequent: no boundary says anything
-        at, strong = at[:0], strong[:0]
-    coarse = at[strong >= floor(level + 1)] if level < 32 else at[:0]
-    return f"{level}:{_letters(raw, at + WINDOW)}:{_letters(raw, coarse + WINDOW)}"
+    at = np.flatnonzero(h >= np.uint32((1 << 32) - (1 << (32 - FINEST))))
+    if not len(at):
+        return f"{FINEST}:{_letters(raw, at)}:{_letters(raw, at)}"
+    strength = _strength(h[at])
+    # Boundaries of each level and all above it.
+    count = np.cumsum(np.bincount(strength)[::-1])[::-1]
+    level = max(FINEST, int(np.argmax(np.append(count, 0) <= LONGEST)))
+    fine, coarse = at[strength >= level], at[strength > level]
+    return f"{level}:{_letters(raw, fine + WINDOW)}:{_letters(raw, coarse + WINDOW)}"
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -173,7 +187,8 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
     """Fingerprints of each whole text, of the text edited with its successor, and of the successor.
 
     Documents follow each other by descending id (null ids last, equal ids by a hash of the
-    text); the last is followed by the first, a single one by itself.  A null text is empty.
+    text); the last is followed by the first, a single one by itself.  A null text is empty, and an empty table
+    gives an empty result.  Ids are cast to longs.  A very long text is worked on whole, in memory that grows with it.
     Texts are range-partitioned once.  Each slice is walked in order, holding two texts; the
     ends of slices, two texts each, meet their neighbours in a second, small step.
     """

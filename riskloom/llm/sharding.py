@@ -39,8 +39,8 @@ def assign_shards(
 
     Slots follow a hash of the whole row, so that they do not depend on partitioning.
     A shard is numbered in buckets of bounded size, never in one task.  Meant for
-    narrow rows: they are stored once.  Equal rows share a shard and take neighbouring
-    slots in any order; an empty table gives an empty result.  ``shard`` and the other
+    narrow rows: they are stored once.  Equal rows share a shard and a bucket and take neighbouring
+    slots in any order; a null text or other value is a value like any other; an empty table gives an empty result.  ``shard`` and the other
     result names replace columns of these names.
     """
     rows = rows.drop("shard", "slot", "grown_shard")

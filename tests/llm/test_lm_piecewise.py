@@ -164,6 +164,26 @@ def test_signatures_stay_short_and_local():
         assert len(piecewise.fingerprint(raw)) < 300
 
 
+def test_repeated_passages_keep_their_boundaries(spark):
+    rng = np.random.default_rng(7)
+    line = lambda k: bytes(rng.integers(97, 123, k, dtype=np.uint8).tolist()) + b"\n"
+    one, two, three = line(60), line(45), line(90)
+    new = b"".join(line(50) for _ in range(300))
+    monotonous = {"one": one * 400, "two": (one + two) * 300, "three": (three + one + two) * 500, "mixed": new + one * 900}
+    prints = {k: piecewise.fingerprint(v) for k, v in monotonous.items()}
+    for k, raw in monotonous.items():
+        level, fine, coarse = prints[k].split(":")
+        assert 10 < len(fine) <= piecewise.LONGEST + 1 and 4 < len(coarse) <= len(fine)
+        cut = len(raw) - len(raw) // 3
+        assert likeness(prints[k], piecewise.fingerprint(raw[:cut] + new[:len(raw) // 3])) > 0.5
+        assert likeness(prints[k], piecewise.fingerprint(raw[:cut] + b"edited" + raw[cut:])) > 0.6
+    # Other repetitive texts do not look alike, also where there is one piece only.
+    assert all(likeness(prints[a], piecewise.fingerprint(line(70) * 400)) < 0.3 for a in prints)
+    single = [piecewise.fingerprint(bytes([c]) * 9000) for c in range(97, 123)]
+    assert len(set(single)) == 26 and max(likeness(a, b) for i, a in enumerate(single) for b in single[:i]) < 0.7
+    assert single == [piecewise.fingerprint(bytes([c]) * 9000) for c in range(97, 123)]
+
+
 def test_piecewise_odd_rows(spark, odd_docs, no_docs):
     got = piecewise.neighbour_fingerprints(odd_docs).toPandas()
     assert len(got) == 12 and got["edited_fingerprint"].notna().all() and got["next_fingerprint"].notna().all()

@@ -110,3 +110,29 @@ def test_shards_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert sharding.assign_shards(no_docs, "doc_id", [1.0]).count() == 0
     sharding.write_shards(got, f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == len(rows)
+
+
+HELPERS = ("_key", "_null", "_src", "_bucket", "_from", "_class", "_part", "_size", "_row", "_total", "_start", "_inside", "_cap", "_all", "_rest", "_h", "_one")
+
+
+def test_columns_named_like_helpers_survive(spark, odd_docs):
+    named = odd_docs
+    for i, c in enumerate(HELPERS):
+        named = named.withColumn(c, F.lit(i))
+    for planned in (
+        mixing.plan_mix(named, "source", F.lit(3), [F.col("doc_id"), F.col("text")]),
+        sharding.assign_shards(named.drop("text"), "doc_id", [1.0, 2.0], grown=[1.0, 2.0, 1.0]),
+    ):
+        got = planned.select(*HELPERS).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(range(len(HELPERS)))] and planned.count() == 12
+    mixed = mixing.mix_documents(named)
+    assert mixed.columns == named.columns and mixed.select(*HELPERS).distinct().count() == 1
+
+
+def test_rows_repeated_in_all_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 400 + [(i, f"w{i} x", "t") for i in range(300)], "doc_id LONG, text STRING, source STRING")
+    planned = mixing.plan_mix(docs, "source", F.size(F.split("text", " ")), [F.col("doc_id"), F.col("text")])
+    sums = {r["source"]: (r["t"], r["target"]) for r in planned.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()}
+    assert all(abs(t - target) <= 1 for t, target in sums.values())
+    slots = sharding.assign_shards(docs, "doc_id", [1.0] * 3).groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("m"))
+    assert all(r["n"] == r["m"] + 1 for r in slots.collect())

@@ -126,3 +126,9 @@ def test_query_tokens_are_whole(spark, sf):
         for a in range(0, len(raw), 1024):
             want.append(zlib.crc32(raw[a:a + 1024] + end * (512 - len(raw[a:a + 1024]) // 2)))
     assert got["tokens_crc32"].tolist() == want and sorted(got["slot"]) == list(range(len(want)))
+
+
+def test_packing_keeps_columns_named_like_helpers(odd_docs):
+    named = odd_docs.withColumnsRenamed({"lang": "_h", "source": "bucket", "n_chars": "_text"})
+    got = packing.pack_documents(named, keep=("doc_id", "_h", "bucket", "_text"), with_text=True)
+    assert got.where("doc_id = 10").select("_h", "bucket", "_text").distinct().collect() == [("de", "d", 18)]
