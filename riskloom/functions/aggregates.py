@@ -2,8 +2,8 @@
 
 Sums of doubles depend on the order in which partitions arrive, so a retried task can
 change the last digits of a report.  ``total`` and ``mean`` sum fixed-point integers
-instead: the result is the same for every partitioning, and a row costs one
-multiplication and two casts inside generated code.
+instead: the result is the same for every partitioning, and a row costs a
+multiplication, a cast and two sums of longs inside generated code.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from .. import names as N
 from .text import _c
 
 MONEY_DIGITS, RATIO_DIGITS = 6, 12  # decimals kept of currency amounts, and of probabilities and margins
+_HALF = 30  # bits of the lower half of a sum
 _RATIOS = {N.RISK, N.MARGIN, "predicted_probability"}
 
 
@@ -35,10 +36,13 @@ def total(value: Column | str, digits: int | None = None) -> Column:
     d = digits or (digits_of(value) if isinstance(value, str) else MONEY_DIGITS)
     known = _known(value)
     fits = F.abs(known) < 9.0e18 / 10.0**d
-    units = F.rint(F.when(fits, known) * 10.0**d).cast("long").cast("decimal(19,0)")
+    units = F.rint(F.when(fits, known) * 10.0**d).cast("long")
     unit = F.lit(f"{10**-d:.{d}f}").cast(f"decimal({d},{d})")
+    # Summed in two halves, which stay longs up to 2^93 units in all, and put together once for each group.
+    high = F.sum(F.shiftright(units, _HALF)).cast("decimal(19,0)") * F.lit(1 << _HALF).cast("decimal(10,0)")
+    whole = high + F.sum(units.bitwiseAND(F.lit((1 << _HALF) - 1).cast("long"))).cast("decimal(19,0)")
     # 37 digits in all, so that the product keeps its full scale.
-    exact = (F.sum(units).cast(f"decimal({37 - d},0)") * unit).cast("double")
+    exact = (whole.cast(f"decimal({37 - d},0)") * unit).cast("double")
     large = F.sum(F.when(~fits, known))
     return F.when(large.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + large)
 
