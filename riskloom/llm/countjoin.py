@@ -367,10 +367,13 @@ def _chosen(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = 3, percent: int = 90, block: int = 2048,
-    block_grams: int = 1 << 18,
+    block_grams: int = 1 << 18, with_class: bool = False,
 ) -> DataFrame:
     """One row for each document: its id, ``n_shingles``, ``component_id`` and ``n_links``.
 
+    ``with_class`` adds ``class``, a number that the rows of a component share, also where they have no id, null for texts
+    without words, and ``h``, a hash of the text.
+
     Documents link when their sets of distinct word n-grams (A-Z in lower case; of fewer words,
     all of them as one) have a Jaccard similarity of at least ``percent`` hundredths.
     ``component_id`` is the least id that links reach, ``n_links`` the number of other rows that a row links with.
@@ -426,10 +429,11 @@ def jaccard_classes(
     named = named.withColumn("root", F.coalesce("root", "row"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select(
-        "node", "component", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        "node", "component", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("root").alias("class"))
     # Many rows of one hot set meet one row: such a join can be split.
-    return profiles.select("id", "n", "node").join(named, "node", "left").select(
+    extra = [F.col("class"), F.col("h")] if with_class else []
+    return profiles.select("id", "n", "node", "h").join(named, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), *extra,
     )
