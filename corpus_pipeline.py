@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import mixing, packing, quality, simhash
+from riskloom.llm import mixing, neardup, packing, quality
 from riskloom.llm.common import free_names
 from riskloom.session import shared_folder
 
@@ -23,8 +23,11 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group whose fingerprints are linked."""
-    return simhash.keep_one(docs)
+    """One document of each group that fingerprints within three bits, or five-word shingle sets of similarity 0.8, link.
+
+    SimHash alone leaves most edited copies: of pairs with that similarity it links few whose sets differ.
+    """
+    return neardup.keep_one(docs)
 
 
 def mixing_sources(spark, docs, sf_dir):
