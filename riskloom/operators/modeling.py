@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+    ElementwiseProduct, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -26,6 +26,7 @@ from . import boosting
 from .decisions import high_risk_flag, predicted_margin
 from .evaluation import classification_metrics, regression_metrics
 from .gold import merge_one_to_one
+from .ordering import exact_quantiles
 
 FEATURES, UNKNOWN = "features", "unknown"
 
@@ -90,8 +91,21 @@ def prepare(df: DataFrame, groups: FeatureGroups) -> DataFrame:
     return df.withColumns(casts | {c: F.coalesce(F.nullif(e, F.lit("")), F.lit("(blank)")) for c, e in level.items()})
 
 
-def fit_preprocessor(train: DataFrame, groups: FeatureGroups, relative_error: float = 1e-4) -> PipelineModel:
-    """Imputation, scaling and one-hot encoding, fitted on the given slice only.
+def _medians(rows: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact median of the known values of each column; 0 for a column without any."""
+    known = [F.struct(F.lit(c).alias("name"), F.when(~F.isnan(c), F.col(c)).alias("v")) for c in columns]
+    found = exact_quantiles(rows.select(F.inline(F.array(*known))), ["name"], "v", [0.5]).collect()  # one row per column
+    return {c: 0.0 for c in columns} | {r["name"]: r["quantile"] for r in found}
+
+
+def _filled(columns: Sequence[str], outputs: Sequence[str], values: dict[str, float]) -> SQLTransformer:
+    """A stage that fills nulls and NaN with a value for each column."""
+    fill = ", ".join(f"coalesce(nanvl(`{c}`, CAST(NULL AS DOUBLE)), CAST('{values[c]!r}' AS DOUBLE)) AS `{o}`" for c, o in zip(columns, outputs))
+    return SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__")
+
+
+def fit_preprocessor(train: DataFrame, groups: FeatureGroups) -> PipelineModel:
+    """Imputation by exact medians, scaling and one-hot encoding, fitted on the given slice only.
 
     Categories unseen in the slice become all zeros: they go to the indexer's extra
     bucket, which is the one the encoder drops.
@@ -107,7 +121,7 @@ def fit_preprocessor(train: DataFrame, groups: FeatureGroups, relative_error: fl
     numeric, binary = tagged("n", groups.numeric), tagged("b", groups.binary)
     index, hot = tagged("i", groups.categorical), tagged("h", groups.categorical)
     stages = [
-        Imputer(strategy="median", relativeError=relative_error, inputCols=list(groups.numeric), outputCols=numeric),
+        _filled(groups.numeric, numeric, _medians(rows, groups.numeric)),
         VectorAssembler(inputCols=numeric, outputCol="_numbers"),
         StandardScaler(withMean=True, withStd=True, inputCol="_numbers", outputCol="_sample_scaled"),
         ElementwiseProduct(scalingVec=Vectors.dense([to_population] * len(numeric)),
