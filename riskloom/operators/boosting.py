@@ -306,11 +306,11 @@ def _low(x: np.ndarray):
 def _level_sums(state, growers: list[_Grower], bins: Bins, objective: str, scale: tuple[float, float]) -> dict:
     """Sums of gradients and hessians by bin for the counted nodes of all growers."""
     # Only what the tasks need travels with them.
-    work = [(i, g.recent, g.tree, set(g.counted), g.turn, g.s) for i, g in enumerate(growers) if not g.done]
+    work = [(i, g.recent, g.tree, {node: k for k, node in enumerate(g.counted)}, g.turn, g.s) for i, g in enumerate(growers) if not g.done]
     width = bins.total + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(a, BATCH_ROWS)
@@ -318,29 +318,33 @@ def _level_sums(state, growers: list[_Grower], bins: Bins, objective: str, scale
                 codes = part.column("codes")
                 ends = codes.offsets.to_numpy()
                 flat = codes.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
-                sizes = np.diff(ends)
+                # Bins that rows hold and, behind them, one more of each row for the sums of whole nodes.
+                row_of = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(ends)), np.arange(part.num_rows)])
+                flat = np.concatenate([flat.astype(np.int64), np.full(part.num_rows, width - 1)])
                 y, weight, key = (part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "weight", "key"))
                 margins = _dense(part, "margins", len(growers))
                 for i, recent, tree, counted, turn, s in work:
                     g, h = _gradients(objective, _add_leaf_values(recent, _low(x), margins[:, i].copy()), y, weight)
                     g, h = np.rint(g * scale[0]), np.rint(h * scale[1])
-                    if s.row_share < 1:
-                        drawn = _drawn(key, s.seed, turn) < s.row_share
-                        g, h = g * drawn, h * drawn
+                    mine = np.full(part.num_rows, -1)
                     for node, rows in tree.leaves(lambda n, r: _low(x)(tree, n, r)):
-                        if node not in counted:
-                            continue
-                        mine = np.zeros(part.num_rows, bool)
-                        mine[slice(None) if rows is None else rows] = True
-                        chosen = np.repeat(mine, sizes)
-                        held = sums.setdefault((i, node), np.zeros((2, width)))
-                        for k, v in enumerate((g, h)):
-                            held[k, :-1] += np.bincount(flat[chosen], weights=np.repeat(v, sizes)[chosen], minlength=width - 1)
-                            held[k, -1] += v[mine].sum()
-        for (i, node), held in sums.items():
-            at = np.flatnonzero(held.any(axis=0))
-            keys = (np.int64(i) << 48) + (np.int64(node) << 32) + at
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(v[at].astype(np.int64)) for v in held]], ["key", "g", "h"])
+                        if node in counted:
+                            mine[slice(None) if rows is None else rows] = counted[node]
+                    if s.row_share < 1:
+                        mine[_drawn(key, s.seed, turn) >= s.row_share] = -1
+                    held_by = mine[row_of]
+                    at = np.flatnonzero(held_by >= 0)
+                    rows, at = row_of[at], held_by[at] * width + flat[at]
+                    # Sums of one slice are whole numbers that a double holds exactly; those of a task may not be.
+                    held = sums.setdefault(i, np.zeros((2, len(counted) * width), np.int64))
+                    for k, v in enumerate((g, h)):
+                        held[k] += np.bincount(at, weights=v[rows], minlength=held.shape[1]).astype(np.int64)
+        for i, _, _, counted, _, _ in work:
+            for node, place in counted.items():
+                held = sums[i][:, place * width:(place + 1) * width] if i in sums else np.zeros((2, 0), np.int64)
+                at = np.flatnonzero(held.any(axis=0))
+                keys = (np.int64(i) << 48) + (np.int64(node) << 32) + at
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(v[at]) for v in held]], ["key", "g", "h"])
 
     summed = state.mapInArrow(run, "key LONG, g LONG, h LONG").groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
     key, g, h = (summed.column(c).to_numpy() for c in ("key", "g", "h"))
