@@ -17,6 +17,7 @@ from ..functions.aggregates import digits_of, mean, ratio, total
 from ..functions.bands import profit_band
 from ..functions.calendar import week_start
 from ..session import materialize
+from .sketches import distinct_estimate
 
 Measure = Callable[[Column], Column]
 
@@ -134,15 +135,19 @@ def validation_kpis(metrics: DataFrame, model: str, columns: Sequence[str]) -> D
     return metrics.where(F.col("model_name") == model).agg(*[F.max(c).alias(c) for c in columns])
 
 
-def geographic_kpis(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Location counts, item sums and rates over the geographic summary."""
+def geographic_kpis(summary: DataFrame, by: Sequence[str] = (), precision: int | None = None) -> DataFrame:
+    """Location counts, item sums and rates over the geographic summary.
+
+    With ``precision``, distinct counts are estimates from sketches of that precision.
+    """
+    distinct = F.countDistinct if precision is None else lambda c: distinct_estimate(F.col(c), precision)
     items, risky = F.sum("order_item_count"), F.sum("high_risk_order_count")
     profit, value = total("total_predicted_profit"), total("total_order_value")
     return summary.groupBy(*by).agg(
         F.count(F.lit(1)).alias("geo_locations"),
-        F.countDistinct("map_location_country").alias("geo_countries"),
-        F.countDistinct("map_location_region").alias("geo_regions"),
-        F.countDistinct("map_location_state").alias("geo_states"),
+        distinct("map_location_country").alias("geo_countries"),
+        distinct("map_location_region").alias("geo_regions"),
+        distinct("map_location_state").alias("geo_states"),
         items.alias("geo_order_items"), risky.alias("geo_high_risk_items"),
         ratio(risky, items).alias("geo_high_risk_rate"),
         F.sum(f"{N.PROTECT}_count").alias("geo_protect_items"),

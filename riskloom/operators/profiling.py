@@ -17,6 +17,7 @@ from .. import names as N
 from ..functions.aggregates import ratio
 from ..session import materialize
 from .ordering import exact_quantiles, quantile_columns
+from .sketches import PRECISION, distinct_estimate
 
 VARIABLE = "variable_name"
 
@@ -64,6 +65,41 @@ def _declared(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     return kinds
 
 
+def _classified(facts: DataFrame, declared: dict[str, list[str]]) -> DataFrame:
+    """``facts`` with the type class of each column."""
+    looks_dated = (
+        (F.col("_filled") >= 10) & (F.col("_stamps") >= 0.9 * F.col("_filled"))
+        & (F.year("_first") >= 1900) & (F.year("_last") <= 2100)
+    )
+    return facts.withColumn(
+        "status",
+        F.when(F.col(VARIABLE).isin(*declared["datetime"]), "datetime")
+        .when(F.col(VARIABLE).isin(*declared["numeric"]), "numeric")
+        .when(looks_dated, "datetime")
+        .when(F.col("_numbers") >= 0.8 * F.col("row_count"), "numeric")
+        .otherwise("categorical"),
+    )
+
+
+def _reported(out: DataFrame, declared: dict[str, list[str]]) -> DataFrame:
+    """The profile's columns, from facts, quartiles and outlier counts."""
+    missing = ratio(F.when(F.col("status") == "datetime", F.col("row_count") - F.greatest("_stamps", F.when(
+        F.col(VARIABLE).isin(*declared["datetime"]), F.col("row_count") - F.col("_nulls")).otherwise(0)))
+        .otherwise(F.col("_nulls")), F.col("row_count"))
+    rate = ratio(F.col("outlier_count"), F.col("_known"))
+    dated = F.col("status") == "datetime"
+    return out.select(
+        VARIABLE, "status", "row_count", missing.alias("missing_rate"), "unique_values",
+        "summary_min", "summary_q1", "summary_median", "summary_q3", "summary_max",
+        F.when(dated, F.col("_first")).alias("first_timestamp"), F.when(dated, F.col("_last")).alias("last_timestamp"),
+        "outlier_count", rate.alias("outlier_rate"),
+        F.coalesce(rate > 0.05, F.lit(False)).alias("high_outlier_rate"),
+        ((F.col("status") == "categorical") & (F.col("unique_values") > 100)).alias("high_cardinality"),
+        ((F.col("status") == "categorical") & (missing > 0.1)).alias("high_missingness"),
+        (F.col("unique_values") == 1).alias("single_value"),
+    )
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Type class, gaps, cardinality, quartiles, outliers and review flags per column.
 
@@ -86,18 +122,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         rows(filled & ts.isNotNull() & is_text).alias("_stamps"),
         F.min(F.when(filled, ts)).alias("_first"), F.max(F.when(filled, ts)).alias("_last"),
     )
-    looks_dated = (
-        (F.col("_filled") >= 10) & (F.col("_stamps") >= 0.9 * F.col("_filled"))
-        & (F.year("_first") >= 1900) & (F.year("_last") <= 2100)
-    )
-    facts = facts.withColumn(
-        "status",
-        F.when(F.col(VARIABLE).isin(*declared["datetime"]), "datetime")
-        .when(F.col(VARIABLE).isin(*declared["numeric"]), "numeric")
-        .when(looks_dated, "datetime")
-        .when(F.col("_numbers") >= 0.8 * F.col("row_count"), "numeric")
-        .otherwise("categorical"),
-    )
+    facts = _classified(facts, declared)
     numbers = counts.select(VARIABLE, number.alias("x"), "n").where(
         F.col("x").isNotNull() & ~F.isnan("x")).join(
         F.broadcast(facts.where("status = 'numeric'").select(VARIABLE)), VARIABLE)
@@ -108,21 +133,55 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.sum(F.when(_outside(F.col("x"), F.col("summary_q1"), F.col("summary_q3")), n).otherwise(0)).alias("outlier_count"),
         F.sum(n).alias("_known"))
     out = facts.join(q, VARIABLE, "left").join(outliers, VARIABLE, "left")
-    missing = ratio(F.when(F.col("status") == "datetime", F.col("row_count") - F.greatest("_stamps", F.when(
-        F.col(VARIABLE).isin(*declared["datetime"]), F.col("row_count") - F.col("_nulls")).otherwise(0)))
-        .otherwise(F.col("_nulls")), F.col("row_count"))
-    rate = ratio(F.col("outlier_count"), F.col("_known"))
-    dated = F.col("status") == "datetime"
-    return out.select(
-        VARIABLE, "status", "row_count", missing.alias("missing_rate"), "unique_values",
-        "summary_min", "summary_q1", "summary_median", "summary_q3", "summary_max",
-        F.when(dated, F.col("_first")).alias("first_timestamp"), F.when(dated, F.col("_last")).alias("last_timestamp"),
-        "outlier_count", rate.alias("outlier_rate"),
-        F.coalesce(rate > 0.05, F.lit(False)).alias("high_outlier_rate"),
-        ((F.col("status") == "categorical") & (F.col("unique_values") > 100)).alias("high_cardinality"),
-        ((F.col("status") == "categorical") & (missing > 0.1)).alias("high_missingness"),
-        (F.col("unique_values") == 1).alias("single_value"),
-    )
+    return _reported(out, declared)
+
+
+def sketched_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, precision: int = PRECISION, accuracy: int = 10_000
+) -> DataFrame:
+    """As ``profile``, from two aggregations over the rows in their own types: no value is shuffled.
+
+    ``unique_values`` is a sketch's estimate (``sketches.bounds`` tells how far off it may be).
+    Quartiles are values that occur, at most ``row_count / accuracy`` places off in rank, and outliers are
+    counted by fences from them.  All other columns are exact.
+    """
+    columns = list(columns or df.columns)
+    declared = _declared(df, columns)
+    zero = F.lit(0).cast("long")
+
+    def number(c: str) -> Column:
+        x = F.col(c).try_cast("double") if c not in declared["datetime"] else F.lit(None).cast("double")
+        return F.when(~F.isnan(x), x)
+
+    def facts_of(c: str) -> Column:
+        v, text = F.col(c), c in declared["text"]
+        filled = F.trim(v.cast("string")) != ""
+        ts = _as_timestamp(v.cast("string")) if text or c in declared["datetime"] else F.lit(None).cast("timestamp_ntz")
+        x = number(c)
+        any_number = F.col(c).try_cast("double") if c not in declared["datetime"] else F.lit(None)
+        return F.struct(
+            F.lit(c).alias(VARIABLE), F.count(F.lit(1)).alias("row_count"), F.count_if(v.isNull()).alias("_nulls"),
+            distinct_estimate(v, precision).alias("unique_values"), F.count_if(filled).alias("_filled"),
+            F.count_if(any_number.isNotNull()).alias("_numbers"),
+            (F.count_if(filled & ts.isNotNull()) if text else zero).alias("_stamps"),
+            F.min(F.when(filled, ts)).alias("_first"), F.max(F.when(filled, ts)).alias("_last"),
+            F.count(x).alias("_known"), F.percentile_approx(x, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy).alias("_q"))
+
+    facts = df.agg(F.array(*[facts_of(c) for c in columns]).alias("all")).select(F.inline("all"))
+    numeric = F.col("status") == "numeric"
+    facts = materialize(_classified(facts, declared), "facts").withColumns({
+        name: F.when(numeric, F.get("_q", F.lit(i)))
+        for i, name in enumerate(("summary_min", "summary_q1", "summary_median", "summary_q3", "summary_max"))})
+    # One row for each studied column.
+    fences = facts.where(numeric & F.col("summary_q1").isNotNull()).select(VARIABLE, "summary_q1", "summary_q3").collect()
+    counted = [F.struct(F.lit(r[0]).alias(VARIABLE), F.count_if(_outside(number(r[0]), F.lit(r[1]), F.lit(r[2]))).alias("outlier_count"))
+               for r in fences]
+    if counted:
+        outliers = df.agg(F.array(*counted).alias("all")).select(F.inline("all"))
+        facts = facts.join(F.broadcast(outliers), VARIABLE, "left")
+    else:
+        facts = facts.withColumn("outlier_count", F.lit(None).cast("long"))
+    return _reported(facts, declared)
 
 
 def _outside(x: Column, q1: Column, q3: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..functions import bands, calendar, text
-from ..operators import cleaning, contracts
+from ..operators import cleaning, contracts, sketches
 from ..session import materialize
 from ..sources.catalog import catalog_problems, dictionary_problems, screening_problems, vocabulary_violations
 from . import oracle as O
@@ -341,6 +341,22 @@ def f9(spark, sf):
     return contracts.cardinality(table(spark, sf, "lineitem"), ["l_partkey", "l_returnflag", "l_orderkey", "l_shipdate"])
 
 
+@query("f9_sketched_cardinality", """
+SELECT 'l_partkey' AS column_name, count(DISTINCT l_partkey) AS distinct_values, TRUE AS within_bounds, count(*) AS row_count FROM lineitem
+UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag), TRUE, count(*) FROM lineitem
+UNION ALL SELECT 'l_orderkey', count(DISTINCT l_orderkey), TRUE, count(*) FROM lineitem
+UNION ALL SELECT 'l_shipdate', count(DISTINCT l_shipdate), TRUE, count(*) FROM lineitem""")
+def f9_sketched(spark, sf):
+    """Sketches of single months merged to those of all time, held against the exact counts."""
+    columns = ["l_partkey", "l_returnflag", "l_orderkey", "l_shipdate"]
+    rows = table(spark, sf, "lineitem")
+    monthly = sketches.distinct_sketches(rows.withColumn("month", F.trunc("l_shipdate", "month")), columns, ["month"])
+    found = sketches.estimates(sketches.merge_sketches(monthly)).drop("distinct_values", "filled_count")
+    inside = F.col("distinct_values").between(F.col("distinct_lower"), F.col("distinct_upper"))
+    exact = contracts.cardinality(rows, columns)
+    return exact.join(found, "column_name").select("column_name", "distinct_values", inside.alias("within_bounds"), "row_count")
+
+
 @query("f10_uniqueness", """SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicated_keys
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
 def f10(spark, sf):

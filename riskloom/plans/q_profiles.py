@@ -1,9 +1,12 @@
 """Exploratory profiles."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..operators import profiling as P
+from ..operators import contracts, profiling as P, sketches
 from . import oracle as O
 from .orders import silver, table
 from .registry import query, rounded
@@ -45,6 +48,43 @@ def n1(spark, sf):
                             **{c: F.col(c).cast("string") for c in ("first_timestamp", "last_timestamp")}})
 
 
+@query("n1_sketched_profile", f"""
+WITH t AS (SELECT unnest([{", ".join(f"'{c}'" for c in _NUM)}, 'l_returnflag', 'l_shipdate']) AS variable_name),
+r AS (SELECT count(*) AS row_count, {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _NUM)},
+  CAST(min(l_shipdate) AS VARCHAR) AS first_timestamp, CAST(max(l_shipdate) AS VARCHAR) AS last_timestamp FROM lineitem)
+SELECT variable_name, CASE variable_name WHEN 'l_returnflag' THEN 'categorical' WHEN 'l_shipdate' THEN 'datetime' ELSE 'numeric' END AS status,
+  row_count, CAST(0 AS DOUBLE) AS missing_rate,
+  CASE variable_name {" ".join(f"WHEN '{c}' THEN round(CAST(lo_{c} AS DOUBLE), 9)" for c in _NUM)} END AS summary_min,
+  CASE variable_name {" ".join(f"WHEN '{c}' THEN round(CAST(hi_{c} AS DOUBLE), 9)" for c in _NUM)} END AS summary_max,
+  CASE WHEN variable_name = 'l_shipdate' THEN first_timestamp END AS first_timestamp,
+  CASE WHEN variable_name = 'l_shipdate' THEN last_timestamp END AS last_timestamp,
+  TRUE AS unique_within_bounds, TRUE AS quartiles_within_rank
+FROM t CROSS JOIN r""")
+def n1_sketched(spark, sf):
+    """The profile without a shuffle of values; its estimates are held against the exact ones."""
+    rows = table(spark, sf, "lineitem")
+    rows = rows.withColumns({c: F.col(c) + 0.0 for c in _NUM})
+    names, accuracy = [*_NUM, "l_returnflag", "l_shipdate"], 10_000
+    exact = contracts.cardinality(rows, names).withColumnRenamed("column_name", "variable_name")
+    out = P.sketched_profile(rows, names, accuracy=accuracy)
+    # Places of the quartiles among all rows; one struct for each studied column.
+    marks = {r[0]: r[1:] for r in out.where("status = 'numeric'").select("variable_name", "summary_q1", "summary_median", "summary_q3").collect()}
+    n, slack = F.count(F.lit(1)), 1 + F.count(F.lit(1)) / accuracy
+    near = [F.struct(F.lit(c).alias("variable_name"), reduce(and_, [
+        (F.count_if(F.col(c) < x) <= p * n + slack) & (F.count_if(F.col(c) <= x) >= p * n - slack)
+        for p, x in zip((0.25, 0.5, 0.75), marks[c])]).alias("near")) for c in marks]
+    places = rows.agg(F.array(*near).alias("all")).select(F.inline("all"))
+    low, high = sketches.bounds(F.col("unique_values"))
+    out = out.join(exact, "variable_name").join(places, "variable_name", "left")
+    out = out.withColumns({"unique_within_bounds": F.col("distinct_values").between(low, high),
+                           "quartiles_within_rank": F.coalesce("near", F.col("status") != "numeric"),
+                           "first_timestamp": F.col("first_timestamp").cast("string"),
+                           "last_timestamp": F.col("last_timestamp").cast("string")})
+    out = rounded(out, ["summary_min", "summary_max"], 9)
+    return out.select("variable_name", "status", "row_count", "missing_rate", "summary_min", "summary_max", "first_timestamp",
+                      "last_timestamp", "unique_within_bounds", "quartiles_within_rank")
+
+
 @query("n1_profile_text_columns", """
 WITH c AS (SELECT 'shipped' AS variable_name, 'datetime' AS status, strftime(l_shipdate, '%Y-%m-%d') AS v, l_shipdate AS t, NULL AS x FROM lineitem
   UNION ALL SELECT 'quantity', 'numeric', CASE WHEN l_discount > 0.095 THEN NULL ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END, NULL, CASE WHEN l_discount > 0.095 THEN NULL ELSE l_quantity END FROM lineitem
