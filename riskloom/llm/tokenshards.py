@@ -10,6 +10,7 @@ run can resume anywhere and read on sequentially.
 from __future__ import annotations
 
 import base64
+import re
 import sys
 import uuid
 from array import array
@@ -26,6 +27,8 @@ from ..session import materialize, shared_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END = 50256
+#: Most shards that one task writes.
+SHARDS_PER_TASK = 32
 #: Pattern of the public byte-level vocabularies (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -84,8 +87,15 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, str, int, p
             at = (here[0], here[1] + 1)
 
 
+def qualified(spark, path: str) -> str:
+    """``path`` with its scheme, so that executors write where Spark reads a path without one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def _fs(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
+    """File system and folder of a qualified path; Hadoop writes local ones with a single slash."""
+    return pyarrow.fs.FileSystem.from_uri("file://" + uri[5:] if re.match("file:/(?!/)", uri) else uri)
 
 
 def write_training_order(
@@ -95,7 +105,8 @@ def write_training_order(
     """Write the documents of a Parquet table as shards ``out/shard-<number>.bin``; index of all sequences.
 
     Each document is tokenised, ended with END and cut to sequences of ``stride`` tokens, the
-    last filled up with END.  A null or empty text is one sequence of ENDs.  The index has
+    last filled up with END.  A null or empty text is one sequence of ENDs, repeated rows are written each, and an
+    empty table has no shards and an empty index.  Other columns are not read.  The index has
     ``slot, shard, place, id, seq, n_tokens`` (END of the document included); ``place`` counts
     from 0 in each shard, ``slot`` in the whole order.
 
@@ -106,10 +117,12 @@ def write_training_order(
     other, ``shard_bytes`` at most.
 
     Both passes read the same splits; if they should not, the second one stops, as its
-    stretches of rows are looked up by file and row.  That table has a row for each split
-    and is all that is broadcast.  Shards are written under another name and moved, and
+    stretches of rows are looked up by file and row.  That table has a name for each file and two
+    numbers for each split, and is all that is broadcast: some ten megabytes for 100 TB in files of a
+    gigabyte.  Shards are written under another name and moved, and
     always have the same bytes, so a task that runs again does no harm.
     """
+    out = qualified(spark, out)
     # The columns of both passes are read alike, so that the same rows make a stretch.
     docs = spark.read.parquet(path).select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -128,11 +141,16 @@ def write_training_order(
 
     stretches = docs.select("file", "place", reserve.alias("n")).mapInArrow(count, "file STRING, place LONG, n LONG")
     total, begins = 0, {}
-    for r in materialize(stretches, "stretches").orderBy("file", "place").collect():
-        begins[r["file"], r["place"]] = total
-        total += r["n"]
+    for r in materialize(stretches, "stretches").groupBy("file").agg(
+            F.array_sort(F.collect_list(F.struct("place", "n"))).alias("parts")).orderBy("file").toLocalIterator():
+        places, sizes = (np.array([p[c] for p in r["parts"]], np.int64) for c in ("place", "n"))
+        begins[r["file"]] = places, total + np.cumsum(sizes) - sizes
+        total += int(sizes.sum())
     begins = spark.sparkContext.broadcast(begins)
     per_shard = max(1, shard_bytes // (2 * stride))
+    shards = max(1, -(-total // per_shard))
+    # A task writes several shards, one behind the other, but never so many that cores stay idle.
+    per_task = max(1, min(SHARDS_PER_TASK, shards // (2 * spark.sparkContext.defaultParallelism)))
     end = np.array([END], "<u2").tobytes()
 
     def sequences(batches):
@@ -150,7 +168,11 @@ def write_training_order(
 
         for new, file, place, batch, i in _runs(batches):
             if new:
-                number = begins.value[file, place]
+                places, starts = begins.value[file]
+                known = int(np.searchsorted(places, place))
+                if known == len(places) or places[known] != place:
+                    raise RuntimeError(f"{file} was split otherwise before")
+                number = int(starts[known])
             value = batch.column("text")[i].as_py()
             t = encode(value) + end
             for seq, a in enumerate(range(0, len(t), 2 * stride)):
@@ -188,7 +210,8 @@ def write_training_order(
         close()
 
     rows = docs.mapInArrow(sequences, "image LONG, shard INT, id LONG, seq INT, n_tokens INT, tokens BINARY")
-    ranged = rows.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("image")
+    dealt = F.floor(F.col("shard") / per_task).cast("int")
+    ranged = rows.repartitionById(-(-shards // per_task), dealt).sortWithinPartitions("image")
     index = materialize(ranged.mapInArrow(write, "shard INT, id LONG, seq INT, n_tokens INT, place LONG"), "token-index")
     starts = first_slots(index.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
     return index.join(starts, "shard").select((F.col("first_slot") + F.col("place")).alias("slot"), "shard", "place", "id", "seq", "n_tokens")

@@ -110,6 +110,29 @@ def test_shards_hold_every_sequence_once(spark, odd_docs, tmp_path):
     assert sorted(resumed["slot"]) == list(range(total // 2, total))
 
 
+def test_slots_follow_the_images(spark, tmp_path):
+    """The order by brute force, with several shards for each task and repeated rows."""
+    path, out = f"{tmp_path}/docs", f"{tmp_path}/shards"
+    rows = [(i % 700, "word " * (i % 13)) for i in range(900)] + [(5, "same text")] * 200
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(5).write.parquet(path)
+    got = tokenshards.write_training_order(path, out, spark, stride=8, shard_bytes=8 * 2 * 10, key=99).toPandas()
+    stored = tokenshards.read_training_order(spark, out, 8).toPandas().set_index("slot")["tokens"]
+    read = spark.read.parquet(path).select("doc_id", "text", "_metadata.file_path", "_metadata.row_index").toPandas()
+    encode, end, number, used = tokenshards.Encoder(tokenshards.VOCABULARY), np.array([tokenshards.END], "<u2").tobytes(), 0, []
+    for _, r in read.sort_values(["file_path", "row_index"]).iterrows():
+        raw = encode(r["text"]) + end
+        used += [(number + k, r["doc_id"], k, raw[16 * k:16 * k + 16]) for k in range(-(-len(raw) // 16))]
+        number += -(-(len(r["text"].encode()) + 1) // 8)
+    image = tokenshards.permuted(np.array([u[0] for u in used]), number, 99)
+    order = np.argsort(image)
+    got = got.sort_values("slot")
+    assert got["slot"].tolist() == list(range(len(used)))
+    assert got["shard"].tolist() == (image[order] // 10).tolist() and got["shard"].nunique() > 64
+    assert list(zip(got["id"], got["seq"])) == [used[i][1:3] for i in order]
+    assert [bytes(stored[k]) for k in range(len(used))] == [used[i][3] + end * (8 - len(used[i][3]) // 2) for i in order]
+    assert len(list((tmp_path / "shards").glob("shard-*.bin"))) == got["shard"].nunique()
+
+
 def test_empty_table_has_no_shards(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/docs")
     assert tokenshards.write_training_order(f"{tmp_path}/docs", f"{tmp_path}/out", spark).count() == 0
