@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import bucket_count, bucket_of, col, free_names, prefix_sums, unit
 
+#: Equal rows that are numbered as one, and how many such stretches of a row share a bucket.
+STRETCH, STRETCHES_PER_BUCKET = 2048, 64
+
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """Index of the shard that ``key`` belongs to.
@@ -39,20 +42,34 @@ def assign_shards(
 
     Slots follow a hash of the whole row, so that they do not depend on partitioning.
     A shard is numbered in buckets of bounded size, never in one task.  Meant for
-    narrow rows: they are stored once.  Equal rows share a shard and a bucket and take neighbouring
-    slots in any order; a null text or other value is a value like any other; an empty table gives an empty result.  ``shard`` and the other
+    narrow rows: they are stored once.  Equal rows are stored and numbered as one with its count, in stretches of at
+    most ``STRETCH``, and come apart again at the end, so a table that holds one row very often has no large
+    bucket either; their slots follow each other but for other rows between stretches.  A null text or other
+    value is a value like any other (-0.0 is 0.0); an empty table gives an empty result.  ``shard`` and the other
     result names replace columns of these names.
     """
     rows = rows.drop("shard", "slot", "grown_shard")
-    h, bucket, one = free_names(rows, "_h", "_bucket", "_one")
-    placed = rows.withColumn("shard", rendezvous(col(key), weights))
+    h, bucket, many, part, size, place = free_names(rows, "_h", "_bucket", "_many", "_part", "_part_size", "_place")
+    hashed = rows.withColumn(h, F.xxhash64(*[col(c) for c in rows.columns]))
+    counted = hashed.groupBy(*[col(c) for c in hashed.columns]).agg(F.count(F.lit(1)).alias(many))
+    placed = counted.withColumn("shard", rendezvous(col(key), weights))
     if grown is not None:
         placed = placed.withColumn("grown_shard", rendezvous(col(key), grown))
-    placed = materialize(placed.withColumn(h, F.xxhash64(*[col(c) for c in rows.columns])), "shards")
+    placed = materialize(placed, "shards")
     buckets = bucket_count(placed.count())
-    placed = placed.withColumns({bucket: bucket_of(F.col(h), buckets), one: F.lit(1).cast("long")})
-    order = [F.col(h), *[col(c) for c in rows.columns]]
-    return prefix_sums(placed, ["shard"], bucket, order, one, "slot").drop(h, bucket, one)
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.col(many) - 1) / STRETCH))
+    placed = placed.withColumn(part, F.explode(stretches))
+    # The first stretches of a bucket's rows, then the further ones of its frequent rows, some at a time.
+    further = F.floor((F.col(part) + STRETCHES_PER_BUCKET - 1) / STRETCHES_PER_BUCKET)
+    placed = placed.withColumns({
+        bucket: F.shiftleft(bucket_of(F.col(h), buckets).cast("long"), 36) + further,
+        size: F.least(F.lit(STRETCH).cast("long"), F.col(many) - F.col(part) * STRETCH),
+    })
+    order = [F.col(h), *[col(c) for c in rows.columns], F.col(part)]
+    summed = prefix_sums(placed, ["shard"], bucket, order, size, "slot")
+    spread = summed.withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1)))
+    shards = ["shard"] if grown is None else ["shard", "grown_shard"]
+    return spread.select(*[col(c) for c in rows.columns], *shards, (F.col("slot") + F.col(place)).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

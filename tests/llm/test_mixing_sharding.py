@@ -136,3 +136,44 @@ def test_rows_repeated_in_all_columns(spark):
     assert all(abs(t - target) <= 1 for t, target in sums.values())
     slots = sharding.assign_shards(docs, "doc_id", [1.0] * 3).groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("m"))
     assert all(r["n"] == r["m"] + 1 for r in slots.collect())
+
+
+def test_a_third_of_equal_rows_is_numbered_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRETCH", 16)
+    monkeypatch.setattr(sharding, "STRETCHES_PER_BUCKET", 4)
+    spans = []
+    whole = sharding.prefix_sums
+
+    def watched(df, group, bucket, *rest):
+        spans.append((df.groupBy(*group, bucket).count().agg(F.max("count")).first()[0], df.agg(F.max(rest[1])).first()[0]))
+        return whole(df, group, bucket, *rest)
+
+    monkeypatch.setattr(sharding, "prefix_sums", watched)
+    rows = [(1, "same", None)] * 3000 + [(None, None, None)] * 40 + [(i, f"t{i}", 1.5) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, _part DOUBLE")
+    got = sharding.assign_shards(docs, "doc_id", [1.0] * 3)
+    pdf = got.toPandas()
+    assert got.columns == ["doc_id", "text", "_part", "shard", "slot"] and len(pdf) == len(rows)
+    assert all(sorted(p["slot"]) == list(range(len(p))) for _, p in pdf.groupby("shard"))
+    assert (pdf["doc_id"] == 1).sum() == 3001 and pdf["doc_id"].isna().sum() == 40
+    assert spans[0][1] == 16 and spans[0][0] < 1500  # rows that a window sees
+    again = sharding.assign_shards(docs.repartition(7), "doc_id", [1.0] * 3)
+    assert got.exceptAll(again).count() == 0
+
+
+def test_chosen_shard_is_the_best_score(spark, sf):
+    """The race by brute force: the query's shard and grown shard for every document."""
+    import xxhash
+
+    got = queries.QUERIES["op4_sharding"](spark, sf).toPandas()
+
+    def race(key, shards):
+        times = []
+        for i in range(shards):
+            seed = xxhash.xxh64_intdigest(f"shard {i}".encode(), 42)
+            u = (xxhash.xxh64_intdigest(str(key).encode(), seed) >> 12) + 0.5
+            times.append(-math.log(u / 2.0**52))
+        return times.index(min(times))
+
+    assert [race(k, 24) for k in got["doc_id"]] == got["shard"].tolist()
+    assert [race(k, 25) for k in got["doc_id"]] == got["grown_shard"].tolist()
