@@ -43,7 +43,9 @@ def reply_paths(messages: DataFrame, score: str, top: int = 1) -> DataFrame:
     score.  A parent that is null or missing makes a root.  A path's score is the sum of
     its messages' (null: 0); ties go to the least leaf.  Null is a tree like any other.
     Messages that hang on a cycle reach no root and are on no path.  ``depth`` counts from the root.
-    Rows only ever carry ids; the work is linear in messages and in the paths' lengths.
+    Repeated messages have to be dropped before, as a node that is there twice is on each path twice.
+    Rows only ever carry ids.  The work is messages times the logarithm of the deepest path, and the
+    lengths of the chosen paths: branches that are not chosen are never listed.
     """
     m = messages.select(
         F.struct("tree", "node").alias("id"), F.struct("tree", F.col("parent").alias("node")).alias("up"),
@@ -52,25 +54,33 @@ def reply_paths(messages: DataFrame, score: str, top: int = 1) -> DataFrame:
     known = m.select(F.col("id").alias("up"), F.lit(True).alias("known"))
     m = materialize(m.join(known, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("up"), "s"), "messages")
 
-    # Jumps of 1, 2, 4, ... steps, as long as any lands; what still jumps at the end is caught in a cycle.
-    hop, jumps, limit = m.select("id", "up").where("up is not null"), [], m.count()
-    while not hop.isEmpty() and 1 << len(jumps) <= limit:
-        jumps.append(hop)
-        onward = hop.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        hop = materialize(hop.join(onward, "up").select("id", F.col("next").alias("up")), "jumps")
-
-    # A leaf is a message that no other names; its path starts with itself and doubles with each jump.
-    leaves = m.join(m.select(F.col("up").alias("id")).where("id is not null"), "id", "left_anti").join(hop, "id", "left_anti")
-    paths = leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).alias("above"), "s")
+    # Jumps of 1, 2, 4, ... steps with what they pass, until all end above a root; what never does is caught in a cycle.
+    # Rows that have ended (``at`` is null) know their whole path's score and length and are not written again.
+    moved = m.select("id", F.col("up").alias("at"), F.col("s").alias("path_score"), F.lit(1).alias("length"))
+    ended, jumps, limit = moved.where("at is null"), [], m.count()
+    hop = moved.where("at is not null")
+    while 1 << len(jumps) <= limit and not hop.isEmpty():
+        jumps.append(hop.select("id", F.col("at").alias("up")))
+        onward = ended.unionByName(hop).select(
+            F.col("id").alias("at"), F.col("at").alias("next"), F.col("path_score").alias("more"), F.col("length").alias("steps"))
+        moved = materialize(hop.join(onward, "at").select(
+            "id", F.col("next").alias("at"), (F.col("path_score") + F.col("more")).alias("path_score"),
+            (F.col("length") + F.col("steps")).alias("length")), "jumps")
+        ended, hop = ended.unionByName(moved.where("at is null")), moved.where("at is not null")
+
+    # A leaf is a message that no other names.  Branches are ranked by their ends; only chosen paths are walked.
+    leaves = ended.join(m.select(F.col("up").alias("id")).where("id is not null"), "id", "left_anti")
+    best = Window.partitionBy("id.tree").orderBy(F.desc("path_score"), F.col("id.node"))
+    chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    paths = materialize(chosen.select(
+        F.col("id").alias("leaf"), "id", F.lit(0).alias("above"), "rank", "path_score", "length"), "paths")
     for k, hop in enumerate(jumps):
-        more = paths.join(hop, "id").select("leaf", F.col("up").alias("id"), (F.col("above") + (1 << k)).alias("above"))
-        paths = materialize(paths.unionByName(more.join(m.select("id", "s"), "id").select(*paths.columns)), "paths")
-    scored = paths.groupBy("leaf").agg(F.sum("s").alias("path_score"), F.max("above").alias("length"))
-    best = Window.partitionBy("leaf.tree").orderBy(F.desc("path_score"), F.col("leaf.node"))
-    chosen = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return paths.join(chosen, "leaf").select(
+        # A path starts with its leaf and doubles with each jump.
+        more = paths.join(hop, "id").withColumns({"id": F.col("up"), "above": F.col("above") + (1 << k)})
+        paths = materialize(paths.unionByName(more.select(*paths.columns)), "paths")
+    return paths.select(
         F.col("leaf.tree").alias("tree"), F.col("leaf.node").alias("leaf"), "rank", "path_score",
-        F.col("id.node").alias("node"), (F.col("length") - F.col("above")).alias("depth"),
+        F.col("id.node").alias("node"), (F.col("length") - 1 - F.col("above")).alias("depth"),
     )
 
 

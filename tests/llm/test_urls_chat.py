@@ -89,3 +89,20 @@ def test_repeated_turns_and_null_roles(spark):
     assert by[1] == ([("", ""), ("assistant", "hi <|im_end|>"), ("assistant", "hi <|im_end|>")], "hi <|im_end|>" * 2)
     assert by[None] == ([("user", ""), ("assistant", "only")], "only")
     assert chat.format_conversations(chat.linear_threads(df.limit(0), "conv_id", "turn")).count() == 0
+
+
+def test_a_comb_lists_its_best_path_alone(spark, monkeypatch):
+    """A thread with a leaf at every step has paths of n^2 / 2 rows in all; only the chosen one's are stored."""
+    n, stored, keep = 200, [], chat.materialize
+
+    def watched(df, label="stage"):
+        out = keep(df, label)
+        stored.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(chat, "materialize", watched)
+    rows = [(1, i, i - 1 if i else None, 1.0) for i in range(n)] + [(1, 1000 + i, i, 0.5 if i == 150 else -float(i)) for i in range(n)]
+    got = chat.reply_paths(spark.createDataFrame(rows, "tree INT, node INT, parent INT, score DOUBLE"), "score").toPandas().sort_values("depth")
+    assert got["node"].tolist() == [*range(151), 1150] and got["depth"].tolist() == list(range(152))
+    assert set(got["leaf"]) == {1150} and set(got["path_score"]) == {151.5}
+    assert max(k for label, k in stored if label == "paths") == 152 and all(k <= 2 * n for _, k in stored)
