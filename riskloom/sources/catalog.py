@@ -124,6 +124,20 @@ def _problem(rows: DataFrame, problem: str, subject: str) -> DataFrame:
     return rows.select(F.lit(problem).alias("problem"), F.col(subject).cast("string").alias("subject"))
 
 
+#: Rows that are written out from one row of a count at a time.
+STRETCH = 65_536
+
+
+def _repeated(counted: DataFrame, value: str, times: str) -> DataFrame:
+    """``value`` of each row as often as ``times`` says; stretches of the repeats are dealt to all tasks first."""
+    spark = counted.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    last = F.floor((F.col(times) - 1) / STRETCH).cast("long")
+    stretches = counted.select(value, times, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_stretch"))
+    here = F.least(F.col(times) - F.col("_stretch") * STRETCH, F.lit(STRETCH)).cast("int")
+    return stretches.repartition(slices, value, "_stretch").select(F.explode(F.array_repeat(F.col(value), here)).alias(value))
+
+
 def dictionary_problems(dictionary: DataFrame, columns: DataFrame, screened: DataFrame, lineage: Sequence[str] = ()) -> DataFrame:
     """``problem, subject`` where a schema dictionary disagrees with the schema and the screening.
 
@@ -131,16 +145,21 @@ def dictionary_problems(dictionary: DataFrame, columns: DataFrame, screened: Dat
     ``columns``: the column_name and data_type that the table really has; ``screened``: the
     screened raw fields as variable_name.  Columns of ``lineage`` need no guidance.
     """
-    named = columns.select(F.col("column_name").alias("c"), F.col("data_type").alias("t"))
-    match = dictionary.join(named, F.col("column_name") == F.col("c"), "full_outer")
+    listed = dictionary.groupBy("column_name", "data_type").agg(F.count(F.lit(1)).alias("_n"))
+    real = columns.groupBy(F.col("column_name").alias("c"), F.col("data_type").alias("t")).agg(F.count(F.lit(1)).alias("_m"))
+    # A name that is often on both sides meets as counts, and only what is told of its pairs is written out.
+    wrong = listed.join(real, F.col("column_name") == F.col("c")).where("NOT data_type <=> t")
+    wrong = _repeated(wrong.groupBy("column_name").agg(F.sum(F.col("_n") * F.col("_m")).alias("_times")), "column_name", "_times")
+    known = dictionary.select(F.col("column_name").alias("_known")).distinct()
+    there = columns.select(F.col("column_name").alias("_there")).distinct()
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
     raw = dictionary.where((F.col("source_layer") == "bronze") & (text("review_status") != "needs_review"))
-    unscreened = raw.join(screened, F.col("source_name") == F.col("variable_name"), "left_anti")
+    unscreened = raw.join(screened.select("variable_name").distinct(), F.col("source_name") == F.col("variable_name"), "left_anti")
     silent = (text("guidance") == "") & (text("review_status") == "") & ~F.col("column_name").isin(*lineage)
     return (
-        _problem(match.where("column_name IS NULL"), "undocumented_column", "c")
-        .unionByName(_problem(match.where("c IS NULL"), "unexpected_column", "column_name"))
-        .unionByName(_problem(match.where("NOT data_type <=> t AND c IS NOT NULL AND column_name IS NOT NULL"), "type_mismatch", "column_name"))
+        _problem(columns.join(known, F.col("column_name") == F.col("_known"), "left_anti"), "undocumented_column", "column_name")
+        .unionByName(_problem(dictionary.join(there, F.col("column_name") == F.col("_there"), "left_anti"), "unexpected_column", "column_name"))
+        .unionByName(_problem(wrong, "type_mismatch", "column_name"))
         .unionByName(_problem(dictionary.where(silent), "no_guidance", "column_name"))
         .unionByName(_problem(unscreened, "not_screened", "column_name"))
     )

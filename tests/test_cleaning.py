@@ -138,3 +138,15 @@ def test_errors_count_all_problems(spark):
     assert total > 20
     with pytest.raises(ValueError, match=rf"catalog is not sound: {total} problems; .*examples: "):
         catalog.register_feature_catalog(bad)
+
+
+def test_dictionary_names_that_are_often_on_both_sides_meet_as_counts(spark):
+    from riskloom.sources import catalog
+
+    layout = "column_name STRING, data_type STRING, source_layer STRING, source_name STRING, guidance STRING, review_status STRING"
+    doc = spark.createDataFrame([("a", "int", "silver", "x", "use", "")] * 300 + [("a", "string", "silver", "x", "use", ""), ("b", "int", "silver", "x", "use", "")], layout)
+    have = spark.createDataFrame([("a", "string")] * 300 + [("c", "string")], "column_name STRING, data_type STRING")
+    out = catalog.dictionary_problems(doc, have, spark.createDataFrame([], "variable_name STRING"))
+    assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["problem"], r["subject"]): r["count"] for r in out.groupBy("problem", "subject").count().collect()}
+    assert got == {("type_mismatch", "a"): 90_000, ("unexpected_column", "b"): 1, ("undocumented_column", "c"): 1}
