@@ -11,6 +11,7 @@ from ..functions.bands import profit_band, rank_in, upper_tier
 from ..functions.calendar import period_columns
 from ..functions.text import country_label, label_or
 from .decisions import lookup
+from .ordering import exact_quantiles
 
 LOCATION = [
     "map_location_label", "map_location_country", "map_location_region", "map_location_state",
@@ -126,10 +127,10 @@ def margin_tier(margin: Column | str, median: Column | float, upper: Column | fl
     return F.when(m < 0, loss).when(m < median, low).when(m < upper, core).otherwise(strategic)
 
 
-def tier_cutoffs(df: DataFrame, accuracy: int = 1_000_000) -> dict[str, float]:
-    """The six quantile cutoffs, from one mergeable-sketch aggregation.
+def tier_cutoffs(df: DataFrame, accuracy: int | None = None) -> dict[str, float]:
+    """The six quantile cutoffs: the value at position ``ceil(p * n)`` of the known ones, whatever their number.
 
-    Cutoffs are discrete quantiles within ``1 / accuracy`` of the exact rank; an
+    With ``accuracy`` they come from one mergeable sketch instead, within ``1 / accuracy`` of the exact rank.  An
     empty input gives zeros.  Only these six numbers reach the driver.
     """
     margin = F.col("avg_ao3_predicted_margin")
@@ -138,16 +139,18 @@ def tier_cutoffs(df: DataFrame, accuracy: int = 1_000_000) -> dict[str, float]:
         "exposure": (F.col("total_order_value"), (0.25, 0.75)),
         "risk": (F.col("high_risk_order_rate"), (0.33, 0.67)),
     }
-    row = df.agg(
-        *[F.percentile_approx(e, list(ps), accuracy).alias(n) for n, (e, ps) in wanted.items()]
-    ).first()
-    return {
-        f"{n}_{end}": float(row[n][i]) if row[n] else 0.0
-        for n in wanted for i, end in enumerate(("low", "high"))
-    }
-
-
-def enrich_geography(df: DataFrame, cutoffs: dict[str, float] | None = None, accuracy: int = 1_000_000) -> DataFrame:
+    ends = ("low", "high")
+    if accuracy is not None:
+        row = df.agg(*[F.percentile_approx(e, list(ps), accuracy).alias(n) for n, (e, ps) in wanted.items()]).first()
+        return {f"{n}_{end}": float(row[n][i]) if row[n] else 0.0 for n in wanted for i, end in enumerate(ends)}
+    named = [F.struct(F.lit(n).alias("name"), e.cast("double").alias("v")) for n, (e, _) in wanted.items()]
+    found = exact_quantiles(df.select(F.inline(F.array(*named))), ["name"], "v",
+                            sorted({p for _, ps in wanted.values() for p in ps}), discrete=True).collect()
+    at = {(r["name"], r["probability"]): r["quantile"] for r in found}
+    return {f"{n}_{end}": at.get((n, p), 0.0) for n, (_, ps) in wanted.items() for end, p in zip(ends, ps)}
+
+
+def enrich_geography(df: DataFrame, cutoffs: dict[str, float] | None = None, accuracy: int | None = None) -> DataFrame:
     """Labels, tiers, quality status, archetype and focus for each summary row.
 
     Pass a stored summary, or ``cutoffs`` computed from one: the quantiles and the

@@ -117,18 +117,23 @@ def _part(v: Column, low: Column, high: Column) -> Column:
     return F.when(wide, F.floor((v - low) / (high - low) * _PARTS)).otherwise(0).cast("long")
 
 
-def _holders(spans: DataFrame, groups: Sequence[str], along: str, wanted: DataFrame | None, probabilities: Sequence[float]) -> DataFrame:
+def _holders(
+    spans: DataFrame, groups: Sequence[str], along: str, wanted: DataFrame | None, probabilities: Sequence[float], discrete: bool = False
+) -> DataFrame:
     """The spans that hold wanted positions, with each position ``_k`` counted from the span's first row.
 
     ``spans`` has a row count ``_m`` for each group and ``along``.  Without ``wanted`` the positions are
-    those of the probabilities in the whole group.
+    those of the probabilities in the whole group; ``discrete`` ones are whole, ``ceil(p * n)`` counted from 1.
     """
     before = Window.partitionBy(*groups).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     placed = spans.withColumn("_from", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     if wanted is None:
         placed = placed.withColumn("_total", F.sum("_m").over(Window.partitionBy(*groups)))
         placed = placed.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        placed = placed.withColumn("_h", F.col("_p") * (F.col("_total") - 1))
+        # In decimals, so that 0.67 of 300 is 201 and not a little more.
+        nth = F.ceil(F.col("_p").cast("decimal(12,10)") * F.col("_total").cast("decimal(19,0)"))
+        place = F.greatest(nth.cast("long"), F.lit(1).cast("long")) - 1 if discrete else F.col("_p") * (F.col("_total") - 1)
+        placed = placed.withColumn("_h", place.cast("double"))
         # Each probability needs the values at one or two integer positions.
         both = F.array_distinct(F.array(F.floor("_h").cast("long"), F.ceil("_h").cast("long")))
         placed = placed.withColumn("_k", F.explode(both)).drop("_total")
@@ -144,8 +149,9 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     weight: str | None = None,
+    discrete: bool = False,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: ``group, probability, quantile``.
+    """Exact linear-interpolated quantiles per group: ``group, probability, quantile``; ``discrete`` ones are values of the column.
 
     NULL values are ignored; NULL group keys form a group.  ``weight`` names a
     repetition count when the input is already aggregated.
@@ -161,7 +167,7 @@ def exact_quantiles(
         (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n"), _bucket(F.col(value).cast("double")).alias("_b")), "values")
     coarse = stored.groupBy(*gs, "_b").agg(F.sum("_n").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     # A row for each group, probability and neighbour: their real size decides how they are joined.
-    first = materialize(_holders(coarse, gs, "_b", None, probabilities), "buckets")
+    first = materialize(_holders(coarse, gs, "_b", None, probabilities, discrete), "buckets")
 
     at = [*gs, "_b"]
     opened = join_null_safe(stored, first.select(*at, "_low", "_high").distinct(), at)

@@ -97,3 +97,11 @@ def test_run_rate_averages_the_weeks_present(spark):
 def test_tier_cutoffs_of_nothing_are_zero(spark):
     df = spark.createDataFrame([], "avg_ao3_predicted_margin DOUBLE, total_order_value DOUBLE, high_risk_order_rate DOUBLE")
     assert set(geography.tier_cutoffs(df).values()) == {0.0}
+
+
+def test_tier_cutoffs_are_exact_for_any_number_of_rows(spark):
+    n = 1_200_000
+    value = (F.col("id") * 7919 % n + 1).cast("double")
+    df = spark.range(n).select(value.alias("avg_ao3_predicted_margin"), value.alias("total_order_value"), value.alias("high_risk_order_rate"))
+    want = {"margin_low": 0.5, "margin_high": 0.75, "exposure_low": 0.25, "exposure_high": 0.75, "risk_low": 0.33, "risk_high": 0.67}
+    assert geography.tier_cutoffs(df) == {k: float(round(p * n)) for k, p in want.items()}

@@ -135,3 +135,10 @@ def test_selected_row_and_labels(spark):
     assert split.label_split(df, 1.0, ["t", "k"]).where("split_partition = 'test'").count() == 0
     with pytest.raises(ValueError):
         ordering.row_at(df, ["k"], 1)
+
+
+def test_discrete_quantiles_are_values_at_whole_positions(spark):
+    for n in (1, 2, 3, 100, 300, 700):
+        df = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") + 1).cast("double").alias("v"))
+        got = {r["probability"]: r["quantile"] for r in ordering.exact_quantiles(df, ["g"], "v", [0.25, 0.33, 0.67], discrete=True).collect()}
+        assert got == {p / 100: max(1, -(-p * n // 100)) for p in (25, 33, 67)}
