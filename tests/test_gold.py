@@ -44,3 +44,21 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, no_broadcast):
     assert "Exchange" not in plan(merged) and merged.count() == 1000
     plain = base.join(base.withColumnRenamed("v", "w"), keys)
     assert "Exchange" in plan(plain)  # what buckets save
+
+
+def test_lines_are_joined_before_anything_is_derived(spark, sf):
+    from riskloom.plans.orders import silver
+
+    rows = silver(spark, sf, "product", "customer", "place").select(*N.KEYS, "Delivery_Status", "Category_Name", "Customer_Segment", "Order_City")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    derived = [i for i, line in enumerate(plan) if N.CANCELLED_DELIVERY in line]
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    assert derived and joins and max(derived) < min(joins)
+
+
+def test_split_labels_read_their_input_once(spark, sf):
+    from riskloom.operators import split
+    from riskloom.plans.orders import silver
+
+    out = split.label_split(silver(spark, sf).select(*N.KEYS))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
