@@ -79,7 +79,7 @@ def store_by_keys(df: DataFrame, label: str, keys: Sequence[str] = N.KEYS, bucke
     name = f"{label}_{uuid.uuid4().hex}"
     # Dealt by the bucketing's own hash, so that each bucket is one file.
     (df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
-     .option("path", f"{shared_folder(spark)}/bucketed-{name}").saveAsTable(name))
+     .option("compression", "zstd").option("path", f"{shared_folder(spark)}/bucketed-{name}").saveAsTable(name))
     return spark.table(name)
 
 

@@ -84,26 +84,28 @@ def e1(spark, sf):
     return gold.gold_from_silver(silver(spark, sf, *_ALL), N.LATE)
 
 
+def _late_feature_rows(spark, sf):
+    """What both forms from feature tables read: the rows' own columns and the features that the table takes, of each set."""
+    made = features.all_feature_columns()
+    sets = [[n for n in names if n in N.LATE_PREDICTORS] for names in (N.TIME_FEATURES, N.SHIPPING_PRODUCT_FEATURES, N.CUSTOMER_REGIONAL_FEATURES)]
+    own = [*N.KEYS, N.LATE, "Type", "Delivery_Status", "Order_Status"]
+    return silver(spark, sf, *_ALL).select(*own, *[made[n].alias(n) for names in sets for n in names]), own, sets
+
+
 @query("e1_gold_late_joined", _GOLD_LATE)
 def e1_joined(spark, sf):
-    rows = silver(spark, sf, *_ALL)
-    from ..functions.calendar import order_time_features
-
-    parts = [order_time_features(rows), features.shipping_product_features(rows, None),
-             features.customer_regional_features(rows, None)]
-    return gold.gold_from_tables(rows, parts, N.LATE)
+    rows, own, sets = _late_feature_rows(spark, sf)
+    rows = gold.store_by_keys(rows, "features")  # dealt by the keys once, for all four sides
+    return gold.gold_from_tables(rows.select(*own), [rows.select(*N.KEYS, *names) for names in sets], N.LATE)
 
 
 @query("e1_gold_late_bucketed", _GOLD_LATE)
 def e1_bucketed(spark, sf):
     """From stored feature tables that are bucketed by the keys they are joined on."""
-    from ..functions.calendar import order_time_features
-
-    rows = silver(spark, sf, *_ALL)
-    features_ = [order_time_features(rows), features.shipping_product_features(rows, None), features.customer_regional_features(rows, None)]
-    parts = [gold.store_by_keys(t, f"features{i}") for i, t in enumerate(features_)]
-    base = gold.store_by_keys(rows.select(*N.KEYS, N.LATE, "Type", "Delivery_Status", "Order_Status"), "items")
-    return gold.gold_from_tables(base, parts, N.LATE)
+    rows, own, sets = _late_feature_rows(spark, sf)
+    rows = gold.store_by_keys(rows, "rows")  # dealt by the keys once, for all four stores
+    parts = [gold.store_by_keys(rows.select(*N.KEYS, *names), f"features{i}") for i, names in enumerate(sets)]
+    return gold.gold_from_tables(gold.store_by_keys(rows.select(*own), "items"), parts, N.LATE)
 
 
 @query("e2_gold_profit", _GOLD_PROFIT)

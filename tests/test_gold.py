@@ -62,3 +62,12 @@ def test_split_labels_read_their_input_once(spark, sf):
 
     out = split.label_split(silver(spark, sf).select(*N.KEYS))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["e1_gold_late_joined", "e1_gold_late_bucketed"])
+def test_feature_tables_are_made_from_rows_that_are_dealt_once(spark, sf, no_broadcast, name):
+    from riskloom.plans import registry
+
+    registry.load()
+    out = registry.QUERIES[name](spark, sf)
+    assert "hashpartitioning" not in plan(out) and "lineitem" not in plan(out)
