@@ -142,3 +142,9 @@ def test_discrete_quantiles_are_values_at_whole_positions(spark):
         df = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") + 1).cast("double").alias("v"))
         got = {r["probability"]: r["quantile"] for r in ordering.exact_quantiles(df, ["g"], "v", [0.25, 0.33, 0.67], discrete=True).collect()}
         assert got == {p / 100: max(1, -(-p * n // 100)) for p in (25, 33, 67)}
+
+
+def test_stored_tables_are_compressed_well(spark):
+    from riskloom.session import materialize
+
+    assert all(f.endswith(".zstd.parquet") for f in materialize(spark.range(10)).inputFiles())
