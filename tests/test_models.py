@@ -192,6 +192,37 @@ def test_boosting_equals_exact_greedy(spark, monkeypatch, objective):
     assert [t.value for m in models for t in m.trees] == [t.value for m in again for t in m.trees]
 
 
+def test_boosting_takes_one_job_a_level_whatever_is_stored(spark, encoded, monkeypatch):
+    """Two jobs of an aggregation for each of hundreds of levels were most of the time of the grids."""
+    features, _, _ = encoded
+    jobs, values = [], []
+    for name, rounds, store, tables in (("few", 2, 16, 64), ("many", 12, 16, 64), ("stored", 12, 1, 1)):
+        monkeypatch.setattr(boosting, "STORE", store)
+        monkeypatch.setattr(boosting, "MOST_TABLES", tables)
+        spark.sparkContext.setJobGroup(name, name)
+        model = L.fit_gbt_classifier(features, L.Candidate(name, rounds, 2, 0.3, 0.8, 0.8))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+        values.append([t.value for t in model.trees])
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] - jobs[0] <= 10 * 2
+    assert values[1] == values[2] and values[1][:2] == values[0]
+
+
+def test_leaf_tables_equal_patterns_of_rows(monkeypatch):
+    """The table of a leaf's patterns and the patterns that rows have give the same contributions."""
+    rng = np.random.default_rng(4)
+    tree = boosting.Tree()
+    for _ in range(7):
+        tree.add(float(rng.normal()), 0.0)
+    tree.slot[:3], tree.cut[:3] = [0, 1, 2], [0.1, -0.2, 0.3]
+    tree.left[:3], tree.right[:3], tree.cover = [1, 3, 5], [2, 4, 6], [10.0, 6.0, 4.0, 4.0, 2.0, 1.0, 3.0]
+    x = rng.normal(size=(200, 4))
+    by_table = A.tree_contributions([tree], 4)
+    assert all(table is not None for _, table in by_table.__closure__[0].cell_contents)
+    monkeypatch.setattr(A, "TABLE_FEATURES", 0)
+    assert np.array_equal(by_table(x), A.tree_contributions([tree], 4)(x))
+
+
 def test_boosting_draws_rows_and_columns(spark, encoded):
     features, names, _ = encoded
     drawn = L.Candidate("drawn", 8, 2, 0.3, 0.5, 0.5)
