@@ -324,3 +324,19 @@ def test_sample_is_the_same_whatever_the_partitioning(spark):
     df = spark.range(1000).select(F.col("id").alias(N.ORDER), F.col("id").alias(N.ITEM), F.col("id").alias(N.ORDER_TS))
     draws = [sorted(r[0] for r in L.sample_rows(df.repartition(k), 20).collect()) for k in (1, 5)]
     assert draws[0] == draws[1] and len(set(draws[0])) == 20
+
+
+def test_equal_points_are_clustered_once_with_their_number(spark):
+    """Copies of rows used to be worked on one by one, in every step and for every distance."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(40, 2)), rng.normal(size=(25, 2)) + 4])
+    once = spark.createDataFrame([(r,) for r in x.tolist()], "x ARRAY<DOUBLE>").withColumn("signals", array_to_vector("x"))
+    many = once.crossJoin(spark.range(30)).repartition(5)
+    points = C.equal_points(many.select("x"))
+    assert points.count() == 65 and {r["n"] for r in points.collect()} == {30}
+    a, b = (C.fit_kmeans(v, ks=(2,), restarts=3)[2] for v in (once, many))
+    assert np.allclose(a.centers, b.centers) and b.cost == pytest.approx(30 * a.cost) and (b.sizes == 30 * a.sizes).all()
+    label = a.transform(once).select(C.CLUSTER).collect()
+    value, error = C.silhouette(a.transform(many))
+    repeated = np.repeat(x, 30, axis=0), np.repeat([r[0] for r in label], 30)
+    assert abs(value - brute_silhouette(*repeated)) <= error + 1e-9
