@@ -340,3 +340,18 @@ def test_equal_points_are_clustered_once_with_their_number(spark):
     value, error = C.silhouette(a.transform(many))
     repeated = np.repeat(x, 30, axis=0), np.repeat([r[0] for r in label], 30)
     assert abs(value - brute_silhouette(*repeated)) <= error + 1e-9
+
+
+def test_comparison_reads_the_assignment_once(spark):
+    """Its counts were taken anew, joins and all, for each of the three things made of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i % 3, N.PROTECT if i % 2 else N.PRESERVE) for i in range(60)], f"{C.CLUSTER} INT, {N.SEGMENT} STRING")
+    row = C.cluster_comparison(rows.mapInArrow(told, rows.schema)).first()
+    assert row["segments_split"] == 2 and row["weighted_dominant_segment_share"] == 0.5
+    assert seen.value == 60
