@@ -234,7 +234,8 @@ def loss_queue(df: DataFrame) -> DataFrame:
 
 def _top_k(df: DataFrame, keep: Column, column: str, k: int, largest: bool) -> DataFrame:
     """Sum over the ``k`` most extreme rows, ties at the edge included, and over all kept rows."""
-    kept = df.where(keep).select(F.col(column).alias("v")).where("v IS NOT NULL")
+    # Read for the edge and for the sums, so what lies below is done once.
+    kept = materialize(df.where(keep).select(F.col(column).alias("v")).where("v IS NOT NULL"), "values")
     edge = kept.orderBy(F.desc("v") if largest else F.asc("v")).limit(k)
     edge = edge.agg(F.min("v") if largest else F.max("v")).scalar()
     inside = F.col("v") >= edge if largest else F.col("v") <= edge

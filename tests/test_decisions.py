@@ -105,3 +105,18 @@ def test_tier_cutoffs_are_exact_for_any_number_of_rows(spark):
     df = spark.range(n).select(value.alias("avg_ao3_predicted_margin"), value.alias("total_order_value"), value.alias("high_risk_order_rate"))
     want = {"margin_low": 0.5, "margin_high": 0.75, "exposure_low": 0.25, "exposure_high": 0.75, "risk_low": 0.33, "risk_high": 0.67}
     assert geography.tier_cutoffs(df) == {k: float(round(p * n)) for k, p in want.items()}
+
+
+def test_top_values_read_their_rows_once(spark):
+    """The edge of the ten largest and the sums each computed the scored rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(N.EXPEDITE, float(i)) for i in range(40)], f"{N.SEGMENT} STRING, {N.ORDER_VALUE} DOUBLE")
+    row = measures.top_expedite_value(rows.mapInArrow(told, rows.schema), 3).first()
+    assert (row["top_expedite_value"], row["expedite_value"]) == (37 + 38 + 39, sum(range(40)))
+    assert seen.value == 40
