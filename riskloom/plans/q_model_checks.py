@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..operators import attribution as A, clustering as C, modeling as L, split
+from ..session import materialize
 from ..sources import files
 from . import oracle as O
 from .orders import _money, risk_units, second_risk_units, segments, silver, table, with_scores
@@ -67,10 +68,10 @@ def l1(spark, sf):
 
 
 def _signals(spark, sf, target):
-    """Two raw predictors as the feature vector."""
+    """Two raw predictors as the feature vector.  A fit reads its rows several times, so they are joined once and stored."""
     rows = silver(spark, sf).select(
-        *N.KEYS, F.col("Order_Item_Quantity").cast("double").alias("a"), F.col("_tax").cast("double").alias("b"), F.col(target).cast("double").alias(target))
-    return VectorAssembler(inputCols=["a", "b"], outputCol=L.FEATURES).transform(rows)
+        F.col("Order_Item_Quantity").cast("double").alias("a"), F.col("_tax").cast("double").alias("b"), F.col(target).cast("double").alias(target))
+    return VectorAssembler(inputCols=["a", "b"], outputCol=L.FEATURES).transform(materialize(rows, "signals"))
 
 
 @query("l7_ridge_closed_form", f"""WITH {O.BASE}, x AS (SELECT CAST(qty AS DOUBLE) AS a, CAST(tax AS DOUBLE) AS b, CAST(Order_Profit_Per_Order AS DOUBLE) AS y FROM oi),
@@ -386,9 +387,9 @@ _PROFIT_TREE = _first_tree_sql(_PROFIT_TREE, "p - y", "1.0", 1.0, 0.0, 1.0)
 _NODES = " SELECT node, coalesce(slot, -1) AS slot, cut, round(gain, 1) AS gain, round(value, 7) AS value, round(cover, 4) AS cover FROM nodes"
 
 
-def _first_tree(spark, sf, target, *penalties):
+def _first_tree(rows, target, *penalties):
     candidate = L.Candidate("first", 1, 2, 0.1, 1.0, 1.0, *penalties)
-    return L.fit_boosted(_signals(spark, sf, target), target, [candidate])[0]
+    return L.fit_boosted(rows, target, [candidate])[0]
 
 
 def _node_table(spark, model):
@@ -408,12 +409,12 @@ def _node_table(spark, model):
 @query("l6_first_tree", _LATE_TREE + _NODES)
 def l6_tree(spark, sf):
     """Splits, gains and penalized leaf values of the classifier's first tree."""
-    return _node_table(spark, _first_tree(spark, sf, N.LATE, 3.0, 2.0, 0.1))
+    return _node_table(spark, _first_tree(_signals(spark, sf, N.LATE), N.LATE, 3.0, 2.0, 0.1))
 
 
 @query("l8_first_tree", _PROFIT_TREE + _NODES)
 def l8_tree(spark, sf):
-    return _node_table(spark, _first_tree(spark, sf, N.PROFIT))
+    return _node_table(spark, _first_tree(_signals(spark, sf, N.PROFIT), N.PROFIT))
 
 
 _GAIN = """, g AS (SELECT CASE slot WHEN 0 THEN 'a' ELSE 'b' END AS feature_name, avg(gain) AS gain FROM splits GROUP BY 1),
@@ -425,7 +426,7 @@ SELECT feature_name, round(gain / sum(gain) OVER (), 7) AS importance_value, rou
 @query("l9_gain_importance", _PROFIT_TREE + _GAIN)
 def l9_gain(spark, sf):
     """Mean loss reduction of each predictor's splits in the first tree."""
-    out = L.feature_importance(spark, _first_tree(spark, sf, N.PROFIT), ["a", "b"])
+    out = L.feature_importance(spark, _first_tree(_signals(spark, sf, N.PROFIT), N.PROFIT), ["a", "b"])
     return rounded(out, ["importance_value", "importance_share"], 7)
 
 
@@ -442,7 +443,7 @@ SELECT feature_name, round(sum(n * abs(phi)) / sum(n), 7) AS mean_abs_contributi
 @query("l12_first_tree_attribution", _PROFIT_TREE + _TREE_SHAPLEY)
 def l12_tree(spark, sf):
     """Shapley values of the first tree, against all coalitions of its two predictors."""
-    model = _first_tree(spark, sf, N.PROFIT)
-    out = A.tree_attribution(model, _signals(spark, sf, N.PROFIT), ["a", "b"])
+    rows = _signals(spark, sf, N.PROFIT)
+    out = A.tree_attribution(_first_tree(rows, N.PROFIT), rows, ["a", "b"])
     return out.select("feature_name", F.round("mean_abs_contribution", 7).alias("mean_abs_contribution"),
                       (F.round("mean_signed_contribution", 7) + 0.0).alias("mean_signed_contribution"), "sample_size")
