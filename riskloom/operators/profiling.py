@@ -43,8 +43,10 @@ TIMESTAMP_PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d
 
 
 def _as_timestamp(value: Column) -> Column:
-    return F.coalesce(value.try_cast("timestamp_ntz"),
-                      *[F.try_to_timestamp(value, F.lit(p)).cast("timestamp_ntz") for p in TIMESTAMP_PATTERNS])
+    """The time that a text holds.  Only text with a digit and a pattern's separator is tried: each failure raises in the JVM."""
+    tried = [F.when(F.contains(value, F.lit("/" if "/" in p else "-")), F.try_to_timestamp(value, F.lit(p)).cast("timestamp_ntz"))
+             for p in TIMESTAMP_PATTERNS]
+    return F.when(value.rlike("[0-9]"), F.coalesce(value.try_cast("timestamp_ntz"), *tried))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -153,21 +155,29 @@ def sketched_profile(
         x = F.col(c).try_cast("double") if c not in declared["datetime"] else F.lit(None).cast("double")
         return F.when(~F.isnan(x), x)
 
-    def facts_of(c: str) -> Column:
-        v, text = F.col(c), c in declared["text"]
-        filled = F.trim(v.cast("string")) != ""
-        ts = _as_timestamp(v.cast("string")) if text or c in declared["datetime"] else F.lit(None).cast("timestamp_ntz")
-        x = number(c)
-        any_number = F.col(c).try_cast("double") if c not in declared["datetime"] else F.lit(None)
+    # What is made of a value is made once; only text can be blank or has to be parsed.
+    made: list[Column] = []
+    for i, c in enumerate(columns):
+        v = F.col(c)
+        text = c in declared["text"]
+        filled = F.trim(v.cast("string")) != "" if text else v.isNotNull()
+        ts = v.cast("timestamp_ntz") if c in declared["datetime"] else F.lit(None).cast("timestamp_ntz")
+        any_number = v.try_cast("double") if c not in declared["datetime"] else F.lit(None).cast("double")
+        made += [v.alias(f"_v{i}"), filled.alias(f"_f{i}"), any_number.alias(f"_a{i}"),
+                 F.when(filled, _as_timestamp(v.cast("string")) if text else ts).alias(f"_t{i}")]
+
+    def facts_of(i: int, c: str) -> Column:
+        v, filled, any_number, ts = (F.col(f"_{k}{i}") for k in "vfat")
+        x = F.when(~F.isnan(any_number), any_number)
         return F.struct(
             F.lit(c).alias(VARIABLE), F.count(F.lit(1)).alias("row_count"), F.count_if(v.isNull()).alias("_nulls"),
             distinct_estimate(v, precision).alias("unique_values"), F.count_if(filled).alias("_filled"),
-            F.count_if(any_number.isNotNull()).alias("_numbers"),
-            (F.count_if(filled & ts.isNotNull()) if text else zero).alias("_stamps"),
-            F.min(F.when(filled, ts)).alias("_first"), F.max(F.when(filled, ts)).alias("_last"),
+            F.count(any_number).alias("_numbers"),
+            (F.count(ts) if c in declared["text"] else zero).alias("_stamps"),
+            F.min(ts).alias("_first"), F.max(ts).alias("_last"),
             F.count(x).alias("_known"), F.percentile_approx(x, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy).alias("_q"))
 
-    facts = df.agg(F.array(*[facts_of(c) for c in columns]).alias("all")).select(F.inline("all"))
+    facts = df.select(*made).agg(F.array(*[facts_of(i, c) for i, c in enumerate(columns)]).alias("all")).select(F.inline("all"))
     numeric = F.col("status") == "numeric"
     facts = materialize(_classified(facts, declared), "facts").withColumns({
         name: F.when(numeric, F.get("_q", F.lit(i)))
