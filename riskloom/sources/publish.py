@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -52,22 +52,6 @@ def served_projection(
     return df.select(*columns)
 
 
-def _manifest(parts: list[tuple[DataFrame, Mapping[str, object]]]) -> DataFrame:
-    """Counts of all stored tables as one query: one scan each, no driver loop over results."""
-    out: DataFrame | None = None
-    for stored, facts in parts:
-        one = stored.agg(F.count(F.lit(1)).alias("row_count")).select(
-            *[F.lit(v).alias(k) for k, v in facts.items()],
-            "row_count",
-            F.lit(len(stored.columns)).alias("column_count"),
-            F.lit("success").alias("run_status"),
-        )
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("nothing to publish")
-    return out
-
-
 @dataclass(frozen=True)
 class Snapshot:
     """One committed version: its number and, for each table, where it is stored and what it holds."""
@@ -207,11 +191,29 @@ def publish_tables(
 
 
 def export_tables(tables: Sequence[ServingTable], folder: str) -> DataFrame:
-    """CSV export of served projections; the manifest goes out as JSON beside them."""
-    parts = []
-    for table in tables:
-        stored = export_csv(served_projection(table.source, table.columns), f"{folder}/{table.name}")
-        parts.append((stored, {"export_name": table.name, "artifact_category": table.category}))
-    manifest = _manifest(parts)
+    """CSV export of served projections; the manifest goes out as JSON beside them.
+
+    A source that several tables are served from is worked out once and kept while they are written, with the
+    columns they serve.  Rows are counted while they are written.
+    """
+    if not tables:
+        raise ValueError("nothing to publish")
+    served = [served_projection(t.source, t.columns) for t in tables]
+    spark, facts, kept = served[0].sparkSession, [], {}
+    try:
+        for table, rows in zip(tables, served):
+            shared = [s.columns for t, s in zip(tables, served) if t.source is table.source]
+            if len(shared) > 1:
+                if id(table.source) not in kept:
+                    kept[id(table.source)] = table.source.select(*dict.fromkeys(c for cs in shared for c in cs)).persist()
+                rows = kept[id(table.source)].select(*rows.columns)
+            seen = Observation()
+            export_csv(rows.observe(seen, F.count(F.lit(1)).alias("n")), f"{folder}/{table.name}")
+            facts.append((table.name, table.category, seen.get["n"], len(rows.columns), "success"))
+    finally:
+        for rows in kept.values():
+            rows.unpersist()
+    manifest = spark.createDataFrame(
+        facts, "export_name STRING, artifact_category STRING, row_count LONG, column_count INT, run_status STRING")
     manifest.write.mode("overwrite").json(f"{folder}/_manifest")
     return manifest
