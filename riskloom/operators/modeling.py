@@ -30,6 +30,8 @@ from .gold import merge_one_to_one
 from .ordering import exact_quantiles
 
 FEATURES, UNKNOWN = "features", "unknown"
+#: Rows of a task that the logistic fit goes over in each of its steps, at most, about.
+ROWS_PER_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -165,15 +167,17 @@ def balanced_weights(df: DataFrame, target: str = N.LATE) -> DataFrame:
 
 def fit_logistic(features: DataFrame, target: str = N.LATE, c: float = 1.0, max_iter: int = 1000, balanced: bool = True):
     """L2 logistic regression; ``c`` is the inverse regularization strength per weighted row."""
-    rows = (balanced_weights(features, target) if balanced else features.withColumn("class_weight", F.lit(1.0))).cache()
-    try:
-        total = rows.agg(F.sum("class_weight")).first()[0]
-        return LogisticRegression(
-            featuresCol=FEATURES, labelCol=target, weightCol="class_weight", maxIter=max_iter,
-            regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
-        ).fit(rows)
-    finally:
-        rows.unpersist()
+    rows = balanced_weights(features, target) if balanced else features.withColumn("class_weight", F.lit(1.0))
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("class_weight")).first()
+    # Encoded rows are a tenth as large in files as in memory, so the files' splits would make few and large tasks.
+    tasks = -(-n // ROWS_PER_TASK)
+    if tasks > rows.rdd.getNumPartitions():
+        keys = [c for c in N.KEYS if c in rows.columns]
+        rows = rows.select(*keys, FEATURES, target, "class_weight").repartition(tasks, *keys)
+    return LogisticRegression(
+        featuresCol=FEATURES, labelCol=target, weightCol="class_weight", maxIter=max_iter,
+        regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
+    ).fit(rows)
 
 
 def fit_ridge(features: DataFrame, target: str = N.PROFIT, alpha: float = 1.0):
