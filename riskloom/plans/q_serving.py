@@ -101,8 +101,8 @@ def k9(spark, sf):
 
 
 def _full(spark, sf):
-    rows = segments(spark, sf, "product", "customer", "place")
-    return rows.withColumns(shipping_product_columns() | customer_regional_columns())
+    rows = segments(spark, sf, "product", "customer", "place", "tokens")
+    return rows.withColumns(shipping_product_columns(rows.columns) | customer_regional_columns(rows.columns))
 
 
 _DIMS = f"""strftime(order_date_DateOrders, '%Y-%m') AS order_month_key, CAST(year(order_date_DateOrders) AS INT) AS order_year, CAST(month(order_date_DateOrders) AS INT) AS order_month,
