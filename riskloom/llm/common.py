@@ -114,6 +114,30 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
+def folded(numbers: np.ndarray) -> bytes:
+    """Numbers of at least 0, compressed: first the low bytes of all, then the next ones, in as many bytes as the largest needs."""
+    width = next(w for w in range(1, 9) if w == 8 or int(numbers.max(initial=0)) < 1 << 8 * w)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(numbers).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unfolded(raw: bytes) -> np.ndarray:
+    """The numbers that ``folded`` was given, as unsigned 64-bit ones."""
+    width, n = raw[0], int.from_bytes(raw[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[5:], width * n, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def folded_rising(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in rising order, as the gaps between them."""
+    return folded(np.diff(numbers, prepend=numbers.dtype.type(0)))
+
+
+def unfolded_rising(raw: bytes) -> np.ndarray:
+    return np.cumsum(unfolded(raw), dtype=np.uint64)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Sorted rows cut into tables of whole groups, of about ``rows`` rows or one group."""
     held: list[pa.RecordBatch] = []

@@ -10,6 +10,9 @@ together: texts are worked on in chunks, and a chunk asks each piece once for ea
 distinct n-grams.  The training counts ride with these requests, so one shuffle brings what a piece is
 built from and what is looked up in it.  Answers, a byte or so each, go back to the chunk.  No
 word or pair is treated unlike another, at any size.
+
+What is stored or shuffled is compressed before: keys go in rising order as gaps.  A chunk is as long as a
+worker's memory allows, as the distinct n-grams of a long stretch are fewer for each of its tokens.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, packed, short_batches, unpacked, whole_groups
+from .common import col, folded, folded_rising, short_batches, unfolded, unfolded_rising, whole_groups
 
 #: The token that ends each text and stands before its first word.
 END = np.uint64(xxhash.xxh64_intdigest(b"\0end of text"))
-CHUNK_TOKENS = 200_000
+CHUNK_TOKENS = 1 << 20
 BLOCK_BITS = 1 << 19
 WORD_KIND, PAIR_KIND = 1, 3
 #: Share of single words in what follows a history.
@@ -50,19 +53,27 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows with their tokens and token counts, cut so that a chunk has few tokens or one text."""
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, held-out marks, tokens and token counts of rows, cut so that a chunk has few tokens but for its last text's."""
+    rows, texts, size = [], [], 0
+
+    def chunk():
+        ids, held = (pa.concat_arrays([r.column(c) for r in rows]) for c in ("id", "held_out"))
+        return ids, held, np.concatenate(texts), np.array([len(x) for x in texts])
+
     for batch in batches:
-        begin, held, size = 0, [], 0
-        for i, value in enumerate(batch.column(text)):
-            t = tokens(value.as_py())
-            held.append(t)
-            size += len(t)
+        begin = 0
+        for i, value in enumerate(batch.column("text")):
+            texts.append(tokens(value.as_py()))
+            size += len(texts[-1])
             if size >= CHUNK_TOKENS:
-                yield batch.slice(begin, i + 1 - begin), np.concatenate(held), np.array([len(x) for x in held])
-                begin, held, size = i + 1, [], 0
-        if held:
-            yield batch.slice(begin), np.concatenate(held), np.array([len(x) for x in held])
+                rows.append(batch.slice(begin, i + 1 - begin))
+                yield chunk()
+                rows, texts, size, begin = [], [], 0, i + 1
+        if begin < batch.num_rows:
+            rows.append(batch.slice(begin).select(["id", "held_out"]))
+    if rows:
+        yield chunk()
 
 
 def _before(t: np.ndarray, sizes: np.ndarray, first) -> np.ndarray:
@@ -158,14 +169,14 @@ def _bodies(kind: str):
     names = ["ids", "held", "sizes", "words", "tokens", "n", "n_train"]
 
     def run(batches):
-        for rows, t, sizes in _chunks(batches):
+        for ids, held, t, sizes in _chunks(batches):
             words, at = np.unique(t, return_inverse=True)
-            one = pa.array([0, rows.num_rows], pa.int32())
-            held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            one = pa.array([0, len(ids)], pa.int32())
+            out = held.to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(one, rows.column("id")), pa.ListArray.from_arrays(one, rows.column("held_out")),
-                 pa.array([packed(sizes)]), pa.array([words.tobytes()]), pa.array([packed(at)]),
-                 pa.array([len(t)]), pa.array([int(sizes[~held].sum())])], names)
+                [pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, held),
+                 pa.array([folded(sizes)]), pa.array([folded_rising(words)]), pa.array([folded(at)]),
+                 pa.array([len(t)]), pa.array([int(sizes[~out].sum())])], names)
 
     return run, f"ids ARRAY<{kind}>, held ARRAY<BOOLEAN>, sizes BINARY, words BINARY, tokens BINARY, n LONG, n_train LONG"
 
@@ -178,9 +189,9 @@ class _Chunk:
     held: np.ndarray
     words: np.ndarray
     at: np.ndarray
-    before: np.ndarray
     pair: np.ndarray
-    pair_hash: np.ndarray
+    pair_words: tuple[np.ndarray, np.ndarray]
+    pair_key: np.ndarray
     word_order: np.ndarray
     word_piece: np.ndarray
     pair_order: np.ndarray
@@ -188,39 +199,41 @@ class _Chunk:
 
     @classmethod
     def of(cls, held: list, sizes: bytes, words: bytes, tokens_: bytes, pieces: int) -> "_Chunk":
-        sizes, words, at = unpacked(sizes).astype(np.int64), np.frombuffer(words, np.uint64), unpacked(tokens_).astype(np.int64)
+        sizes, words, at = unfolded(sizes).astype(np.int64), unfolded_rising(words), unfolded(tokens_).astype(np.int64)
         end = int(np.searchsorted(words, END))
-        before = _before(at, sizes, end)
-        code, pair = np.unique(before * len(words) + at, return_inverse=True)
-        pair_hash = _pair_hash(words[code // len(words)], words[code % len(words)])
+        code, pair = np.unique(_before(at, sizes, end) * len(words) + at, return_inverse=True)
+        pair_words = np.divmod(code, len(words))
+        pair_hash = _pair_hash(*(words[x] for x in pair_words))
         piece = lambda h: ((h >> np.uint64(40)).astype(np.int64) * pieces) >> 24
         word_piece, pair_piece = piece(_mixed(words, WORD_KIND)), piece(pair_hash)
-        word_order, pair_order = np.argsort(word_piece, kind="stable"), np.argsort(pair_piece, kind="stable")
-        return cls(sizes, np.array(held, bool), words, at, before, pair, pair_hash,
+        pair_key = pair_hash & np.uint64((1 << 8 * PAIR_BYTES) - 1)
+        # Words are in rising order already.
+        word_order, pair_order = np.argsort(word_piece, kind="stable"), np.lexsort((pair_key, pair_piece))
+        return cls(sizes, np.array(held, bool), words, at, pair, pair_words, pair_key,
                    word_order, word_piece[word_order], pair_order, pair_piece[pair_order])
 
     def requests(self, chunk: int) -> pa.RecordBatch:
-        """One row for each piece: the keys it is asked for, with their counts in the chunk's training texts."""
+        """One row for each piece: the keys it is asked for, rising, with their counts in the chunk's training texts."""
         train = np.repeat(~self.held, self.sizes)
         word_n = np.bincount(self.at[train], minlength=len(self.words))[self.word_order]
-        pair_n = np.bincount(self.pair[train], minlength=len(self.pair_hash))[self.pair_order]
-        words = self.words[self.word_order]
-        short = self.pair_hash[self.pair_order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]
+        pair_n = np.bincount(self.pair[train], minlength=len(self.pair_key))[self.pair_order]
+        words, pairs = self.words[self.word_order], self.pair_key[self.pair_order]
         pieces = np.unique(np.concatenate([self.word_piece, self.pair_piece]))
         a, b = (np.searchsorted(x, pieces, "left") for x in (self.word_piece, self.pair_piece))
         c, d = (np.searchsorted(x, pieces, "right") for x in (self.word_piece, self.pair_piece))
         spans = list(zip(a.tolist(), c.tolist(), b.tolist(), d.tolist()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(pieces), pa.array(np.full(len(pieces), chunk)), pa.array([words[i:j].tobytes() for i, j, _, _ in spans]),
-             pa.array([packed(word_n[i:j]) for i, j, _, _ in spans]), pa.array([np.ascontiguousarray(short[i:j]).tobytes() for _, _, i, j in spans]),
-             pa.array([packed(pair_n[i:j]) for _, _, i, j in spans])],
+            [pa.array(pieces), pa.array(np.full(len(pieces), chunk)), pa.array([folded_rising(words[i:j]) for i, j, _, _ in spans]),
+             pa.array([folded(word_n[i:j]) for i, j, _, _ in spans]), pa.array([folded_rising(pairs[i:j]) for _, _, i, j in spans]),
+             pa.array([folded(pair_n[i:j]) for _, _, i, j in spans])],
             ["piece", "chunk", "words", "word_n", "pairs", "pair_n"])
 
 
 def _requests(pieces: int):
     def run(batches):
         for batch in batches:
-            for chunk, *body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held", "sizes", "words", "tokens"))):
+            for i in range(batch.num_rows):
+                chunk, *body = (batch.column(c)[i].as_py() for c in ("chunk", "held", "sizes", "words", "tokens"))
                 yield _Chunk.of(*body, pieces).requests(chunk)
 
     return run, "piece LONG, chunk LONG, words BINARY, word_n BINARY, pairs BINARY, pair_n BINARY"
@@ -235,16 +248,10 @@ def _answers(base: float, bits_per_entry: int, hashes: int):
     def answer(table: pa.Table) -> pa.RecordBatch:
         def totals(keys: list[np.ndarray], counts: str):
             values, of = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.concatenate([unpacked(x.as_py()).astype(np.int64) for x in table.column(counts)])
+            n = np.concatenate([unfolded(x.as_py()).astype(np.int64) for x in table.column(counts)])
             return values, of, np.bincount(of, weights=n, minlength=len(values)).astype(np.int64)
 
-        words = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("words")]
-        pairs = []
-        for x in table.column("pairs"):
-            raw = np.frombuffer(x.as_py(), np.uint8).reshape(-1, PAIR_BYTES)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :PAIR_BYTES] = raw
-            pairs.append(wide.reshape(-1).view("<u8").astype(np.uint64))
+        words, pairs = ([unfolded_rising(x.as_py()) for x in table.column(c)] for c in ("words", "pairs"))
         word, word_of, word_n = totals(words, "word_n")
         pair, pair_of, pair_n = totals(pairs, "pair_n")
         piece = LogFrequencyFilter.of(
@@ -256,8 +263,8 @@ def _answers(base: float, bits_per_entry: int, hashes: int):
         known[0] = (word_n > 0).sum()
         return pa.RecordBatch.from_arrays(
             [table.column("piece").combine_chunks(), table.column("chunk").combine_chunks(),
-             pa.array([packed(exact[a:b]) for a, b in zip(i, i[1:])]), pa.array([packed(word_level[a:b]) for a, b in zip(i, i[1:])]),
-             pa.array([packed(pair_level[a:b]) for a, b in zip(j, j[1:])]), pa.array(known)],
+             pa.array([folded(exact[a:b]) for a, b in zip(i, i[1:])]), pa.array([folded(word_level[a:b]) for a, b in zip(i, i[1:])]),
+             pa.array([folded(pair_level[a:b]) for a, b in zip(j, j[1:])]), pa.array(known)],
             ["piece", "chunk", "word_n", "word_level", "pair_level", "known"])
 
     def run(batches):
@@ -274,27 +281,31 @@ def _scores(pieces: int, total: int, distinct: int, base: float, kind: str):
     """Sums of each document over its tokens, from the answers to its chunk."""
     norm = float(total + distinct + 1)
 
+    def score(ids: pa.Array, held: list, sizes: bytes, words: bytes, tokens_: bytes, answers: list[dict]) -> pa.RecordBatch:
+        chunk = _Chunk.of(held, sizes, words, tokens_, pieces)
+        answers.sort(key=lambda a: a["piece"])
+        joined = lambda c: np.concatenate([unfolded(a[c]).astype(np.int64) for a in answers])
+        count, word_level = np.empty((2, len(chunk.words)), np.int64)
+        count[chunk.word_order], word_level[chunk.word_order] = joined("word_n"), joined("word_level")
+        pair_level = np.empty(len(chunk.pair_key), np.int64)
+        pair_level[chunk.pair_order] = joined("pair_level")
+        single = (count + 1.0) / norm
+        before, word = chunk.pair_words
+        past, alone = middle(word_level, base)[before], single[word]
+        share = np.minimum(middle(pair_level, base) / np.maximum(past, 1.0), 1.0) * (1.0 - BACKOFF)
+        p = np.where(past > 0, share + BACKOFF * alone, alone)
+        owner = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
+        sums = lambda x: pa.array(np.bincount(owner, weights=x, minlength=len(chunk.sizes)))
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(chunk.held), pa.array(chunk.sizes),
+             sums(count[chunk.at] > 0).cast(pa.int64()), sums(np.log10(single)[chunk.at]), sums(np.log10(p)[chunk.pair])],
+            ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches):
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("ids", "held", "sizes", "words", "tokens", "answers"))
-            for place, (_, held, sizes, words, tokens_, answers) in enumerate(zip(*columns)):
-                chunk = _Chunk.of(held, sizes, words, tokens_, pieces)
-                answers.sort(key=lambda a: a["piece"])
-                joined = lambda c: np.concatenate([unpacked(a[c]).astype(np.int64) for a in answers])
-                count, word_level = np.empty((2, len(chunk.words)), np.int64)
-                count[chunk.word_order], word_level[chunk.word_order] = joined("word_n"), joined("word_level")
-                pair_level = np.empty(len(chunk.pair_hash), np.int64)
-                pair_level[chunk.pair_order] = joined("pair_level")
-                single = ((count + 1.0) / norm)[chunk.at]
-                past, found = middle(word_level, base)[chunk.before], middle(pair_level, base)[chunk.pair]
-                share = np.minimum(found / np.maximum(past, 1.0), 1.0) * (1.0 - BACKOFF)
-                p = np.where(past > 0, share + BACKOFF * single, single)
-                owner = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
-                sums = lambda x: pa.array(np.bincount(owner, weights=x, minlength=len(chunk.sizes)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[place].values, pa.array(chunk.held), pa.array(chunk.sizes),
-                     sums(count[chunk.at] > 0).cast(pa.int64()), sums(np.log10(single)), sums(np.log10(p))],
-                    ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for i in range(batch.num_rows):
+                body = (batch.column(c)[i].as_py() for c in ("held", "sizes", "words", "tokens", "answers"))
+                yield score(batch.column("ids")[i].values, *body)
 
     return run, f"id {kind}, held_out BOOLEAN, n_tokens LONG, n_known LONG, base_score DOUBLE, score DOUBLE"
 
@@ -313,7 +324,7 @@ def score_documents(
 
     Null and empty texts have one token, the end.  Repeated rows count and are scored each.
     An empty table, or nothing to learn from, gives N = 0 and uniform scores.  Other columns are not read, so no name
-    clashes.  A very long text is a chunk of its own, in memory that grows with it.  There is a filter piece
+    clashes.  A very long text ends its chunk, in memory that grows with it.  There is a filter piece
     for each ``piece_tokens`` tokens of the corpus; it holds about that many distinct pairs at most, and a hot word is
     asked for once by each chunk.  Chunks and answers are stored, so a lost executor costs the tasks it had.
     """

@@ -1,14 +1,17 @@
 import collections
 import hashlib
 import math
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_words import low, words
 from pyspark.sql import functions as F
 
-from riskloom.llm import lm, piecewise, queries
+from riskloom.llm import common, lm, piecewise, queries
 
 
 def is_held_out(doc_id):
@@ -70,6 +73,48 @@ def test_scores_hold_every_pair_whatever_the_pieces(spark, sf, piece_tokens):
     assert np.median(off) < 0.02 and off.mean() < 0.04
 
 
+def test_what_is_stored_and_shuffled_is_small():
+    """Bytes of every stage, with the pieces that half a GB has: each is on disk when the last one ends."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    held = pa.array([is_held_out(d) for d in table["doc_id"].to_pylist()])
+    docs = pa.table({"id": table["doc_id"], "held_out": held, "text": table["text"]}).to_batches(max_chunksize=200)
+    size = lambda batches: sum(b.nbytes for b in batches)
+    bodies = list(lm._bodies("bigint")[0](docs))
+    chunk = pa.array(range(len(bodies)), pa.int64())
+    bodies = [pa.RecordBatch.from_arrays([*b.columns, chunk.slice(i, 1)], [*b.schema.names, "chunk"]) for i, b in enumerate(bodies)]
+    asked = list(lm._requests(64)[0](bodies))
+    rows = pa.Table.from_batches(asked).sort_by("piece").combine_chunks().to_batches()
+    answers = list(lm._answers(1.25, 12, 6)[0](rows))
+    # Bodies and answers are stored and then shuffled.
+    moved = 2 * size(bodies) + size(asked) + 2 * size(answers)
+    assert sum(b["n"][0].as_py() for b in bodies) > 300_000
+    assert moved < 4 * os.path.getsize("/root/testdata/sf0.01/documents.parquet")
+
+
+def test_chunks_hold_all_rows_in_order_whatever_the_batches(sf, monkeypatch):
+    rows = pq.read_table(f"{sf}/documents.parquet").slice(0, 60).to_pylist()
+    docs = [(r["doc_id"], r["text"], is_held_out(r["doc_id"])) for r in rows]
+    whole = pa.RecordBatch.from_pydict({"id": [d for d, *_ in docs], "text": [t for _, t, _ in docs], "held_out": [h for *_, h in docs]})
+    for rows, most in ((7, 1 << 20), (60, 900), (7, 900), (1, 1)):
+        monkeypatch.setattr(lm, "CHUNK_TOKENS", most)
+        got = list(lm._chunks(whole.slice(i, rows) for i in range(0, len(docs), rows)))
+        assert [d for ids, *_ in got for d in ids.to_pylist()] == [d for d, *_ in docs]
+        assert [h for _, held, *_ in got for h in held.to_pylist()] == [h for *_, h in docs]
+        assert (np.concatenate([t for *_, t, _ in got]) == np.concatenate([lm.tokens(t) for _, t, _ in docs])).all()
+        assert all(sizes.sum() == len(t) and t[:-int(sizes[-1])].size < most for *_, t, sizes in got)
+        assert all(len(t) >= most for *_, t, _ in got[:-1])
+
+
+def test_folded_numbers_come_back():
+    rng = np.random.default_rng(2)
+    wide = np.sort(rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64, endpoint=True))
+    for x in (wide, wide[:1], wide[:0], np.array([0, 0, 7, 2**64 - 1], np.uint64)):
+        back = common.unfolded_rising(common.folded_rising(x))
+        assert back.dtype == np.uint64 and back.tolist() == x.tolist()
+    for x in (np.array([], np.int64), np.array([0]), np.array([255, 256, 0]), rng.integers(0, 1 << 40, 500)):
+        assert common.unfolded(common.folded(x)).tolist() == x.tolist()
+
+
 def test_pairs_help_on_held_out_texts(spark):
     rng = np.random.default_rng(0)
     follow = {i: rng.choice(200, 4) for i in range(200)}
