@@ -130,7 +130,7 @@ def unfolded(raw: bytes) -> np.ndarray:
 
 
 def folded_rising(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers in rising order, as the gaps between them."""
+    """Unsigned 64-bit numbers as the gaps between them, which are small where they rise; a fall wraps around."""
     return folded(np.diff(numbers, prepend=numbers.dtype.type(0)))
 
 

@@ -11,8 +11,9 @@ distinct n-grams.  The training counts ride with these requests, so one shuffle
 built from and what is looked up in it.  Answers, a byte or so each, go back to the chunk.  No
 word or pair is treated unlike another, at any size.
 
-What is stored or shuffled is compressed before: keys go in rising order as gaps.  A chunk is as long as a
-worker's memory allows, as the distinct n-grams of a long stretch are fewer for each of its tokens.
+What is stored or shuffled is compressed before: keys as the gaps between them, tokens as places among the
+chunk's words, of which common ones come first.  Chunks are of a million tokens, in about 100 MB of a worker's
+memory, as the distinct n-grams of a long stretch are fewer for each of its tokens.
 """
 
 from __future__ import annotations
@@ -163,6 +164,18 @@ class LogFrequencyFilter:
         return level
 
 
+def _common_first(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and each token's place among them.
+
+    Words seen about as often lie together in rising order, the most common first, so most places are small numbers.
+    """
+    words, at, n = np.unique(t, return_inverse=True, return_counts=True)
+    order = np.argsort(-np.floor(np.log2(n)), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return words[order], place[at]
+
+
 # --- chunks ----------------------------------------------------------------------------------
 def _bodies(kind: str):
     """Chunks of texts: ids, held-out marks and lengths of their documents, distinct words, and each token's word."""
@@ -170,7 +183,7 @@ def _bodies(kind: str):
 
     def run(batches):
         for ids, held, t, sizes in _chunks(batches):
-            words, at = np.unique(t, return_inverse=True)
+            words, at = _common_first(t)
             one = pa.array([0, len(ids)], pa.int32())
             out = held.to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
@@ -200,15 +213,14 @@ class _Chunk:
     @classmethod
     def of(cls, held: list, sizes: bytes, words: bytes, tokens_: bytes, pieces: int) -> "_Chunk":
         sizes, words, at = unfolded(sizes).astype(np.int64), unfolded_rising(words), unfolded(tokens_).astype(np.int64)
-        end = int(np.searchsorted(words, END))
+        end = int(np.flatnonzero(words == END)[0])
         code, pair = np.unique(_before(at, sizes, end) * len(words) + at, return_inverse=True)
         pair_words = np.divmod(code, len(words))
         pair_hash = _pair_hash(*(words[x] for x in pair_words))
         piece = lambda h: ((h >> np.uint64(40)).astype(np.int64) * pieces) >> 24
         word_piece, pair_piece = piece(_mixed(words, WORD_KIND)), piece(pair_hash)
         pair_key = pair_hash & np.uint64((1 << 8 * PAIR_BYTES) - 1)
-        # Words are in rising order already.
-        word_order, pair_order = np.argsort(word_piece, kind="stable"), np.lexsort((pair_key, pair_piece))
+        word_order, pair_order = np.lexsort((words, word_piece)), np.lexsort((pair_key, pair_piece))
         return cls(sizes, np.array(held, bool), words, at, pair, pair_words, pair_key,
                    word_order, word_piece[word_order], pair_order, pair_piece[pair_order])
 

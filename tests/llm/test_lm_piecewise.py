@@ -108,7 +108,7 @@ def test_chunks_hold_all_rows_in_order_whatever_the_batches(sf, monkeypatch):
 def test_folded_numbers_come_back():
     rng = np.random.default_rng(2)
     wide = np.sort(rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64, endpoint=True))
-    for x in (wide, wide[:1], wide[:0], np.array([0, 0, 7, 2**64 - 1], np.uint64)):
+    for x in (wide, wide[:1], wide[:0], wide[::-1], np.array([0, 0, 7, 2**64 - 1, 3], np.uint64)):
         back = common.unfolded_rising(common.folded_rising(x))
         assert back.dtype == np.uint64 and back.tolist() == x.tolist()
     for x in (np.array([], np.int64), np.array([0]), np.array([255, 256, 0]), rng.integers(0, 1 << 40, 500)):
